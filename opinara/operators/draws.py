@@ -54,15 +54,16 @@ def spread_draws(
     full = tuple(params[longest])
     keys = sorted(set(found[longest]) | {
         k for p, cols in found.items() if tuple(params[p]) == full for k in cols})
+    # One SQL text instead of one expression object per parameter: draws have thousands of columns.
     cells = []
     for key in keys:
         at = dict(zip(full, key, strict=True))
-        values = []
+        fields = [f"'{i}', {at[i]}" for i in names]
         for p, idx in params.items():
             source = p if not idx else found[p].get(tuple(at[i] for i in idx))
-            values.append((F.lit(None).cast("double") if source is None else F.col(f"`{source}`")).alias(p))
-        cells.append(F.struct(*[F.lit(at[i]).alias(i) for i in names], *values))
-    return draws.select(*keep, F.inline(F.array(*cells)))
+            fields.append(f"'{p}', " + ("CAST(NULL AS DOUBLE)" if source is None else f"`{source}`"))
+        cells.append(f"named_struct({', '.join(fields)})")
+    return draws.select(*keep, F.expr(f"inline(array({', '.join(cells)}))"))
 
 
 def gather_draws(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.irt import irf, linear_predictor, monotonic
 from .draws import KEYS, cell_moments, draw_z, latent_moments, pooled_moments, scale_by_sd
@@ -29,22 +29,18 @@ def effect_z(
     return z if labels is None else z.join(labels.distinct(), list(by), "right")
 
 
-def predict_counts(
-    effects: DataFrame,
-    item_draws: DataFrame,
+def count_endorsed(
+    rows: DataFrame,
     by: Sequence[str],
     eta: str = "delta",
     sign: int = 1,
     keys: Sequence[str] = KEYS,
     carry: Sequence[str] = ("z",),
 ) -> DataFrame:
-    """Predicted number ``n`` and share ``p`` of items endorsed at theta = 0, per draw and cell.
+    """Number ``n`` and share ``p`` of items endorsed at theta = 0, from rows that carry item draws.
 
-    ``effects`` must hold one row per draw and cell, not one per person. Both sides are
-    partitioned by draw for the join, which already fits the aggregation behind it. Carried
-    columns must be constant within a draw and cell; otherwise the query fails.
+    Carried columns must be constant within a draw and cell; otherwise the query fails.
     """
-    rows = effects.join(item_draws.select(*keys, "alpha", "beta"), list(keys))
     p = irf(F.col("alpha"), F.col("beta"), 0.0, F.col(eta), sign)
     constant = [
         F.when(F.min(c).eqNullSafe(F.max(c)), F.min(c))
@@ -54,6 +50,28 @@ def predict_counts(
     return rows.groupBy(*keys, *by).agg(*constant, F.sum(p).alias("n"), F.avg(p).alias("p"))
 
 
+def with_items(rows: DataFrame, item_draws: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Attach the items of the same draw.
+
+    Called before a grid is expanded, while Spark's size estimates of both sides still hold; the
+    partitioning by draw also fits the aggregation that follows.
+    """
+    return rows.join(item_draws.select(*keys, "alpha", "beta"), list(keys))
+
+
+def predict_counts(
+    effects: DataFrame,
+    item_draws: DataFrame,
+    by: Sequence[str],
+    eta: str = "delta",
+    sign: int = 1,
+    keys: Sequence[str] = KEYS,
+    carry: Sequence[str] = ("z",),
+) -> DataFrame:
+    """Predicted counts per draw and cell; ``effects`` has one row per draw and cell, not per person."""
+    return count_endorsed(with_items(effects, item_draws, keys), by, eta, sign, keys, carry)
+
+
 def condition_effects(
     people: DataFrame,
     person_draws: DataFrame,
@@ -98,6 +116,11 @@ def std_coefs(
     return scale_by_sd(cell_draws.select(*keys, "kk", *coefs), coefs, moments, keys, names)
 
 
+def _with_z(rows: DataFrame, eta: Column) -> DataFrame:
+    """Outcome ``delta`` and its standardised form, from rows that carry the moments of their draw."""
+    return rows.withColumn("delta", eta).withColumn("z", (F.col("delta") - F.col("mean")) / F.col("sd"))
+
+
 def sweep(
     coef_draws: DataFrame,
     item_draws: DataFrame,
@@ -119,12 +142,11 @@ def sweep(
         for v in values:
             at = {**fixed, moving: v}
             points.append((label, float(v), *[float(at[x]) for x in coefs]))
-    rows = cross_tuples(coef_draws.select(*keys, *coefs.values()), ["outcome", "x", *[f"_{x}" for x in coefs]],
+    per_draw = coef_draws.select(*keys, *coefs.values()).join(moments, list(keys))
+    rows = cross_tuples(with_items(per_draw, item_draws, keys), ["outcome", "x", *[f"_{x}" for x in coefs]],
                         points, distinct=False)
     eta = linear_predictor([f"_{x}" for x in coefs], list(coefs.values()))
-    rows = rows.select(*keys, "outcome", "x", eta.alias("delta"))
-    return predict_counts(draw_z(rows, F.col("delta"), moments, keys), item_draws, ["outcome", "x"],
-                          sign=sign, keys=keys)
+    return count_endorsed(_with_z(rows, eta), ["outcome", "x"], sign=sign, keys=keys)
 
 
 def curve_by(
@@ -150,10 +172,9 @@ def curve_by(
         slope = F.when(F.col(group) == F.lit(g), F.col(f"_{c}")).otherwise(slope)
     firsts = [F.first(c).alias(f"_{c}") for c in slopes.values()]
     mean = cell_draws.withColumn(group, in_group).groupBy(*keys, group).agg(F.avg("delta").alias("_delta"), *firsts)
-    rows = cross_tuples(mean, ["x"], [(float(v),) for v in values], distinct=False)
-    rows = rows.select(*keys, group, "x", (F.col("_delta") + slope * F.col("x")).alias("delta"))
-    return predict_counts(draw_z(rows, F.col("delta"), moments, keys), item_draws, [group, "x"],
-                          sign=sign, keys=keys)
+    per_draw = with_items(mean.join(moments, list(keys)), item_draws, keys)
+    rows = cross_tuples(per_draw, ["x"], [(float(v),) for v in values], distinct=False)
+    return count_endorsed(_with_z(rows, F.col("_delta") + slope * F.col("x")), [group, "x"], sign=sign, keys=keys)
 
 
 def simple_slopes(
@@ -166,13 +187,14 @@ def simple_slopes(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Cell effects at chosen covariate values; with item draws also n and p."""
-    rows = cross_tuples(cell_draws.select(*keys, "kk", "delta", slope), ["x"], [(float(v),) for v in values],
-                        distinct=False)
-    rows = rows.select(*keys, "kk", "x", (F.col("delta") + F.col(slope) * F.col("x")).alias("delta"))
-    z = draw_z(rows, F.col("delta"), moments, keys)
+    per_cell = cell_draws.select(*keys, "kk", "delta", slope).join(moments, list(keys))
+    if item_draws is not None:
+        per_cell = with_items(per_cell, item_draws, keys)
+    rows = cross_tuples(per_cell, ["x"], [(float(v),) for v in values], distinct=False)
+    rows = _with_z(rows, F.col("delta") + F.col(slope) * F.col("x"))
     if item_draws is None:
-        return z.drop("delta")
-    return predict_counts(z, item_draws, ["kk", "x"], sign=sign, keys=keys)
+        return rows.select(*keys, "kk", "x", "z")
+    return count_endorsed(rows, ["kk", "x"], sign=sign, keys=keys)
 
 
 def monotonic_draws(shares: DataFrame, simplex: str, levels: int, variant: str = "model",

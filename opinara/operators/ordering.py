@@ -21,7 +21,9 @@ def _as_col(c: Column | str) -> Column:
 
 
 def _sorted_rows(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    placed = df.orderBy(*[_as_col(c) for c in order]).withColumn("_at", F.monotonically_increasing_id())
+    # The hash as last key spreads rows that tie on the order over several range partitions.
+    keys = [*[_as_col(c) for c in order], F.xxhash64(*[f"`{c}`" for c in df.columns])]
+    placed = df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id())
     return cut_lineage(placed).withColumns({
         "_part": F.shiftright("_at", _OFFSET_BITS),
         "_pos": F.col("_at").bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1)),

@@ -105,11 +105,15 @@ def median_qi(
     """
     exprs = dict(values) if isinstance(values, Mapping) else {v: v for v in values}
     tail = (1 - width) / 2
-    parts = []
-    for name, expr in exprs.items():
-        names = [name, "lower", "upper"] if len(exprs) == 1 else [name, f"{name}_lower", f"{name}_upper"]
-        parts.append(quantiles(df, expr, by, (0.5, tail, 1 - tail), names, one_pass))
-    out = reduce(lambda a, b: join_na(a, b, by, "inner") if by else _attach_one(a, b), parts)
+    probs = (0.5, tail, 1 - tail)
+    names = {n: [n, "lower", "upper"] if len(exprs) == 1 else [n, f"{n}_lower", f"{n}_upper"] for n in exprs}
+    if one_pass:
+        aggs = [F.percentile(e, F.array(*map(F.lit, probs))).alias(f"_q_{n}") for n, e in exprs.items()]
+        wide = df.groupBy(*by).agg(*aggs)
+        out = wide.select(*by, *[F.col(f"_q_{n}")[i].alias(t) for n in exprs for i, t in enumerate(names[n])])
+    else:
+        parts = [quantiles(df, e, by, probs, names[n]) for n, e in exprs.items()]
+        out = reduce(lambda a, b: join_na(a, b, by, "inner") if by else _attach_one(a, b), parts)
     return out.withColumn("width", F.lit(float(width)))
 
 

@@ -96,6 +96,12 @@ def grid(spark: SparkSession, name: str, lo: float, hi: float, step: float) -> D
     return spark.range(1).select(F.explode(F.array(*map(F.lit, seq(lo, hi, step)))).alias(name))
 
 
+def literal_table(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """A table written out in the plan (code lists, rules), whose size Spark therefore knows."""
+    cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def crossing(df: DataFrame, **grids: Sequence) -> DataFrame:
     """Distinct rows combined with every combination of the distinct grid values.
 

@@ -112,7 +112,7 @@ SELECT c_custkey, COALESCE(value, raw) AS kept,
        CASE WHEN raw = 'HOUSEHOLD' THEN 'home' ELSE value END AS nulled
 FROM noisy LEFT JOIN m ON LOWER(TRIM(raw)) = key""")
 def recode_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    words = spark.createDataFrame(_WORDS, "key string, value string")
+    words = shape.literal_table(spark, ["key", "value"], _WORDS)
     seg = F.col("c_mktsegment")
     df = v.table(spark, sf, "customer").select(
         "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), F.lower(seg))).otherwise(seg).alias("raw"))
@@ -275,7 +275,7 @@ def round_even(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("p26_j6_crossing_grid", """
-WITH g AS (SELECT ROUND(-2.5 + i * 0.1, 6) + 0.0 AS x FROM range(0, 51) t(i))
+WITH g AS (SELECT ROUND(CAST(-2.5 + i * 0.1 AS DOUBLE), 6) + 0.0 AS x FROM range(0, 51) t(i))
 SELECT c_mktsegment, x, w FROM (SELECT DISTINCT c_mktsegment FROM customer), g, (VALUES (0), (1)) v(w)""")
 def crossing_grid(spark: SparkSession, sf: str) -> DataFrame:
     df = v.table(spark, sf, "customer").select("c_mktsegment")
@@ -373,7 +373,7 @@ SELECT event_id, a.answer IS NULL OR a.answer = '' OR r.answer IS NOT NULL AS ex
        a.answer IS NULL OR a.answer = '' OR (a.condition = 'even' AND a.answer IN ('error', 'view')) OR (a.condition = 'odd' AND a.answer IN ('view', 'click')) AS exclude_trimmed
 FROM a LEFT JOIN r ON a.condition = r.condition AND a.answer = r.answer""")
 def exclude_by_answer(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame(_WRONG, "condition string, answer string")
+    rules = shape.literal_table(spark, ["condition", "answer"], _WRONG)
     value = F.col("value")
     df = v.table(spark, sf, "events").select(
         "event_id", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("cond"),
@@ -395,8 +395,8 @@ def exclude_by_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("f9_f10_exclusions", "WITH" + v.SQL_RESPONSES + """
-SELECT 'included' AS sample, action, COUNT(*) AS n, SUM(response) AS endorsed FROM dl WHERE NOT exclude GROUP BY 2
-UNION ALL SELECT 'everybody', action, COUNT(*), SUM(response) FROM dl GROUP BY 2""")
+SELECT 'included' AS sample, action, COUNT(*) AS n, CAST(SUM(response) AS BIGINT) AS endorsed FROM dl WHERE NOT exclude GROUP BY 2
+UNION ALL SELECT 'everybody', action, COUNT(*), CAST(SUM(response) AS BIGINT) FROM dl GROUP BY 2""")
 def exclusions(spark: SparkSession, sf: str) -> DataFrame:
     flagged = sample.attach_flag(v.responses(spark, sf), v.people(spark, sf))
     parts = {name: sample.apply_exclusions(flagged, on).groupBy("action").agg(

@@ -101,7 +101,7 @@ _GRID = seq(-2.5, 2.5, 0.1)
 
 
 @query("m5_covariate_sweep", "WITH" + v.SQL_DRAWS + f"""
-, g AS (SELECT o.outcome, ROUND(-2.5 + i * 0.1, 6) + 0.0 AS x FROM (VALUES ('x_4'), ('x_5'), ('x_6')) o(outcome), range(0, 51) t(i)),
+, g AS (SELECT o.outcome, ROUND(CAST(-2.5 + i * 0.1 AS DOUBLE), 6) + 0.0 AS x FROM (VALUES ('x_4'), ('x_5'), ('x_6')) o(outcome), range(0, 51) t(i)),
 pts AS (SELECT draw, outcome, x, 0.5 * e[15] + 0.5 * e[16] + 0.25 * e[17] + x * CASE outcome WHEN 'x_4' THEN e[18] WHEN 'x_5' THEN e[19] ELSE e[20] END AS eta FROM base, g)
 SELECT draw, outcome, x, ROUND(ANY_VALUE((eta - mean) / sd), 6) + 0.0 AS z, ROUND(SUM({_P.replace('(beta', '(-beta')}), 6) AS n, ROUND(AVG({_P.replace('(beta', '(-beta')}), 6) AS p
 FROM pts JOIN latent USING (draw) JOIN post_ii USING (draw) GROUP BY 1, 2, 3""")
@@ -116,7 +116,7 @@ def covariate_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m6_curve_by_cause", "WITH" + v.SQL_DRAWS + f"""
 , m AS (SELECT draw, kk % 2 AS x_for, AVG(delta) AS delta, ANY_VALUE(b_for) AS b_for, ANY_VALUE(b_against) AS b_against FROM post_kk GROUP BY 1, 2),
-pts AS (SELECT draw, x_for, ROUND(-2.5 + i * 0.1, 6) + 0.0 AS x, delta + (b_for * x_for + b_against * (1 - x_for)) * (-2.5 + i * 0.1) AS eta FROM m, range(0, 51) t(i))
+pts AS (SELECT draw, x_for, ROUND(CAST(-2.5 + i * 0.1 AS DOUBLE), 6) + 0.0 AS x, delta + (b_for * x_for + b_against * (1 - x_for)) * (-2.5 + i * 0.1) AS eta FROM m, range(0, 51) t(i))
 SELECT draw, x_for, x, ROUND(ANY_VALUE((eta - mean) / sd), 6) + 0.0 AS z, ROUND(SUM({_P}), 6) AS n, ROUND(AVG({_P}), 6) AS p
 FROM pts JOIN latent_x USING (draw) JOIN post_ii USING (draw) GROUP BY 1, 2, 3""")
 def curve_by_cause(spark: SparkSession, sf: str) -> DataFrame:

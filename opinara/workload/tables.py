@@ -57,7 +57,7 @@ def codebook_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("s4_snapshot", "WITH" + v.SQL_RESPONSES + """
-SELECT cause, kk, COUNT(*) AS n, SUM(response) AS endorsed FROM cells WHERE NOT exclude GROUP BY 1, 2""")
+SELECT cause, kk, COUNT(*) AS n, CAST(SUM(response) AS BIGINT) AS endorsed FROM cells WHERE NOT exclude GROUP BY 1, 2""")
 def snapshot(spark: SparkSession, sf: str) -> DataFrame:
     path = v.scratch(spark)
     write_snapshot(v.indexed(spark, sf), path, partition_by=["cause"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.draws import spread_draws
 from ..operators.recode import cell_index, z_score
@@ -142,23 +142,19 @@ submissions AS (
 
 def draws(spark: SparkSession, sf: str) -> DataFrame:
     """Wide draws: one row per vector, its elements read as model parameters."""
-    def e(i: int) -> Column:
-        return F.col("embedding")[i - 1].cast("double")
-
-    shares = F.array(*[F.abs(e(i)) for i in range(4, 8)])
-    total = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)
-    cols = [
-        (F.col("vec_id") + 1).cast("int").alias("draw"), (F.col("vec_id") % 4 + 1).cast("int").alias("chain"),
-        (F.floor(F.col("vec_id") / 4) + 1).cast("int").alias("iteration"), F.col("label").alias("run"),
-        *[F.exp(e(i)).alias(f"alpha[{i}]") for i in range(1, N_ITEMS + 1)],
-        *[e(7 + i).alias(f"beta[{i}]") for i in range(1, N_ITEMS + 1)],
-        *[e(14 + k).alias(f"delta[{k}]") for k in range(1, N_CELLS + 1)],
-        *[e(22 + j).alias(f"theta[{j}]") for j in range(1, N_PEOPLE + 1)],
-        *[e(56 + k).alias(f"b_kk[{k}]") for k in range(1, N_CELLS + 1)],
-        e(1).alias("b_for"), e(2).alias("b_against"), e(3).alias("b_sup"),
-        F.transform(shares, lambda s: s / total).alias("z_sup"),
-    ]
-    return table(spark, sf, "embeddings").select(*cols)
+    def indexed(name: str, first: int, n: int, of: str = "{}") -> list[str]:
+        return [of.format(f"CAST(embedding[{first + i}] AS DOUBLE)") + f" AS `{name}[{i + 1}]`" for i in range(n)]
+
+    size = "aggregate(shares, 0D, (a, b) -> a + b)"
+    shares = "transform(slice(embedding, 4, 4), x -> abs(CAST(x AS DOUBLE))) AS shares"
+    return table(spark, sf, "embeddings").selectExpr("*", shares).selectExpr(
+        "CAST(vec_id + 1 AS INT) AS draw", "CAST(vec_id % 4 + 1 AS INT) AS chain",
+        "CAST(floor(vec_id / 4) + 1 AS INT) AS iteration", "label AS run",
+        *indexed("alpha", 0, N_ITEMS, "exp({})"), *indexed("beta", N_ITEMS, N_ITEMS), *indexed("delta", 14, N_CELLS),
+        *indexed("theta", 22, N_PEOPLE), *indexed("b_kk", 56, N_CELLS),
+        "CAST(embedding[0] AS DOUBLE) AS b_for", "CAST(embedding[1] AS DOUBLE) AS b_against",
+        "CAST(embedding[2] AS DOUBLE) AS b_sup", f"transform(shares, s -> s / {size}) AS z_sup",
+    )
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
