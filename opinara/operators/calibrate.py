@@ -75,8 +75,8 @@ def _sum_over_people(people: DataFrame, statistics) -> np.ndarray:
                 [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "v"])
 
     parts = people.select("counts", "x").mapInArrow(partial, "at int, v double")
-    rows = parts.groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
-    return np.array([r["v"] for r in rows])
+    rows = parts.groupBy("at").agg(F.sum("v").alias("v")).collect()
+    return np.array([v for _, v in sorted(map(tuple, rows))])
 
 
 def _posterior(batch: pa.RecordBatch, log_p: np.ndarray, nodes: np.ndarray, gamma: np.ndarray, sigma: float):

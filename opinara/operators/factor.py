@@ -58,8 +58,8 @@ class Patterns:
                     yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
 
         parts = self.table.mapInPandas(partial, "at long, v double")
-        rows = parts.groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
-        return np.array([r["v"] for r in rows])
+        rows = parts.groupBy("at").agg(F.sum("v").alias("v")).collect()
+        return np.array([v for _, v in sorted(map(tuple, rows))])
 
 
 def _stack(frame: pd.DataFrame, p: int) -> tuple[np.ndarray, ...]:
