@@ -146,7 +146,7 @@ def cor_matrix(df: DataFrame, cols: Sequence[str], digits: int | None = None) ->
     All pairs are computed in one pass; ``digits`` turns the numbers into text without a leading
     zero and the diagonal into empty text.
     """
-    flat = df.agg(*[F.corr(x, y).alias(f"r_{i}_{j}") for (i, x), (j, y) in combinations(enumerate(cols), 2)])
+    flat = df.agg(*[F.corr(f"`{x}`", f"`{y}`").alias(f"r_{i}_{j}") for (i, x), (j, y) in combinations(enumerate(cols), 2)])
 
     def cell(i: int, j: int) -> Column:
         r = F.lit(None).cast("double") if i == j else F.col(f"r_{min(i, j)}_{max(i, j)}")
