@@ -12,12 +12,27 @@ from .quantiles import median_qi
 Weights = Mapping[str, Column]
 
 
-def _weighted_rows(effects: DataFrame, weights: Weights, keep: Sequence[str], value: str) -> DataFrame:
-    """One row per effect and contrast; a null weight takes the effect out of that contrast."""
-    cells = [F.struct(F.lit(name).alias("contrast"), w.cast("double").alias("weight"))
-             for name, w in weights.items()]
-    rows = effects.select(*keep, F.col(value).alias("_v"), F.inline(F.array(*cells)))
-    return rows.filter(F.col("weight").isNotNull())
+def _per_draw(
+    effects: DataFrame, weights: Weights, by: Sequence[str], mode: str, value: str, keys: Sequence[str]
+) -> DataFrame:
+    """One row per draw with one column per contrast."""
+    group = [*keys, *by]
+    if mode in ("sum", "mean"):
+        fn = F.sum if mode == "sum" else F.avg
+        # A null weight makes the product null, which takes the effect out of that contrast.
+        return effects.groupBy(*group).agg(*[fn(F.col(value) * w.cast("double")).alias(n) for n, w in weights.items()])
+    if mode != "balanced":
+        raise ValueError(f"unknown mode {mode!r}")
+    cells = [F.struct(F.lit(n).alias("_c"), w.cast("double").alias("_w")) for n, w in weights.items()]
+    rows = effects.select(*group, F.col(value).alias("_v"), F.inline(F.array(*cells))).filter(F.col("_w").isNotNull())
+    means = rows.groupBy(*group, "_c", "_w").agg(F.avg("_v").alias("_v"))
+    return means.groupBy(*group).agg(
+        *[F.sum(F.when(F.col("_c") == n, F.col("_v") * F.col("_w"))).alias(n) for n in weights])
+
+
+def _as_rows(wide: DataFrame, names: Sequence[str], group: Sequence[str]) -> DataFrame:
+    cells = [F.struct(F.lit(n).alias("contrast"), F.col(n).alias("d")) for n in names]
+    return wide.select(*group, F.inline(F.array(*cells))).filter(F.col("d").isNotNull())
 
 
 def contrast(
@@ -27,32 +42,18 @@ def contrast(
     mode: str = "sum",
     value: str = "z",
     keys: Sequence[str] = ("draw",),
+    derived: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Contrast ``d`` per draw.
 
     ``weights`` are column expressions over the cell labels. ``sum`` and ``mean`` combine
     ``value * weight`` over the cells. ``balanced`` averages the cells of each direction first
     and then adds ``mean * direction``, which also suits directions with unequal numbers of cells.
+    ``derived`` are differences of two contrasts, ``{name: (plus, minus)}``.
     """
-    group = [*keys, *by, "contrast"]
-    rows = _weighted_rows(effects, weights, [*keys, *by], value)
-    product = F.col("_v") * F.col("weight")
-    if mode == "balanced":
-        means = rows.groupBy(*group, "weight").agg(F.avg("_v").alias("_v"))
-        return means.groupBy(*group).agg(F.sum(product).alias("d"))
-    if mode not in ("sum", "mean"):
-        raise ValueError(f"unknown mode {mode!r}")
-    return rows.groupBy(*group).agg((F.sum if mode == "sum" else F.avg)(product).alias("d"))
-
-
-def derive(contrasts: DataFrame, name: str, plus: str, minus: str,
-           keys: Sequence[str] = ("draw",)) -> DataFrame:
-    """Add a contrast that is the difference of two others."""
-    def part(which: str) -> Column:
-        return F.max(F.when(F.col("contrast") == which, F.col("d")))
-
-    extra = contrasts.groupBy(*keys).agg((part(plus) - part(minus)).alias("d"))
-    return contrasts.unionByName(extra.withColumn("contrast", F.lit(name)))
+    wide = _per_draw(effects, weights, by, mode, value, keys)
+    extra = {n: F.col(plus) - F.col(minus) for n, (plus, minus) in (derived or {}).items()}
+    return _as_rows(wide.withColumns(extra), [*weights, *extra], [*keys, *by])
 
 
 def contrast_table(
@@ -64,9 +65,7 @@ def contrast_table(
     keys: Sequence[str] = ("draw",),
 ) -> DataFrame:
     """Median and 95% interval of planned contrasts, with the text for a report."""
-    rows = contrast(effects, weights, by, mode, keys=keys)
-    for name, (plus, minus) in (derived or {}).items():
-        rows = derive(rows, name, plus, minus, [*keys, *by])
+    rows = contrast(effects, weights, by, mode, keys=keys, derived=derived)
     # One value per draw in every group.
     table = median_qi(rows, ["d"], [*by, "contrast"], one_pass=True)
     return table.withColumn("d_text", fmt_estimate("d", "lower", "upper"))

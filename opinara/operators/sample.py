@@ -40,7 +40,9 @@ def first_by(df: DataFrame, key: Sequence[str], order: Sequence[str], ties: bool
     if not ties:
         row = F.struct(*[f"`{c}`" for c in df.columns])
         return df.groupBy(*key).agg(F.min_by(row, ranks).alias("_row")).select("_row.*")
-    best = df.groupBy(*key).agg(F.min(ranks).alias("_best")).select(
+    # A plain minimum already ignores missing values and keeps the aggregation hash-based.
+    lowest = F.struct(F.min(order[0]).alias("v0")) if len(order) == 1 else F.min(ranks)
+    best = df.groupBy(*key).agg(lowest.alias("_best")).select(
         *[F.col(c).alias(f"_k_{c}") for c in key],
         *[F.col(f"_best.v{i}").alias(f"_o_{c}") for i, c in enumerate(order)],
     )
