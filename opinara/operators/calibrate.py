@@ -4,22 +4,26 @@ Estimates are posterior modes under the priors named below, not posterior draws.
 each iteration, the expected counts over all people, runs in Spark tasks; only sums of the size
 items x nodes (and design x design) reach the driver.
 
-People are stored once as one row each with dense count arrays over the items of the
-questionnaire, so that an iteration is a narrow pass plus one small sum.
+People are stored once as one row each with their answers as a short list, so that an iteration
+is a narrow pass plus one small sum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.irt import inv_logit
+from ..functions.scalar import case_when
 from ..session import cut_lineage, ship_by_value
-from .shape import seq
+from .graded import thresholds
+from .shape import literal_table, seq
 
 ship_by_value(__name__)
 
@@ -38,29 +42,58 @@ class Calibration(NamedTuple):
 # -- layout ----------------------------------------------------------------------------------
 
 
-def _levels(df: DataFrame, col: str) -> list:
-    """Values of a questionnaire dimension (items, cells): its size does not grow with people."""
-    return [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+def _levels(df: DataFrame, *cols: str) -> list[list]:
+    """Values of questionnaire dimensions (items, cells), whose size does not grow with people."""
+    found = df.agg(*[F.collect_set(c) for c in cols]).first()
+    return [sorted(values) for values in found]
 
 
 def person_layout(
     responses: DataFrame, person: str, item: str, y: str, items: Sequence, categories: Sequence[int],
-    design: Mapping[str, Column] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per person: ``counts`` (items x categories, flattened) and the design vector ``x``.
+    """One row per person: ``counts``, a sorted list of (place, number), and person-level columns.
 
-    Repeated answers add up. The arrays are built by partial aggregation, so a person with any
-    number of rows shrinks before the shuffle and an array never exceeds the questionnaire.
+    A place is an item and category of the questionnaire. Repeated answers add up first, in a
+    partial aggregation by person and place, so the list never exceeds the questionnaire, however
+    many rows a person has.
     """
-    cells = [F.sum(F.when((F.col(item) == F.lit(i)) & (F.col(y) == F.lit(k)), 1.0).otherwise(0.0))
-             for i in items for k in categories]
-    x = F.array(*[F.first(c).cast("double") for c in design.values()]) if design else F.array().cast("array<double>")
-    usable = responses.filter(F.col(y).isNotNull() & F.col(item).isNotNull())
-    return usable.groupBy(person).agg(F.array(*cells).alias("counts"), x.alias("x"))
+    # The item list is held by the driver, one row per questionnaire item: safe to broadcast.
+    bank = literal_table(responses.sparkSession, ["_item", "_i"], [(v, i) for i, v in enumerate(items)])
+    rows = responses.filter(F.col(y).isin(*categories)).join(F.broadcast(bank), F.col(item) == F.col("_item"))
+    place = F.col("_i") * len(categories) + (F.col(y) - min(categories)).cast("int")
+    cells = rows.groupBy(person, place.alias("_at")).agg(
+        F.count(F.lit(1)).cast("float").alias("_n"), *[F.first(c).alias(c) for c in keep])
+    return cells.groupBy(person).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_n").alias("n")))).alias("counts"),
+        *[F.first(c).alias(c) for c in keep])
+
+
+def _distinct_people(people: DataFrame) -> DataFrame:
+    """People with the same answers and design count once, with a weight, where that pays off.
+
+    Exact either way: short scales have few answer patterns, long ones are left as they are.
+    """
+    people = cut_lineage(people)
+    n, kinds = people.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("counts", "x"))).first()
+    if kinds * 2 > n:
+        return people.withColumn("weight", F.lit(1.0))
+    return cut_lineage(people.groupBy("counts", "x").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else np.zeros((len(column), 0))
+    if not width:
+        return np.zeros((len(column), 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width)
+
+
+def _counts(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of (place, number) as a dense people x places matrix."""
+    out = np.zeros((len(column), width))
+    cells = column.flatten()
+    person = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    out[person, cells.field("at").to_numpy()] = cells.field("n").to_numpy()
+    return out
 
 
 def _sum_over_people(people: DataFrame, statistics) -> np.ndarray:
@@ -74,20 +107,28 @@ def _sum_over_people(people: DataFrame, statistics) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "v"])
 
-    parts = people.select("counts", "x").mapInArrow(partial, "at int, v double")
+    parts = people.select("counts", "x", "weight").mapInArrow(partial, "at int, v double")
     rows = parts.groupBy("at").agg(F.sum("v").alias("v")).collect()
     return np.array([v for _, v in sorted(map(tuple, rows))])
 
 
 def _posterior(batch: pa.RecordBatch, log_p: np.ndarray, nodes: np.ndarray, gamma: np.ndarray, sigma: float):
-    """Counts, design, posterior node weights and log-likelihood of the people in a batch."""
-    counts = _matrix(batch.column("counts"), log_p.shape[0])
+    """Counts, design, posterior node weights, number and log-likelihood of the people in a batch."""
+    counts = _counts(batch.column("counts"), log_p.shape[0])
     x = _matrix(batch.column("x"), len(gamma))
     prior = -0.5 * ((nodes[None, :] - (x @ gamma)[:, None]) / sigma) ** 2
-    prior -= np.logaddexp.reduce(prior, axis=1, keepdims=True)
-    joint = counts @ log_p + prior
-    norm = np.logaddexp.reduce(joint, axis=1, keepdims=True)
-    return counts, x, np.exp(joint - norm), float(norm.sum())
+    prior -= _softmax(prior)[1][:, None]
+    post, norm = _softmax(counts @ log_p + prior)
+    weight = batch.column("weight").to_numpy()
+    return counts, x, post * weight[:, None], weight, float(norm @ weight)
+
+
+def _softmax(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row weights that sum to one, and the logarithm of what they were divided by."""
+    top = logs.max(axis=1, keepdims=True)
+    weights = np.exp(logs - top)
+    total = weights.sum(axis=1, keepdims=True)
+    return weights / total, top[:, 0] + np.log(total[:, 0])
 
 
 def _e_step(people: DataFrame, log_p: np.ndarray, nodes: np.ndarray, gamma: np.ndarray, sigma: float):
@@ -95,11 +136,10 @@ def _e_step(people: DataFrame, log_p: np.ndarray, nodes: np.ndarray, gamma: np.n
     rows, width = log_p.shape[0], len(gamma)
 
     def statistics(batch: pa.RecordBatch) -> np.ndarray:
-        counts, x, w, log_lik = _posterior(batch, log_p, nodes, gamma, sigma)
-        eta = w @ nodes
+        counts, x, post, weight, log_lik = _posterior(batch, log_p, nodes, gamma, sigma)
         return np.concatenate([
-            (counts.T @ w).ravel(), (x.T @ x).ravel(), x.T @ eta,
-            [(w @ nodes**2).sum(), float(len(x)), log_lik],
+            (counts.T @ post).ravel(), (x.T @ (x * weight[:, None])).ravel(), x.T @ (post @ nodes),
+            [(post @ nodes**2).sum(), weight.sum(), log_lik],
         ])
 
     out = _sum_over_people(people, statistics)
@@ -137,6 +177,33 @@ def _fit_binary(wrong: np.ndarray, right: np.ndarray, nodes: np.ndarray, log_a:
     return log_a, b
 
 
+def _fit_effects(lhs: np.ndarray, rhs: np.ndarray, monotone: np.ndarray) -> np.ndarray:
+    """Ridge solution; coefficients in ``monotone`` share one sign, the one that fits better."""
+    free = np.linalg.solve(lhs, rhs)
+    if not len(monotone) or (free[monotone] >= 0).all() or (free[monotone] <= 0).all():
+        return free
+    fits = []
+    for sign in (1.0, -1.0):
+        flip = np.ones(len(rhs))
+        flip[monotone] = sign
+        fits.append(flip * _signed_solution(lhs * np.outer(flip, flip), rhs * flip, monotone))
+    return max(fits, key=lambda g: g @ rhs - 0.5 * g @ lhs @ g)
+
+
+def _signed_solution(lhs: np.ndarray, rhs: np.ndarray, signed: np.ndarray, sweeps: int = 500) -> np.ndarray:
+    """Minimise a quadratic with some coefficients held at or above zero, one coefficient at a time."""
+    x = np.zeros(len(rhs))
+    bound = np.full(len(rhs), -np.inf)
+    bound[signed] = 0.0
+    for _ in range(sweeps):
+        before = x.copy()
+        for i in range(len(x)):
+            x[i] = max(x[i] + (rhs[i] - lhs[i] @ x) / lhs[i, i], bound[i])
+        if np.abs(x - before).max() < 1e-9:
+            break
+    return x
+
+
 def calibrate_2pl(
     responses: DataFrame,
     person: str,
@@ -144,6 +211,7 @@ def calibrate_2pl(
     y: str,
     cell: str | None = None,
     covariates: Sequence[str] = (),
+    ordinal: str | None = None,
     slopes_by_cell: bool = False,
     sign: int = 1,
     estimate_sigma: bool = False,
@@ -163,19 +231,28 @@ def calibrate_2pl(
     with SD ``prior_beta``, effects ``~ N(0, prior_effect)``. ``slopes_by_cell`` adds a ridge-
     penalised deviation of every slope per cell. People with a missing covariate are left out.
 
+    ``ordinal`` names a predictor with a monotonic effect: every step up its scale has its own
+    size, all in one direction. Reported are the steps, the mean step ``b_<name>`` and each step's
+    share of the whole effect, ``z_<name>[i]``.
+
     Effects enter as a person-specific prior mean on a fixed grid of the latent outcome, so one
     matrix product per batch serves all of these models.
     """
-    used = responses.dropna(subset=[person, item, y, *([cell] if cell else []), *covariates])
-    item_ids = _levels(used, item)
-    cells = _levels(used, cell) if cell else []
+    person_cols = [*([cell] if cell else []), *covariates, *([ordinal] if ordinal else [])]
+    used = responses.dropna(subset=[person, item, y, *person_cols])
+    item_ids, *rest = _levels(used, item, *([cell] if cell else []), *([ordinal] if ordinal else []))
+    cells = rest[0] if cell else []
     design: dict[str, Column] = {f"delta[{c}]": (F.col(cell) == F.lit(c)).cast("double") for c in cells}
     for v in covariates:
         design[f"b_{v}"] = F.col(v).cast("double")
         if slopes_by_cell:
             design |= {f"b_{v}[{c}]": F.when(F.col(cell) == F.lit(c), F.col(v)).otherwise(0.0) for c in cells}
-    people = cut_lineage(person_layout(used, person, item, y, item_ids, (0, 1), design)).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    steps = {f"step[{x}]": (F.col(ordinal) >= F.lit(x)).cast("double") for x in (rest[-1][1:] if ordinal else [])}
+    design |= steps
+    monotone = np.arange(len(design) - len(steps), len(design))
+    vector = F.array(*[c.cast("double") for c in design.values()]) if design else F.array().cast("array<double>")
+    layout = person_layout(used, person, item, y, item_ids, (0, 1), person_cols)
+    people = _distinct_people(layout.select("counts", vector.alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
     node = np.linspace(-reach, reach, nodes)
     log_a, b = np.zeros(len(item_ids)), np.zeros(len(item_ids))
     gamma, sigma, log_lik, done = np.zeros(len(design)), 1.0, 0.0, 0
@@ -185,7 +262,7 @@ def calibrate_2pl(
         expected, xtx, xte, ee, n, log_lik = _e_step(people, log_p, node, gamma, sigma)
         counts = expected.reshape(len(item_ids), 2, nodes)
         new_log_a, new_b = _fit_binary(counts[:, 0], counts[:, 1], node, log_a, b, prior_log_alpha, prior_beta)
-        new_gamma = np.linalg.solve(xtx + np.eye(len(design)) / prior_effect**2, xte) if design else gamma
+        new_gamma = _fit_effects(xtx + np.eye(len(design)) / prior_effect**2, xte, monotone) if design else gamma
         if estimate_sigma:
             rss = ee - 2 * new_gamma @ xte + new_gamma @ xtx @ new_gamma
             sigma = float(np.sqrt(max(rss / n, 1e-6)))
@@ -199,8 +276,13 @@ def calibrate_2pl(
     items = spark.createDataFrame(
         [(i, float(np.exp(la)), float(sign * bi)) for i, la, bi in zip(item_ids, log_a, b, strict=True)],
         f"item {dict(used.dtypes)[item]}, alpha double, beta double")
-    effects = spark.createDataFrame(
-        [*zip(design, map(float, gamma), strict=True), ("sigma_theta", float(sigma))], "term string, estimate double")
+    terms = [*zip(design, map(float, gamma), strict=True), ("sigma_theta", float(sigma))]
+    if ordinal:
+        total, n_steps = float(gamma[monotone].sum()), len(steps)
+        terms.append((f"b_{ordinal}", total / n_steps))
+        terms += [(f"z_{ordinal}[{i}]", float(gamma[m] / total) if total else 1 / n_steps)
+                  for i, m in enumerate(monotone, 1)]
+    effects = spark.createDataFrame(terms, "term string, estimate double")
     return Calibration(items, effects, float(log_lik), done)
 
 
@@ -271,8 +353,9 @@ def calibrate_grm(
     Priors: ``log alpha ~ N(0, prior_log_alpha)``, thresholds ``~ N(0, prior_cut)`` in order.
     """
     used = ratings.dropna(subset=[person, item, y])
-    item_ids = _levels(used, item)
-    people = cut_lineage(person_layout(used, person, item, y, item_ids, range(1, categories + 1))).persist(
+    item_ids, = _levels(used, item)
+    layout = person_layout(used, person, item, y, item_ids, range(1, categories + 1))
+    people = _distinct_people(layout.select("counts", F.array().cast("array<double>").alias("x"))).persist(
         StorageLevel.MEMORY_AND_DISK)
     node = np.linspace(-reach, reach, nodes)
     log_a = np.zeros(len(item_ids))
@@ -311,18 +394,29 @@ def score_eap(
 ) -> DataFrame:
     """Expected a-posteriori score and posterior SD per person, from given item parameters.
 
+    ``items`` holds binary items (``alpha, beta``) or graded ones (``alpha, beta_1, beta_2, …``).
     Each response turns into one log-likelihood column per node, summed per person: one partial
     aggregation, generated code only, and no per-person list. ``offset`` is a person-level column
-    that shifts the prior mean of theta's scale (condition effects and covariates).
+    added to theta (condition effects and covariates).
     """
-    bank = items.select(F.col("item").alias("_item"), "alpha", "beta")
+    cuts = thresholds(items)
+    bank = items.select(F.col("item").alias("_item"), "alpha", *(cuts or ["beta"]))
     rows = responses.filter(F.col(y).isNotNull()).join(bank, F.col(item) == F.col("_item"))
+    shift = F.col(offset) if offset else F.lit(0.0)
 
-    def log_lik(node: float) -> Column:
-        z = F.col("alpha") * (F.lit(float(node)) + sign * F.col("beta") + (F.col(offset) if offset else 0.0))
+    def binary(node: float) -> Column:
+        z = F.col("alpha") * (F.lit(float(node)) + sign * F.col("beta") + shift)
         signed = F.when(F.col(y) == 1, -z).otherwise(z)
         return -(F.greatest(signed, F.lit(0.0)) + F.log1p(F.exp(-F.abs(signed))))
 
+    def graded(node: float) -> Column:
+        # Cut above and cut below the category given; the outer ones are certain.
+        above = [inv_logit(F.col("alpha") * (F.lit(float(node)) + shift) - F.col(b)) for b in cuts]
+        upper = case_when(*[(F.col(y) == k + 2, p) for k, p in enumerate(above)], default=F.lit(1.0))
+        lower = case_when(*[(F.col(y) == k + 1, p) for k, p in enumerate(above)], default=F.lit(0.0))
+        return F.log(F.greatest(upper - lower, F.lit(1e-300)))
+
+    log_lik = graded if cuts else binary
     sums = rows.groupBy(person).agg(
         F.count(F.lit(1)).alias("n_items"), *[F.sum(log_lik(q)).alias(f"_l{i}") for i, q in enumerate(nodes)])
     post = [F.col(f"_l{i}") - 0.5 * q * q for i, q in enumerate(nodes)]

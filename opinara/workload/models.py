@@ -8,6 +8,7 @@ from ..operators import calibrate as cal, factor
 from ..operators.shape import bind_rows
 from . import views as v
 from .registry import query, rounded
+from .scale import SQL_ITEMS, items
 
 _SCALE = {"sjb": [f"q12_{i}" for i in range(1, v.N_ITEMS + 1)]}
 _NODES = [-3.0, -1.5, 0.0, 1.5, 3.0]
@@ -19,6 +20,13 @@ def factor_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df, "sjb").select("id", "sjb")
 
 
+@query("m18_two_factor_scores")
+def two_factor_scores(spark: SparkSession, sf: str) -> DataFrame:
+    model = {"care": _SCALE["sjb"][:3], "equality": _SCALE["sjb"][3:]}
+    df = factor.factor_scores(v.wide(spark, sf), model)
+    return rounded(df, *model).select("id", *model)
+
+
 @query("m18_factor_loadings")
 def factor_loadings(spark: SparkSession, sf: str) -> DataFrame:
     fit, _ = factor.fit_model(v.wide(spark, sf), _SCALE)
@@ -61,6 +69,13 @@ def calibrate_2pl_covariate(spark: SparkSession, sf: str) -> DataFrame:
     return fit.effects
 
 
+@query("m20_calibrate_2pl_ordinal")
+def calibrate_2pl_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    level = F.least(F.lit(5), 1 + F.floor((F.col("balance") + 1000) / 2200)).cast("int")
+    dl = v.indexed(spark, sf).filter(~F.col("exclude")).withColumn("sup", level)
+    return cal.calibrate_2pl(dl, "id", "action", "response", cell="kk", ordinal="sup", max_iter=12, tol=5e-3).effects
+
+
 @query("m21_calibrate_graded")
 def calibrate_graded(spark: SparkSession, sf: str) -> DataFrame:
     return cal.calibrate_grm(v.graded(spark, sf), "id", "item", "y", max_iter=15, tol=5e-3).items
@@ -83,3 +98,20 @@ def person_scores(spark: SparkSession, sf: str) -> DataFrame:
     rate = F.avg("response")
     bank = resp.groupBy(F.col("action").alias("item")).agg((0.5 + rate).alias("alpha"), F.log(rate / (1 - rate)).alias("beta"))
     return rounded(cal.score_eap(resp, bank, "id", "action", "response", _NODES), "theta", "theta_sd")
+
+
+_CUT = "1 / (1 + EXP(-(alpha * q - beta_{})))"
+_GRADED_P = "CASE y WHEN 1 THEN 1 - {c1} WHEN 2 THEN {c1} - {c2} WHEN 3 THEN {c2} - {c3} WHEN 4 THEN {c3} - {c4} ELSE {c4} END".format(
+    **{f"c{k}": _CUT.format(k) for k in range(1, 5)})
+
+
+@query("m22_graded_person_scores", "WITH" + v.SQL_GRADED + "," + SQL_ITEMS + f"""
+, node(q) AS (VALUES (-3.0::DOUBLE), (-1.5), (0.0), (1.5), (3.0)),
+ll AS (SELECT id, q, COUNT(*) AS n_items, SUM(LN({_GRADED_P})) - 0.5 * q * q AS l FROM graded JOIN items USING (item), node GROUP BY 1, 2),
+w AS (SELECT id, q, n_items, EXP(l - MAX(l) OVER (PARTITION BY id)) AS w FROM ll)
+SELECT id, MAX(n_items) AS n_items, ROUND(SUM(w * q) / SUM(w), 6) + 0.0 AS theta,
+       ROUND(SQRT(GREATEST(SUM(w * q * q) / SUM(w) - (SUM(w * q) / SUM(w)) * (SUM(w * q) / SUM(w)), 0)), 6) AS theta_sd
+FROM w GROUP BY 1""")
+def graded_person_scores(spark: SparkSession, sf: str) -> DataFrame:
+    df = cal.score_eap(v.graded(spark, sf), items(spark, sf), "id", "item", "y", _NODES)
+    return rounded(df, "theta", "theta_sd")

@@ -90,6 +90,65 @@ def test_binary_calibration(spark):
     assert np.corrcoef(scores.theta, eta)[0, 1] > 0.8 and (scores.n_items == 8).all()
 
 
+def test_monotonic_effect(spark):
+    rng = np.random.default_rng(8)
+    n, n_items, steps = 4000, 10, np.array([0.0, 0.6, 0.6, 0.7, 1.2])
+    level = rng.integers(1, 6, n)
+    eta = rng.normal(size=n) + steps[level - 1]
+    b = rng.normal(size=n_items)
+    y = (rng.random((n, n_items)) < 1 / (1 + np.exp(-1.3 * (eta[:, None] + b)))).astype(int)
+    df = frame(spark, id=np.repeat(np.arange(n), n_items), item=np.tile(np.arange(n_items), n), y=y.ravel(), sup=np.repeat(level, n_items))
+    terms = {r.term: r.estimate for r in calibrate.calibrate_2pl(df, "id", "item", "y", ordinal="sup", max_iter=40).effects.collect()}
+    assert terms["b_sup"] == pytest.approx(0.3, abs=0.06)
+    shares = [terms[f"z_sup[{i}]"] for i in range(1, 5)]
+    assert min(shares) >= 0 and sum(shares) == pytest.approx(1) and shares[0] == pytest.approx(0.5, abs=0.12)
+
+
+def test_sign_constraint_is_optimal():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        x = rng.normal(size=(40, 4))
+        lhs, rhs = x.T @ x + np.eye(4), x.T @ rng.normal(size=40)
+        got = calibrate._fit_effects(lhs, rhs, np.array([1, 2, 3]))
+        assert (got[1:] >= 0).all() or (got[1:] <= 0).all()
+        best = -np.inf
+        for sign in (1, -1):  # brute force over which signed coefficients are zero
+            for free in range(8):
+                on = [0] + [i + 1 for i in range(3) if free >> i & 1]
+                g = np.zeros(4)
+                g[on] = np.linalg.solve(lhs[np.ix_(on, on)], rhs[on])
+                if (sign * g[1:] >= -1e-12).all():
+                    best = max(best, g @ rhs - 0.5 * g @ lhs @ g)
+        assert got @ rhs - 0.5 * got @ lhs @ got == pytest.approx(best, abs=1e-6)
+
+
+def test_equal_answers_are_pooled_exactly(spark):
+    """A short scale is reduced to its answer patterns; repeated rows of one person add up."""
+    df, *_ = responses(spark, n=1500, n_items=4)
+    layout = calibrate.person_layout(df, "id", "item", "y", [1, 2, 3, 4], (0, 1)).withColumn("x", F.array().cast("array<double>"))
+    pooled = calibrate._distinct_people(layout.select("counts", "x"))
+    assert pooled.count() == 16 and pooled.agg(F.sum("weight")).first()[0] == 1500
+    twice = calibrate.person_layout(df.unionByName(df), "id", "item", "y", [1, 2, 3, 4], (0, 1)).first()
+    assert len(twice.counts) == 4 and all(c.n == 2 for c in twice.counts)
+
+
+def test_graded_scores_match_brute_force(spark):
+    items = spark.createDataFrame([(1, 1.2, -1.0, 0.5), (2, 0.7, -0.3, 1.4)], "item int, alpha double, beta_1 double, beta_2 double")
+    df = spark.createDataFrame([(1, 1, 1), (1, 2, 3), (2, 1, 2), (2, 2, None)], "id int, item int, y int")
+    nodes = np.linspace(-4, 4, 21)
+    cum = lambda a, cuts: np.vstack([np.ones(21), *[1 / (1 + np.exp(-(a * nodes - c))) for c in cuts], np.zeros(21)])
+    p = {1: cum(1.2, [-1.0, 0.5]), 2: cum(0.7, [-0.3, 1.4])}
+    want = {}
+    for person, answers in {1: [(1, 1), (2, 3)], 2: [(1, 2)]}.items():
+        w = np.exp(-0.5 * nodes**2)
+        for i, k in answers:
+            w = w * (p[i][k - 1] - p[i][k])
+        mean = (w * nodes).sum() / w.sum()
+        want[person] = (mean, np.sqrt((w * nodes**2).sum() / w.sum() - mean**2))
+    for r in calibrate.score_eap(df, items, "id", "item", "y").collect():
+        assert (r.theta, r.theta_sd) == pytest.approx(want[r.id])
+
+
 def test_graded_calibration(spark):
     rng = np.random.default_rng(4)
     n, n_items = 3000, 6

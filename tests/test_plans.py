@@ -13,7 +13,7 @@ from opinara.workload import QUERIES, views
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 FITTED = {"m18_factor_scores", "m18_factor_loadings", "m19_reliability_and_fit", "m20_calibrate_2pl",
-          "m20_calibrate_2pl_covariate", "m21_calibrate_graded"}
+          "m20_calibrate_2pl_covariate", "m20_calibrate_2pl_ordinal", "m18_two_factor_scores", "m21_calibrate_graded"}
 
 
 def plan(df) -> str:
