@@ -2,9 +2,10 @@
 
 Full-information maximum likelihood needs the data only through, per pattern of missing answers,
 the number of people, the means and the scatter of the observed answers. Spark reduces the people
-to that table in one aggregation. Each EM iteration then works on the pattern table: in the driver
-while it is small (its size is checked), as a Spark job over the table beyond that, with the same
-result. People and the pattern table itself never pass through the driver unchecked.
+to that table in one aggregation when a sketch shows that there are few patterns; the table is then
+small enough for the driver, and EM runs on it. With many patterns the people stay distributed and
+every EM iteration is a Spark job that groups them by pattern inside each batch; only moments of
+the items reach the driver. Both ways give the same estimates.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import cut_lineage, ship_by_value
@@ -22,46 +24,121 @@ from ..session import cut_lineage, ship_by_value
 ship_by_value(__name__)
 
 DRIVER_PATTERNS = 4_096  # pattern rows the driver may hold; above it, iterations run as Spark jobs
+_JVM_ITEMS = 12          # more items mean too many aggregate columns for generated code
+_CHUNK = 1_024           # patterns handled at once, which bounds the memory of a task
+
+
+def _answers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Items as doubles ``_x0 ..`` with the pattern of answered items; people without answers left out."""
+    x = [F.col(c).cast("double") for c in cols]
+    pattern = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in x])
+    rows = df.select(pattern.alias("pattern"), *[c.alias(f"_x{i}") for i, c in enumerate(x)])
+    return rows.filter(F.col("pattern").contains("1"))
+
+
+def pattern_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per pattern of answered items: people ``n``, ``mean`` and ``cov`` (upper triangle, population)."""
+    p = len(cols)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    return _answers(df, cols).groupBy("pattern").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.array(*[F.avg(f"_x{i}") for i in range(p)]).alias("mean"),
+        F.array(*[F.covar_pop(f"_x{i}", f"_x{j}") for i, j in pairs]).alias("cov"),
+    )
 
 
 class Patterns:
-    """Sufficient statistics per missingness pattern, local when few and distributed otherwise."""
+    """Sufficient statistics of the answers: local when patterns are few, distributed otherwise."""
 
     def __init__(self, df: DataFrame, cols: Sequence[str], limit: int = DRIVER_PATTERNS) -> None:
         self.cols = list(cols)
-        x = [F.col(c).cast("double") for c in self.cols]
-        present = [F.when(c.isNull(), "0").otherwise("1") for c in x]
-        rows = df.select(F.concat(*present).alias("pattern"), *[c.alias(f"_x{i}") for i, c in enumerate(x)])
-        rows = rows.filter(F.col("pattern").contains("1"))
-        p = len(self.cols)
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        table = rows.groupBy("pattern").agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.array(*[F.avg(f"_x{i}") for i in range(p)]).alias("mean"),
-            F.array(*[F.covar_pop(f"_x{i}", f"_x{j}") for i, j in pairs]).alias("cov"),
-        )
-        self.table = cut_lineage(table)
-        self.size = p
-        head = self.table.limit(limit + 1).toPandas()
-        self.local = _stack(head, p) if len(head) <= limit else None
+        self.size = len(self.cols)
+        answers = _answers(df, self.cols)
+        kinds, *centre = answers.agg(
+            F.approx_count_distinct("pattern"), *[F.avg(f"_x{i}") for i in range(self.size)]).first()
+        self.local = self.rows = None
+        if kinds > limit:
+            self.rows = cut_lineage(answers.drop("pattern")).persist(StorageLevel.MEMORY_AND_DISK)
+        elif self.size <= _JVM_ITEMS:
+            self.local = _stack(pattern_table(df, self.cols).toPandas(), self.size)
+        else:
+            self.local = _summed_patterns(answers.drop("pattern"), np.array(centre, dtype=float))
+
+    def release(self) -> None:
+        if self.rows is not None:
+            self.rows.unpersist()
 
     def total(self, statistic) -> np.ndarray:
         """Sum over all patterns; ``statistic(n, seen, mean, cov)`` sums over a stack of them."""
         if self.local is not None:
-            return np.asarray(statistic(*self.local))
-        size = self.size
-
-        def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if len(frame):
-                    total = np.asarray(statistic(*_stack(frame, size)))
-                    yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
-
-        parts = self.table.mapInPandas(partial, "at long, v double")
+            return _in_chunks(statistic, self.local)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    part = _in_chunks(statistic, _group_batch(batch))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "v"])
+
+        parts = self.rows.mapInArrow(partial, "at long, v double")
         rows = parts.groupBy("at").agg(F.sum("v").alias("v")).collect()
         return np.array([v for _, v in sorted(map(tuple, rows))])
 
 
+def _summed_patterns(answers: DataFrame, centre: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Moments of few patterns over many items: tasks send sums around a common centre."""
+    p = len(centre)
+    upper = np.triu_indices(p)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for n, seen, mean, cov in zip(*_group_batch(batch), strict=True):
+                off = (mean - centre) * seen
+                key = "".join("1" if s else "0" for s in seen)
+                part = np.concatenate([[n], n * off, n * (cov + np.outer(off, off))[upper]])
+                sums[key] = sums[key] + part if key in sums else part
+        for key, part in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * len(part)), pa.array(np.arange(len(part))), pa.array(part)], names=["pattern", "at", "v"])
+
+    parts = answers.mapInArrow(partial, "pattern string, at long, v double")
+    flat = parts.groupBy("pattern", "at").agg(F.sum("v").alias("v")).toPandas()
+    table = flat.pivot(index="pattern", columns="at", values="v")
+    values = table.to_numpy()
+    n, seen = values[:, 0], np.array([[c == "1" for c in k] for k in table.index], dtype=float).reshape(-1, p)
+    off = values[:, 1 : p + 1] / n[:, None]
+    cov = np.zeros((len(n), p, p))
+    cov[:, upper[0], upper[1]] = cov[:, upper[1], upper[0]] = values[:, p + 1 :] / n[:, None]
+    return n, seen, (off + centre) * seen, cov - off[:, :, None] * off[:, None, :]
+
+
+def _in_chunks(statistic, stack: tuple[np.ndarray, ...]) -> np.ndarray:
+    total = 0.0
+    for start in range(0, len(stack[0]), _CHUNK):
+        total = total + np.asarray(statistic(*[part[start : start + _CHUNK] for part in stack]))
+    return np.asarray(total)
+
+
+def _group_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """People of a batch reduced to their patterns."""
+    x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+    seen = ~np.isnan(x)
+    kinds, which = np.unique(seen, axis=0, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")
+    groups = np.split(np.nan_to_num(x)[order], np.cumsum(np.bincount(which.ravel()))[:-1])
+    mean = np.stack([g.mean(0) for g in groups])
+    cov = np.zeros((len(groups), x.shape[1], x.shape[1]))
+    for k, g in enumerate(groups):
+        if len(g) > 1:
+            cov[k] = (g - mean[k]).T @ (g - mean[k]) / len(g)
+    return np.array([float(len(g)) for g in groups]), kinds.astype(float), mean, cov
+
+
 def _stack(frame: pd.DataFrame, p: int) -> tuple[np.ndarray, ...]:
     """Pattern rows as arrays; moments of unseen answers are zero."""
     seen = np.array([[c == "1" for c in pattern] for pattern in frame["pattern"]], dtype=float).reshape(-1, p)
@@ -105,7 +182,9 @@ def _expected_moments(patterns: Patterns, mean: np.ndarray, joint: np.ndarray):
         inv, _ = _observed_inverse(joint[:p, :p], seen)
         weights = joint[:, :p] @ inv
         value = mu + np.einsum("pij,pj->pi", weights, (m - mean) * seen)
-        second = weights @ s @ weights.transpose(0, 2, 1) + joint - weights @ joint[:p]
+        second = joint - weights @ joint[:p]
+        if s.any():
+            second = second + weights @ s @ weights.transpose(0, 2, 1)
         second = second + value[:, :, None] * value[:, None, :]
         return np.concatenate([n @ value, np.einsum("p,pij->ij", n, second).ravel(), [n.sum()]])
 
@@ -144,8 +223,8 @@ def _observed_moments(patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.maximum(second / n - mean**2, 1e-8)
 
 
-def fit_factors(patterns: Patterns, model: Mapping[str, Sequence[str]], max_iter: int = 2_000,
-                tol: float = 1e-7) -> FactorFit:
+def fit_factors(patterns: Patterns, model: Mapping[str, Sequence[str]], max_iter: int = 5_000,
+                tol: float = 1e-9) -> FactorFit:
     """Maximum-likelihood loadings by EM; every item loads on the factors that name it."""
     items, factors = patterns.cols, list(model)
     p, q = len(items), len(factors)
@@ -214,7 +293,9 @@ def factor_scores(df: DataFrame, model: Mapping[str, Sequence[str]], fit: Factor
     a pattern, from the estimates, so there is no join and no limit on the number of patterns.
     People without any answer score null.
     """
-    fit = fit or fit_model(df, model)[0]
+    if fit is None:
+        fit, patterns = fit_model(df, model)
+        patterns.release()
     items, factors = fit.items, fit.factors
     sigma, cross = fit.sigma, fit.loadings @ fit.phi
     schema = T.StructType(df.schema.fields + [T.StructField(f, T.DoubleType()) for f in factors])
@@ -255,6 +336,7 @@ def factor_fit(df: DataFrame, model: Mapping[str, Sequence[str]]) -> DataFrame:
     mean, var = _observed_moments(patterns)
     chi2 = max(2 * (saturated - fit.log_lik), 0.0)
     base = max(2 * (saturated - _log_lik(patterns, mean, np.diag(var))), 0.0)
+    patterns.release()
     excess, base_excess = max(chi2 - dof, 0.0), max(base - base_dof, chi2 - dof, 0.0)
     cfi = 1.0 - excess / base_excess if base_excess > 0 else 1.0
     ratio = base / base_dof if base_dof else np.nan

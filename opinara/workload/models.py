@@ -40,7 +40,7 @@ SELECT pattern, COUNT(*)::DOUBLE AS n, ROUND(AVG(q12_1), 6) AS m_1, ROUND(AVG(q1
        ROUND(COVAR_POP(q12_1, q12_2), 6) + 0.0 AS c_12, ROUND(VAR_POP(q12_3), 6) + 0.0 AS c_33
 FROM c WHERE pattern <> '000' GROUP BY 1""")
 def pattern_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    table = factor.Patterns(v.wide(spark, sf), ["q12_1", "q12_2", "q12_3"]).table
+    table = factor.pattern_table(v.wide(spark, sf), ["q12_1", "q12_2", "q12_3"])
     df = table.select("pattern", "n", *[F.col("mean")[i].alias(f"m_{i + 1}") for i in range(3)],
                       F.col("cov")[1].alias("c_12"), F.col("cov")[5].alias("c_33"))
     return rounded(df, "m_1", "m_2", "m_3", "c_12", "c_33")

@@ -45,12 +45,22 @@ def test_factor_model_distributed_equals_local(people):
     df, *_ = people
     near = factor.Patterns(df, MODEL["g"])
     far = factor.Patterns(df, MODEL["g"], limit=3)
-    assert near.local is not None and far.local is None
+    assert near.local is not None and far.local is None and far.rows is not None
     a = factor.fit_factors(near, MODEL, max_iter=3)
     b = factor.fit_factors(far, MODEL, max_iter=3)
     assert np.allclose(a.loadings, b.loadings) and a.log_lik == pytest.approx(b.log_lik)
 
 
+def test_pattern_moments_agree_however_they_are_computed(people, monkeypatch):
+    df, *_ = people
+    near = factor.Patterns(df, MODEL["g"]).local
+    monkeypatch.setattr(factor, "_JVM_ITEMS", 0)
+    summed = factor.Patterns(df, MODEL["g"]).local
+    order = [np.lexsort(t[1].T) for t in (near, summed)]
+    for a, b in zip(near, summed, strict=True):
+        assert np.allclose(a[order[0]], b[order[1]])
+
+
 def test_two_factor_model(spark):
     rng = np.random.default_rng(2)
     n = 3000
