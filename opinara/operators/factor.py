@@ -189,8 +189,9 @@ def _expected_moments(patterns: Patterns, mean: np.ndarray, joint: np.ndarray):
         return np.concatenate([n @ value, np.einsum("p,pij->ij", n, second).ravel(), [n.sum()]])
 
     out = patterns.total(statistic)
-    n = out[-1]
-    return out[:q] / n, out[q:-1].reshape(q, q) / n, n
+    n, second = out[-1], out[q:-1].reshape(q, q)
+    # Rounding must not make the moments asymmetric: iterations would amplify it.
+    return out[:q] / n, (second + second.T) / (2 * n), n
 
 
 class FactorFit(NamedTuple):

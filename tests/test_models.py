@@ -69,6 +69,10 @@ def test_two_factor_model(spark):
     df = frame(spark, **{f"s{i}": x[:, i] for i in range(6)})
     fit, _ = factor.fit_model(df, {"a": ["s0", "s1", "s2"], "b": ["s3", "s4", "s5"]})
     assert abs(fit.phi[0, 1] - 0.5) < 0.06 and (fit.loadings[:3, 1] == 0).all()
+    patterns = factor.Patterns(df, [f"s{i}" for i in range(6)])
+    model = {"a": ["s0", "s1", "s2"], "b": ["s3", "s4", "s5"]}
+    steps = [factor.fit_factors(patterns, model, max_iter=k, tol=0.0).log_lik for k in (1, 5, 20, 80, 200)]
+    assert all(b >= a - 1e-6 for a, b in zip(steps, steps[1:]))
 
 
 def responses(spark, seed=3, n=3000, n_items=8):
