@@ -48,6 +48,13 @@ def _levels(df: DataFrame, *cols: str) -> list[list]:
     return [sorted(values) for values in found]
 
 
+def _known_levels(df: DataFrame, given: Sequence[tuple]) -> list[list]:
+    """Levels per column: as given, else found in one pass; empty for a column that is not used."""
+    unknown = [c for c, levels in given if c is not None and levels is None]
+    found = dict(zip(unknown, _levels(df, *unknown), strict=True)) if unknown else {}
+    return [[] if c is None else list(found[c] if levels is None else levels) for c, levels in given]
+
+
 def person_layout(
     responses: DataFrame, person: str, item: str, y: str, items: Sequence, categories: Sequence[int],
     keep: Sequence[str] = (),
@@ -222,6 +229,8 @@ def calibrate_2pl(
     prior_log_alpha: float = 1.0,
     prior_beta: float = 5.0,
     prior_effect: float = 3.0,
+    items_are: Sequence | None = None,
+    cells_are: Sequence | None = None,
 ) -> Calibration:
     """Two-parameter calibration with condition effects and covariate slopes on the latent outcome.
 
@@ -235,19 +244,21 @@ def calibrate_2pl(
     size, all in one direction. Reported are the steps, the mean step ``b_<name>`` and each step's
     share of the whole effect, ``z_<name>[i]``.
 
+    ``items_are`` and ``cells_are`` list the items and cells of the study; without them one pass
+    over the responses finds them.
+
     Effects enter as a person-specific prior mean on a fixed grid of the latent outcome, so one
     matrix product per batch serves all of these models.
     """
     person_cols = [*([cell] if cell else []), *covariates, *([ordinal] if ordinal else [])]
     used = responses.dropna(subset=[person, item, y, *person_cols])
-    item_ids, *rest = _levels(used, item, *([cell] if cell else []), *([ordinal] if ordinal else []))
-    cells = rest[0] if cell else []
+    item_ids, cells, grades = _known_levels(used, [(item, items_are), (cell, cells_are), (ordinal, None)])
     design: dict[str, Column] = {f"delta[{c}]": (F.col(cell) == F.lit(c)).cast("double") for c in cells}
     for v in covariates:
         design[f"b_{v}"] = F.col(v).cast("double")
         if slopes_by_cell:
             design |= {f"b_{v}[{c}]": F.when(F.col(cell) == F.lit(c), F.col(v)).otherwise(0.0) for c in cells}
-    steps = {f"step[{x}]": (F.col(ordinal) >= F.lit(x)).cast("double") for x in (rest[-1][1:] if ordinal else [])}
+    steps = {f"step[{x}]": (F.col(ordinal) >= F.lit(x)).cast("double") for x in grades[1:]}
     design |= steps
     monotone = np.arange(len(design) - len(steps), len(design))
     vector = F.array(*[c.cast("double") for c in design.values()]) if design else F.array().cast("array<double>")
@@ -347,13 +358,14 @@ def calibrate_grm(
     tol: float = 1e-3,
     prior_log_alpha: float = 1.0,
     prior_cut: float = 5.0,
+    items_are: Sequence | None = None,
 ) -> Calibration:
     """Graded-response calibration: ``P(y > k) = inv_logit(alpha * theta - beta_k)``, theta ~ N(0, 1).
 
     Priors: ``log alpha ~ N(0, prior_log_alpha)``, thresholds ``~ N(0, prior_cut)`` in order.
     """
     used = ratings.dropna(subset=[person, item, y])
-    item_ids, = _levels(used, item)
+    item_ids, = _known_levels(used, [(item, items_are)])
     layout = person_layout(used, person, item, y, item_ids, range(1, categories + 1))
     people = _distinct_people(layout.select("counts", F.array().cast("array<double>").alias("x"))).persist(
         StorageLevel.MEMORY_AND_DISK)

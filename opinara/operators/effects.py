@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.irt import irf, linear_predictor, monotonic
 from .draws import KEYS, cell_moments, draw_z, latent_moments, pooled_moments, scale_by_sd
 from .quantiles import interval_width, median_qi
-from .shape import cross_tuples
+from .shape import cross_tuples, spread_rows
 
 
 def effect_z(
@@ -50,13 +51,33 @@ def count_endorsed(
     return rows.groupBy(*keys, *by).agg(*constant, F.sum(p).alias("n"), F.avg(p).alias("p"))
 
 
-def with_items(rows: DataFrame, item_draws: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Attach the items of the same draw.
+def item_bank(item_draws: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per draw with its items as an array, as long as the questionnaire."""
+    return item_draws.groupBy(*keys).agg(F.collect_list(F.struct("alpha", "beta")).alias("_items"))
 
-    Called before a grid is expanded, while Spark's size estimates of both sides still hold; the
-    partitioning by draw also fits the aggregation that follows.
+
+def expected_counts(rows: DataFrame, eta: Column, keep: Sequence[str], sign: int = 1,
+                    keys: Sequence[str] = KEYS, n_items: int | None = None) -> DataFrame:
+    """z, ``n`` and ``p`` for rows that carry the moments and the item bank of their draw.
+
+    Items are summed inside the row, so a grid of any size adds rows but neither a row per item
+    nor a shuffle. With ``n_items``, the length of the questionnaire, the sum is written out and
+    compiled, several times faster than the loop; a draw with another number of items is an error.
     """
-    return rows.join(item_draws.select(*keys, "alpha", "beta"), list(keys))
+    rows = rows.withColumn("_eta", eta)
+
+    def p(item: Column) -> Column:
+        return irf(item["alpha"], item["beta"], 0.0, F.col("_eta"), sign)
+
+    if n_items is None:
+        n = F.aggregate("_items", F.lit(0.0), lambda acc, i: acc + p(i))
+    else:
+        total = reduce(lambda acc, i: acc + p(F.col("_items")[i]), range(1, n_items), p(F.col("_items")[0]))
+        wrong = F.raise_error(F.lit(f"a draw does not have {n_items} items")).cast("double")
+        n = F.when(F.size("_items") == n_items, total).otherwise(wrong)
+    out = rows.select(*keys, *keep, ((F.col("_eta") - F.col("mean")) / F.col("sd")).alias("z"),
+                      n.alias("n"), F.size("_items").alias("_size"))
+    return out.select(*keys, *keep, "z", "n", (F.col("n") / F.col("_size")).alias("p"))
 
 
 def predict_counts(
@@ -69,7 +90,8 @@ def predict_counts(
     carry: Sequence[str] = ("z",),
 ) -> DataFrame:
     """Predicted counts per draw and cell; ``effects`` has one row per draw and cell, not per person."""
-    return count_endorsed(with_items(effects, item_draws, keys), by, eta, sign, keys, carry)
+    rows = effects.join(item_draws.select(*keys, "alpha", "beta"), list(keys))
+    return count_endorsed(rows, by, eta, sign, keys, carry)
 
 
 def condition_effects(
@@ -116,11 +138,6 @@ def std_coefs(
     return scale_by_sd(cell_draws.select(*keys, "kk", *coefs), coefs, moments, keys, names)
 
 
-def _with_z(rows: DataFrame, eta: Column) -> DataFrame:
-    """Outcome ``delta`` and its standardised form, from rows that carry the moments of their draw."""
-    return rows.withColumn("delta", eta).withColumn("z", (F.col("delta") - F.col("mean")) / F.col("sd"))
-
-
 def sweep(
     coef_draws: DataFrame,
     item_draws: DataFrame,
@@ -131,6 +148,7 @@ def sweep(
     coefs: Mapping[str, str],
     sign: int = -1,
     keys: Sequence[str] = KEYS,
+    n_items: int | None = None,
 ) -> DataFrame:
     """Move one covariate at a time over a grid, the others fixed: z, n and p per draw and point.
 
@@ -142,11 +160,11 @@ def sweep(
         for v in values:
             at = {**fixed, moving: v}
             points.append((label, float(v), *[float(at[x]) for x in coefs]))
-    per_draw = coef_draws.select(*keys, *coefs.values()).join(moments, list(keys))
-    rows = cross_tuples(with_items(per_draw, item_draws, keys), ["outcome", "x", *[f"_{x}" for x in coefs]],
-                        points, distinct=False)
+    per_draw = coef_draws.select(*keys, *coefs.values()).join(moments, list(keys)).join(
+        item_bank(item_draws, keys), list(keys))
+    rows = cross_tuples(spread_rows(per_draw, keys), ["outcome", "x", *[f"_{x}" for x in coefs]], points, distinct=False)
     eta = linear_predictor([f"_{x}" for x in coefs], list(coefs.values()))
-    return count_endorsed(_with_z(rows, eta), ["outcome", "x"], sign=sign, keys=keys)
+    return expected_counts(rows, eta, ["outcome", "x"], sign, keys, n_items)
 
 
 def curve_by(
@@ -159,6 +177,7 @@ def curve_by(
     group: str = "x_for",
     sign: int = 1,
     keys: Sequence[str] = KEYS,
+    n_items: int | None = None,
 ) -> DataFrame:
     """Condition-averaged curve over a covariate for each group of cells.
 
@@ -172,9 +191,9 @@ def curve_by(
         slope = F.when(F.col(group) == F.lit(g), F.col(f"_{c}")).otherwise(slope)
     firsts = [F.first(c).alias(f"_{c}") for c in slopes.values()]
     mean = cell_draws.withColumn(group, in_group).groupBy(*keys, group).agg(F.avg("delta").alias("_delta"), *firsts)
-    per_draw = with_items(mean.join(moments, list(keys)), item_draws, keys)
-    rows = cross_tuples(per_draw, ["x"], [(float(v),) for v in values], distinct=False)
-    return count_endorsed(_with_z(rows, F.col("_delta") + slope * F.col("x")), [group, "x"], sign=sign, keys=keys)
+    per_draw = mean.join(moments, list(keys)).join(item_bank(item_draws, keys), list(keys))
+    rows = cross_tuples(spread_rows(per_draw, keys), ["x"], [(float(v),) for v in values], distinct=False)
+    return expected_counts(rows, F.col("_delta") + slope * F.col("x"), [group, "x"], sign, keys, n_items)
 
 
 def simple_slopes(
@@ -185,16 +204,17 @@ def simple_slopes(
     item_draws: DataFrame | None = None,
     sign: int = 1,
     keys: Sequence[str] = KEYS,
+    n_items: int | None = None,
 ) -> DataFrame:
     """Cell effects at chosen covariate values; with item draws also n and p."""
     per_cell = cell_draws.select(*keys, "kk", "delta", slope).join(moments, list(keys))
     if item_draws is not None:
-        per_cell = with_items(per_cell, item_draws, keys)
+        per_cell = per_cell.join(item_bank(item_draws, keys), list(keys))
     rows = cross_tuples(per_cell, ["x"], [(float(v),) for v in values], distinct=False)
-    rows = _with_z(rows, F.col("delta") + F.col(slope) * F.col("x"))
+    eta = F.col("delta") + F.col(slope) * F.col("x")
     if item_draws is None:
-        return rows.select(*keys, "kk", "x", "z")
-    return count_endorsed(rows, ["kk", "x"], sign=sign, keys=keys)
+        return rows.select(*keys, "kk", "x", ((eta - F.col("mean")) / F.col("sd")).alias("z"))
+    return expected_counts(rows, eta, ["kk", "x"], sign, keys, n_items)
 
 
 def monotonic_draws(shares: DataFrame, simplex: str, levels: int, variant: str = "model",
@@ -217,12 +237,12 @@ def ordinal_moments(
 
 def predict_ordinal(
     mo_draws: DataFrame, coef_draws: DataFrame, coef: str, moments: DataFrame, item_draws: DataFrame,
-    sign: int = 1, keys: Sequence[str] = KEYS,
+    sign: int = 1, keys: Sequence[str] = KEYS, n_items: int | None = None,
 ) -> DataFrame:
     """z, n and p over the levels of an ordinal predictor."""
-    rows = mo_draws.join(coef_draws.select(*keys, coef), list(keys)).select(
-        *keys, "x", (F.col(coef) * F.col("mo")).alias("delta"))
-    return predict_counts(draw_z(rows, F.col("delta"), moments, keys), item_draws, ["x"], sign=sign, keys=keys)
+    rows = mo_draws.join(coef_draws.select(*keys, coef), list(keys)).join(moments, list(keys)).join(
+        item_bank(item_draws, keys), list(keys))
+    return expected_counts(rows, F.col(coef) * F.col("mo"), ["x"], sign, keys, n_items)
 
 
 def precision_by_run(

@@ -113,6 +113,16 @@ def crossing(df: DataFrame, **grids: Sequence) -> DataFrame:
     return out
 
 
+def spread_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spread few rows over all cores before each of them grows into many.
+
+    A number is given so that adaptive execution does not merge the small partitions again.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def cross_tuples(df: DataFrame, names: Sequence[str], tuples: Sequence[tuple],
                  distinct: bool = True) -> DataFrame:
     """Rows combined with tuples whose values belong together."""

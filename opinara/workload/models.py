@@ -11,6 +11,7 @@ from .registry import query, rounded
 from .scale import SQL_ITEMS, items
 
 _SCALE = {"sjb": [f"q12_{i}" for i in range(1, v.N_ITEMS + 1)]}
+_ITEMS, _CELLS = range(1, v.N_ITEMS + 1), range(1, v.N_CELLS + 1)
 _NODES = [-3.0, -1.5, 0.0, 1.5, 3.0]
 
 
@@ -54,7 +55,7 @@ def reliability_and_fit(spark: SparkSession, sf: str) -> DataFrame:
 @query("m20_calibrate_2pl")
 def calibrate_2pl(spark: SparkSession, sf: str) -> DataFrame:
     fit = cal.calibrate_2pl(v.indexed(spark, sf).filter(~F.col("exclude")), "id", "action", "response", cell="kk",
-                            max_iter=20, tol=5e-3)
+                            max_iter=20, tol=5e-3, items_are=_ITEMS, cells_are=_CELLS)
     items = fit.items.select(F.col("item").cast("string").alias("term"), "alpha", "beta")
     effects = fit.effects.select("term", F.col("estimate").alias("beta"))
     return bind_rows({"item": items, "effect": effects}, "part")
@@ -65,7 +66,7 @@ def calibrate_2pl_covariate(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.recode import z_score
     dl = z_score(v.indexed(spark, sf).filter(~F.col("exclude")), ["balance"])
     fit = cal.calibrate_2pl(dl, "id", "action", "response", cell="kk", covariates=["balance"], slopes_by_cell=True,
-                            sign=-1, estimate_sigma=True, max_iter=12, tol=5e-3)
+                            sign=-1, estimate_sigma=True, max_iter=12, tol=5e-3, items_are=_ITEMS, cells_are=_CELLS)
     return fit.effects
 
 

@@ -110,7 +110,7 @@ def covariate_sweep(spark: SparkSession, sf: str) -> DataFrame:
     moments = d.latent_moments(v.panel(spark, sf).select("jj", "kk"), v.person_draws(spark, sf), v.cell_draws(spark, sf))
     fixed = {"x_1": 0.5, "x_2": 0.5, "x_3": 0.25, "x_4": 0.0, "x_5": 0.0, "x_6": 0.0}
     out = e.sweep(coefs, v.item_draws(spark, sf), moments, {x: x for x in ("x_4", "x_5", "x_6")}, _GRID, fixed,
-                  {f"x_{k}": f"delta_{k}" for k in range(1, 7)})
+                  {f"x_{k}": f"delta_{k}" for k in range(1, 7)}, n_items=v.N_ITEMS)
     return rounded(out, "x", "z", "n", "p")
 
 
@@ -121,7 +121,7 @@ SELECT draw, x_for, x, ROUND(ANY_VALUE((eta - mean) / sd), 6) + 0.0 AS z, ROUND(
 FROM pts JOIN latent_x USING (draw) JOIN post_ii USING (draw) GROUP BY 1, 2, 3""")
 def curve_by_cause(spark: SparkSession, sf: str) -> DataFrame:
     out = e.curve_by(v.cell_draws(spark, sf), v.item_draws(spark, sf), _moments_x(spark, sf), [(k, k % 2) for k in range(1, 9)],
-                     {1: "b_for", 0: "b_against"}, _GRID)
+                     {1: "b_for", 0: "b_against"}, _GRID, n_items=v.N_ITEMS)
     return rounded(out, "x", "z", "n", "p")
 
 

@@ -203,6 +203,17 @@ def test_pooled_sample_has_mean_zero_and_sd_one(spark):
         assert r.m == pytest.approx(0, abs=1e-9) and r.s == pytest.approx(1, abs=1e-9)
 
 
+def test_written_out_item_sums_equal_the_loop(spark):
+    items = spark.createDataFrame([(1, 1.0, 0.3), (1, 0.5, -1.0), (1, 2.0, 0.1)], "draw int, alpha double, beta double")
+    rows = spark.createDataFrame([(1, 0.2, 0.1, 1.5)], "draw int, x double, mean double, sd double").join(effects.item_bank(items), "draw")
+    loop, flat = (effects.expected_counts(rows, F.col("x"), ["x"], -1, n_items=n).first() for n in (None, 3))
+    assert list(loop) == pytest.approx(list(flat))
+    want = [1 / (1 + np.exp(-a * (0.2 - b))) for a, b in ((1.0, 0.3), (0.5, -1.0), (2.0, 0.1))]
+    assert flat.n == pytest.approx(sum(want)) and flat.p == pytest.approx(np.mean(want)) and flat.z == pytest.approx(0.1 / 1.5)
+    with pytest.raises(Exception, match="does not have 2 items"):
+        effects.expected_counts(rows, F.col("x"), ["x"], n_items=2).collect()
+
+
 def test_carried_value_must_be_constant(spark):
     rows = spark.createDataFrame([(1, 1, 0.0, 0.1), (1, 1, 0.0, 0.2)], "draw int, kk int, delta double, z double")
     items = spark.createDataFrame([(1, 1.0, 0.0)], "draw int, alpha double, beta double")
