@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.irt import inv_logit
 from ..functions.scalar import case_when
-from ..session import cut_lineage, ship_by_value
+from ..session import broadcast_if_small, cut_lineage, ship_by_value
 from .graded import thresholds
 from .shape import literal_table, seq
 
@@ -412,7 +412,7 @@ def score_eap(
     added to theta (condition effects and covariates).
     """
     cuts = thresholds(items)
-    bank = items.select(F.col("item").alias("_item"), "alpha", *(cuts or ["beta"]))
+    bank = broadcast_if_small(items.select(F.col("item").alias("_item"), "alpha", *(cuts or ["beta"])))
     rows = responses.filter(F.col(y).isNotNull()).join(bank, F.col(item) == F.col("_item"))
     shift = F.col(offset) if offset else F.lit(0.0)
 

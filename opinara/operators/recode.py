@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import if_else_na
+from ..session import broadcast_if_small
 
 
 # -- names and selection ---------------------------------------------------------------------
@@ -113,12 +114,11 @@ def recode_dict(
 ) -> DataFrame:
     """Recode free text through a (key, value) table, ignoring case and surrounding blanks.
 
-    Keys listed twice count once, so the join never multiplies rows. No broadcast is forced:
-    Spark compares the dictionary with ``spark.sql.autoBroadcastJoinThreshold`` and shuffles on
-    the text beyond it. ``overrides`` are further branches, tested first.
+    Keys listed twice count once, so the join never multiplies rows. A dictionary of checked size
+    is broadcast. ``overrides`` are further branches, tested first.
     """
     table = mapping.groupBy(F.lower(F.trim(key)).alias("_key")).agg(F.min(value).alias("_value"))
-    joined = df.join(table, F.lower(F.trim(F.col(col))) == F.col("_key"), "left")
+    joined = df.join(broadcast_if_small(table), F.lower(F.trim(F.col(col))) == F.col("_key"), "left")
     recoded = F.coalesce("_value", F.col(col)) if keep_unmatched else F.col("_value")
     for cond, new in reversed(overrides):
         recoded = F.when(cond, new).otherwise(recoded)

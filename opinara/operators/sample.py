@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import broadcast_if_small
+
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: Sequence[str], null_safe: bool = True) -> DataFrame:
     """Rows whose key occurs in another table (semi-join; missing keys match missing keys)."""
@@ -83,7 +85,7 @@ def exclude_by_answer(
         F.col("condition").alias("_condition"), strip(F.col("answer")).alias("_answer")
     ).distinct().withColumn("_hit", F.lit(True))
     joined = df.join(
-        wrong, (F.col(condition) == F.col("_condition")) & (strip(F.col(answer)) == F.col("_answer")),
+        broadcast_if_small(wrong), (F.col(condition) == F.col("_condition")) & (strip(F.col(answer)) == F.col("_answer")),
         "left",
     )
     empty = F.col(answer).isNull() | (F.col(answer) == "")

@@ -7,7 +7,9 @@ import sys
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+SMALL_ROWS = 100_000  # code lists, rules and item tables up to this size are sent to every executor
 
 
 def local_session(cpus: int | str = "*", app: str = "opinara") -> SparkSession:
@@ -50,6 +52,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Mark a lookup table for broadcast after counting its rows; leave a larger one to Spark.
+
+    Tables keyed by items or answer texts have few keys, some of them very frequent, so a shuffle of
+    the large side by such a key would pile rows up. The table is written first, so that counting
+    does not compute it twice.
+    """
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def ship_by_value(module: str) -> None:
     """Send the functions of a module along with the tasks that use them.
 
