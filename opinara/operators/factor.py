@@ -53,10 +53,13 @@ class Patterns:
     def __init__(self, df: DataFrame, cols: Sequence[str], limit: int = DRIVER_PATTERNS) -> None:
         self.cols = list(cols)
         self.size = len(self.cols)
+        self.local = self.rows = None
+        if self.size <= _JVM_ITEMS and 2**self.size - 1 <= limit:  # no more patterns are possible
+            self.local = _stack(pattern_table(df, self.cols).toPandas(), self.size)
+            return
         answers = _answers(df, self.cols)
         kinds, *centre = answers.agg(
             F.approx_count_distinct("pattern"), *[F.avg(f"_x{i}") for i in range(self.size)]).first()
-        self.local = self.rows = None
         if kinds > limit:
             self.rows = cut_lineage(answers.drop("pattern")).persist(StorageLevel.MEMORY_AND_DISK)
         elif self.size <= _JVM_ITEMS:
@@ -225,7 +228,7 @@ def _observed_moments(patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_factors(patterns: Patterns, model: Mapping[str, Sequence[str]], max_iter: int = 5_000,
-                tol: float = 1e-9) -> FactorFit:
+                tol: float = 1e-8) -> FactorFit:
     """Maximum-likelihood loadings by EM; every item loads on the factors that name it."""
     items, factors = patterns.cols, list(model)
     p, q = len(items), len(factors)
