@@ -163,7 +163,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                       percent: int = 75) -> DataFrame:
+                       percent: int = 75, with_text_key: bool = False) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links), set_id.
 
     ``set_id`` numbers the classes of equal sets. Two sets link when
@@ -205,6 +205,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "item", "_least", F.coalesce("root", "item").alias("root")), "classes")
     least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = scratch.write(classes.join(least, "root").select("item", "component_id"), "named")
-    out = rows.select("id", "size", "item").join(classes, "item", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
+    out = rows.select("id", "text_key", "size", "item").join(classes, "item", "left")
+    return out.select(*(["text_key"] if with_text_key else []), F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
                       F.coalesce("component_id", "id").alias("component_id"), F.col("item").alias("set_id"))
+
+
+def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                percent: int = 75) -> DataFrame:
+    """The documents that stay: one of each component, the one with the smallest id.
+
+    Documents with an empty set link with nothing and stay. Rows that repeat an id and a set are one
+    document, of which one row stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = jaccard_components(docs, id_col, text_col, words, percent, with_text_key=True)
+    found = scratch.write(found.select(F.col(id_col).alias("_id"), "text_key", "component_id", "set_id"), "found")
+    linked = found.filter("set_id is not null")
+    sizes = linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    # Every row of a component with more than one row, but for one with the smallest id.
+    groups = scratch.write(sizes.select("component_id"), "groups")
+    suspects = scratch.write(linked.join(groups, "component_id", "left_semi"), "suspects")
+    first = suspects.filter(F.col("_id") == F.col("component_id")).groupBy("component_id").agg(
+        F.min("text_key").alias("_first"))
+    marks = suspects.join(scratch.write(first, "first"), "component_id", "left").select(
+        F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_name"), "text_key",
+        F.coalesce((F.col("_id") == F.col("component_id")) & (F.col("text_key") == F.col("_first")), F.lit(False)).alias("_stay"))
+    marks = scratch.write(marks.distinct(), "marks")
+    rows = docs.withColumns({"_name": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
+                             "text_key": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    key = F.xxhash64("_name", "text_key")
+    rows = marked_by_sieve(rows, sieve(marks, key), key, "_maybe")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    joined = rows.filter("_maybe").join(marks, ["_name", "text_key"], "left")
+    kept = rows.filter("not _maybe").select(*columns).unionByName(joined.filter("_stay is null").select(*columns))
+    return kept.unionByName(joined.filter("_stay").dropDuplicates(["_name", "text_key"]).select(*columns))

@@ -1,4 +1,8 @@
-"""The registered queries of the text operators, with SQL where SQL can say the same."""
+"""The registered queries of the text operators, with SQL where SQL can say the same.
+
+Predictions, searches, tokens and iterative links have no SQL counterpart; their tests compare them with
+brute force or held-out rows.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, parity_join
+from . import (exact_dedup, langid, mixing, packing, paragraph_dedup, parity_join, permutation_index, tag_paths,
+               token_histogram, toxicity)
+from .common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+WINDOW, END_ID = 4096, 2
 
 
 def query(name: str, sql: str | None = None):
@@ -26,6 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """Path of the public tokenizer file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 3) == 1
+    model = langid.train(docs.filter(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query("op2_exact_dedup", """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents),
@@ -37,6 +59,52 @@ def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_classes(table(spark, sf_dir, "documents"), all_hashes=True).drop("text_key")
 
 
+@query("op3_nearest_vectors")
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    """Characters of all documents, labels of those not held out."""
+    labels = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
+    return toxicity.train(docs, labels, toxicity.train_chars(docs))
+
+
+@query("op4_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_repeated_paragraphs")
+def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"), min_words=50)
+
+
 @query("op6_ngram_jaccard")
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents")).drop("set_id")
+
+
+@query("op7_token_histogram")
+def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_histogram.token_counts(table(spark, sf_dir, "documents"), word_tokenizer())
+    return token_histogram.length_histogram(counts)
+
+
+@query("op8_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op9_packing")
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), END_ID, WINDOW)
+
+
+@query("op10_mixing")
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
