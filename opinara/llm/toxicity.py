@@ -304,8 +304,15 @@ def train(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "d
         logit = 30.0 if share == 1 else -30.0
         return ToxicityModel(chars, none.astype(np.int64), none, none, least, np.array([logit, 0, 0, 0]), name)
     seen = texts.select("y", F.explode(F.array_distinct("keys")).alias("key")).filter("key <> 0")
-    found = seen.groupBy("key").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
-    table = found.filter((F.col("t") > 0) & (F.col("n") >= least)).orderBy("key").toArrow()
+    found = seen.groupBy("key").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).filter(
+        (F.col("t") > 0) & (F.col("n") >= least))
+    # A beginning says something of its own only if several words of toxic texts share it.
+    width = 1 + len(PREFIXES)
+    words = texts.filter("y = 1").select(F.explode(F.sequence(F.lit(1), F.size("keys"), F.lit(width))).alias("_at"), "keys")
+    words = words.filter("size(keys) > 0").select(F.slice("keys", F.col("_at"), width).alias("w")).distinct()
+    begins = words.select(F.col("w")[0].alias("word"), F.explode(F.slice("w", 2, width - 1)).alias("key")).filter("key <> 0")
+    several = begins.groupBy("key").agg(F.count(F.lit(1)).alias("_words"))
+    table = found.join(several, "key", "left").filter("_words is null or _words >= 3").orderBy("key").toArrow()
     known = table.column("key").to_numpy().astype(np.int64)
     t, n = (table.column(c).to_numpy().astype(float) for c in ("t", "n"))
     base = toxic / all_
