@@ -73,9 +73,23 @@ def marked_by_sieve(df: DataFrame, bits: DataFrame, key: Column, name: str) -> D
     return joined.withColumn(name, hit).drop("_chunk", "_at", "_bits")
 
 
-def process_store() -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
-    return sys.__dict__.setdefault("_opinara_store", {})
+def pieces(batches, rows: int = 1_000):
+    """Arrow batches in parts of at most ``rows`` rows, which bounds what a task builds at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def process_cache(key: tuple, make: Callable[[], object]):
+    """What ``make`` gives, kept across the tasks of a Python worker until another key is asked for.
+
+    A worker holds one such table at a time, so the stages of a pipeline do not add up in memory.
+    """
+    store = sys.__dict__.setdefault("_opinara_cache", {})
+    if key not in store:
+        store.clear()
+        store[key] = make()
+    return store[key]
 
 
 class WordTable(dict):

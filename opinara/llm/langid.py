@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rows, WordTable, process_store
+from .common import Rows, WordTable, process_cache
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 GRAMS = (5, 4, 3, 2, 1)
@@ -124,8 +124,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def _scorer(model: LanguageModel) -> tuple[WordTable, Rows]:
-    store = process_store()
-    if store.get("langid", (None,))[0] != model.name:
+    def make() -> tuple[WordTable, Rows]:
         width = len(model.languages)
         rows = Rows(width + 1, np.float32)  # the scores, and the number of words
 
@@ -137,8 +136,9 @@ def _scorer(model: LanguageModel) -> tuple[WordTable, Rows]:
                     row[width] += 1
             rows.extend(new)
 
-        store["langid"] = (model.name, WordTable(grow, rows.clear, PIECES_KEPT), rows)
-    return store["langid"][1:]
+        return WordTable(grow, rows.clear, PIECES_KEPT), rows
+
+    return process_cache(("langid", model.name), make)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
-"""Components of a similarity graph from candidate keys, without listing all pairs of a group.
+"""Components of the graph of similar sets from candidate keys, without listing all pairs of a group.
 
-Items that share a key may be alike. First, in every key the item that shares most keys with others
+Items that share a key may be alike. In keys of many items, most cannot be: a shingle that only one item
+has lies in no intersection, so an item with many of those is too far from every set of the key. Such
+items leave the key before any pair is made. First, in every key the item that shares most keys with others
 (the hub) is compared with the rest, and the links found are merged into components. Most groups of
 near copies are one component after that, and a key whose items share a component needs no further
 look. In what remains, only items outside the key's largest component are compared with the items of
@@ -31,29 +33,50 @@ def _with_both(pairs: DataFrame, features: DataFrame, col: str) -> DataFrame:
         features.select(F.col("item").alias("b"), F.col(col).alias("y")), "b")
 
 
-def linked_components(members: DataFrame, features: DataFrame, may_link: Column, close: Column, link: Column,
-                      scratch: Scratch) -> DataFrame:
-    """Rows (item, root) for all items of ``members`` (key, item, ...), joined by the links found.
+def linked_components(members: DataFrame, features: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows (item, root) for all items of ``members`` (key, item, size), joined by the links found.
 
-    ``features`` holds one row (item, sketch, whole) per item. ``link`` is a condition on a pair of wholes
-    ``x`` and ``y``. ``may_link``, on the columns of ``members`` (structs ``mx`` and ``my``), and ``close``, on
-    the sketches ``x`` and ``y``, must hold for every linked pair; they are tested before wholes are read.
+    ``features`` holds one row (item, sketch, whole) per item: the set of hashes, and its size followed by
+    its parity bits. Two items link when their sets have 100 * intersection >= percent * union.
     """
-    me = F.struct(*[c for c in members.columns if c != "key"])
+    x, y = F.col("x"), F.col("y")
+    # The Hamming distance of parity sketches is a lower bound on the number of differing shingles, which
+    # in turn is at most (100 - percent) / (100 + percent) of the two sizes.
+    words = F.size("x") - 1
+    flips = F.zip_with(F.slice("x", 2, words), F.slice("y", 2, words), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(flips, F.lit(0), lambda s, b: s + b)
+    close = differ * (100 + percent) <= (x[0] + y[0]) * (100 - percent)
+    both = F.size(F.array_intersect("x", "y"))
+    link = both * 100 >= (F.size("x") + F.size("y") - both) * percent
+    mx, my = F.col("mx"), F.col("my")
+
+    def fits_pair(size_x: Column, common_x: Column, size_y: Column, common_y: Column) -> Column:
+        common = F.least(common_x, common_y)
+        return common * 100 >= (size_x + size_y - common) * percent
+
+    may_link = fits_pair(mx["size"], mx["common"], my["size"], my["common"])
+
     sizes = scratch.write(members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    popular = members.join(sizes, "key").groupBy("item").agg(F.sum("_n").alias("_pop"))
+    popular = members.join(sizes, "key").groupBy("item").agg(F.sum("_n").alias("_pop"), F.max("_n").alias("_most"))
     popular = scratch.write(popular, "popular")
     roots = scratch.write(popular.select("item", F.col("item").alias("root")), "roots-0")
-    left = scratch.write(members.join(sizes, "key").join(popular, "item"), "left-0")
+    alone = _own_shingles(features.join(popular.filter(F.col("_most") > FEW).select("item"), "item", "left_semi"))
+    own = scratch.write(popular.join(alone, "item", "left").select("item", "_pop", F.coalesce("_own", F.lit(0)).alias("_own")), "own")
+    rows = members.join(sizes, "key").join(own, "item").withColumn("common", F.col("size") - F.col("_own")).drop("_own")
+    me = F.struct("item", "size", "common")
+    few = scratch.write(rows.filter(F.col("_n") <= FEW).select("key", me.alias("mx")), "few")
+    left = scratch.write(rows.filter(F.col("_n") > FEW).drop("_n"), "many")
+    # An item that even the smallest set of the key cannot match leaves the key.
+    smallest = scratch.write(left.groupBy("key").agg(F.min("size").alias("_small")), "smallest")
+    fits = F.col("common") * 100 >= (F.col("size") + F.greatest("_small", "common") - F.col("common")) * percent
+    left = scratch.write(left.join(smallest, "key").filter(fits).drop("_small"), "left-0")
 
-    order = F.struct("_pop", F.xxhash64("item"))
-    hubs = scratch.write(left.groupBy("key").agg(F.max_by(me, order).alias("my")), "hubs-0")
-    few = scratch.write(left.filter(F.col("_n") <= FEW).select("key", me.alias("mx")), "few")
-    pairs = left.filter(F.col("_n") > FEW).select("key", me.alias("mx")).join(hubs, "key").select("mx", "my")
+    hubs = left.groupBy("key").agg(F.max_by(me, F.struct("_pop", F.xxhash64("item"))).alias("my"))
+    hubs = scratch.write(hubs, "hubs-0")
+    pairs = left.select("key", me.alias("mx")).join(hubs, "key").select("mx", "my")
     pairs = pairs.unionByName(few.join(few.select("key", F.col("mx").alias("my")), "key").select("mx", "my").filter(
         "mx.item < my.item"))
-    left = left.filter(F.col("_n") > FEW).join(hubs.select("key", F.col("my.item").alias("_hub")), "key").filter(
-        "item <> _hub").drop("_hub", "_n")
+    left = left.join(hubs.select("key", F.col("my.item").alias("_hub")), "key").filter("item <> _hub").drop("_hub")
     tried, turn, most = None, 0, 16
     while True:
         turn += 1
@@ -85,8 +108,16 @@ def linked_components(members: DataFrame, features: DataFrame, may_link: Column,
         hubs = scratch.write(stray.groupBy("key").agg(F.collect_list(F.struct(me.alias("my"), "root")).alias("_hubs")),
                              f"hubs-{turn}")
         met = left.join(hubs, "key")
-        pairs = met.select(me.alias("mx"), "root", F.explode("_hubs").alias("_h")).filter("root <> _h.root").select(
-            "mx", F.col("_h.my").alias("my"))
+        fit = F.filter("_hubs", lambda h: (h["root"] != F.col("root")) & fits_pair(
+            F.col("size"), F.col("common"), h["my"]["size"], h["my"]["common"]))
+        pairs = met.select(me.alias("mx"), F.explode(fit).alias("_h")).select("mx", F.col("_h.my").alias("my"))
         left = met.filter(~F.array_contains(F.transform("_hubs", lambda h: h["my"]["item"]), F.col("item"))).drop(
             "_hubs", "_top")
         most *= 4
+
+
+def _own_shingles(features: DataFrame) -> DataFrame:
+    """How many hashes of each item no other item has."""
+    held = features.select("item", F.explode("whole").alias("h"))
+    once = held.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.min("item").alias("item")).filter("_n = 1")
+    return once.groupBy("item").agg(F.count(F.lit(1)).alias("_own"))

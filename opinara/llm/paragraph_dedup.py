@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, marked_by_sieve, process_store, sieve
+from .common import Scratch, marked_by_sieve, pieces, sieve
 from .linking import linked_components, shared_keys
-from .parity_join import SKETCH_BITS, Shingler, _lists, mix, parity_bits, set_id
+from .parity_join import lists, mix, parity_bits, set_id, shingler
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -60,13 +60,6 @@ def paragraphs(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes
         at += len(line) + 1
 
 
-def _shingler(words: int) -> Shingler:
-    store = process_store()
-    if ("shingler", words) not in store:
-        store["shingler", words] = Shingler(words)
-    return store["shingler", words]
-
-
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20,
                         words: int = 5, percent: int = 75, recall: float = 0.999999) -> DataFrame:
     """Rows (id, paragraph, start, length, component_id, occurrences, kept) for paragraphs that occur again.
@@ -80,8 +73,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = source.filter("text is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = _shingler(words)
-        for batch in batches:
+        shingle = shingler(words)
+        for batch in pieces(batches):
             cols: list[list] = [[] for _ in range(6)]
             keys = []
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -90,7 +83,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     for col, value in zip(cols, (doc_id, number, start, length, set_id(h), len(h)), strict=True):
                         col.append(value)
                     keys.append(minhash_keys(h, bands, rows))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], _lists(keys)],
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], lists(keys)],
                                              ["id", "paragraph", "start", "length", "item", "size", "keys"])
 
     found = source.mapInArrow(cut, "id long, paragraph long, start long, length long, item long, size long, keys array<long>")
@@ -105,24 +98,17 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = marked_by_sieve(source, sieve(wanted, F.col("id")), F.col("id"), "_near").filter("_near").join(ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = _shingler(words)
-        for batch in batches:
+        shingle = shingler(words)
+        for batch in pieces(batches):
             hashes = [shingle(raw) for t in batch.column("text").to_pylist() for *_, raw in paragraphs(t, min_words)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(h) for h in hashes], pa.int64()), _lists([parity_bits(h) for h in hashes]), _lists(hashes)],
+                [pa.array([set_id(h) for h in hashes], pa.int64()), lists([parity_bits(h) for h in hashes]), lists(hashes)],
                 ["item", "sketch", "whole"])
 
     features = near.select("text").mapInArrow(sets, "item long, sketch array<long>, whole array<long>")
     features = scratch.write(features.join(items, "item", "left_semi").dropDuplicates(["item"]), "sets")
 
-    mx, my = F.col("mx.size"), F.col("my.size")
-    fits = F.least(mx, my) * 100 >= F.greatest(mx, my) * percent
-    bits = F.zip_with(F.slice("x", 2, SKETCH_BITS // 64), F.slice("y", 2, SKETCH_BITS // 64),
-                      lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    distance = F.aggregate(bits, F.lit(0), lambda s, b: s + b)
-    close = distance * (100 + percent) <= (F.col("x")[0] + F.col("y")[0]) * (100 - percent)
-    nx, ny, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
-    roots = linked_components(members, features, fits, close, both * 100 >= (nx + ny - both) * percent, scratch)
+    roots = linked_components(members, features, percent, scratch)
 
     rooted = found.drop("keys", "size").groupBy("item").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("id", "paragraph")).alias("_at"))
     rooted = scratch.write(rooted.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item")), "rooted")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import Rows, WordTable, process_store
+from .common import Rows, WordTable, process_cache
 
 PIECES_KEPT, CORES_KEPT = 400_000, 700_000
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which joins contractions
@@ -89,8 +89,7 @@ def _drops_white_space(path: str) -> bool:
 
 def encoder(path: str) -> Callable[[bytes | None], np.ndarray]:
     """The encoder of a tokenizer file, kept for the life of the Python worker."""
-    store = process_store()
-    if ("encoder", path) not in store:
+    def make() -> Callable[[bytes | None], np.ndarray]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
@@ -102,5 +101,6 @@ def encoder(path: str) -> Callable[[bytes | None], np.ndarray]:
             ids = tokenizer.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
             return np.array(ids, np.uint32)
 
-        store["encoder", path] = PieceEncoder(tokenizer) if _drops_white_space(path) else whole
-    return store["encoder", path]
+        return PieceEncoder(tokenizer) if _drops_white_space(path) else whole
+
+    return process_cache(("encoder", path), make)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rows, Scratch, WordTable, process_store
+from .common import Rows, Scratch, WordTable, process_cache
 
 # What a character other than a letter may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -341,10 +341,8 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, store = shared.value, process_store()
-        if store.get("toxicity", (None,))[0] != model.name:
-            store["toxicity"] = (model.name, TextReader(model.chars, model.word_row, 2, np.float64))
-        reader = store["toxicity"][1]
+        model = shared.value
+        reader = process_cache(("toxicity", model.name), lambda: TextReader(model.chars, model.word_row, 2, np.float64))
         for batch in batches:
             scores = [model.score(reader(t)) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(scores, pa.float64())], [*others, out])
