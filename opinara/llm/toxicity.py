@@ -40,6 +40,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _EDGES = re.compile(r"^[\"'(\[{<«„“¿¡*#_~-]*(?=[^\W\d_])|[.,;:!?\"')\]}>»“”…]+$")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _TRAIL = re.compile(r"([^\w\s])\1+$|^([^\w\s])\2+")
+_AROUND = ".,;:!?\"'()[]{}<>«»„“”…"  # marks around a word that are mere punctuation
 PREFIXES = (6, 5, 4)
 PIECES_KEPT = 400_000
 _FLUSH = 300_000
@@ -102,6 +103,9 @@ def decode(piece: str, model: CharModel, beam: int = 24) -> str:
 
 def restored_words(piece: str, model: CharModel) -> list[str]:
     """The words of one piece between white space: as they stand, and restored where they look obfuscated."""
+    core = piece.strip(_AROUND)
+    if core.isalpha() and not _STRETCHED.search(core):
+        return [core.lower()]
     plain = [w.lower() for w in _LETTERS.findall(piece)]
     body = _TRAIL.sub("", _EDGES.sub("", piece)) or piece
     if body and body[-1:] in "!?.,;:":
@@ -186,17 +190,19 @@ def _trigram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     words: Counter = Counter()
 
     def rows() -> pa.RecordBatch:
-        grams: Counter = Counter()
+        plain: Counter = Counter()
         for word, n in words.items():
-            core = word.decode("utf-8", "replace").strip(".,;:!?\"'()").lower()
-            if not core.isalpha() or _STRETCHED.search(core):
-                continue  # the model is one of plain writing
-            padded = f"^^{core}$"
-            for i in range(2, len(padded)):
-                for start in (i - 2, i - 1, i):
-                    grams[padded[start : i + 1]] += n
+            core = word.decode("utf-8", "replace").strip(_AROUND).lower()
+            if core.isalpha():
+                plain[core] += n
         words.clear()
-        return pa.RecordBatch.from_arrays([pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["gram", "n"])
+        grams: dict[tuple[str, ...], int] = {}
+        for word, n in plain.items():
+            if not _STRETCHED.search(word):  # the model is one of plain writing
+                for gram in zip("^^" + word, "^" + word + "$", word + "$", strict=False):
+                    grams[gram] = grams.get(gram, 0) + n
+        return pa.RecordBatch.from_arrays([pa.array(["".join(g) for g in grams], pa.string()),
+                                           pa.array(grams.values(), pa.int64())], ["gram", "n"])
 
     for batch in batches:
         for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -211,7 +217,11 @@ def train_chars(docs: DataFrame, text_col: str = "text") -> CharModel:
     """Count letter trigrams of all texts. The result is bounded by the alphabets that occur."""
     counts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_trigram_batches, "gram string, n long")
     table = counts.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return CharModel(dict(zip(table.column("gram").to_pylist(), table.column("n").to_pylist(), strict=True)))
+    grams: Counter = Counter()
+    for gram, n in zip(table.column("gram").to_pylist(), table.column("n").to_pylist(), strict=True):
+        for start in range(3):  # every trigram counts for its shorter endings too
+            grams[gram[start:]] += n
+    return CharModel(dict(grams))
 
 
 def _evidence(weights: np.ndarray) -> np.ndarray:
@@ -257,9 +267,17 @@ class ToxicityModel:
     beta: np.ndarray
     name: str
 
+    def __post_init__(self) -> None:
+        keep = self.support >= self.least
+        self.evidence = dict(zip(self.known[keep].tolist(), self.weight[keep].tolist(), strict=True))
+
     def word_row(self, word: str) -> tuple[float, float]:
-        keys = np.array([feature_keys(word)], np.int64)
-        return float(_key(word)), float(_weights(keys, self.known, self.weight, self.support, self.least)[0])
+        """The key of a word, and its evidence: that of the most specific key known."""
+        first = _key(word)
+        found = self.evidence.get(first)
+        if found is None:
+            found = next((e for n in PREFIXES if len(word) > n and (e := self.evidence.get(_key(word[:n], n))) is not None), 0.0)
+        return first, found
 
     def score(self, rows: np.ndarray) -> float:
         if len(rows):
