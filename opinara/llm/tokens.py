@@ -8,13 +8,14 @@ punctuation around them, and encode only what is new. Other tokenizers encode wh
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import numpy as np
 
 from .common import Rows, WordTable, process_cache
 
-PIECES_KEPT, CORES_KEPT = 400_000, 700_000
+PIECES_KEPT, CORES_KEPT = 600_000, 700_000
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which joins contractions
 
 
@@ -23,8 +24,9 @@ class PieceEncoder:
 
     def __init__(self, tokenizer):
         self._tokenizer = tokenizer
-        self._special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-        self._cores: dict[bytes, np.ndarray] = {}
+        special = [re.escape(t.content.encode()) for t in tokenizer.get_added_tokens_decoder().values()]
+        self._has_special = re.compile(b"|".join(special)).search if special else lambda piece: None
+        self._cores: dict[bytes, tuple[int, ...]] = {}
         self._start, self._count, self._ids = Rows(None, np.int64), Rows(None, np.int64), Rows(None, np.uint32)
         self._table = WordTable(self._grow, self._reset, PIECES_KEPT)
 
@@ -32,37 +34,42 @@ class PieceEncoder:
         for rows in (self._start, self._count, self._ids):
             rows.clear()
 
-    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+    def _encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         texts = [p.decode("utf-8", "replace") for p in pieces]
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [tuple(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _grow(self, fresh: list[bytes]) -> None:
         if len(self._cores) > CORES_KEPT:
             self._cores.clear()
         # Letters with ASCII punctuation around them split exactly there; other pieces are encoded whole.
-        parts, wanted = [], {}
+        cores, parts, wanted = self._cores, [], {}
         for piece in fresh:
             core = piece.strip(_PUNCTUATION)
-            at = piece.find(core)
-            split = (piece[:at], core, piece[at + len(core):])
-            if not core or any(t in piece for t in self._special) or not (core.isalpha() or core.decode("utf-8", "replace").isalpha()):
-                split = (b"", piece, b"")
-            elif core.isascii():
-                split = (split[0], core.lower(), split[2])
+            if not core or not (core.isalpha() or core.decode("utf-8", "replace").isalpha()) or self._has_special(piece):
+                split = (piece,)
+            else:
+                at = piece.find(core)
+                word = core.lower() if core.isascii() else core
+                split = tuple(filter(None, (piece[:at], word, piece[at + len(core):])))
             parts.append(split)
-            for s in split:
-                if s and s not in self._cores:
-                    wanted[s] = None
+            for part in split:
+                if part not in cores:
+                    wanted[part] = None
         if wanted:
             new = list(wanted)
-            self._cores.update(zip(new, (np.array(i, np.uint32) for i in self._encode(new)), strict=True))
-        found = [[self._cores[s] for s in split if s] for split in parts]
-        counts = np.array([sum(map(len, f)) for f in found], np.int64)
-        flat = [a for f in found for a in f]
+            cores.update(zip(new, self._encode(new), strict=True))
+        flat: list[int] = []
+        counts = []
+        for split in parts:
+            before = len(flat)
+            for part in split:
+                flat += cores[part]
+            counts.append(len(flat) - before)
+        counts = np.array(counts, np.int64)
         base = len(self._ids.view)
         self._start.extend(base + np.cumsum(counts) - counts)
         self._count.extend(counts)
-        self._ids.extend(np.concatenate(flat) if flat else np.empty(0, np.uint32))
+        self._ids.extend(np.array(flat, np.uint32))
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         pieces = text.split() if text else []
