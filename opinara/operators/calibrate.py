@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.irt import inv_logit
 from ..functions.scalar import case_when
 from ..session import broadcast_if_small, cut_lineage, ship_by_value
+from .fixed_point import NotSettled, settle
 from .graded import thresholds
 from .shape import literal_table, seq
 
@@ -31,12 +32,16 @@ Batches = Iterator[pa.RecordBatch]
 
 
 class Calibration(NamedTuple):
-    """Item table, effects on the latent outcome (or None), log-likelihood and iterations used."""
+    """Item table, effects on the latent outcome (or None), log-likelihood, passes over the data used.
+
+    A calibration that has not converged is never returned: it raises.
+    """
 
     items: DataFrame
     effects: DataFrame | None
     log_lik: float
     iterations: int
+    converged: bool = True
 
 
 # -- layout ----------------------------------------------------------------------------------
@@ -197,7 +202,7 @@ def _fit_effects(lhs: np.ndarray, rhs: np.ndarray, monotone: np.ndarray) -> np.n
     return max(fits, key=lambda g: g @ rhs - 0.5 * g @ lhs @ g)
 
 
-def _signed_solution(lhs: np.ndarray, rhs: np.ndarray, signed: np.ndarray, sweeps: int = 500) -> np.ndarray:
+def _signed_solution(lhs: np.ndarray, rhs: np.ndarray, signed: np.ndarray, sweeps: int = 100_000) -> np.ndarray:
     """Minimise a quadratic with some coefficients held at or above zero, one coefficient at a time."""
     x = np.zeros(len(rhs))
     bound = np.full(len(rhs), -np.inf)
@@ -206,9 +211,21 @@ def _signed_solution(lhs: np.ndarray, rhs: np.ndarray, signed: np.ndarray, sweep
         before = x.copy()
         for i in range(len(x)):
             x[i] = max(x[i] + (rhs[i] - lhs[i] @ x) / lhs[i, i], bound[i])
-        if np.abs(x - before).max() < 1e-9:
+        if np.abs(x - before).max() < 1e-10:
+            return x
+    raise NotSettled("signed effects have not settled")
+
+
+def _stretch(log_a: np.ndarray, pull: float, prior_a: float) -> float:
+    """Logarithm of the factor on the latent scale that the priors like best."""
+    t = 0.0
+    for _ in range(50):
+        grad = (t - log_a).sum() / prior_a**2 + np.exp(2 * t) * pull
+        step = grad / (len(log_a) / prior_a**2 + 2 * np.exp(2 * t) * pull)
+        t -= step
+        if abs(step) < 1e-12:
             break
-    return x
+    return float(t)
 
 
 def calibrate_2pl(
@@ -224,8 +241,8 @@ def calibrate_2pl(
     estimate_sigma: bool = False,
     nodes: int = 41,
     reach: float = 6.0,
-    max_iter: int = 60,
-    tol: float = 1e-3,
+    max_iter: int = 1_000,
+    tol: float = 1e-6,
     prior_log_alpha: float = 1.0,
     prior_beta: float = 5.0,
     prior_effect: float = 3.0,
@@ -265,24 +282,40 @@ def calibrate_2pl(
     layout = person_layout(used, person, item, y, item_ids, (0, 1), person_cols)
     people = _distinct_people(layout.select("counts", vector.alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
     node = np.linspace(-reach, reach, nodes)
-    log_a, b = np.zeros(len(item_ids)), np.zeros(len(item_ids))
-    gamma, sigma, log_lik, done = np.zeros(len(design)), 1.0, 0.0, 0
-    for done in range(1, max_iter + 1):
+    k, width = len(item_ids), len(design)
+
+    def step(x: np.ndarray) -> tuple[np.ndarray, float]:
+        log_a, b, gamma, sigma = x[:k], x[k : 2 * k], x[2 * k : 2 * k + width], float(np.exp(x[-1]))
         z = np.exp(log_a)[:, None] * (node[None, :] + b[:, None])
         log_p = np.stack([-np.logaddexp(0, z), -np.logaddexp(0, -z)], axis=1).reshape(-1, nodes)
         expected, xtx, xte, ee, n, log_lik = _e_step(people, log_p, node, gamma, sigma)
-        counts = expected.reshape(len(item_ids), 2, nodes)
-        new_log_a, new_b = _fit_binary(counts[:, 0], counts[:, 1], node, log_a, b, prior_log_alpha, prior_beta)
-        new_gamma = _fit_effects(xtx + np.eye(len(design)) / prior_effect**2, xte, monotone) if design else gamma
+        counts = expected.reshape(k, 2, nodes)
+        new_a, new_b = _fit_binary(counts[:, 0], counts[:, 1], node, log_a, b, prior_log_alpha, prior_beta)
+        scale = sigma**2  # the ridge is on the effects themselves, whatever the residual spread
+        new_gamma = _fit_effects(xtx + scale * np.eye(width) / prior_effect**2, xte, monotone) if width else gamma
         if estimate_sigma:
             rss = ee - 2 * new_gamma @ xte + new_gamma @ xtx @ new_gamma
             sigma = float(np.sqrt(max(rss / n, 1e-6)))
-        moved = max(np.abs(new_log_a - log_a).max(), np.abs(new_b - b).max(),
-                    np.abs(new_gamma - gamma).max() if design else 0.0)
-        log_a, b, gamma = new_log_a, new_b, new_gamma
-        if moved < tol:
-            break
-    people.unpersist()
+        # Two directions leave the likelihood as it is: shifting all items against all cells, and stretching
+        # the latent outcome against the slopes. Only the priors settle them, which is done here at once.
+        if cells:
+            shift = new_gamma[: len(cells)].mean()
+            new_gamma = np.r_[new_gamma[: len(cells)] - shift, new_gamma[len(cells):]]
+            new_b = new_b + shift
+        if estimate_sigma:
+            pull = (((new_b - new_b.mean()) / prior_beta) ** 2).sum() + ((new_gamma / prior_effect) ** 2).sum()
+            stretch = _stretch(new_a, pull, prior_log_alpha)
+            new_a, new_b, new_gamma, sigma = new_a - stretch, new_b * np.exp(stretch), new_gamma * np.exp(stretch), sigma * np.exp(stretch)
+        prior = ((log_a / prior_log_alpha) ** 2).sum() + (((b - b.mean()) / prior_beta) ** 2).sum() + ((gamma / prior_effect) ** 2).sum()
+        return np.concatenate([new_a, new_b, new_gamma, [np.log(sigma)]]), log_lik - 0.5 * prior
+
+    try:
+        x, log_lik, done = settle(step, np.zeros(2 * k + width + 1), tol, max_iter)
+    finally:
+        people.unpersist()
+    log_a, b, gamma, sigma = x[:k], x[k : 2 * k], x[2 * k : 2 * k + width], float(np.exp(x[-1]))
+    log_lik += 0.5 * (((log_a / prior_log_alpha) ** 2).sum() + (((b - b.mean()) / prior_beta) ** 2).sum()
+                      + ((gamma / prior_effect) ** 2).sum())
     spark = responses.sparkSession
     items = spark.createDataFrame(
         [(i, float(np.exp(la)), float(sign * bi)) for i, la, bi in zip(item_ids, log_a, b, strict=True)],
@@ -354,8 +387,8 @@ def calibrate_grm(
     categories: int = 5,
     nodes: int = 41,
     reach: float = 6.0,
-    max_iter: int = 60,
-    tol: float = 1e-3,
+    max_iter: int = 1_000,
+    tol: float = 1e-6,
     prior_log_alpha: float = 1.0,
     prior_cut: float = 5.0,
     items_are: Sequence | None = None,
@@ -370,20 +403,30 @@ def calibrate_grm(
     people = _distinct_people(layout.select("counts", F.array().cast("array<double>").alias("x"))).persist(
         StorageLevel.MEMORY_AND_DISK)
     node = np.linspace(-reach, reach, nodes)
-    log_a = np.zeros(len(item_ids))
+    k = len(item_ids)
     start = np.log(np.arange(1, categories) / np.arange(categories - 1, 0, -1))
-    cuts = np.tile(start, (len(item_ids), 1))
-    log_lik, done = 0.0, 0
-    for done in range(1, max_iter + 1):
+    start = np.concatenate([np.zeros(k), np.tile(start, k)])
+
+    def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x[:k], x[k:].reshape(k, categories - 1)
+
+    def penalty(x: np.ndarray) -> float:
+        log_a, cuts = split(x)
+        return 0.5 * ((log_a / prior_log_alpha) ** 2).sum() + 0.5 * ((cuts / prior_cut) ** 2).sum()
+
+    def step(x: np.ndarray) -> tuple[np.ndarray, float]:
+        log_a, cuts = split(x)
         probs, _ = _graded_probs(node, np.exp(log_a), cuts)
         expected, *_, log_lik = _e_step(people, np.log(probs).reshape(-1, nodes), node, np.zeros(0), 1.0)
-        counts = expected.reshape(len(item_ids), categories, nodes)
-        new_log_a, new_cuts = _fit_graded(counts, node, log_a, cuts, prior_log_alpha, prior_cut)
-        moved = max(np.abs(new_log_a - log_a).max(), np.abs(new_cuts - cuts).max())
-        log_a, cuts = new_log_a, new_cuts
-        if moved < tol:
-            break
-    people.unpersist()
+        new_a, new_cuts = _fit_graded(expected.reshape(k, categories, nodes), node, log_a, cuts, prior_log_alpha, prior_cut)
+        return np.concatenate([new_a, new_cuts.ravel()]), log_lik - penalty(x)
+
+    try:
+        x, value, done = settle(step, start, tol, max_iter, valid=lambda x: bool((np.diff(split(x)[1], axis=1) > 0).all()))
+    finally:
+        people.unpersist()
+    log_a, cuts = split(x)
+    log_lik = value + penalty(x)
     names = ", ".join(f"beta_{k} double" for k in range(1, categories))
     items = ratings.sparkSession.createDataFrame(
         [(i, float(np.exp(la)), *map(float, c)) for i, la, c in zip(item_ids, log_a, cuts, strict=True)],

@@ -67,7 +67,7 @@ def contrast_table(
     """Median and 95% interval of planned contrasts, with the text for a report."""
     rows = contrast(effects, weights, by, mode, keys=keys, derived=derived)
     # One value per draw in every group.
-    table = median_qi(rows, ["d"], [*by, "contrast"], one_pass=True)
+    table = median_qi(rows, ["d"], [*by, "contrast"])
     return table.withColumn("d_text", fmt_estimate("d", "lower", "upper"))
 
 
@@ -86,7 +86,7 @@ def marginal_table(effects: DataFrame, factors: Sequence[str], value: str,
                    keys: Sequence[str] = ("draw",)) -> DataFrame:
     """Average a coefficient over cells within factors per draw, then summarise over draws."""
     means = effects.groupBy(*keys, *factors).agg(F.avg(value).alias("b"))
-    return median_qi(means, ["b"], factors, one_pass=True)
+    return median_qi(means, ["b"], factors)
 
 
 def align_signs(df: DataFrame, key: str, signs: Mapping[object, int], value: str) -> DataFrame:

@@ -256,7 +256,7 @@ def precision_by_run(
     effects = condition_effects(people, person_draws, cell_draws, item_draws, sign, (run, "draw"))
     metrics = tidy_metrics(effects, [run, "draw", "kk"])
     # One value per draw: the group size is the number of posterior draws of a fit.
-    return interval_width(median_qi(metrics, ["estimate"], [run, "metric", "kk"], one_pass=True))
+    return interval_width(median_qi(metrics, ["estimate"], [run, "metric", "kk"]))
 
 
 def tidy_metrics(effects: DataFrame, keep: Sequence[str], metrics: Sequence[str] = ("z", "n", "p")) -> DataFrame:

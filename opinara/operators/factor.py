@@ -2,8 +2,8 @@
 
 Full-information maximum likelihood needs the data only through, per pattern of missing answers,
 the number of people, the means and the scatter of the observed answers. Spark reduces the people
-to that table in one aggregation when a sketch shows that there are few patterns; the table is then
-small enough for the driver, and EM runs on it. With many patterns the people stay distributed and
+to that table when a sketch shows that its numbers fit the driver (``DRIVER_CELLS``), whatever the
+number of items, and EM runs on it. With many patterns the people stay distributed and
 every EM iteration is a Spark job that groups them by pattern inside each batch; only moments of
 the items reach the driver. Both ways give the same estimates.
 """
@@ -14,17 +14,16 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import cut_lineage, ship_by_value
+from .fixed_point import settle
 
 ship_by_value(__name__)
 
-DRIVER_PATTERNS = 4_096  # pattern rows the driver may hold; above it, iterations run as Spark jobs
-_JVM_ITEMS = 12          # more items mean too many aggregate columns for generated code
+DRIVER_CELLS = 4_000_000  # numbers the driver may hold; above it, iterations run as Spark jobs
 _CHUNK = 1_024           # patterns handled at once, which bounds the memory of a task
 
 
@@ -50,20 +49,16 @@ def pattern_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 class Patterns:
     """Sufficient statistics of the answers: local when patterns are few, distributed otherwise."""
 
-    def __init__(self, df: DataFrame, cols: Sequence[str], limit: int = DRIVER_PATTERNS) -> None:
+    def __init__(self, df: DataFrame, cols: Sequence[str], cells: int = DRIVER_CELLS) -> None:
         self.cols = list(cols)
         self.size = len(self.cols)
         self.local = self.rows = None
-        if self.size <= _JVM_ITEMS and 2**self.size - 1 <= limit:  # no more patterns are possible
-            self.local = _stack(pattern_table(df, self.cols).toPandas(), self.size)
-            return
         answers = _answers(df, self.cols)
         kinds, *centre = answers.agg(
             F.approx_count_distinct("pattern"), *[F.avg(f"_x{i}") for i in range(self.size)]).first()
-        if kinds > limit:
+        # A pattern is one count, the means and the scatter of the items; the sketch may be off by a few percent.
+        if 1.2 * kinds * (1 + self.size) * (2 + self.size) / 2 > cells:
             self.rows = cut_lineage(answers.drop("pattern")).persist(StorageLevel.MEMORY_AND_DISK)
-        elif self.size <= _JVM_ITEMS:
-            self.local = _stack(pattern_table(df, self.cols).toPandas(), self.size)
         else:
             self.local = _summed_patterns(answers.drop("pattern"), np.array(centre, dtype=float))
 
@@ -142,17 +137,6 @@ def _group_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return np.array([float(len(g)) for g in groups]), kinds.astype(float), mean, cov
 
 
-def _stack(frame: pd.DataFrame, p: int) -> tuple[np.ndarray, ...]:
-    """Pattern rows as arrays; moments of unseen answers are zero."""
-    seen = np.array([[c == "1" for c in pattern] for pattern in frame["pattern"]], dtype=float).reshape(-1, p)
-    mean = np.nan_to_num(np.array(frame["mean"].tolist(), dtype=float).reshape(-1, p))
-    flat = np.nan_to_num(np.array(frame["cov"].tolist(), dtype=float).reshape(len(frame), -1))
-    cov = np.zeros((len(frame), p, p))
-    i, j = np.triu_indices(p)
-    cov[:, i, j] = cov[:, j, i] = flat
-    return frame["n"].to_numpy(dtype=float), seen, mean, cov * seen[:, :, None] * seen[:, None, :]
-
-
 # -- maximum likelihood under a normal model -------------------------------------------------
 
 
@@ -174,7 +158,7 @@ def _log_lik(patterns: Patterns, mean: np.ndarray, sigma: np.ndarray) -> float:
 
 
 def _expected_moments(patterns: Patterns, mean: np.ndarray, joint: np.ndarray):
-    """Expected first and second moments of answers and latents, given the observed answers.
+    """Expected first and second moments of answers and latents, people, and the log-likelihood.
 
     ``joint`` is the covariance of all answers followed by the latent variables, if any.
     """
@@ -182,19 +166,22 @@ def _expected_moments(patterns: Patterns, mean: np.ndarray, joint: np.ndarray):
     mu = np.concatenate([mean, np.zeros(q - p)])
 
     def statistic(n, seen, m, s):
-        inv, _ = _observed_inverse(joint[:p, :p], seen)
+        inv, logdet = _observed_inverse(joint[:p, :p], seen)
+        d = (m - mean) * seen
+        quad = (inv * s).sum((1, 2)) + np.einsum("pi,pij,pj->p", d, inv, d)
+        log_lik = -0.5 * (n * (seen.sum(1) * np.log(2 * np.pi) + logdet + quad)).sum()
         weights = joint[:, :p] @ inv
         value = mu + np.einsum("pij,pj->pi", weights, (m - mean) * seen)
         second = joint - weights @ joint[:p]
         if s.any():
             second = second + weights @ s @ weights.transpose(0, 2, 1)
         second = second + value[:, :, None] * value[:, None, :]
-        return np.concatenate([n @ value, np.einsum("p,pij->ij", n, second).ravel(), [n.sum()]])
+        return np.concatenate([n @ value, np.einsum("p,pij->ij", n, second).ravel(), [n.sum(), log_lik]])
 
     out = patterns.total(statistic)
-    n, second = out[-1], out[q:-1].reshape(q, q)
+    n, log_lik, second = out[-2], float(out[-1]), out[q:-2].reshape(q, q)
     # Rounding must not make the moments asymmetric: iterations would amplify it.
-    return out[:q] / n, (second + second.T) / (2 * n), n
+    return out[:q] / n, (second + second.T) / (2 * n), n, log_lik
 
 
 class FactorFit(NamedTuple):
@@ -208,6 +195,7 @@ class FactorFit(NamedTuple):
     phi: np.ndarray
     log_lik: float
     n: float
+    converged: bool = True
 
     @property
     def sigma(self) -> np.ndarray:
@@ -228,54 +216,80 @@ def _observed_moments(patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_factors(patterns: Patterns, model: Mapping[str, Sequence[str]], max_iter: int = 5_000,
-                tol: float = 1e-8) -> FactorFit:
-    """Maximum-likelihood loadings by EM; every item loads on the factors that name it."""
+                tol: float = 1e-7) -> FactorFit:
+    """Maximum-likelihood loadings; every item loads on the factors that name it.
+
+    Accelerated EM on standardised items until no parameter moves by more than ``tol``; raises otherwise.
+    """
     items, factors = patterns.cols, list(model)
     p, q = len(items), len(factors)
     loads = np.array([[i in model[f] for f in factors] for i in items])
-    mean, var = _observed_moments(patterns)
-    load = loads * np.sqrt(var * 0.5)[:, None]
-    unique, phi = var * 0.5, np.eye(q)
-    last = -np.inf
-    for _ in range(max_iter):
+    centre, var = _observed_moments(patterns)
+    unit = np.sqrt(var)
+    pairs = np.triu_indices(q, 1)
+    n_loads = int(loads.sum())
+
+    def pack(mean: np.ndarray, load: np.ndarray, unique: np.ndarray, phi: np.ndarray) -> np.ndarray:
+        return np.concatenate([(mean - centre) / unit, (load / unit[:, None])[loads], np.log(unique / var), phi[pairs]])
+
+    def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        mean, flat, log_u, off = np.split(x, [p, p + n_loads, 2 * p + n_loads])
+        load, phi = np.zeros((p, q)), np.eye(q)
+        load[loads] = flat
+        phi[pairs] = phi[pairs[::-1]] = off
+        return centre + mean * unit, load * unit[:, None], np.exp(log_u) * var, phi
+
+    def valid(x: np.ndarray) -> bool:
+        return bool(np.linalg.eigvalsh(unpack(x)[3]).min() > 1e-6 and np.abs(x[p + n_loads : 2 * p + n_loads]).max() < 30)
+
+    def step(x: np.ndarray) -> tuple[np.ndarray, float]:
+        mean, load, unique, phi = unpack(x)
         sigma = load @ phi @ load.T + np.diag(unique)
         cross = load @ phi
         joint = np.block([[sigma, cross], [cross.T, phi]])
-        first, second, n = _expected_moments(patterns, mean, joint)
+        first, second, _, log_lik = _expected_moments(patterns, mean, joint)
         cov = second - np.outer(first, first)
-        new_load, slope_mean = np.zeros_like(load), np.zeros(p)
+        new_load, slope_mean, new_unique = np.zeros_like(load), np.zeros(p), np.zeros(p)
         for i in range(p):
             on = np.flatnonzero(loads[i])
             coef = np.linalg.solve(cov[np.ix_(p + on, p + on)], cov[p + on, i])
             new_load[i, on] = coef
-            unique[i] = max(cov[i, i] - coef @ cov[p + on, i], 1e-6)
+            new_unique[i] = max(cov[i, i] - coef @ cov[p + on, i], 1e-6 * var[i])
             slope_mean[i] = first[i] - coef @ first[p + on]
         # Factors keep mean 0 and variance 1: their moments move into intercepts and loadings.
-        mean = slope_mean + new_load @ first[p:]
         scale = np.sqrt(np.diag(cov)[p:])
-        load = new_load * scale[None, :]
-        phi = cov[p:, p:] / np.outer(scale, scale)
-        size = np.abs(load).sum()
-        if abs(size - last) < tol * max(1.0, size):
-            break
-        last = size
+        return pack(slope_mean + new_load @ first[p:], new_load * scale[None, :], new_unique,
+                    cov[p:, p:] / np.outer(scale, scale)), log_lik
+
+    start = pack(centre, loads * np.sqrt(var * 0.5)[:, None], var * 0.5, np.eye(q))
+    x, _, _ = settle(step, start, tol, max_iter, valid)
+    mean, load, unique, phi = unpack(x)
     sign = np.where(load.sum(0) < 0, -1.0, 1.0)
     load, phi = load * sign, phi * np.outer(sign, sign)
     sigma = load @ phi @ load.T + np.diag(unique)
-    return FactorFit(items, factors, mean, load, unique, phi, _log_lik(patterns, mean, sigma), n)
+    *_, n, log_lik = _expected_moments(patterns, mean, sigma)
+    return FactorFit(items, factors, mean, load, unique, phi, log_lik, n)
 
 
-def _saturated_log_lik(patterns: Patterns, max_iter: int = 500, tol: float = 1e-9) -> float:
-    mean, var = _observed_moments(patterns)
-    sigma = np.diag(var)
-    for _ in range(max_iter):
-        first, second, _ = _expected_moments(patterns, mean, sigma)
+def _saturated_log_lik(patterns: Patterns, max_iter: int = 5_000, tol: float = 1e-8) -> float:
+    centre, var = _observed_moments(patterns)
+    p, unit = len(centre), np.sqrt(var)
+    at = np.triu_indices(p)
+
+    def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sigma = np.zeros((p, p))
+        sigma[at] = x[p:]
+        return centre + x[:p] * unit, (sigma + np.triu(sigma, 1).T) * np.outer(unit, unit)
+
+    def step(x: np.ndarray) -> tuple[np.ndarray, float]:
+        mean, sigma = unpack(x)
+        first, second, _, log_lik = _expected_moments(patterns, mean, sigma)
         new = second - np.outer(first, first)
-        moved = max(np.abs(new - sigma).max(), np.abs(first - mean).max())
-        mean, sigma = first, new
-        if moved < tol * max(1.0, np.abs(sigma).max()):
-            break
-    return _log_lik(patterns, mean, sigma)
+        return np.concatenate([(first - centre) / unit, (new / np.outer(unit, unit))[at]]), log_lik
+
+    start = np.concatenate([np.zeros(p), np.eye(p)[at]])
+    _, value, _ = settle(step, start, tol, max_iter, lambda x: bool(np.linalg.eigvalsh(unpack(x)[1] / np.outer(unit, unit)).min() > 1e-9))
+    return value
 
 
 # -- public ----------------------------------------------------------------------------------

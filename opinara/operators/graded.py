@@ -88,9 +88,9 @@ def select_items(items: DataFrame, n: int = 25, by: str = "information") -> Data
     return top_n_ties(items, n, by)
 
 
-def scale_curves(items: DataFrame, theta: Sequence[float], sizes: Sequence[int],
+def scale_curves(items: DataFrame, theta: Sequence[float], sizes: Sequence[int] | None = None,
                  by: str = "information", mean: float | None = None, sd: float | None = None) -> DataFrame:
-    """Total information of the scales made of the best 1, 2, … items, in one pass over the grid.
+    """Total information of the scales made of the best 1, 2, … items (all sizes, or those named).
 
     Items are ranked once; a running sum over ranks gives all scale sizes. A group of the window
     is one theta value and holds one row per item.
@@ -100,7 +100,7 @@ def scale_curves(items: DataFrame, theta: Sequence[float], sizes: Sequence[int],
     rows = _on_grid(ranked, theta).select("theta", "n_items", sum(options[1:], options[0]).alias("_info"))
     upto = Window.partitionBy("theta").orderBy("n_items").rowsBetween(Window.unboundedPreceding, 0)
     curves = rows.withColumn("info", F.sum("_info").over(upto)).drop("_info")
-    return curves.filter(F.col("n_items").isin(*sizes))
+    return curves if sizes is None else curves.filter(F.col("n_items").isin(*sizes))
 
 
 def item_medians(draws: DataFrame, n_thresholds: int, index: str = "ii") -> DataFrame:
@@ -111,7 +111,7 @@ def item_medians(draws: DataFrame, n_thresholds: int, index: str = "ii") -> Data
                     F.struct(F.concat(F.lit("beta_"), F.col("kk").cast("string")).alias("name"),
                              F.col("beta").alias("v")))
     values = long.select(index, F.inline(cells)).filter(F.col("v").isNotNull())
-    med = quantiles(values, "v", [index, "name"], (0.5,), ("v",), one_pass=True)
+    med = quantiles(values, "v", [index, "name"], (0.5,), ("v",))
     return med.groupBy(F.col(index).alias("item")).agg(
         *[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in names])
 

@@ -74,7 +74,7 @@ def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
     codes = global_index(keys, ["_key"], "_code")
     return (
         df.join(codes, F.col(col) == F.col("_key"), "left")
-        .withColumn(out, F.col("_code").cast("int"))
+        .withColumn(out, F.col("_code"))
         .drop("_key", "_code")
     )
 
@@ -88,7 +88,7 @@ def index_within(df: DataFrame, by: Sequence[str], key: str, out: str) -> DataFr
     pairs = global_index(df.select(*by, key).distinct(), [*by, key], "_code")
     first = pairs.groupBy(*by).agg(F.min("_code").alias("_first"))
     codes = pairs.join(first, list(by)).select(
-        *by, key, (F.col("_code") - F.col("_first") + 1).cast("int").alias(out)
+        *by, key, (F.col("_code") - F.col("_first") + 1).alias(out)
     )
     return df.join(codes, [*by, key], "left")
 

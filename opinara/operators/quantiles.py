@@ -12,6 +12,7 @@ from .shape import join_na
 _ACCURACY = 10_000          # rank error of the sketch is at most n / accuracy
 _SLACK = 2.0 / _ACCURACY    # brackets are cut twice as wide
 _SMALL = 5 * _ACCURACY      # below this group size the bracket is the whole range
+_SLICES = 1_024             # slices of a bracket
 
 
 def quantiles(
@@ -31,7 +32,8 @@ def quantiles(
     1. a mergeable sketch per group brackets every quantile, with a guaranteed rank error;
     2. one more pass counts rows per distinct value inside the brackets and only counts the rest,
        both as partial aggregates;
-    3. the exact order statistics are read from the few values inside the brackets.
+    3. slices of the brackets are ranked, and the exact order statistics are read from the values of the
+       slices that hold them, so no task sees a whole group.
     """
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     rows = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
@@ -63,13 +65,31 @@ def _bracketed(rows: DataFrame, by: Sequence[str], probs: Sequence[float], names
         (F.col("_x") > F.col("_hi")[i]).cast("int") for i in range(len(probs))))
     gap_value = reduce(lambda acc, i: F.when(gap == i, F.col("_hi")[_order(probs)[i - 1]]).otherwise(acc),
                        range(1, len(probs) + 1), F.lit(float("-inf")))
+    # A bracket is cut into slices of equal width, in the order of the values.
+    at = F.lit(0)
+    for place, i in reversed(list(enumerate(_order(probs)))):
+        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
+        wide = (hi > lo) & (hi - lo < float("inf"))
+        within = F.when(wide, F.floor((F.col("_x") - lo) / (hi - lo) * (_SLICES - 1))).otherwise(F.lit(0))
+        at = F.when(F.col("_x").between(lo, hi), place * _SLICES + within).otherwise(at)
     counted = joined.groupBy(
-        *by, "_n", F.when(inside, F.col("_x")).otherwise(gap_value).alias("_v"), inside.alias("_in")
+        *by, "_n", F.when(inside, F.col("_x")).otherwise(gap_value).alias("_v"), inside.alias("_in"),
+        F.when(inside, at).otherwise(-1 - gap).cast("long").alias("_slice"),
     ).agg(F.count(F.lit(1)).alias("_c"))
-    # The gap after a bracket sorts behind the bracket's last value.
-    up = Window.partitionBy(*by).orderBy("_v", F.desc("_in")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_last", F.sum("_c").over(up)).withColumn(
-        "_first", F.col("_last") - F.col("_c") + 1).filter("_in")
+    # First the slices are ranked, of which a group has few; the gap after a bracket sorts behind its last value.
+    slices = counted.groupBy(*by, "_n", "_slice").agg(F.sum("_c").alias("_sc"), F.min("_v").alias("_v0"), F.max("_in").alias("_in"))
+    up = Window.partitionBy(*by).orderBy("_v0", F.desc("_in")).rowsBetween(Window.unboundedPreceding, 0)
+    slices = slices.withColumn("_upto", F.sum("_sc").over(up))
+    ranks = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    wanted = reduce(lambda x, y: x | y, (
+        F.lit(r).between(F.col("_upto") - F.col("_sc") + 1, F.col("_upto"))
+        for pos in ranks for r in (F.floor(pos) + 1, F.ceil(pos) + 1)))
+    # Then only the values of slices that hold a wanted rank.
+    hit = slices.filter(F.col("_in") & wanted).select(*by, "_slice", (F.col("_upto") - F.col("_sc")).alias("_before"))
+    inner = join_na(counted.filter("_in"), hit, [*by, "_slice"], "inner")
+    up = Window.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inner.withColumn("_last", F.col("_before") + F.sum("_c").over(up)).withColumn(
+        "_first", F.col("_last") - F.col("_c") + 1)
     aggs = []
     for p, name in zip(probs, names, strict=True):
         pos = (F.col("_n") - 1) * F.lit(float(p))
@@ -78,9 +98,12 @@ def _bracketed(rows: DataFrame, by: Sequence[str], probs: Sequence[float], names
                         .alias(f"_{tag}_{name}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_w_{name}"))
     found = ranked.groupBy(*by).agg(*aggs)
-    return found.select(*by, *[
-        (F.col(f"_f_{n}") + (F.col(f"_c_{n}") - F.col(f"_f_{n}")) * F.col(f"_w_{n}")).alias(n) for n in names
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
+    out = found.select(*by, *[
+        F.when(F.col(f"_w_{n}").isNotNull() & (F.col(f"_f_{n}").isNull() | F.col(f"_c_{n}").isNull()), missed).otherwise(
+            F.col(f"_f_{n}") + (F.col(f"_c_{n}") - F.col(f"_f_{n}")) * F.col(f"_w_{n}")).cast("double").alias(n) for n in names
     ])
+    return out
 
 
 def _order(probs: Sequence[float]) -> list[int]:

@@ -48,17 +48,27 @@ def to_wide(
     df: DataFrame,
     names_from: Sequence[str],
     values_from: str,
-    values: Sequence,
+    values: Sequence | None,
     by: Sequence[str],
     sep: str = "_",
     fill=None,
     prefix: str = "",
+    drop_others: bool = False,
 ) -> DataFrame:
-    """Long to wide with an explicit list of names, which saves the job that would find them."""
+    """Long to wide.
+
+    A list of names saves the job that finds them; without it (None) all names that occur become
+    columns, in order. A name missing from the list is an error when the rows are read, unless
+    ``drop_others`` says that such rows are not wanted.
+    """
     key = F.concat_ws(sep, *[F.col(c).cast("string") for c in names_from])
+    if values is None:
+        values = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]  # one row per new column
     texts = [sep.join(map(str, v)) if isinstance(v, tuple) else str(v) for v in values]
-    wide = df.groupBy(*by).agg(*[
-        F.first(F.when(key == t, F.col(values_from)), ignorenulls=True).alias(prefix + t) for t in texts
+    known = key if drop_others else F.when(key.isin(*texts), key).otherwise(
+        F.raise_error(F.concat(F.lit("name without a column: "), key)))
+    wide = df.withColumn("_name", known).groupBy(*by).agg(*[
+        F.first(F.when(F.col("_name") == t, F.col(values_from)), ignorenulls=True).alias(prefix + t) for t in texts
     ])
     return wide if fill is None else wide.fillna(fill, subset=[prefix + t for t in texts])
 

@@ -43,7 +43,7 @@ def effect_report(
     effects = condition_effects(people, theta, cells, items, sign).join(labels.distinct(), "kk", "right")
     names = [c for c in labels.columns if c != "kk"]
     long = tidy_metrics(effects, ["kk", *names])
-    intervals = interval_set(long, "estimate", ["kk", *names, "metric"], widths, one_pass=True, name="estimate")
+    intervals = interval_set(long, "estimate", ["kk", *names, "metric"], widths, name="estimate")
     return EffectReport(effects, intervals, contrast_table(effects, weights, mode=mode, derived=derived))
 
 
@@ -66,4 +66,4 @@ def covariate_report(
     names = [slope, *scalars]
     std = std_coefs(people.select("jj", "kk", covariate), theta, cells, {covariate: slope}, names)
     long = to_long(std, names, "(.*)", [("term", "string")], "estimate")
-    return slopes, median_qi(long.filter(F.col("estimate").isNotNull()), ["estimate"], ["term", "kk"], one_pass=True)
+    return slopes, median_qi(long.filter(F.col("estimate").isNotNull()), ["estimate"], ["term", "kk"])

@@ -30,12 +30,12 @@ def select_columns(spark: SparkSession, sf: str) -> DataFrame:
                               "o_orderstatus:o_orderdate", "~^o_total", "-o_custkey", "-o_orderstatus")
 
 
-@query("p3_rename_regex", "SELECT l_orderkey AS id, l_linenumber AS item, l_quantity AS sdo_1, l_tax AS sdo_2 FROM lineitem")
+@query("p3_rename_regex", "SELECT l_orderkey AS id, l_linenumber AS item, l_quantity AS amount_1, l_tax AS amount_2 FROM lineitem")
 def rename_regex(spark: SparkSession, sf: str) -> DataFrame:
     df = v.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("item"),
-        F.col("l_quantity").alias("q11_1"), F.col("l_tax").alias("q11_2"))
-    return recode.rename_re(df, "^q11", "sdo")
+        F.col("l_quantity").alias("raw_1"), F.col("l_tax").alias("raw_2"))
+    return recode.rename_re(df, "^raw", "amount")
 
 
 @query("p4_across", """
@@ -132,9 +132,9 @@ def recode_factor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("p12_replace_values", """
-SELECT event_id, CASE event_type WHEN 'click' THEN 'WJ' WHEN 'view' THEN 'PJ' ELSE event_type END AS target FROM events""")
+SELECT event_id, CASE event_type WHEN 'click' THEN 'pressed' WHEN 'view' THEN 'seen' ELSE event_type END AS target FROM events""")
 def replace_values(spark: SparkSession, sf: str) -> DataFrame:
-    return recode.replace_values(v.table(spark, sf, "events"), "event_type", {"click": "WJ", "view": "PJ"},
+    return recode.replace_values(v.table(spark, sf, "events"), "event_type", {"click": "pressed", "view": "seen"},
                                  "target").select("event_id", "target")
 
 
@@ -147,28 +147,27 @@ def reverse_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("p14_dummy_code", "WITH" + v.SQL_RESPONSES + """
-SELECT id, action, CAST(cause = 'for' AS INTEGER) AS x_1, CAST(participant = protesters AS INTEGER) AS x_2,
-       CAST(cause = 'for' AND participant = 'A' AS INTEGER) AS x_3
+SELECT id, action, CAST(protesters = 'B' AS INTEGER) AS second, CAST(cause = 'against' AND protesters = 'B' AS INTEGER) AS second_against,
+       CAST(participant <> protesters OR cause = 'against' AS INTEGER) AS mixed
 FROM dl""")
 def dummy_code(spark: SparkSession, sf: str) -> DataFrame:
-    for_it = F.col("cause") == "for"
+    second, against = F.col("protesters") == "B", F.col("cause") == "against"
     df = recode.dummy_code(v.long_responses(spark, sf), {
-        "x_1": for_it, "x_2": F.col("participant") == F.col("protesters"), "x_3": for_it & (F.col("participant") == "A")})
-    return df.select("id", "action", "x_1", "x_2", "x_3")
+        "second": second, "second_against": against & second, "mixed": (F.col("participant") != F.col("protesters")) | against})
+    return df.select("id", "action", "second", "second_against", "mixed")
 
 
 @query("p15_cell_index", "WITH" + v.SQL_RESPONSES + """
-SELECT kk, CASE kk WHEN 4 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 1 THEN 4 WHEN 8 THEN 5 WHEN 6 THEN 6 WHEN 7 THEN 7
-           WHEN 5 THEN 8 END AS place, COUNT(*) AS n
-FROM cells GROUP BY 1, 2""")
+SELECT kk, CAST(DENSE_RANK() OVER (ORDER BY cause DESC, kk DESC) AS INTEGER) AS place, COUNT(*) AS n FROM cells GROUP BY kk, cause""")
 def cell_index(spark: SparkSession, sf: str) -> DataFrame:
-    shown = [v.CELLS[i - 1] for i in (4, 2, 3, 1, 8, 6, 7, 5)]
+    cause = v.DESIGN.index("cause")
+    shown = sorted(reversed(v.CELLS), key=lambda cell: cell[cause], reverse=True)
     df = recode.cell_index(v.indexed(spark, sf), v.DESIGN, shown, "place")
     return df.groupBy("kk", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p16_dense_index", """
-SELECT o_orderkey, CAST(DENSE_RANK() OVER (ORDER BY o_custkey) AS INTEGER) AS jj FROM orders WHERE o_orderstatus <> 'P'""")
+SELECT o_orderkey, DENSE_RANK() OVER (ORDER BY o_custkey) AS jj FROM orders WHERE o_orderstatus <> 'P'""")
 def dense_index(spark: SparkSession, sf: str) -> DataFrame:
     df = v.table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
     return ordering.dense_index(df, "o_custkey", "jj").select("o_orderkey", "jj")

@@ -10,20 +10,20 @@ from . import views as v
 from .registry import query, rounded
 from .scale import SQL_ITEMS, items
 
-_SCALE = {"sjb": [f"q12_{i}" for i in range(1, v.N_ITEMS + 1)]}
+_SCALE = {"overall": [f"q12_{i}" for i in range(1, v.N_ITEMS + 1)]}
 _ITEMS, _CELLS = range(1, v.N_ITEMS + 1), range(1, v.N_CELLS + 1)
-_NODES = [-3.0, -1.5, 0.0, 1.5, 3.0]
+_NODE_SQL = "node(q) AS (SELECT -4.0::DOUBLE + 0.4::DOUBLE * i FROM range(0, 21) t(i))"
 
 
 @query("m18_factor_scores")
 def factor_scores(spark: SparkSession, sf: str) -> DataFrame:
     df = factor.factor_scores(v.wide(spark, sf), _SCALE)
-    return rounded(df, "sjb").select("id", "sjb")
+    return rounded(df, "overall").select("id", "overall")
 
 
 @query("m18_two_factor_scores")
 def two_factor_scores(spark: SparkSession, sf: str) -> DataFrame:
-    model = {"care": _SCALE["sjb"][:3], "equality": _SCALE["sjb"][3:]}
+    model = {"early": _SCALE["overall"][:3], "late": _SCALE["overall"][3:]}
     df = factor.factor_scores(v.wide(spark, sf), model)
     return rounded(df, *model).select("id", *model)
 
@@ -34,17 +34,20 @@ def factor_loadings(spark: SparkSession, sf: str) -> DataFrame:
     return factor.factor_loadings(spark, fit)
 
 
-@query("m18_pattern_statistics", "WITH" + v.SQL_RESPONSES + "," + v.SQL_WIDE + """
-, c AS (SELECT CASE WHEN q12_1 IS NULL THEN '0' ELSE '1' END || CASE WHEN q12_2 IS NULL THEN '0' ELSE '1' END || CASE WHEN q12_3 IS NULL THEN '0' ELSE '1' END AS pattern,
-               q12_1, q12_2, q12_3 FROM wide)
-SELECT pattern, COUNT(*)::DOUBLE AS n, ROUND(AVG(q12_1), 6) AS m_1, ROUND(AVG(q12_2), 6) AS m_2, ROUND(AVG(q12_3), 6) AS m_3,
-       ROUND(COVAR_POP(q12_1, q12_2), 6) + 0.0 AS c_12, ROUND(VAR_POP(q12_3), 6) + 0.0 AS c_33
-FROM c WHERE pattern <> '000' GROUP BY 1""")
+_PAIRS = [(i, j) for i in _ITEMS for j in _ITEMS if i <= j]
+
+
+@query("m18_pattern_statistics", "WITH" + v.SQL_RESPONSES + "," + v.SQL_WIDE + "\n, c AS (SELECT *, "
+       + " || ".join(f"CASE WHEN q12_{i} IS NULL THEN '0' ELSE '1' END" for i in _ITEMS) + " AS pattern FROM wide)\nSELECT pattern, COUNT(*)::DOUBLE AS n, "
+       + ", ".join(f"ROUND(AVG(q12_{i}), 9) AS m_{i}" for i in _ITEMS) + ", "
+       + ", ".join(f"ROUND(COVAR_POP(q12_{i}, q12_{j}), 9) + 0.0 AS c_{i}{j}" for i, j in _PAIRS)
+       + f"\nFROM c WHERE pattern <> '{'0' * v.N_ITEMS}' GROUP BY 1")
 def pattern_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    table = factor.pattern_table(v.wide(spark, sf), ["q12_1", "q12_2", "q12_3"])
-    df = table.select("pattern", "n", *[F.col("mean")[i].alias(f"m_{i + 1}") for i in range(3)],
-                      F.col("cov")[1].alias("c_12"), F.col("cov")[5].alias("c_33"))
-    return rounded(df, "m_1", "m_2", "m_3", "c_12", "c_33")
+    table = factor.pattern_table(v.wide(spark, sf), _SCALE["overall"])
+    means, covs = [f"m_{i}" for i in _ITEMS], [f"c_{i}{j}" for i, j in _PAIRS]
+    df = table.select("pattern", "n", *[F.col("mean")[i].alias(c) for i, c in enumerate(means)],
+                      *[F.col("cov")[i].alias(c) for i, c in enumerate(covs)])
+    return rounded(df, *means, *covs, digits=9)
 
 
 @query("m19_reliability_and_fit")
@@ -55,7 +58,7 @@ def reliability_and_fit(spark: SparkSession, sf: str) -> DataFrame:
 @query("m20_calibrate_2pl")
 def calibrate_2pl(spark: SparkSession, sf: str) -> DataFrame:
     fit = cal.calibrate_2pl(v.indexed(spark, sf).filter(~F.col("exclude")), "id", "action", "response", cell="kk",
-                            max_iter=20, tol=5e-3, items_are=_ITEMS, cells_are=_CELLS)
+                            items_are=_ITEMS, cells_are=_CELLS)
     items = fit.items.select(F.col("item").cast("string").alias("term"), "alpha", "beta")
     effects = fit.effects.select("term", F.col("estimate").alias("beta"))
     return bind_rows({"item": items, "effect": effects}, "part")
@@ -66,7 +69,7 @@ def calibrate_2pl_covariate(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.recode import z_score
     dl = z_score(v.indexed(spark, sf).filter(~F.col("exclude")), ["balance"])
     fit = cal.calibrate_2pl(dl, "id", "action", "response", cell="kk", covariates=["balance"], slopes_by_cell=True,
-                            sign=-1, estimate_sigma=True, max_iter=12, tol=5e-3, items_are=_ITEMS, cells_are=_CELLS)
+                            sign=-1, estimate_sigma=True, items_are=_ITEMS, cells_are=_CELLS)
     return fit.effects
 
 
@@ -74,17 +77,17 @@ def calibrate_2pl_covariate(spark: SparkSession, sf: str) -> DataFrame:
 def calibrate_2pl_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     level = F.least(F.lit(5), 1 + F.floor((F.col("balance") + 1000) / 2200)).cast("int")
     dl = v.indexed(spark, sf).filter(~F.col("exclude")).withColumn("sup", level)
-    return cal.calibrate_2pl(dl, "id", "action", "response", cell="kk", ordinal="sup", max_iter=12, tol=5e-3).effects
+    return cal.calibrate_2pl(dl, "id", "action", "response", cell="kk", ordinal="sup").effects
 
 
 @query("m21_calibrate_graded")
 def calibrate_graded(spark: SparkSession, sf: str) -> DataFrame:
-    return cal.calibrate_grm(v.graded(spark, sf), "id", "item", "y", max_iter=15, tol=5e-3).items
+    return cal.calibrate_grm(v.graded(spark, sf), "id", "item", "y").items
 
 
 _SCORE_SQL = "WITH" + v.SQL_RESPONSES + """
 , bank AS (SELECT action, 0.5 + AVG(response) AS alpha, LN(AVG(response) / (1 - AVG(response))) AS beta FROM responses GROUP BY 1),
-node(q) AS (VALUES (-3.0::DOUBLE), (-1.5), (0.0), (1.5), (3.0)),
+""" + _NODE_SQL + """,
 ll AS (SELECT id, q, COUNT(*) AS n_items, SUM(CASE WHEN response = 1 THEN -LN(1 + EXP(-alpha * (q + beta))) ELSE -LN(1 + EXP(alpha * (q + beta))) END) - 0.5 * q * q AS l
        FROM responses JOIN bank USING (action), node GROUP BY 1, 2),
 w AS (SELECT id, q, n_items, EXP(l - MAX(l) OVER (PARTITION BY id)) AS w FROM ll)
@@ -98,7 +101,7 @@ def person_scores(spark: SparkSession, sf: str) -> DataFrame:
     resp = v.responses(spark, sf)
     rate = F.avg("response")
     bank = resp.groupBy(F.col("action").alias("item")).agg((0.5 + rate).alias("alpha"), F.log(rate / (1 - rate)).alias("beta"))
-    return rounded(cal.score_eap(resp, bank, "id", "action", "response", _NODES), "theta", "theta_sd")
+    return rounded(cal.score_eap(resp, bank, "id", "action", "response"), "theta", "theta_sd")
 
 
 _CUT = "1 / (1 + EXP(-(alpha * q - beta_{})))"
@@ -107,12 +110,12 @@ _GRADED_P = "CASE y WHEN 1 THEN 1 - {c1} WHEN 2 THEN {c1} - {c2} WHEN 3 THEN {c2
 
 
 @query("m22_graded_person_scores", "WITH" + v.SQL_GRADED + "," + SQL_ITEMS + f"""
-, node(q) AS (VALUES (-3.0::DOUBLE), (-1.5), (0.0), (1.5), (3.0)),
+, {_NODE_SQL},
 ll AS (SELECT id, q, COUNT(*) AS n_items, SUM(LN({_GRADED_P})) - 0.5 * q * q AS l FROM graded JOIN items USING (item), node GROUP BY 1, 2),
 w AS (SELECT id, q, n_items, EXP(l - MAX(l) OVER (PARTITION BY id)) AS w FROM ll)
 SELECT id, MAX(n_items) AS n_items, ROUND(SUM(w * q) / SUM(w), 6) + 0.0 AS theta,
        ROUND(SQRT(GREATEST(SUM(w * q * q) / SUM(w) - (SUM(w * q) / SUM(w)) * (SUM(w * q) / SUM(w)), 0)), 6) AS theta_sd
 FROM w GROUP BY 1""")
 def graded_person_scores(spark: SparkSession, sf: str) -> DataFrame:
-    df = cal.score_eap(v.graded(spark, sf), items(spark, sf), "id", "item", "y", _NODES)
+    df = cal.score_eap(v.graded(spark, sf), items(spark, sf), "id", "item", "y")
     return rounded(df, "theta", "theta_sd")

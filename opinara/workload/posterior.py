@@ -97,26 +97,26 @@ def coded_conditions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.predict_counts(z, v.item_draws(spark, sf), by, sign=-1), "z", "n", "p")
 
 
-_GRID = seq(-2.5, 2.5, 0.1)
+_GRID = seq(-1.8, 1.8, 0.2)
 
 
 @query("m5_covariate_sweep", "WITH" + v.SQL_DRAWS + f"""
-, g AS (SELECT o.outcome, ROUND(CAST(-2.5 + i * 0.1 AS DOUBLE), 6) + 0.0 AS x FROM (VALUES ('x_4'), ('x_5'), ('x_6')) o(outcome), range(0, 51) t(i)),
-pts AS (SELECT draw, outcome, x, 0.5 * e[15] + 0.5 * e[16] + 0.25 * e[17] + x * CASE outcome WHEN 'x_4' THEN e[18] WHEN 'x_5' THEN e[19] ELSE e[20] END AS eta FROM base, g)
+, g AS (SELECT o.outcome, ROUND(CAST(-1.8 + i * 0.2 AS DOUBLE), 6) + 0.0 AS x FROM (VALUES ('x_2'), ('x_5')) o(outcome), range(0, 19) t(i)),
+pts AS (SELECT draw, outcome, x, 0.4 * e[15] - 0.2 * e[17] + 0.1 * e[18] + x * CASE outcome WHEN 'x_2' THEN e[16] ELSE e[19] END AS eta FROM base, g)
 SELECT draw, outcome, x, ROUND(ANY_VALUE((eta - mean) / sd), 6) + 0.0 AS z, ROUND(SUM({_P.replace('(beta', '(-beta')}), 6) AS n, ROUND(AVG({_P.replace('(beta', '(-beta')}), 6) AS p
 FROM pts JOIN latent USING (draw) JOIN post_ii USING (draw) GROUP BY 1, 2, 3""")
 def covariate_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    coefs = v.draws(spark, sf).select("draw", *[F.col(f"`delta[{k}]`").alias(f"delta_{k}") for k in range(1, 7)])
+    coefs = v.draws(spark, sf).select("draw", *[F.col(f"`delta[{k}]`").alias(f"delta_{k}") for k in range(1, 6)])
     moments = d.latent_moments(v.panel(spark, sf).select("jj", "kk"), v.person_draws(spark, sf), v.cell_draws(spark, sf))
-    fixed = {"x_1": 0.5, "x_2": 0.5, "x_3": 0.25, "x_4": 0.0, "x_5": 0.0, "x_6": 0.0}
-    out = e.sweep(coefs, v.item_draws(spark, sf), moments, {x: x for x in ("x_4", "x_5", "x_6")}, _GRID, fixed,
-                  {f"x_{k}": f"delta_{k}" for k in range(1, 7)}, n_items=v.N_ITEMS)
+    fixed = {"x_1": 0.4, "x_2": 0.0, "x_3": -0.2, "x_4": 0.1, "x_5": 0.0}
+    out = e.sweep(coefs, v.item_draws(spark, sf), moments, {x: x for x in ("x_2", "x_5")}, _GRID, fixed,
+                  {f"x_{k}": f"delta_{k}" for k in range(1, 6)}, n_items=v.N_ITEMS)
     return rounded(out, "x", "z", "n", "p")
 
 
 @query("m6_curve_by_cause", "WITH" + v.SQL_DRAWS + f"""
 , m AS (SELECT draw, kk % 2 AS x_for, AVG(delta) AS delta, ANY_VALUE(b_for) AS b_for, ANY_VALUE(b_against) AS b_against FROM post_kk GROUP BY 1, 2),
-pts AS (SELECT draw, x_for, ROUND(CAST(-2.5 + i * 0.1 AS DOUBLE), 6) + 0.0 AS x, delta + (b_for * x_for + b_against * (1 - x_for)) * (-2.5 + i * 0.1) AS eta FROM m, range(0, 51) t(i))
+pts AS (SELECT draw, x_for, ROUND(CAST(-1.8 + i * 0.2 AS DOUBLE), 6) + 0.0 AS x, delta + (b_for * x_for + b_against * (1 - x_for)) * (-1.8 + i * 0.2) AS eta FROM m, range(0, 19) t(i))
 SELECT draw, x_for, x, ROUND(ANY_VALUE((eta - mean) / sd), 6) + 0.0 AS z, ROUND(SUM({_P}), 6) AS n, ROUND(AVG({_P}), 6) AS p
 FROM pts JOIN latent_x USING (draw) JOIN post_ii USING (draw) GROUP BY 1, 2, 3""")
 def curve_by_cause(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +145,7 @@ def standardised_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     std = e.std_coefs(v.panel(spark, sf).select("jj", "kk", "x"), v.person_draws(spark, sf), cells, {"x": "b_kk"}, coefs)
     both = std.join(cells.select("draw", "kk", "raw_sup"), ["draw", "kk"])
     long = to_long(both, [*coefs, "raw_sup"], "(.*)", [("predictor", "string")], "b")
-    return rounded(q.median_qi(long, ["b"], ["predictor", "kk"], one_pass=True), "b", "lower", "upper")
+    return rounded(q.median_qi(long, ["b"], ["predictor", "kk"]), "b", "lower", "upper")
 
 
 _SHARES = "ABS(e[4]) + ABS(e[5]) + ABS(e[6]) + ABS(e[7])"
@@ -190,23 +190,26 @@ def ordinal_predictions_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+# Effects of a two-level design as products of codes: every factor is coded +1 and -1, an effect is the
+# product of the codes of its factors, and weights are scaled to the difference of two halves of the cells.
+_EFFECTS = {"m_protesters": ("protesters",), "m_cause": ("cause",), "i_protesters_cause": ("protesters", "cause"),
+            "i_all": ("participant", "protesters", "cause")}
+_FIRST = {"participant": "A", "protesters": "A", "cause": "for"}
+
+
 def _weights() -> dict:
-    a, same = F.col("participant") == "A", F.col("participant") == F.col("protesters")
-    pro = F.col("cause") == "for"
-    return {
-        "h1a": c.coded((same, 1 / 8), (~same, -1 / 8)),
-        "h1b": c.coded((a & pro, 1 / 8), (~a & ~pro, 1 / 8), default=-1 / 8),
-        "nh1": c.coded((a, -1 / 8), (~a, 1 / 8)),
-        "nh2": c.coded((~a & ~pro, -1 / 4), (~a & pro, 1 / 4), (a, 0.0)),
-    }
+    out = {}
+    for name, factors in _EFFECTS.items():
+        code = F.lit(1.0)
+        for factor in factors:
+            code = code * c.coded((F.col(factor) == _FIRST[factor], 1.0), default=-1.0)
+        out[name] = code / 4
+    return out
 
 
-_W_SQL = """
-, w AS (
-  SELECT kk, 'h1a' AS contrast, CASE WHEN participant = protesters THEN 0.125 ELSE -0.125 END AS w FROM lab
-  UNION ALL SELECT kk, 'h1b', CASE WHEN (participant = 'A') = (cause = 'for') THEN 0.125 ELSE -0.125 END FROM lab
-  UNION ALL SELECT kk, 'nh1', CASE WHEN participant = 'A' THEN -0.125 ELSE 0.125 END FROM lab
-  UNION ALL SELECT kk, 'nh2', CASE WHEN participant = 'A' THEN 0 WHEN cause = 'for' THEN 0.25 ELSE -0.25 END FROM lab)"""
+_W_SQL = "\n, w AS (" + " UNION ALL ".join(
+    f"SELECT kk, '{name}' AS contrast, 0.25::DOUBLE * " + " * ".join(f"(CASE {f} WHEN '{_FIRST[f]}' THEN 1 ELSE -1 END)" for f in factors)
+    + " AS w FROM lab" for name, factors in _EFFECTS.items()) + ")"
 
 
 @query("m11_a13_planned_contrasts", "WITH" + v.SQL_DRAWS + _LAB_SQL + _W_SQL + """
@@ -219,39 +222,38 @@ def planned_contrasts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _directions() -> dict:
-    a, pro = F.col("participant") == "A", F.col("cause") == "for"
-    own = F.col("protesters") == "A"
+    own, pro = F.col("protesters") == "A", F.col("cause") == "for"
     return {
-        "h1": c.coded((~own & ~pro, 1.0), default=-1.0),
-        "nh1": c.coded((a & pro, 1.0), (a & ~pro, -1.0)),
-        "nh2": c.coded((~a & pro, -1.0), (~a & ~pro, 1.0)),
+        "all_first": c.coded((own & pro & (F.col("participant") == "A"), 1.0), default=-1.0),
+        "cause_within_first": c.coded((own & pro, 1.0), (own & ~pro, -1.0)),
+        "cause_within_second": c.coded((~own & pro, 1.0), (~own & ~pro, -1.0)),
     }
 
 
 @query("m11_a12_balanced_contrasts", "WITH" + v.SQL_DRAWS + _LAB_SQL + """
 , w AS (
-  SELECT kk, 'h1' AS contrast, CASE WHEN protesters = 'B' AND cause = 'against' THEN 1 ELSE -1 END AS w FROM lab
-  UNION ALL SELECT kk, 'nh1', CASE WHEN cause = 'for' THEN 1 ELSE -1 END FROM lab WHERE participant = 'A'
-  UNION ALL SELECT kk, 'nh2', CASE WHEN cause = 'for' THEN -1 ELSE 1 END FROM lab WHERE participant = 'B'),
+  SELECT kk, 'all_first' AS contrast, CASE WHEN participant = 'A' AND protesters = 'A' AND cause = 'for' THEN 1 ELSE -1 END AS w FROM lab
+  UNION ALL SELECT kk, 'cause_within_first', CASE WHEN cause = 'for' THEN 1 ELSE -1 END FROM lab WHERE protesters = 'A'
+  UNION ALL SELECT kk, 'cause_within_second', CASE WHEN cause = 'for' THEN 1 ELSE -1 END FROM lab WHERE protesters = 'B'),
 m AS (SELECT draw, contrast, w, AVG(z) AS z FROM effects JOIN w USING (kk) GROUP BY 1, 2, 3),
 d0 AS (SELECT draw, contrast, SUM(z * w) AS d FROM m GROUP BY 1, 2),
-d AS (SELECT * FROM d0 UNION ALL SELECT a.draw, 'nh7', a.d - b.d FROM d0 a JOIN d0 b USING (draw) WHERE a.contrast = 'nh2' AND b.contrast = 'nh1'),
+d AS (SELECT * FROM d0 UNION ALL SELECT a.draw, 'cause_change', a.d - b.d FROM d0 a JOIN d0 b USING (draw) WHERE a.contrast = 'cause_within_second' AND b.contrast = 'cause_within_first'),
 q AS (SELECT contrast, MEDIAN(d) AS d, QUANTILE_CONT(d, 0.025) AS lower, QUANTILE_CONT(d, 0.975) AS upper FROM d GROUP BY 1)
 SELECT contrast, ROUND(d, 6) + 0.0 AS d, ROUND(lower, 6) + 0.0 AS lower, ROUND(upper, 6) + 0.0 AS upper, 0.95::DOUBLE AS width,
        'd = ' || PRINTF('%.2f', d) || ', [' || PRINTF('%.2f', lower) || ', ' || PRINTF('%.2f', upper) || ']' AS d_text FROM q""")
 def balanced_contrasts(spark: SparkSession, sf: str) -> DataFrame:
-    table = c.contrast_table(labelled(effects(spark, sf)), _directions(), mode="balanced", derived={"nh7": ("nh2", "nh1")})
+    table = c.contrast_table(labelled(effects(spark, sf)), _directions(), mode="balanced", derived={"cause_change": ("cause_within_second", "cause_within_first")})
     return rounded(table, "d", "lower", "upper")
 
 
-@query("m11_contrasts_by_slope", "WITH" + v.SQL_DRAWS + _LAB_SQL + _W_SQL.replace("0.125", "1.0").replace("0.25", "1.0") + """
+@query("m11_contrasts_by_slope", "WITH" + v.SQL_DRAWS + _LAB_SQL + _W_SQL.replace("0.25::", "1.0::") + """
 , pts AS (SELECT draw, kk, x, (delta + b_kk * x - mean) / sd AS z FROM post_kk JOIN latent_x USING (draw), (VALUES (-1.0::DOUBLE), (0), (1)) g(x)),
-d AS (SELECT draw, x, contrast, AVG(z * w) AS d FROM pts JOIN w USING (kk) WHERE contrast IN ('h1a', 'h1b') GROUP BY 1, 2, 3)
+d AS (SELECT draw, x, contrast, AVG(z * w) AS d FROM pts JOIN w USING (kk) GROUP BY 1, 2, 3)
 SELECT x, contrast, ROUND(MEDIAN(d), 6) + 0.0 AS d, ROUND(QUANTILE_CONT(d, 0.025), 6) + 0.0 AS lower, ROUND(QUANTILE_CONT(d, 0.975), 6) + 0.0 AS upper, 0.95::DOUBLE AS width
 FROM d GROUP BY 1, 2""")
 def contrasts_by_slope(spark: SparkSession, sf: str) -> DataFrame:
     slopes = labelled(e.simple_slopes(v.cell_draws(spark, sf), _moments_x(spark, sf), "b_kk"))
-    weights = {k: w * 8 for k, w in _weights().items() if k in ("h1a", "h1b")}
+    weights = {k: w * 4 for k, w in _weights().items()}
     table = c.contrast_table(slopes, weights, by=["x"], mode="mean").drop("d_text")
     return rounded(table, "d", "lower", "upper")
 
@@ -268,10 +270,12 @@ def marginal_coefficients(spark: SparkSession, sf: str) -> DataFrame:
 @query("m12_marginal_by_observer", "WITH" + v.SQL_DRAWS + _LAB_SQL + """
 , m AS (SELECT draw, participant, AVG(z) FILTER (cause = 'for') - AVG(z) FILTER (cause = 'against') AS d FROM effects JOIN lab USING (kk) GROUP BY 1, 2),
 q AS (SELECT participant, MEDIAN(d) AS d, QUANTILE_CONT(d, 0.025) AS lower, QUANTILE_CONT(d, 0.975) AS upper FROM m GROUP BY 1)
-SELECT participant, 'd = ' || PRINTF('%.2f', d) || ', [' || PRINTF('%.2f', lower) || ', ' || PRINTF('%.2f', upper) || ']' AS d_text FROM q""")
+SELECT participant, ROUND(d, 6) + 0.0 AS d, ROUND(lower, 6) + 0.0 AS lower, ROUND(upper, 6) + 0.0 AS upper, 'd = ' || PRINTF('%.2f', d) || ', [' || PRINTF('%.2f', lower) || ', ' || PRINTF('%.2f', upper) || ']' AS d_text FROM q""")
 def marginal_by_observer(spark: SparkSession, sf: str) -> DataFrame:
     diff = c.marginal_diff(labelled(effects(spark, sf)), "cause", "for", "against", by=["participant"])
-    return q.median_qi(diff, ["d"], ["participant"], one_pass=True).select("participant", fmt_estimate("d", "lower", "upper").alias("d_text"))
+    table = q.median_qi(diff, ["d"], ["participant"])
+    return rounded(table.withColumn("d_text", fmt_estimate("d", "lower", "upper")), "d", "lower", "upper").select(
+        "participant", "d", "lower", "upper", "d_text")
 
 
 # -- precision over fits ---------------------------------------------------------------------

@@ -52,11 +52,11 @@ def study_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("report_answered_block", "WITH" + v.SQL_RESPONSES + "," + v.SQL_WIDE + """
-SELECT id, 'WJ' AS target FROM wide WHERE COALESCE(q12_1, q12_2, q12_3) IS NOT NULL
-UNION ALL SELECT id, 'PJ' FROM wide WHERE COALESCE(q12_4, q12_5) IS NOT NULL
+SELECT id, 'first' AS target FROM wide WHERE COALESCE(q12_1, q12_2, q12_3) IS NOT NULL
+UNION ALL SELECT id, 'second' FROM wide WHERE COALESCE(q12_4, q12_5) IS NOT NULL
 UNION ALL SELECT id, NULL FROM wide WHERE COALESCE(q12_1, q12_2, q12_3, q12_4, q12_5) IS NULL""")
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return answered_block(v.wide(spark, sf), {"WJ": "q12_1:q12_3", "PJ": "q12_4:q12_5"}, "target").select("id", "target")
+    return answered_block(v.wide(spark, sf), {"first": "q12_1:q12_3", "second": "q12_4:q12_5"}, "target").select("id", "target")
 
 
 @query("report_panel_table", """
@@ -69,7 +69,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def _report(spark: SparkSession, sf: str):
     people = v.panel(spark, sf).select("jj", "kk")
-    return effect_report(v.draws(spark, sf), people, labelled(people.select("kk").distinct()), _weights(), derived={"h": ("nh1", "nh2")},
+    return effect_report(v.draws(spark, sf), people, labelled(people.select("kk").distinct()), _weights(), derived={"gap": ("m_protesters", "m_cause")},
                          widths=(0.5, 0.95))
 
 
@@ -85,11 +85,11 @@ def effect_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("report_effect_contrasts", "WITH" + v.SQL_DRAWS + _LAB_SQL + _W_SQL + """
 , d0 AS (SELECT draw, contrast, SUM(z * w) AS d FROM effects JOIN w USING (kk) GROUP BY 1, 2),
-d AS (SELECT * FROM d0 UNION ALL SELECT a.draw, 'h', a.d - b.d FROM d0 a JOIN d0 b USING (draw) WHERE a.contrast = 'nh1' AND b.contrast = 'nh2'),
+d AS (SELECT * FROM d0 UNION ALL SELECT a.draw, 'gap', a.d - b.d FROM d0 a JOIN d0 b USING (draw) WHERE a.contrast = 'm_protesters' AND b.contrast = 'm_cause'),
 q AS (SELECT contrast, MEDIAN(d) AS d, QUANTILE_CONT(d, 0.025) AS lower, QUANTILE_CONT(d, 0.975) AS upper FROM d GROUP BY 1)
-SELECT contrast, 'd = ' || PRINTF('%.2f', d) || ', [' || PRINTF('%.2f', lower) || ', ' || PRINTF('%.2f', upper) || ']' AS d_text FROM q""")
+SELECT contrast, ROUND(d, 6) + 0.0 AS d, ROUND(lower, 6) + 0.0 AS lower, ROUND(upper, 6) + 0.0 AS upper, 'd = ' || PRINTF('%.2f', d) || ', [' || PRINTF('%.2f', lower) || ', ' || PRINTF('%.2f', upper) || ']' AS d_text FROM q""")
 def effect_contrasts(spark: SparkSession, sf: str) -> DataFrame:
-    return _report(spark, sf).contrasts.select("contrast", "d_text")
+    return rounded(_report(spark, sf).contrasts, "d", "lower", "upper").select("contrast", "d", "lower", "upper", "d_text")
 
 
 @query("report_covariate_slopes", "WITH" + v.SQL_DRAWS + f"""
@@ -101,21 +101,21 @@ def covariate_slopes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(slopes, "z", "n", "p")
 
 
-_SCALES = {"acceptable": "Acce.", "violent": "Viol.", "extreme": "Extr."}
+_SCALES = {"amount": "Amount", "rebate": "Rebate", "duty": "Duty"}
 
 
 def _scale(spark: SparkSession, sf: str):
     part = v.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("item"))
     li = v.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    ratings = li.select("item", (1 + F.col("l_suppkey") % 5).cast("int").alias("y"), F.col("l_quantity").alias("acceptable"),
-                        F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("violent"), F.col("l_tax").alias("extreme"))
+    ratings = li.select("item", (1 + F.col("l_suppkey") % 5).cast("int").alias("y"), F.col("l_quantity").alias("amount"),
+                        F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("rebate"), F.col("l_tax").alias("duty"))
     return scale_report(ratings, items(spark, sf), "y", range(1, 6), _SCALES)
 
 
 @query("report_scale_means", "WITH" + SQL_ITEMS + """
-, m AS (SELECT p_brand AS item, PRINTF('%.2f', AVG(l_quantity)) AS "Acce.", PRINTF('%.2f', AVG(CASE WHEN l_discount > 0 THEN l_discount END)) AS "Viol.",
-               PRINTF('%.2f', AVG(l_tax)) AS "Extr." FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
-SELECT ROW_NUMBER() OVER (ORDER BY information DESC, item) AS rank, item, "Acce.", "Viol.", "Extr." FROM total JOIN m USING (item)""")
+, m AS (SELECT p_brand AS item, PRINTF('%.2f', AVG(l_quantity)) AS "Amount", PRINTF('%.2f', AVG(CASE WHEN l_discount > 0 THEN l_discount END)) AS "Rebate",
+               PRINTF('%.2f', AVG(l_tax)) AS "Duty" FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT ROW_NUMBER() OVER (ORDER BY information DESC, item) AS rank, item, "Amount", "Rebate", "Duty" FROM total JOIN m USING (item)""")
 def scale_means(spark: SparkSession, sf: str) -> DataFrame:
     return _scale(spark, sf).means
 

@@ -107,7 +107,7 @@ def item_table(spark: SparkSession, sf: str) -> DataFrame:
 , r AS (SELECT item, ROW_NUMBER() OVER (ORDER BY information DESC, item) AS n_items FROM total)
 SELECT theta, n_items, ROUND(SUM(i_1 + i_2 + i_3 + i_4 + i_5) OVER (PARTITION BY theta ORDER BY n_items), 6) AS info FROM info JOIN r USING (item)""")
 def scale_curves(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(g.scale_curves(informed(spark, sf), _THETA, range(1, 73)), "info")
+    return rounded(g.scale_curves(informed(spark, sf), _THETA, None), "info")
 
 
 @query("m17_item_medians", "WITH" + v.SQL_DRAWS + """
@@ -124,7 +124,7 @@ def item_medians(spark: SparkSession, sf: str) -> DataFrame:
 @query("m17_theta_moments", "WITH" + v.SQL_DRAWS + """
 SELECT ROUND(MEDIAN(mean), 6) + 0.0 AS mean, ROUND(MEDIAN(sd), 6) AS sd FROM (SELECT draw, AVG(theta) AS mean, STDDEV_SAMP(theta) AS sd FROM post_jj GROUP BY 1)""")
 def theta_moments(spark: SparkSession, sf: str) -> DataFrame:
-    df = q.median_qi(d.draw_moments(v.person_draws(spark, sf), "theta"), ["mean", "sd"], one_pass=True)
+    df = q.median_qi(d.draw_moments(v.person_draws(spark, sf), "theta"), ["mean", "sd"])
     return rounded(df.select("mean", "sd"), "mean", "sd")
 
 
@@ -132,5 +132,5 @@ def theta_moments(spark: SparkSession, sf: str) -> DataFrame:
 , b AS (SELECT ii AS item, MEDIAN(alpha) AS alpha, MEDIAN(beta) AS beta FROM post_ii GROUP BY 1), g AS (SELECT CAST(-3.0 + i * 0.5 AS DOUBLE) AS theta FROM range(0, 13) t(i))
 SELECT item, theta, ROUND(1 / (1 + EXP(-alpha * (theta + beta))), 6) AS p FROM b, g""")
 def characteristic_curves(spark: SparkSession, sf: str) -> DataFrame:
-    med = q.median_qi(v.item_draws(spark, sf), ["alpha", "beta"], ["ii"], one_pass=True)
+    med = q.median_qi(v.item_draws(spark, sf), ["alpha", "beta"], ["ii"])
     return rounded(g.icc(med.select(F.col("ii").alias("item"), "alpha", "beta"), _THETA), "p")

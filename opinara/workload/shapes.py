@@ -97,37 +97,36 @@ def distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("r1_to_long_two_groups", """
-SELECT l_orderkey, l_linenumber, l_partkey, 'q3' AS target, 1 AS action, CAST(TRUNC(l_quantity) AS INTEGER) AS response FROM lineitem
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'q3', 2, CAST(TRUNC(l_extendedprice) AS INTEGER) FROM lineitem
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'q5', 1, 1 FROM lineitem WHERE l_tax >= 0.04""")
+SELECT l_orderkey, l_linenumber, l_partkey, 'size' AS kind, 1 AS place, CAST(TRUNC(l_quantity) AS INTEGER) AS amount FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'size', 2, CAST(TRUNC(l_extendedprice) AS INTEGER) FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'duty', 1, 1 FROM lineitem WHERE l_tax >= 0.04""")
 def to_long_two_groups(spark: SparkSession, sf: str) -> DataFrame:
     df = v.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("string").alias("q3_1"),
-        F.col("l_extendedprice").cast("string").alias("q3_2"), F.when(F.col("l_tax") >= 0.04, "1").otherwise("NA").alias("q5_1"))
-    return shape.to_long(df, recode.select_cols(df, "~q3_|q5_").columns, r"(.*)_([0-9]*)",
-                         [("target", "string"), ("action", "int")], "response", "int", drop_na=True)
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("string").alias("size#1"),
+        F.col("l_extendedprice").cast("string").alias("size#2"), F.when(F.col("l_tax") >= 0.04, "1").otherwise("NA").alias("duty#1"))
+    return shape.to_long(df, recode.select_cols(df, "~#").columns, r"([a-z]+)#(\d)",
+                         [("kind", "string"), ("place", "int")], "amount", "int", drop_na=True)
 
 
 @query("r2_to_long_one_group", "WITH" + v.SQL_RESPONSES + "," + v.SQL_WIDE + _LONG_SQL.join(("\nSELECT * FROM (", ") WHERE response IS NOT NULL")))
 def to_long_one_group(spark: SparkSession, sf: str) -> DataFrame:
-    return shape.to_long(v.wide(spark, sf), _Q12, r".*_([0-9]*)", [("action", "int")], "response", "int", drop_na=True)
+    return shape.to_long(v.wide(spark, sf), _Q12, r"q\d+_(\d+)", [("action", "int")], "response", "int", drop_na=True)
 
 
 @query("r3_to_long_prefix", "WITH" + v.SQL_DRAWS + """
 SELECT draw, 'for' AS cause, ROUND(e[1], 6) + 0.0 AS b FROM base UNION ALL SELECT draw, 'against', ROUND(e[2], 6) + 0.0 FROM base""")
 def to_long_prefix(spark: SparkSession, sf: str) -> DataFrame:
     df = v.draws(spark, sf).select("draw", "b_for", "b_against")
-    return rounded(shape.to_long(df, ["b_for", "b_against"], "b_(.*)", [("cause", "string")], "b", drop_na=True), "b")
+    return rounded(shape.to_long(df, ["b_for", "b_against"], "b_([a-z]+)", [("cause", "string")], "b", drop_na=True), "b")
 
 
 @query("r4_to_wide", """
-SELECT l_returnflag, COALESCE(SUM(l_quantity) FILTER (l_linestatus = 'O' AND l_linenumber = 1), 0) AS "O_1",
-       COALESCE(SUM(l_quantity) FILTER (l_linestatus = 'F' AND l_linenumber = 1), 0) AS "F_1",
-       COALESCE(SUM(l_quantity) FILTER (l_linestatus = 'F' AND l_linenumber = 9), 0) AS "F_9"
+SELECT l_returnflag, """ + ", ".join(
+    f"""COALESCE(SUM(l_quantity) FILTER (l_linestatus = '{s}' AND l_linenumber = {n}), 0) AS "{s}_{n}\"""" for s in "FO" for n in range(1, 8)) + """
 FROM lineitem GROUP BY 1""")
 def to_wide(spark: SparkSession, sf: str) -> DataFrame:
     sums = v.table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
-    return shape.to_wide(sums, ["l_linestatus", "l_linenumber"], "q", [("O", 1), ("F", 1), ("F", 9)], ["l_returnflag"], fill=0)
+    return shape.to_wide(sums, ["l_linestatus", "l_linenumber"], "q", None, ["l_returnflag"], fill=0)
 
 
 @query("r5_spread_draws", "WITH" + v.SQL_DRAWS + """
@@ -139,13 +138,13 @@ def spread_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("r5_spread_draws_two_indexes", "WITH" + v.SQL_DRAWS + """
-SELECT draw, CAST(i AS INTEGER) AS ii, CAST(k AS INTEGER) AS kk, ROUND(e[14 + (i - 1) * 4 + k], 6) + 0.0 AS beta, ROUND(EXP(e[i]), 6) AS alpha
-FROM base, range(1, 5) s(i), range(1, 5) t(k)""")
+SELECT draw, CAST(i AS INTEGER) AS ii, CAST(k AS INTEGER) AS kk, ROUND(e[7 + (i - 1) * 8 + k], 6) + 0.0 AS beta, ROUND(EXP(e[i]), 6) AS alpha
+FROM base, range(1, 8) s(i), range(1, 9) t(k)""")
 def spread_draws_two_indexes(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("embedding")
     wide = v.table(spark, sf, "embeddings").select(
-        (F.col("vec_id") + 1).cast("int").alias("draw"), *[F.exp(e[i - 1].cast("double")).alias(f"alpha[{i}]") for i in range(1, 5)],
-        *[e[13 + (i - 1) * 4 + k].cast("double").alias(f"beta[{i},{k}]") for i in range(1, 5) for k in range(1, 5)])
+        (F.col("vec_id") + 1).cast("int").alias("draw"), *[F.exp(e[i - 1].cast("double")).alias(f"alpha[{i}]") for i in range(1, 8)],
+        *[e[6 + (i - 1) * 8 + k].cast("double").alias(f"beta[{i},{k}]") for i in range(1, 8) for k in range(1, 9)])
     return rounded(d.spread_draws(wide, {"beta": ("ii", "kk"), "alpha": ("ii",)}), "beta", "alpha")
 
 

@@ -75,7 +75,7 @@ def _interval_sql(value: str, by: str, source: str) -> str:
 
 @query("a9_median_interval", "WITH" + v.SQL_DRAWS + _interval_sql("delta", "kk", "post_kk"))
 def median_interval(spark: SparkSession, sf: str) -> DataFrame:
-    df = q.median_qi(v.cell_draws(spark, sf), {"x": "delta"}, ["kk"], one_pass=True)
+    df = q.median_qi(v.cell_draws(spark, sf), {"x": "delta"}, ["kk"])
     return rounded(df, "x", "lower", "upper")
 
 
@@ -104,7 +104,7 @@ SELECT kk, width, ROUND(LIST_AGGREGATE(ps, 'quantile_cont', 0.5), 6) AS value,
 FROM g, w""")
 def interval_set(spark: SparkSession, sf: str) -> DataFrame:
     from .posterior import effects
-    return rounded(q.interval_set(effects(spark, sf), "p", ["kk"], one_pass=True), "value", "lower", "upper")
+    return rounded(q.interval_set(effects(spark, sf), "p", ["kk"]), "value", "lower", "upper")
 
 
 @query("a11_group_median", "SELECT c_mktsegment, ROUND(MEDIAN(c_acctbal), 6) AS median FROM customer GROUP BY 1")
@@ -193,7 +193,7 @@ def draw_z(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("w5_index_within", """
-SELECT c_custkey, c_mktsegment, CAST(DENSE_RANK() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS INTEGER) AS run FROM customer""")
+SELECT c_custkey, c_mktsegment, DENSE_RANK() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS run FROM customer""")
 def index_within(spark: SparkSession, sf: str) -> DataFrame:
     df = v.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     return ordering.index_within(df, ["c_mktsegment"], "c_nationkey", "run").select("c_custkey", "c_mktsegment", "run")
@@ -224,4 +224,4 @@ SELECT ROUND(MEDIAN(d), 6) + 0.0 AS d, ROUND(QUANTILE_CONT(d, 0.025), 6) + 0.0 A
 def marginal_difference(spark: SparkSession, sf: str) -> DataFrame:
     from .posterior import effects
     labelled = recode.pick_by(effects(spark, sf).withColumns({"odd": F.lit("for"), "even": F.lit("against"), "k2": F.col("kk") % 2}), "k2", {1: "odd", 0: "even"}, "cause")
-    return rounded(q.median_qi(c.marginal_diff(labelled, "cause", "for", "against"), ["d"], one_pass=True), "d", "lower", "upper")
+    return rounded(q.median_qi(c.marginal_diff(labelled, "cause", "for", "against"), ["d"]), "d", "lower", "upper")
