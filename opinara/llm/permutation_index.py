@@ -95,7 +95,7 @@ def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
             yield int(query_id), int(ids[at[i]]), float(score[i])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 256, depth: int = 24, share: float = 0.3,
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 256, depth: int = 24, share: float = 0.4,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest found of every query, nearest first."""
     scratch = Scratch(vectors.sparkSession)
