@@ -22,10 +22,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
-from .tokens import encoder
+from .common import Scratch, pieces as parts
+from .tokens import TEXTS_AT_ONCE, encoder
 
-BLOCK_PIECES = 2_000  # pieces split together in one task
+BLOCK_PIECES = 1_500  # pieces split together in one task
 REST_LIMIT = 1_024  # longest piece that is not a full window: large rests would leave windows uneven
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -90,12 +90,13 @@ def cuts(tokens: int, capacity: int) -> list[tuple[int, int]]:
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int,
                    with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode = encoder(path)
-    for batch in batches:
+    for batch in parts(batches, TEXTS_AT_ONCE):
         ids_in = batch.column("id").to_pylist()
+        encoded = encode(batch.column("text").cast(pa.binary()).to_pylist())
         cols: list[list] = [[], [], [], [], []]
         tokens = []
-        for doc_id, text in zip(ids_in, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
+        for doc_id, ids in zip(ids_in, encoded, strict=True):
+            ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             for start, length in cuts(len(ids), capacity):
                 piece = ids[start : start + length]
                 for col, value in zip(cols, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
