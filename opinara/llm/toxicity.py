@@ -288,7 +288,7 @@ class ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", max_texts: int = 40_000, least: int = 4, prior: float = 12.0) -> ToxicityModel:
+          label_col: str = "toxic", max_texts: int = 25_000, least: int = 4, prior: float = 12.0) -> ToxicityModel:
     """Fit on labelled documents; the sample and all that is gathered from it is bounded by ``max_texts``."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
