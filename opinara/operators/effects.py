@@ -52,8 +52,8 @@ def count_endorsed(
 
 
 def item_bank(item_draws: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per draw with its items as an array, as long as the questionnaire."""
-    return item_draws.groupBy(*keys).agg(F.collect_list(F.struct("alpha", "beta")).alias("_items"))
+    """One row per draw with its items as an array, as long as the questionnaire, in a fixed order."""
+    return item_draws.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("alpha", "beta"))).alias("_items"))
 
 
 def expected_counts(rows: DataFrame, eta: Column, keep: Sequence[str], sign: int = 1,

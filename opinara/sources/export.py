@@ -15,12 +15,12 @@ MISSING_TEXTS = ("", "NA")
 
 
 def read_text_csv(
-    spark: SparkSession, path: str | list[str], trim: bool = True, multiline: bool = True
+    spark: SparkSession, path: str | list[str], trim: bool = True, multiline: bool = False
 ) -> DataFrame:
     """CSV with a header, quoted free text and every column as string; missing texts are null.
 
-    ``multiline`` allows line breaks inside quoted answers, at the price of one task per file.
-    Turn it off for large files without such answers, which Spark then splits.
+    Files are split between tasks. ``multiline`` allows line breaks inside quoted answers, at the
+    price of one task per file; a row with such a break is torn without it.
     """
     raw = clean_names(spark.read.csv(
         path, header=True, multiLine=multiline, escape='"', quote='"', inferSchema=False,
@@ -37,7 +37,7 @@ def is_answer(column: str = "finished") -> Column:
 
 
 def read_export(
-    spark: SparkSession, path, keep: Column | None = None, trim: bool = True, multiline: bool = True
+    spark: SparkSession, path, keep: Column | None = None, trim: bool = True, multiline: bool = False
 ) -> DataFrame:
     """Answer rows of an export."""
     rows = read_text_csv(spark, path, trim, multiline)
@@ -52,9 +52,10 @@ def read_codebook(
     names_re: str = r".*_([0-9]+)",
     separator: str = " - ",
     placeholders: dict[str, str] | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """(action, action_text) from the metadata row that carries the question texts."""
-    labels = read_text_csv(spark, path).filter(label_row)
+    labels = read_text_csv(spark, path, multiline=multiline).filter(label_row)
     return codebook(labels, columns, names_re, separator, placeholders)
 
 

@@ -29,8 +29,8 @@ def _spec() -> StudySpec:
 
 def _tables(spark: SparkSession, sf: str):
     path = export(spark, sf)
-    labels = read_text_csv(spark, path).filter(F.col("response_id") == "Response ID")
-    return study_tables(read_export(spark, path), labels, _spec())
+    labels = read_text_csv(spark, path, multiline=True).filter(F.col("response_id") == "Response ID")
+    return study_tables(read_export(spark, path, multiline=True), labels, _spec())
 
 
 _TEXT_SQL = """, book AS (SELECT CAST(p_partkey % 7 + 1 AS INTEGER) AS action, 'A ' || MAX(p_name) || ' [for/against]' AS action_text FROM part GROUP BY 1)"""

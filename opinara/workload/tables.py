@@ -41,7 +41,7 @@ SELECT id, CAST(o_orderdate AS TIMESTAMP) AS recorded_date, o_orderstatus <> 'O'
        q12_1, q12_2, q12_3, q12_4, q12_5, q12_6, q12_7
 FROM wide JOIN orders ON id = o_orderkey""")
 def export_scan(spark: SparkSession, sf: str) -> DataFrame:
-    df = read_export(spark, export(spark, sf))
+    df = read_export(spark, export(spark, sf), multiline=True)
     return df.select(
         F.col("response_id").cast("bigint").alias("id"), to_ts("recorded_date").alias("recorded_date"),
         (F.col("finished") == "1").alias("finished"), F.length("comment").cast("bigint").alias("comment_length"),
@@ -53,7 +53,7 @@ SELECT CAST(p_partkey % 7 + 1 AS INTEGER) AS action, 'A ' || MAX(p_name) || ' [f
 FROM part GROUP BY 1""")
 def codebook_scan(spark: SparkSession, sf: str) -> DataFrame:
     return read_codebook(spark, export(spark, sf), "q12_*", F.col("response_id") == "Response ID",
-                         placeholders={"[Field-protest]": "[for/against]"})
+                         placeholders={"[Field-protest]": "[for/against]"}, multiline=True)
 
 
 @query("s4_snapshot", "WITH" + v.SQL_RESPONSES + """
