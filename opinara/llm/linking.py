@@ -42,10 +42,11 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
     x, y = F.col("x"), F.col("y")
     # The Hamming distance of parity sketches is a lower bound on the number of differing shingles, which
     # in turn is at most (100 - percent) / (100 + percent) of the two sizes.
-    words = F.size("x") - 1
-    flips = F.zip_with(F.slice("x", 2, words), F.slice("y", 2, words), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    differ = F.aggregate(flips, F.lit(0), lambda s, b: s + b)
-    close = differ * (100 + percent) <= (x[0] + y[0]) * (100 - percent)
+    def near_enough(a: Column, b: Column) -> Column:
+        flips = F.zip_with(F.slice(a, 2, F.size(a) - 1), F.slice(b, 2, F.size(b) - 1), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        differ = F.aggregate(flips, F.lit(0), lambda s, n: s + n)
+        return differ * (100 + percent) <= (a[0] + b[0]) * (100 - percent)
+
     both = F.size(F.array_intersect("x", "y"))
     link = both * 100 >= (F.size("x") + F.size("y") - both) * percent
     mx, my = F.col("mx"), F.col("my")
@@ -77,6 +78,7 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
     pairs = pairs.unionByName(few.join(few.select("key", F.col("mx").alias("my")), "key").select("mx", "my").filter(
         "mx.item < my.item"))
     left = left.join(hubs.select("key", F.col("my.item").alias("_hub")), "key").filter("item <> _hub").drop("_hub")
+    left = left.join(features.select("item", "sketch"), "item")
     tried, turn, most = None, 0, 16
     while True:
         turn += 1
@@ -86,7 +88,7 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, f"pairs-{turn}")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        near = scratch.write(_with_both(pairs, features, "sketch").filter(close).select("a", "b"), f"near-{turn}")
+        near = scratch.write(_with_both(pairs, features, "sketch").filter(near_enough(x, y)).select("a", "b"), f"near-{turn}")
         links = scratch.write(_with_both(near, features, "whole").filter(link).select("a", "b"), f"links-{turn}")
         # Only the new links are merged, on top of the components found before.
         ends = links.join(roots.select(F.col("item").alias("a"), F.col("root").alias("ra")), "a").join(
@@ -105,11 +107,12 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
             return roots
         nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("_pop"), "item"))
         stray = left.filter("root <> _top").withColumn("_nth", nth).filter(F.col("_nth") <= most)
-        hubs = scratch.write(stray.groupBy("key").agg(F.collect_list(F.struct(me.alias("my"), "root")).alias("_hubs")),
-                             f"hubs-{turn}")
+        other = F.struct(me.alias("my"), "root", "sketch")
+        hubs = scratch.write(stray.groupBy("key").agg(F.collect_list(other).alias("_hubs")), f"hubs-{turn}")
         met = left.join(hubs, "key")
+        # Sizes and sketches rule out nearly all pairs before any row is made of them.
         fit = F.filter("_hubs", lambda h: (h["root"] != F.col("root")) & fits_pair(
-            F.col("size"), F.col("common"), h["my"]["size"], h["my"]["common"]))
+            F.col("size"), F.col("common"), h["my"]["size"], h["my"]["common"]) & near_enough(F.col("sketch"), h["sketch"]))
         pairs = met.select(me.alias("mx"), F.explode(fit).alias("_h")).select("mx", F.col("_h.my").alias("my"))
         left = met.filter(~F.array_contains(F.transform("_hubs", lambda h: h["my"]["item"]), F.col("item"))).drop(
             "_hubs", "_top")
