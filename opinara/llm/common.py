@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 from collections.abc import Callable
@@ -88,6 +89,7 @@ def process_cache(key: tuple, make: Callable[[], object]):
     store = sys.__dict__.setdefault("_opinara_cache", {})
     if key not in store:
         store.clear()
+        gc.collect()
         store[key] = make()
     return store[key]
 

@@ -15,7 +15,7 @@ import numpy as np
 
 from .common import Rows, WordTable, process_cache
 
-PIECES_KEPT, CORES_KEPT = 600_000, 700_000
+PIECES_KEPT, CORES_KEPT = 400_000, 500_000
 TEXTS_AT_ONCE = 200
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, which joins contractions
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rows, Scratch, WordTable, process_cache
+from .common import Rows, Scratch, WordTable, pieces, process_cache
 
 # What a character other than a letter may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -42,7 +42,7 @@ _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _TRAIL = re.compile(r"([^\w\s])\1+$|^([^\w\s])\2+")
 _AROUND = ".,;:!?\"'()[]{}<>«»„“”…"  # marks around a word that are mere punctuation
 PREFIXES = (6, 5, 4)
-PIECES_KEPT = 400_000
+PIECES_KEPT = 200_000
 _FLUSH = 300_000
 _LOW = -12.0
 
@@ -361,7 +361,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         reader = process_cache(("toxicity", model.name), lambda: TextReader(model.chars, model.word_row, 2, np.float64))
-        for batch in batches:
+        for batch in pieces(batches):
             scores = [model.score(reader(t)) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(scores, pa.float64())], [*others, out])
 
