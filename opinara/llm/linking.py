@@ -55,16 +55,21 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
         common = F.least(common_x, common_y)
         return common * 100 >= (size_x + size_y - common) * percent
 
-    may_link = fits_pair(mx["size"], mx["common"], my["size"], my["common"])
+    # Shingles are counted among the items of large keys. Next to an item outside of them, an item's own
+    # shingles are not known, and only the sizes can rule the pair out.
+    counted = mx["counted"] & my["counted"]
+    may_link = F.when(counted, fits_pair(mx["size"], mx["common"], my["size"], my["common"])).otherwise(
+        fits_pair(mx["size"], mx["size"], my["size"], my["size"]))
 
     sizes = scratch.write(members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     popular = members.join(sizes, "key").groupBy("item").agg(F.sum("_n").alias("_pop"), F.max("_n").alias("_most"))
     popular = scratch.write(popular, "popular")
     roots = scratch.write(popular.select("item", F.col("item").alias("root")), "roots-0")
     alone = _own_shingles(features.join(popular.filter(F.col("_most") > FEW).select("item"), "item", "left_semi"))
-    own = scratch.write(popular.join(alone, "item", "left").select("item", "_pop", F.coalesce("_own", F.lit(0)).alias("_own")), "own")
+    own = scratch.write(popular.join(alone, "item", "left").select(
+        "item", "_pop", (F.col("_most") > FEW).alias("counted"), F.coalesce("_own", F.lit(0)).alias("_own")), "own")
     rows = members.join(sizes, "key").join(own, "item").withColumn("common", F.col("size") - F.col("_own")).drop("_own")
-    me = F.struct("item", "size", "common")
+    me = F.struct("item", "size", "common", "counted")
     few = scratch.write(rows.filter(F.col("_n") <= FEW).select("key", me.alias("mx")), "few")
     left = scratch.write(rows.filter(F.col("_n") > FEW).drop("_n"), "many")
     # An item that even the smallest set of the key cannot match leaves the key.

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from opinara.llm import exact_dedup, paragraph_dedup, parity_join
+from opinara.llm import exact_dedup, linking, paragraph_dedup, parity_join
 from opinara.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, item long, key string, size long"
@@ -160,3 +160,29 @@ def test_repeated_paragraphs(spark):
     assert paragraph_dedup.repeated_paragraphs(frame(spark, [])).count() == 0
     bands, width = paragraph_dedup.tuned_bands(0.75, 0.999999)
     assert 1 - (1 - 0.75**width) ** bands >= 0.999999
+
+
+def test_links_between_items_of_large_and_small_keys(spark):
+    """40 items share a passage and its key; each has a near copy that shares only a key of their own."""
+    import numpy as np
+
+    from opinara.llm.common import Scratch
+
+    passage = list(range(1, 9))
+    members, features, want = [], [], {}
+    for i in range(40):
+        own = [1000 * (i + 1) + k for k in range(40)]
+        sets = {i: passage + own, 100 + i: own + [1000 * (i + 1) + 900]}  # 40 of 49
+        for item, whole in sets.items():
+            h = np.array(whole, np.uint64)
+            features.append((item, parity_join.parity_bits(h).view(np.int64).tolist(), whole))
+            members.append((5000 + i, item, len(whole)))
+        members.append((1, i, len(sets[i])))
+        want[i] = want[100 + i] = i
+    got = linking.linked_components(
+        spark.createDataFrame(members, "key long, item long, size long"),
+        spark.createDataFrame(features, "item long, sketch array<long>, whole array<long>"), 75, Scratch(spark)).collect()
+    low = {}
+    for r in got:
+        low[r.root] = min(r.item, low.get(r.root, r.item))
+    assert {r.item: low[r.root] for r in got} == want
