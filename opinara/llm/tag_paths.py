@@ -2,9 +2,12 @@
 
 Every text node has a path of tags from the root. Paths that carry prose collect much text and much
 punctuation per node; menus, notices and footers collect little. Per page, both ratios are aggregated
-by path, laid along the node sequence, smoothed, fused, and cut at their spread. The nodes above the cut
-tell which element holds the article; all its blocks are returned, short ones such as headings too,
-except parts marked as something else (navigation, forms, adverts, comments and the like).
+by path, laid along the node sequence, smoothed, fused, and cut at their spread. Every node above the cut
+(before and after smoothing) is returned, unless it is in a part marked as something else (navigation, forms, adverts, comments and the
+like). So are the other blocks around them that are not marked so: those of the element that holds most of the
+chosen text (of its <article> or <main>, where there is one), those of the closest element of a chosen node
+outside of it, on pages without <article> and <main> also those between the first and the last chosen node,
+and the headings in front.
 
 Defined results: null, empty and text-free pages give an empty text. Mark-up may be cut off anywhere. Every
 row gives a row, repeated or not. An empty table gives an empty table. Further columns play no part.
@@ -141,8 +144,12 @@ def main_text(page: str | None) -> str:
     filled = [i for i, (e, _, t) in enumerate(use) if t and not tree.other[e]]
     if not filled:
         return ""
-    score = path_scores([tree.path[use[i][0]] for i in filled], [use[i][2] for i in filled])
-    chosen = [i for i, s in zip(filled, score, strict=True) if s >= min(score.std() or score.max(), 0.5 * score.max())]
+    paths, texts = [tree.path[use[i][0]] for i in filled], [use[i][2] for i in filled]
+    score = path_scores(paths, texts)
+    cut = min(score.std() or score.max(), 0.5 * score.max())
+    chosen = [i for i, s in zip(filled, score, strict=True) if s >= cut]
+    # Smoothing lifts what stands beside the article; elsewhere a path must reach the cut by itself.
+    prose = [i for i, s, own in zip(filled, score, path_scores(paths, texts, 0), strict=True) if min(s, own) >= cut]
     # The deepest element that can hold an article and holds most of the chosen text.
     weight = [0] * len(tree.tag)
     for i in chosen:
@@ -151,24 +158,62 @@ def main_text(page: str | None) -> str:
             weight[e] += len(use[i][2])
             e = tree.parent[e]
     root = max((e for e in range(len(tree.tag)) if weight[e] >= 0.75 * weight[0] and (e == 0 or tree.tag[e] in _HOLDERS)))
+    marked = False
     e = root
     while e > 0:
         if tree.tag[e] in ("article", "main"):
-            root = e
+            root, marked = e, True
             break
         e = tree.parent[e]
+    above = set()
+    e = root
+    while e >= 0:
+        above.add(e)
+        e = tree.parent[e]
 
+    # Chosen text elsewhere stays, with what is in its own element.
+    held = {root}
+    for i in prose:
+        e = use[i][0]
+        while e not in above and tree.tag[e] not in _HOLDERS:
+            e = tree.parent[e]
+        if e not in above:
+            held.add(e)
     inside = [False] * len(tree.tag)
     for e in range(len(tree.tag)):  # parents come before children
-        inside[e] = e == root or e > 0 and inside[tree.parent[e]]
+        inside[e] = e in held or e > 0 and inside[tree.parent[e]]
+    stays = {i for i, (e, _, _) in enumerate(use) if inside[e]}.union(prose)
+    if prose and not marked:
+        stays.update(range(prose[0], prose[-1] + 1))
+    titles = _headings_before(tree, filled, min(stays.intersection(filled)))
+    picked = {use[i][1] for i in titles.union(prose)}  # whole blocks, with white space and inline parts
     blocks: dict[int, list[str]] = {}
-    for e, block, text in tree.nodes:
-        if inside[e] and not tree.other[e] and _kept_in_header(tree, e):
+    for i, (e, block, text) in enumerate(tree.nodes):
+        if not tree.other[e] and (block in picked or i in stays and _kept_in_header(tree, e)):
             blocks.setdefault(block, []).append(text)
     cleaned = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(t for t in cleaned if t)
 
 
+def _in_heading(tree: _Page, e: int, tags: frozenset[str] = _HEADINGS) -> bool:
+    while e > 0:
+        if tree.tag[e] in tags:
+            return True
+        e = tree.parent[e]
+    return False
+
+
+def _headings_before(tree: _Page, filled: list[int], first: int) -> set[int]:
+    """Nodes of titles (<h1>) before the first node that stays, and of other headings right before it."""
+    out, near = set(), True
+    for i in reversed([i for i in filled if i < first]):
+        heading = _in_heading(tree, tree.nodes[i][0])
+        near &= heading
+        if near or heading and _in_heading(tree, tree.nodes[i][0], frozenset(["h1"])):
+            out.add(i)
+    return out
+
+
 def _kept_in_header(tree: _Page, e: int) -> bool:
     """Of a header inside the article only headings belong to the text."""
     heading = False

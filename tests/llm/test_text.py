@@ -87,6 +87,17 @@ def test_pages_keep_other_columns(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in got.collect()) == [(1, "Hi, you. There.", 15), (2, "", 0), (2, "", 0)]
 
 
+def test_page_text_outside_the_main_element():
+    long, short = "Long, first part. It goes on, and on. " * 6, "A second, shorter part. It ends, here."
+    split = f"<body><h1><b>The</b> <i>title</i></h1><div><p>{long}</p><p>{long}</p></div><div>Photo</div><div><p>{short}</p><p>End</p></div><div>Imprint</div>"
+    parts = ["The title", long.strip(), long.strip(), "Photo", short, "End"]
+    assert tag_paths.main_text(split) == "\n\n".join(parts)
+    outside = f"<body><div>Menu</div><article>{f'<p>{long}</p>' * 4}</article><div><p>{long}</p></div><div>Imprint</div>"
+    assert tag_paths.main_text(outside) == "\n\n".join([long.strip()] * 5)
+    marked = f"<body><article><p>{long}</p></article><div class='comments'><p>{long}</p></div>"
+    assert tag_paths.main_text(marked) == long.strip()
+
+
 @needs_tables
 def test_search_recall(spark):
     rows = queries.table(spark, SF, "embeddings").collect()
