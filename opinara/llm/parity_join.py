@@ -192,32 +192,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = scratch.write(classes.join(roots, "item", "left").select(
         "item", "_least", F.coalesce("root", "item").alias("root")), "classes")
     least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
-    classes = scratch.write(classes.join(least, "root").select("item", "component_id"), "named")
+    classes = scratch.write(classes.join(least, "root").select("item", "root", "component_id"), "named")
     out = rows.select("id", "text_key", "size", "item").join(classes, "item", "left")
-    return out.select(*(["text_key"] if with_text_key else []), F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
+    return out.select(*(["text_key", F.col("root").alias("_root")] if with_text_key else []), F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
                       F.coalesce("component_id", "id").alias("component_id"), F.col("item").alias("set_id"))
 
 
 def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                 percent: int = 75) -> DataFrame:
-    """The documents that stay: one of each component, the one with the smallest id.
+    """The documents that stay: one of each component, the one with the smallest id; null comes last.
 
     Documents with an empty set link with nothing and stay. Rows that repeat an id and a set are one
-    document, of which one row stays.
+    document, of which one row stays; rows that repeat an id with texts that do not link are different ones.
     """
     scratch = Scratch(docs.sparkSession)
     found = jaccard_components(docs, id_col, text_col, words, percent, with_text_key=True)
-    found = scratch.write(found.select(F.col(id_col).alias("_id"), "text_key", "component_id", "set_id"), "found")
+    found = scratch.write(found.select(F.col(f"`{id_col}`").alias("_id"), "text_key", "_root", "set_id"), "found")
     linked = found.filter("set_id is not null")
-    sizes = linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    sizes = linked.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # Every row of a component with more than one row, but for one with the smallest id.
-    groups = scratch.write(sizes.select("component_id"), "groups")
-    suspects = scratch.write(linked.join(groups, "component_id", "left_semi"), "suspects")
-    first = suspects.filter(F.col("_id") == F.col("component_id")).groupBy("component_id").agg(
-        F.min("text_key").alias("_first"))
-    marks = suspects.join(scratch.write(first, "first"), "component_id", "left").select(
+    groups = scratch.write(sizes.select("_root"), "groups")
+    suspects = scratch.write(linked.join(groups, "_root", "left_semi"), "suspects")
+    first = suspects.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "text_key")).alias("_first"))
+    marks = suspects.join(scratch.write(first, "first"), "_root").select(
         F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_name"), "text_key",
-        F.coalesce((F.col("_id") == F.col("component_id")) & (F.col("text_key") == F.col("_first")), F.lit(False)).alias("_stay"))
+        (F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("text_key") == F.col("_first.text_key"))).alias("_stay"))
     marks = scratch.write(marks.distinct(), "marks")
     rows = docs.withColumns({"_name": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
                              "text_key": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})

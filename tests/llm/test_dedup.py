@@ -90,6 +90,13 @@ def test_drop_linked_keeps_one_of_each_component(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, low) in want.items() if i == low)
 
 
+def test_drop_linked_with_repeated_and_null_ids(spark):
+    odd = [(1, "a b c d e f"), (1, "g h i j k l"), (None, "m n o p q r"), (None, "M n o p q r"), (None, "s t u v w x"), (None, None)]
+    kept = [(r.doc_id, lower(r.text).decode()) for r in parity_join.drop_linked(frame(spark, odd)).collect()]
+    want = [(1, "a b c d e f"), (1, "g h i j k l"), (None, ""), (None, "m n o p q r"), (None, "s t u v w x")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_jaccard_edge_tables(spark):
     assert parity_join.jaccard_components(frame(spark, [])).count() == 0
     odd = [(1, "a b c"), (1, "d e f"), (None, "a b c"), (7, "A B C")]
