@@ -18,6 +18,7 @@ from .common import Scratch, marked_by_sieve, sieve
 from .components import components
 
 FEW = 16  # keys with no more items than this are finished in the first round
+HUBS = 1_000  # most hubs of a key in one round, which bounds the arrays; larger keys take more rounds
 
 
 def shared_keys(postings: DataFrame, scratch: Scratch) -> DataFrame:
@@ -84,7 +85,7 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
         "mx.item < my.item"))
     left = left.join(hubs.select("key", F.col("my.item").alias("_hub")), "key").filter("item <> _hub").drop("_hub")
     left = left.join(features.select("item", "sketch"), "item")
-    tried, turn, most = None, 0, 16
+    tried, turn, most = None, 0, min(16, HUBS)
     while True:
         turn += 1
         pairs = pairs.filter(F.col("mx.item") != F.col("my.item")).filter(may_link).select(
@@ -121,7 +122,7 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
         pairs = met.select(me.alias("mx"), F.explode(fit).alias("_h")).select("mx", F.col("_h.my").alias("my"))
         left = met.filter(~F.array_contains(F.transform("_hubs", lambda h: h["my"]["item"]), F.col("item"))).drop(
             "_hubs", "_top")
-        most *= 4
+        most = min(4 * most, HUBS)
 
 
 def _own_shingles(features: DataFrame) -> DataFrame:

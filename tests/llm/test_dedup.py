@@ -193,3 +193,36 @@ def test_links_between_items_of_large_and_small_keys(spark):
     for r in got:
         low[r.root] = min(r.item, low.get(r.root, r.item))
     assert {r.item: low[r.root] for r in got} == want
+
+
+def test_hubs_of_a_round_are_bounded(spark, monkeypatch):
+    """A key of 28 items in 25 components; no array holds more than 8 hubs, and all links are found."""
+    import numpy as np
+
+    from opinara.llm.common import Scratch
+
+    monkeypatch.setattr(linking, "HUBS", 8)
+    sets = {i: [500 * min(i, 24) + k for k in range(40)] + ([20_000 + i] if i >= 24 else []) for i in range(28)}
+    for whole in sets.values():  # what all share, and what keeps own shingles from ruling items out
+        whole += range(100_000, 100_030)
+    for i in range(24):
+        sets[i] = [500 * (i // 2) + k for k in range(40)] + [30_000 + i * 100 + k for k in range(12)] + list(range(100_000, 100_030))
+    features = [(i, parity_join.parity_bits(np.array(w, np.uint64)).view(np.int64).tolist(), w) for i, w in sets.items()]
+    largest, write = [], Scratch.write
+
+    def spy(self, df, name):
+        out = write(self, df, name)
+        if name.startswith("hubs-") and "_hubs" in out.columns:
+            largest.extend(len(r._hubs) for r in out.select("_hubs").collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", spy)
+    got = linking.linked_components(
+        spark.createDataFrame([(1, i, len(w)) for i, w in sets.items()], "key long, item long, size long"),
+        spark.createDataFrame(features, "item long, sketch array<long>, whole array<long>"), 75, Scratch(spark)).collect()
+    root = {r.item: r.root for r in got}
+    for a in sets:
+        for b in sets:
+            x, y = set(sets[a]), set(sets[b])
+            assert (root[a] == root[b]) == (100 * len(x & y) >= 75 * len(x | y)), (a, b)
+    assert largest and max(largest) <= 8
