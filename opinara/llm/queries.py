@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (exact_dedup, hard_negatives, langid, mixing, packing, paragraph_dedup, parity_join, permutation_index, tag_paths,
-               token_histogram, toxicity)
-from .common import crc_mod
+               token_histogram, toxicity, warc)
+from .common import Scratch, crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,6 +110,26 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op11_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     d AS (SELECT page_id, payload, octet_length(payload) AS payload_bytes, sha1(payload) AS hex,
+                  max(page_id) OVER (PARTITION BY payload) AS keep FROM p),
+     n AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS fives FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(fives, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v >> 15 AS INTEGER) + 1, 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> 10) & 31 AS INTEGER) + 1, 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> 5) & 31 AS INTEGER) + 1, 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM n
+""")
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark).root}/archive"
+    warc.archive_texts(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path).drop("intact")
+
+
 @query("op13_hard_negatives", """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
