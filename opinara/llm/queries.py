@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (exact_dedup, hard_negatives, langid, mixing, packing, paragraph_dedup, parity_join, permutation_index, tag_paths,
+from . import (exact_dedup, hard_negatives, importance, langid, mixing, packing, paragraph_dedup, parity_join, permutation_index, tag_paths,
                token_histogram, toxicity, warc)
 from .common import Scratch, crc_mod
 
@@ -130,6 +130,11 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, path).drop("intact")
 
 
+@query("op12_importance")
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_hard_negatives", """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
