@@ -130,7 +130,32 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, path).drop("intact")
 
 
-@query("op12_importance")
+@query("op12_importance", r"""
+WITH RECURSIVE step(v, c, k) AS (SELECT range, range, 0 FROM range(256)
+         UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+     crc AS (SELECT list(c ORDER BY v) AS entry FROM step WHERE k = 8),
+     texts AS (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+     words AS (SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+     runs AS (SELECT side, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                  || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM words),
+     counted AS (SELECT side, doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+     coded AS (SELECT run, hex(run) AS digits FROM (SELECT DISTINCT run FROM counted)),
+     hashed AS (SELECT run, xor(list_reduce([4294967295] || list_transform(range(len(digits) // 2), lambda i: CAST('0x' || substr(digits, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)),
+                                            lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM coded, crc),
+     cells AS (SELECT side, doc_id, bucket, sum(n) AS n FROM counted JOIN hashed USING (run) GROUP BY ALL),
+     sums AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM cells GROUP BY bucket),
+     totals AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS all_s, CAST(coalesce(sum(t), 0) AS DOUBLE) AS all_t FROM sums),
+     gains AS (SELECT bucket, floor(1000 * ln((coalesce(CAST(t AS DOUBLE), 0) + 1) * (all_s + 10000) / ((coalesce(CAST(s AS DOUBLE), 0) + 1) * (all_t + 10000)))) AS gain FROM sums, totals),
+     weights AS (SELECT doc_id, sum(n * gain) AS weight FROM cells JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+     scored AS (SELECT doc_id, len(w) AS size, CAST(len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS BIGINT) AS n_features,
+                       CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                       CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+                FROM words LEFT JOIN weights USING (doc_id) WHERE side = 0),
+     ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE size >= 20
+                QUALIFY rank <= 5 * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN ranked USING (doc_id)
+""")
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

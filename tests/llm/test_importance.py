@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.llm import importance, queries
+from compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -107,3 +108,4 @@ def test_query_against_brute_force(spark):
     got = queries.QUERIES["op12_importance"](spark, SF)
     assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"] and {t for _, t in got.dtypes} == {"bigint"}
     assert Counter(map(tuple, got.collect())) == brute(docs, target)
+    assert difference(spark, connect(SF), SF, lambda *_: got, queries.ORACLES["op12_importance"]) == ""
