@@ -1,29 +1,32 @@
-"""Item-response calibration by penalised EM, and person scoring.
+"""Item-response calibration, and person scoring.
 
 Estimates are posterior modes under the priors named below, not posterior draws. The heavy step of
-each iteration, the expected counts over all people, runs in Spark tasks; only sums of the size
-items x nodes (and design x design) reach the driver.
+each iteration, a sum over all people, runs in Spark tasks; only sums reach the driver.
+``method="scoring"`` takes second-order steps (see ``scoring``), needs few passes and gives standard
+errors; its sums have the size parameters x parameters. ``method="em"`` is for wide banks: its sums have
+the size items x nodes (and design x design), it needs more passes and gives no standard errors.
 
 People are stored once as one row each with their answers as a short list, so that an iteration
-is a narrow pass plus one small sum.
+is a narrow pass plus one small sum. People with the same answers and design count once, with a weight.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.irt import inv_logit
 from ..functions.scalar import case_when
 from ..session import broadcast_if_small, cut_lineage, ship_by_value
-from .fixed_point import NotSettled, settle
+from .fixed_point import settle
 from .graded import thresholds
+from .scoring import (CELLS_AT_ONCE, PARAMETERS, BinaryCurves, Estimate, GradedCurves, Group, Structure, Sums, maximise,
+                      sigmoid as _sigmoid, softmax as _softmax)
 from .shape import literal_table, seq
 
 ship_by_value(__name__)
@@ -82,14 +85,7 @@ def person_layout(
 
 
 def _distinct_people(people: DataFrame) -> DataFrame:
-    """People with the same answers and design count once, with a weight, where that pays off.
-
-    Exact either way: short scales have few answer patterns, long ones are left as they are.
-    """
-    people = cut_lineage(people)
-    n, kinds = people.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("counts", "x"))).first()
-    if kinds * 2 > n:
-        return people.withColumn("weight", F.lit(1.0))
+    """People with the same answers and design count once, with a weight."""
     return cut_lineage(people.groupBy("counts", "x").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
@@ -99,13 +95,55 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width)
 
 
-def _counts(column: pa.Array, width: int) -> np.ndarray:
-    """Lists of (place, number) as a dense people x places matrix."""
-    out = np.zeros((len(column), width))
-    cells = column.flatten()
-    person = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
-    out[person, cells.field("at").to_numpy()] = cells.field("n").to_numpy()
-    return out
+class Answers:
+    """Answers of some people as compressed rows: places and numbers, one person after another."""
+
+    def __init__(self, column: pa.Array):
+        cells = column.flatten()
+        self.at, self.n = cells.field("at").to_numpy(), cells.field("n").to_numpy()
+        self._ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self._ends)
+
+    def groups(self, numbers: int) -> Iterator[tuple[slice, slice]]:
+        """(people, cells) of runs of people with at most so many cells, or of one person."""
+        first, cell = 0, 0
+        while first < len(self):
+            last = max(int(np.searchsorted(self._ends, cell + numbers, "right")), first + 1)
+            yield slice(first, last), slice(cell, int(self._ends[last - 1]))
+            first, cell = last, int(self._ends[last - 1])
+
+    def _person(self, people: slice, cells: slice) -> np.ndarray:
+        ends = self._ends[people]
+        return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=cells.start))
+
+    def times(self, table: np.ndarray) -> np.ndarray:
+        """People x columns: the rows of ``table`` at each person's places, multiplied by the numbers and added up."""
+        out = np.zeros((len(self), table.shape[1]))
+        for people, cells in self.groups(CELLS_AT_ONCE // table.shape[1]):
+            person = self._person(people, cells)
+            if len(person):
+                first = np.flatnonzero(np.diff(person, prepend=-1))
+                out[people][person[first]] = np.add.reduceat(table[self.at[cells]] * self.n[cells, None], first)
+        return out
+
+    def spread_over(self, rows: np.ndarray, places: int) -> np.ndarray:
+        """Places x columns: each person's row added, times the number, at the person's places."""
+        out = np.zeros((places, rows.shape[1]))
+        for people, cells in self.groups(CELLS_AT_ONCE // rows.shape[1]):
+            order = np.argsort(self.at[cells], kind="stable")
+            at = self.at[cells][order]
+            if len(at):
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                part = rows[people][self._person(people, cells)[order]] * self.n[cells][order, None]
+                out[at[first]] += np.add.reduceat(part, first)
+        return out
+
+    def dense(self, places: int) -> np.ndarray:
+        out = np.zeros((len(self), places))
+        out[self._person(slice(None), slice(0, len(self.at))), self.at] = self.n
+        return out
 
 
 def _sum_over_people(people: DataFrame, statistics) -> np.ndarray:
@@ -124,23 +162,27 @@ def _sum_over_people(people: DataFrame, statistics) -> np.ndarray:
     return np.array([v for _, v in sorted(map(tuple, rows))])
 
 
-def _posterior(batch: pa.RecordBatch, log_p: np.ndarray, nodes: np.ndarray, gamma: np.ndarray, sigma: float):
-    """Counts, design, posterior node weights, number and log-likelihood of the people in a batch."""
-    counts = _counts(batch.column("counts"), log_p.shape[0])
-    x = _matrix(batch.column("x"), len(gamma))
-    prior = -0.5 * ((nodes[None, :] - (x @ gamma)[:, None]) / sigma) ** 2
-    prior -= _softmax(prior)[1][:, None]
-    post, norm = _softmax(counts @ log_p + prior)
-    weight = batch.column("weight").to_numpy()
-    return counts, x, post * weight[:, None], weight, float(norm @ weight)
+def _evidence(people: DataFrame, sums: Sums, node: np.ndarray, psi: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of all people, its gradient and its curvature."""
+    p, places = sums.items * sums.curves.per_item, sums.items * sums.curves.categories
+    size = max(CELLS_AT_ONCE // max(places, p, len(node)), 1)
 
+    def partial(batches: Batches) -> Batches:
+        total = np.zeros(sums.size)
+        first = sums.curves.first(psi[:p].reshape(sums.items, -1), node)
+        for batch in batches:
+            x, weight = _matrix(batch.column("x"), sums.width), batch.column("weight").to_numpy()
+            for at in range(0, batch.num_rows, size):
+                answers = Answers(batch.column("counts").slice(at, size)).dense(places)
+                sums.add(total, answers, x[at : at + size], weight[at : at + size], psi, node, first)
+        at, values = sums.shipped(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(values)], names=["at", "v"])
 
-def _softmax(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row weights that sum to one, and the logarithm of what they were divided by."""
-    top = logs.max(axis=1, keepdims=True)
-    weights = np.exp(logs - top)
-    total = weights.sum(axis=1, keepdims=True)
-    return weights / total, top[:, 0] + np.log(total[:, 0])
+    parts = people.select("counts", "x", "weight").mapInArrow(partial, "at long, v double")
+    table = parts.groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(sums.size)
+    flat[table.column("at").to_numpy()] = table.column("v").to_numpy()
+    return sums.evidence(flat, psi, node)
 
 
 def _e_step(people: DataFrame, log_p: np.ndarray, nodes: np.ndarray, gamma: np.ndarray, sigma: float):
@@ -148,10 +190,15 @@ def _e_step(people: DataFrame, log_p: np.ndarray, nodes: np.ndarray, gamma: np.n
     rows, width = log_p.shape[0], len(gamma)
 
     def statistics(batch: pa.RecordBatch) -> np.ndarray:
-        counts, x, post, weight, log_lik = _posterior(batch, log_p, nodes, gamma, sigma)
+        answers, x = Answers(batch.column("counts")), _matrix(batch.column("x"), width)
+        prior = -0.5 * ((nodes[None, :] - (x @ gamma)[:, None]) / sigma) ** 2
+        prior -= _softmax(prior)[1][:, None]
+        post, norm = _softmax(answers.times(log_p) + prior)
+        weight = batch.column("weight").to_numpy()
+        post = post * weight[:, None]
         return np.concatenate([
-            (counts.T @ post).ravel(), (x.T @ (x * weight[:, None])).ravel(), x.T @ (post @ nodes),
-            [(post @ nodes**2).sum(), weight.sum(), log_lik],
+            answers.spread_over(post, rows).ravel(), (x.T @ (x * weight[:, None])).ravel(), x.T @ (post @ nodes),
+            [(post @ nodes**2).sum(), weight.sum(), norm @ weight],
         ])
 
     out = _sum_over_people(people, statistics)
@@ -163,10 +210,6 @@ def _e_step(people: DataFrame, log_p: np.ndarray, nodes: np.ndarray, gamma: np.n
 # -- binary items ----------------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * x))
-
-
 def _fit_binary(wrong: np.ndarray, right: np.ndarray, nodes: np.ndarray, log_a: np.ndarray, b: np.ndarray,
                 prior_a: float, prior_b: float, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Penalised logistic fits of all items at once: logit = exp(log_a) * (node + b)."""
@@ -189,33 +232,6 @@ def _fit_binary(wrong: np.ndarray, right: np.ndarray, nodes: np.ndarray, log_a:
     return log_a, b
 
 
-def _fit_effects(lhs: np.ndarray, rhs: np.ndarray, monotone: np.ndarray) -> np.ndarray:
-    """Ridge solution; coefficients in ``monotone`` share one sign, the one that fits better."""
-    free = np.linalg.solve(lhs, rhs)
-    if not len(monotone) or (free[monotone] >= 0).all() or (free[monotone] <= 0).all():
-        return free
-    fits = []
-    for sign in (1.0, -1.0):
-        flip = np.ones(len(rhs))
-        flip[monotone] = sign
-        fits.append(flip * _signed_solution(lhs * np.outer(flip, flip), rhs * flip, monotone))
-    return max(fits, key=lambda g: g @ rhs - 0.5 * g @ lhs @ g)
-
-
-def _signed_solution(lhs: np.ndarray, rhs: np.ndarray, signed: np.ndarray, sweeps: int = 100_000) -> np.ndarray:
-    """Minimise a quadratic with some coefficients held at or above zero, one coefficient at a time."""
-    x = np.zeros(len(rhs))
-    bound = np.full(len(rhs), -np.inf)
-    bound[signed] = 0.0
-    for _ in range(sweeps):
-        before = x.copy()
-        for i in range(len(x)):
-            x[i] = max(x[i] + (rhs[i] - lhs[i] @ x) / lhs[i, i], bound[i])
-        if np.abs(x - before).max() < 1e-10:
-            return x
-    raise NotSettled("signed effects have not settled")
-
-
 def _stretch(log_a: np.ndarray, pull: float, prior_a: float) -> float:
     """Logarithm of the factor on the latent scale that the priors like best."""
     t = 0.0
@@ -228,6 +244,21 @@ def _stretch(log_a: np.ndarray, pull: float, prior_a: float) -> float:
     return float(t)
 
 
+def _item_table(spark, item_ids: Sequence, kind: str, alpha: np.ndarray, betas: dict[str, np.ndarray],
+                errors: dict[str, np.ndarray] | None) -> DataFrame:
+    """Items with their estimates and standard errors, which are null where there are none."""
+    names = ["alpha", *betas]
+    errors = errors or {n: [None] * len(item_ids) for n in names}
+    cell = lambda v: None if v is None else float(v)
+    rows = zip(item_ids, alpha, *betas.values(), *[errors[n] for n in names], strict=True)
+    schema = ", ".join([f"item {kind}", *[f"{n} double" for n in names], *[f"se_{n} double" for n in names]])
+    return spark.createDataFrame([(r[0], *map(cell, r[1:])) for r in rows], schema)
+
+
+def _errors(cov: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(np.diag(cov), 0.0))
+
+
 def calibrate_2pl(
     responses: DataFrame,
     person: str,
@@ -237,6 +268,8 @@ def calibrate_2pl(
     covariates: Sequence[str] = (),
     ordinal: str | None = None,
     slopes_by_cell: bool = False,
+    slope_groups: Mapping | None = None,
+    hierarchical: bool = False,
     sign: int = 1,
     estimate_sigma: bool = False,
     nodes: int = 41,
@@ -248,86 +281,161 @@ def calibrate_2pl(
     prior_effect: float = 3.0,
     items_are: Sequence | None = None,
     cells_are: Sequence | None = None,
+    method: str = "scoring",
 ) -> Calibration:
     """Two-parameter calibration with condition effects and covariate slopes on the latent outcome.
 
     Model: ``P(y = 1) = inv_logit(alpha * (eta + sign * beta))`` with
     ``eta = theta + delta[cell] + sum(slope * covariate)`` and ``theta ~ N(0, 1)`` (or
     ``N(0, sigma)``). Priors: ``log alpha ~ N(0, prior_log_alpha)``, ``beta`` around its own mean
-    with SD ``prior_beta``, effects ``~ N(0, prior_effect)``. ``slopes_by_cell`` adds a ridge-
-    penalised deviation of every slope per cell. People with a missing covariate are left out.
+    with SD ``prior_beta``, effects ``~ N(0, prior_effect)``. People with a missing covariate are left out.
 
-    ``ordinal`` names a predictor with a monotonic effect: every step up its scale has its own
-    size, all in one direction. Reported are the steps, the mean step ``b_<name>`` and each step's
-    share of the whole effect, ``z_<name>[i]``.
+    ``slopes_by_cell`` adds a deviation of every slope per cell, ``b_<name>[cell]``. ``slope_groups`` names a group for every
+    cell; the slopes of the cells of a group then vary around a mean of their own, ``b_<name>_<group>``,
+    instead of ``b_<name>``.
 
-    ``items_are`` and ``cells_are`` list the items and cells of the study; without them one pass
-    over the responses finds them.
+    ``ordinal`` names a predictor with a monotonic effect: ``b_<name>`` is its mean step, ``z_<name>[i]`` is
+    each step's share of the whole effect, ``step[level]`` the steps themselves. With ``slopes_by_cell``
+    the cells share the shares, but each has its own deviation from the mean step, which may turn the effect around.
 
-    Effects enter as a person-specific prior mean on a fixed grid of the latent outcome, so one
-    matrix product per batch serves all of these models.
+    ``hierarchical`` estimates the spreads of cell effects and of slope deviations instead of taking
+    ``prior_effect``: two-level shrinkage, with half-Cauchy(5) priors on the spreads (``sd_...``).
+
+    ``items_are`` and ``cells_are`` list the items and cells of the study; without them one pass
+    over the responses finds them. ``method="em"`` knows items, cell effects and linear slopes, and gives no
+    standard errors; ``method="scoring"`` raises beyond ``scoring.PARAMETERS`` parameters.
     """
+    if method not in ("scoring", "em"):
+        raise ValueError(f"no such method: {method}")
+    if method == "em" and (ordinal or hierarchical):
+        raise ValueError("monotonic effects and estimated spreads need method='scoring'")
+    if estimate_sigma and hierarchical:
+        raise ValueError("the spread of theta and those of the effects are not determined together")
     person_cols = [*([cell] if cell else []), *covariates, *([ordinal] if ordinal else [])]
     used = responses.dropna(subset=[person, item, y, *person_cols])
     item_ids, cells, grades = _known_levels(used, [(item, items_are), (cell, cells_are), (ordinal, None)])
+    by_cell = bool(cells) and (slopes_by_cell or slope_groups is not None)
+    if slope_groups is not None and (missing := [c for c in cells if c not in slope_groups]):
+        raise ValueError(f"cells without a group of slopes: {missing}")
+    kinds = sorted({slope_groups[c] for c in cells}) if slope_groups is not None else []
+
+    def within(col: str, among: Sequence) -> Column:
+        return F.when(F.col(cell).isin(list(among)), F.col(col).cast("double")).otherwise(0.0)
+
     design: dict[str, Column] = {f"delta[{c}]": (F.col(cell) == F.lit(c)).cast("double") for c in cells}
+    families = {"delta": list(design)} if cells else {}
     for v in covariates:
-        design[f"b_{v}"] = F.col(v).cast("double")
-        if slopes_by_cell:
-            design |= {f"b_{v}[{c}]": F.when(F.col(cell) == F.lit(c), F.col(v)).otherwise(0.0) for c in cells}
-    steps = {f"step[{x}]": (F.col(ordinal) >= F.lit(x)).cast("double") for x in grades[1:]}
-    design |= steps
-    monotone = np.arange(len(design) - len(steps), len(design))
+        if kinds:
+            design |= {f"b_{v}_{g}": within(v, [c for c in cells if slope_groups[c] == g]) for g in kinds}
+        else:
+            design[f"b_{v}"] = F.col(v).cast("double")
+        if by_cell:
+            families[f"b_{v}"] = [f"b_{v}[{c}]" for c in cells]
+            design |= {f"b_{v}[{c}]": within(v, [c]) for c in cells}
+    plain = list(design)
+    step_cells = cells if ordinal and by_cell else [None]
+    for c in step_cells:
+        for x in grades[1:]:
+            above = F.col(ordinal) >= F.lit(x)
+            design[f"{c}:{x}"] = (above if c is None else above & (F.col(cell) == F.lit(c))).cast("double")
     vector = F.array(*[c.cast("double") for c in design.values()]) if design else F.array().cast("array<double>")
     layout = person_layout(used, person, item, y, item_ids, (0, 1), person_cols)
     people = _distinct_people(layout.select("counts", vector.alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
     node = np.linspace(-reach, reach, nodes)
-    k, width = len(item_ids), len(design)
+    spark, kind = responses.sparkSession, dict(used.dtypes)[item]
+    try:
+        if method == "em":
+            log_a, b, gamma, sigma, log_lik, done = _em_2pl(
+                people, len(item_ids), len(cells), len(design), node, estimate_sigma, prior_log_alpha, prior_beta, prior_effect, tol, max_iter)
+            items = _item_table(spark, item_ids, kind, np.exp(log_a), {"beta": sign * b}, None)
+            terms = [(t, float(g), None) for t, g in zip(design, gamma, strict=True)] + [("sigma_theta", sigma, None)]
+            return Calibration(items, spark.createDataFrame(terms, "term string, estimate double, se double"), log_lik, done)
+        k, levels = len(item_ids), len(grades) - 1 if ordinal else 0
+        curves = BinaryCurves()
+        s = Structure(curves, 2 * k, len(plain), max(levels, 0), len(step_cells), by_cell and levels > 0, estimate_sigma)
+        if s.parameters > PARAMETERS:
+            raise ValueError(f"{s.parameters} parameters are too many for method='scoring'; use method='em'")
+        place = {t: 2 * k + i for i, t in enumerate(plain)}
+        start_spread = (lambda prior: 1.0) if hierarchical else (lambda prior: prior)
+        s.groups = [Group("sd_log_alpha", np.arange(0, 2 * k, 2), prior_log_alpha, stretches=False),
+                    Group("sd_beta", np.arange(1, 2 * k, 2), prior_beta, centred=True)]
+        for name, members in families.items():
+            s.groups.append(Group(f"sd_{name}", np.array([place[t] for t in members]), start_spread(prior_effect), hierarchical))
+        loose = [place[t] for t in plain if not any(t in members for members in families.values())]
+        if levels > 0:
+            loose.append(s.slope_at)
+            if s.deviations:
+                s.groups.append(Group(f"sd_b_{ordinal}", s.slope_at + 1 + np.arange(len(step_cells)), start_spread(prior_effect), hierarchical))
+        s.groups.append(Group("means", np.array(loose, int), prior_effect))
+        sums = Sums(k, curves, len(design), nodes)
+        fit = maximise(lambda psi: _evidence(people, sums, node, psi), s, np.zeros(s.parameters), tol, max_iter,
+                       lambda psi: curves.valid(psi[: 2 * k].reshape(k, 2)))
+    finally:
+        people.unpersist()
+    sigma, errors = float(np.exp(fit.at.scale)), _errors(fit.cov)
+    alpha, values = np.exp(fit.at.phi[0 : 2 * k : 2]) / sigma, fit.at.phi * sigma
+    items = _item_table(spark, item_ids, kind, alpha, {"beta": sign * values[1 : 2 * k : 2]},
+                        {"alpha": alpha * errors[0 : 2 * k : 2], "beta": errors[1 : 2 * k : 2]})
+    terms = [(t, values[i], errors[i]) for t, i in place.items()]
+    terms.append(("sigma_theta", sigma, sigma * errors[s.parameters] if estimate_sigma else None))
+    if levels > 0:
+        terms += _monotonic_terms(fit, s, ordinal, grades, step_cells)
+    if hierarchical:
+        terms += [(g.name, spread, None) for g, spread in zip(s.groups, fit.at.spreads, strict=True) if g.free]
+    cast = lambda v: None if v is None else float(v)
+    effects = spark.createDataFrame([(t, cast(v), cast(e)) for t, v, e in terms], "term string, estimate double, se double")
+    return Calibration(items, effects, float(fit.value), fit.passes)
+
+
+def _monotonic_terms(fit: Estimate, s: Structure, name: str, grades: Sequence, step_cells: Sequence) -> list[tuple]:
+    """Mean step, steps, shares and deviations of a monotonic effect; a share on the border has no standard error."""
+    errors, values, at = _errors(fit.cov), fit.at.phi * np.exp(fit.at.scale), s.slope_at
+    b, shares = values[at], s.parameters + 1 + np.arange(s.steps)
+    terms = [(f"b_{name}", b, errors[at])]
+    for x, z, share in zip(grades[1:], fit.at.z, shares, strict=True):
+        slope = np.zeros(len(fit.cov))
+        slope[at], slope[share] = s.steps * z, s.steps * b
+        terms.append((f"step[{x}]", s.steps * b * z, np.sqrt(max(slope @ fit.cov @ slope, 0.0))))
+    terms += [(f"z_{name}[{i}]", z, errors[share] if 0 < z < 1 else None) for i, (z, share) in enumerate(zip(fit.at.z, shares, strict=True), 1)]
+    if s.deviations:
+        terms += [(f"b_{name}[{c}]", values[at + 1 + i], errors[at + 1 + i]) for i, c in enumerate(step_cells)]
+    return terms
+
+
+def _em_2pl(people: DataFrame, k: int, cells: int, width: int, node: np.ndarray, estimate_sigma: bool, prior_log_alpha: float,
+            prior_beta: float, prior_effect: float, tol: float, max_iter: int) -> tuple:
+    """Items, effects, residual spread, log-likelihood and passes by accelerated EM."""
 
     def step(x: np.ndarray) -> tuple[np.ndarray, float]:
         log_a, b, gamma, sigma = x[:k], x[k : 2 * k], x[2 * k : 2 * k + width], float(np.exp(x[-1]))
         z = np.exp(log_a)[:, None] * (node[None, :] + b[:, None])
-        log_p = np.stack([-np.logaddexp(0, z), -np.logaddexp(0, -z)], axis=1).reshape(-1, nodes)
+        log_p = np.stack([-np.logaddexp(0, z), -np.logaddexp(0, -z)], axis=1).reshape(-1, len(node))
         expected, xtx, xte, ee, n, log_lik = _e_step(people, log_p, node, gamma, sigma)
-        counts = expected.reshape(k, 2, nodes)
+        counts = expected.reshape(k, 2, len(node))
         new_a, new_b = _fit_binary(counts[:, 0], counts[:, 1], node, log_a, b, prior_log_alpha, prior_beta)
         scale = sigma**2  # the ridge is on the effects themselves, whatever the residual spread
-        new_gamma = _fit_effects(xtx + scale * np.eye(width) / prior_effect**2, xte, monotone) if width else gamma
+        new_gamma = np.linalg.solve(xtx + scale * np.eye(width) / prior_effect**2, xte) if width else gamma
         if estimate_sigma:
             rss = ee - 2 * new_gamma @ xte + new_gamma @ xtx @ new_gamma
             sigma = float(np.sqrt(max(rss / n, 1e-6)))
         # Two directions leave the likelihood as it is: shifting all items against all cells, and stretching
         # the latent outcome against the slopes. Only the priors settle them, which is done here at once.
         if cells:
-            shift = new_gamma[: len(cells)].mean()
-            new_gamma = np.r_[new_gamma[: len(cells)] - shift, new_gamma[len(cells):]]
+            shift = new_gamma[:cells].mean()
+            new_gamma = np.r_[new_gamma[:cells] - shift, new_gamma[cells:]]
             new_b = new_b + shift
         if estimate_sigma:
             pull = (((new_b - new_b.mean()) / prior_beta) ** 2).sum() + ((new_gamma / prior_effect) ** 2).sum()
             stretch = _stretch(new_a, pull, prior_log_alpha)
             new_a, new_b, new_gamma, sigma = new_a - stretch, new_b * np.exp(stretch), new_gamma * np.exp(stretch), sigma * np.exp(stretch)
-        prior = ((log_a / prior_log_alpha) ** 2).sum() + (((b - b.mean()) / prior_beta) ** 2).sum() + ((gamma / prior_effect) ** 2).sum()
-        return np.concatenate([new_a, new_b, new_gamma, [np.log(sigma)]]), log_lik - 0.5 * prior
+        return np.concatenate([new_a, new_b, new_gamma, [np.log(sigma)]]), log_lik - penalty(x)
 
-    try:
-        x, log_lik, done = settle(step, np.zeros(2 * k + width + 1), tol, max_iter)
-    finally:
-        people.unpersist()
-    log_a, b, gamma, sigma = x[:k], x[k : 2 * k], x[2 * k : 2 * k + width], float(np.exp(x[-1]))
-    log_lik += 0.5 * (((log_a / prior_log_alpha) ** 2).sum() + (((b - b.mean()) / prior_beta) ** 2).sum()
-                      + ((gamma / prior_effect) ** 2).sum())
-    spark = responses.sparkSession
-    items = spark.createDataFrame(
-        [(i, float(np.exp(la)), float(sign * bi)) for i, la, bi in zip(item_ids, log_a, b, strict=True)],
-        f"item {dict(used.dtypes)[item]}, alpha double, beta double")
-    terms = [*zip(design, map(float, gamma), strict=True), ("sigma_theta", float(sigma))]
-    if ordinal:
-        total, n_steps = float(gamma[monotone].sum()), len(steps)
-        terms.append((f"b_{ordinal}", total / n_steps))
-        terms += [(f"z_{ordinal}[{i}]", float(gamma[m] / total) if total else 1 / n_steps)
-                  for i, m in enumerate(monotone, 1)]
-    effects = spark.createDataFrame(terms, "term string, estimate double")
-    return Calibration(items, effects, float(log_lik), done)
+    def penalty(x: np.ndarray) -> float:
+        log_a, b, gamma = x[:k], x[k : 2 * k], x[2 * k : 2 * k + width]
+        return 0.5 * (((log_a / prior_log_alpha) ** 2).sum() + (((b - b.mean()) / prior_beta) ** 2).sum() + ((gamma / prior_effect) ** 2).sum())
+
+    x, value, done = settle(step, np.zeros(2 * k + width + 1), tol, max_iter)
+    return x[:k], x[k : 2 * k], x[2 * k : 2 * k + width], float(np.exp(x[-1])), float(value + penalty(x)), done
 
 
 # -- graded items ----------------------------------------------------------------------------
@@ -392,6 +500,7 @@ def calibrate_grm(
     prior_log_alpha: float = 1.0,
     prior_cut: float = 5.0,
     items_are: Sequence | None = None,
+    method: str = "scoring",
 ) -> Calibration:
     """Graded-response calibration: ``P(y > k) = inv_logit(alpha * theta - beta_k)``, theta ~ N(0, 1).
 
@@ -403,35 +512,53 @@ def calibrate_grm(
     people = _distinct_people(layout.select("counts", F.array().cast("array<double>").alias("x"))).persist(
         StorageLevel.MEMORY_AND_DISK)
     node = np.linspace(-reach, reach, nodes)
-    k = len(item_ids)
-    start = np.log(np.arange(1, categories) / np.arange(categories - 1, 0, -1))
-    start = np.concatenate([np.zeros(k), np.tile(start, k)])
+    k, cuts_at = len(item_ids), np.log(np.arange(1, categories) / np.arange(categories - 1, 0, -1))
+    start = np.tile(np.r_[0.0, cuts_at], (k, 1))
+    curves = GradedCurves(categories)
+    try:
+        if method == "em":
+            params, log_lik, done = _em_grm(people, start, node, prior_log_alpha, prior_cut, tol, max_iter)
+            errors = None
+        else:
+            s = Structure(curves, k * categories, 0)
+            if s.parameters > PARAMETERS:
+                raise ValueError(f"{s.parameters} parameters are too many for method='scoring'; use method='em'")
+            alphas = np.arange(0, s.items, categories)
+            s.groups = [Group("sd_log_alpha", alphas, prior_log_alpha), Group("sd_cuts", np.setdiff1d(np.arange(s.items), alphas), prior_cut)]
+            sums = Sums(k, curves, 0, nodes)
+            fit = maximise(lambda psi: _evidence(people, sums, node, psi), s, start.ravel(), tol, max_iter,
+                           lambda psi: curves.valid(psi.reshape(k, categories)))
+            params, log_lik, done = fit.at.phi.reshape(k, categories), fit.value, fit.passes
+            errors = _errors(fit.cov)[: s.items].reshape(k, categories)
+    finally:
+        people.unpersist()
+    alpha = np.exp(params[:, 0])
+    betas = {f"beta_{j}": params[:, j] for j in range(1, categories)}
+    if errors is not None:
+        errors = {"alpha": alpha * errors[:, 0]} | {f"beta_{j}": errors[:, j] for j in range(1, categories)}
+    items = _item_table(ratings.sparkSession, item_ids, dict(used.dtypes)[item], alpha, betas, errors)
+    return Calibration(items, None, float(log_lik), done)
+
 
-    def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return x[:k], x[k:].reshape(k, categories - 1)
+def _em_grm(people: DataFrame, start: np.ndarray, node: np.ndarray, prior_log_alpha: float, prior_cut: float, tol: float,
+            max_iter: int) -> tuple[np.ndarray, float, int]:
+    """Items, log-likelihood and passes by accelerated EM."""
+    k, categories = start.shape
 
     def penalty(x: np.ndarray) -> float:
-        log_a, cuts = split(x)
-        return 0.5 * ((log_a / prior_log_alpha) ** 2).sum() + 0.5 * ((cuts / prior_cut) ** 2).sum()
+        params = x.reshape(k, categories)
+        return 0.5 * ((params[:, 0] / prior_log_alpha) ** 2).sum() + 0.5 * ((params[:, 1:] / prior_cut) ** 2).sum()
 
     def step(x: np.ndarray) -> tuple[np.ndarray, float]:
-        log_a, cuts = split(x)
-        probs, _ = _graded_probs(node, np.exp(log_a), cuts)
-        expected, *_, log_lik = _e_step(people, np.log(probs).reshape(-1, nodes), node, np.zeros(0), 1.0)
-        new_a, new_cuts = _fit_graded(expected.reshape(k, categories, nodes), node, log_a, cuts, prior_log_alpha, prior_cut)
-        return np.concatenate([new_a, new_cuts.ravel()]), log_lik - penalty(x)
+        params = x.reshape(k, categories)
+        probs, _ = _graded_probs(node, np.exp(params[:, 0]), params[:, 1:])
+        expected, *_, log_lik = _e_step(people, np.log(probs).reshape(-1, len(node)), node, np.zeros(0), 1.0)
+        new = _fit_graded(expected.reshape(k, categories, len(node)), node, params[:, 0], params[:, 1:], prior_log_alpha, prior_cut)
+        return np.c_[new[0], new[1]].ravel(), log_lik - penalty(x)
 
-    try:
-        x, value, done = settle(step, start, tol, max_iter, valid=lambda x: bool((np.diff(split(x)[1], axis=1) > 0).all()))
-    finally:
-        people.unpersist()
-    log_a, cuts = split(x)
-    log_lik = value + penalty(x)
-    names = ", ".join(f"beta_{k} double" for k in range(1, categories))
-    items = ratings.sparkSession.createDataFrame(
-        [(i, float(np.exp(la)), *map(float, c)) for i, la, c in zip(item_ids, log_a, cuts, strict=True)],
-        f"item {dict(used.dtypes)[item]}, alpha double, {names}")
-    return Calibration(items, None, float(log_lik), done)
+    x, value, done = settle(step, start.ravel(), tol, max_iter,
+                            valid=lambda x: bool((np.diff(x.reshape(k, categories)[:, 1:], axis=1) > 0).all()))
+    return x.reshape(k, categories), value + penalty(x), done
 
 
 # -- scoring ---------------------------------------------------------------------------------
@@ -484,4 +611,38 @@ def score_eap(
                           F.sqrt(F.greatest(second - first * first, F.lit(0.0))).alias("theta_sd"))
 
 
-__all__ = ["Calibration", "calibrate_2pl", "calibrate_grm", "person_layout", "score_eap"]
+def item_fit(
+    responses: DataFrame,
+    items: DataFrame,
+    person: str,
+    item: str,
+    y: str,
+    nodes: Sequence[float] = tuple(float(q) for q in np.linspace(-6.0, 6.0, 41)),
+    sign: int = 1,
+    offset: str | None = None,
+) -> DataFrame:
+    """Per item: answers ``n``, the share ``observed`` and the share ``expected`` under a fitted binary model.
+
+    The expectation is over each person's posterior on the grid of the latent outcome, whose prior is N(offset, 1). At a maximum of the
+    likelihood both shares agree for every item, whatever the data; a gap tells of priors at work, or of parameters from other data.
+    Two joins on the person and generated code only.
+    """
+    bank = items.select(F.col("item").alias("_item"), "alpha", "beta")
+    shift = F.col(offset) if offset else F.lit(0.0)
+    rows = responses.filter(F.col(y).isNotNull()).join(bank, F.col(item) == F.col("_item")).select(
+        F.col(person).alias("_person"), F.col(item).alias("item"), F.col(y).cast("double").alias("_y"), "alpha", "beta", shift.alias("_shift"))
+    rows = cut_lineage(rows)
+    z = [F.col("alpha") * (F.lit(float(q)) + sign * F.col("beta")) for q in nodes]
+    signed = [F.when(F.col("_y") == 1, -v).otherwise(v) for v in z]
+    log_lik = [-(F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))) for v in signed]
+    sums = rows.groupBy("_person").agg(F.max("_shift").alias("_shift"), *[F.sum(v).alias(f"_l{i}") for i, v in enumerate(log_lik)])
+    post = [F.col(f"_l{i}") - 0.5 * (F.lit(float(q)) - F.col("_shift")) ** 2 for i, q in enumerate(nodes)]
+    top = F.greatest(*post)
+    weights = cut_lineage(sums.select("_person", *[F.exp(p - top).alias(f"_w{i}") for i, p in enumerate(post)]))
+    met = rows.join(weights, "_person")
+    total = sum((F.col(f"_w{i}") for i in range(1, len(nodes))), F.col("_w0"))
+    share = sum((F.col(f"_w{i}") * inv_logit(v) for i, v in enumerate(z)), F.lit(0.0)) / total
+    return met.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("observed"), F.avg(share).alias("expected"))
+
+
+__all__ = ["Answers", "Calibration", "calibrate_2pl", "calibrate_grm", "item_fit", "person_layout", "score_eap"]

@@ -75,9 +75,48 @@ def calibrate_2pl_covariate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m20_calibrate_2pl_ordinal")
 def calibrate_2pl_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    return cal.calibrate_2pl(_level(spark, sf), "id", "action", "response", cell="kk", ordinal="sup").effects
+
+
+def _level(spark: SparkSession, sf: str) -> DataFrame:
+    """Included answers with an ordinal predictor of five levels."""
     level = F.least(F.lit(5), 1 + F.floor((F.col("balance") + 1000) / 2200)).cast("int")
-    dl = v.indexed(spark, sf).filter(~F.col("exclude")).withColumn("sup", level)
-    return cal.calibrate_2pl(dl, "id", "action", "response", cell="kk", ordinal="sup").effects
+    return v.indexed(spark, sf).filter(~F.col("exclude")).withColumn("sup", level)
+
+
+_CAUSES = {i: cause for i, (*_, cause) in enumerate(v.CELLS, 1)}
+
+
+@query("m20_calibrate_2pl_slope_groups")
+def calibrate_2pl_slope_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Slopes of the cells of a cause around their own mean; all spreads estimated."""
+    from ..operators.recode import z_score
+    dl = z_score(v.indexed(spark, sf).filter(~F.col("exclude")), ["balance"])
+    fit = cal.calibrate_2pl(dl, "id", "action", "response", cell="kk", covariates=["balance"], slope_groups=_CAUSES,
+                            hierarchical=True, items_are=_ITEMS, cells_are=_CELLS)
+    return fit.effects
+
+
+@query("m20_calibrate_2pl_ordinal_cells")
+def calibrate_2pl_ordinal_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """A monotonic effect with deviations per cell."""
+    return cal.calibrate_2pl(_level(spark, sf), "id", "action", "response", cell="kk", ordinal="sup", slopes_by_cell=True,
+                             hierarchical=True).effects
+
+
+_FIT_SQL = "WITH" + v.SQL_RESPONSES + """
+SELECT action AS item, COUNT(*) AS n, ROUND(AVG(response), 5) AS expected FROM dl WHERE NOT exclude GROUP BY 1"""
+
+
+@query("m20_item_fit", _FIT_SQL)
+def item_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares that the fitted model expects, item by item. Where the likelihood is stationary they are the observed ones."""
+    dl = v.indexed(spark, sf).filter(~F.col("exclude"))
+    fit = cal.calibrate_2pl(dl, "id", "action", "response", cell="kk", prior_beta=1e4, tol=1e-8)
+    effects = fit.effects.filter(F.col("term").startswith("delta")).select(
+        F.regexp_extract("term", r"\[(\d+)\]", 1).cast("int").alias("kk"), F.col("estimate").alias("shift"))
+    df = cal.item_fit(dl.join(F.broadcast(effects), "kk"), fit.items, "id", "action", "response", offset="shift")
+    return rounded(df, "expected", digits=5).drop("observed")
 
 
 @query("m21_calibrate_graded")
