@@ -25,7 +25,7 @@ from ..functions.scalar import case_when
 from ..session import broadcast_if_small, cut_lineage, ship_by_value
 from .fixed_point import settle
 from .graded import thresholds
-from .scoring import (CELLS_AT_ONCE, PARAMETERS, BinaryCurves, Estimate, GradedCurves, Group, Structure, Sums, maximise,
+from .scoring import (PARAMETERS, Answers, BinaryCurves, Estimate, GradedCurves, Group, Structure, Sums, maximise,
                       sigmoid as _sigmoid, softmax as _softmax)
 from .shape import literal_table, seq
 
@@ -85,8 +85,12 @@ def person_layout(
 
 
 def _distinct_people(people: DataFrame) -> DataFrame:
-    """People with the same answers and design count once, with a weight."""
-    return cut_lineage(people.groupBy("counts", "x").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    """People with the same answers and design count once, with a weight, spread over all shuffle partitions.
+
+    A pass is arithmetic, so small tables are spread as well.
+    """
+    parts = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(people.repartition(parts, "counts", "x").groupBy("counts", "x").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -95,57 +99,6 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width)
 
 
-class Answers:
-    """Answers of some people as compressed rows: places and numbers, one person after another."""
-
-    def __init__(self, column: pa.Array):
-        cells = column.flatten()
-        self.at, self.n = cells.field("at").to_numpy(), cells.field("n").to_numpy()
-        self._ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-
-    def __len__(self) -> int:
-        return len(self._ends)
-
-    def groups(self, numbers: int) -> Iterator[tuple[slice, slice]]:
-        """(people, cells) of runs of people with at most so many cells, or of one person."""
-        first, cell = 0, 0
-        while first < len(self):
-            last = max(int(np.searchsorted(self._ends, cell + numbers, "right")), first + 1)
-            yield slice(first, last), slice(cell, int(self._ends[last - 1]))
-            first, cell = last, int(self._ends[last - 1])
-
-    def _person(self, people: slice, cells: slice) -> np.ndarray:
-        ends = self._ends[people]
-        return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=cells.start))
-
-    def times(self, table: np.ndarray) -> np.ndarray:
-        """People x columns: the rows of ``table`` at each person's places, multiplied by the numbers and added up."""
-        out = np.zeros((len(self), table.shape[1]))
-        for people, cells in self.groups(CELLS_AT_ONCE // table.shape[1]):
-            person = self._person(people, cells)
-            if len(person):
-                first = np.flatnonzero(np.diff(person, prepend=-1))
-                out[people][person[first]] = np.add.reduceat(table[self.at[cells]] * self.n[cells, None], first)
-        return out
-
-    def spread_over(self, rows: np.ndarray, places: int) -> np.ndarray:
-        """Places x columns: each person's row added, times the number, at the person's places."""
-        out = np.zeros((places, rows.shape[1]))
-        for people, cells in self.groups(CELLS_AT_ONCE // rows.shape[1]):
-            order = np.argsort(self.at[cells], kind="stable")
-            at = self.at[cells][order]
-            if len(at):
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                part = rows[people][self._person(people, cells)[order]] * self.n[cells][order, None]
-                out[at[first]] += np.add.reduceat(part, first)
-        return out
-
-    def dense(self, places: int) -> np.ndarray:
-        out = np.zeros((len(self), places))
-        out[self._person(slice(None), slice(0, len(self.at))), self.at] = self.n
-        return out
-
-
 def _sum_over_people(people: DataFrame, statistics) -> np.ndarray:
     """Sum a vector-valued statistic over all people; every task sends one partial vector."""
     def partial(batches: Batches) -> Batches:
@@ -164,17 +117,14 @@ def _sum_over_people(people: DataFrame, statistics) -> np.ndarray:
 
 def _evidence(people: DataFrame, sums: Sums, node: np.ndarray, psi: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood of all people, its gradient and its curvature."""
-    p, places = sums.items * sums.curves.per_item, sums.items * sums.curves.categories
-    size = max(CELLS_AT_ONCE // max(places, p, len(node)), 1)
+    p = sums.items * sums.curves.per_item
 
     def partial(batches: Batches) -> Batches:
         total = np.zeros(sums.size)
         first = sums.curves.first(psi[:p].reshape(sums.items, -1), node)
         for batch in batches:
             x, weight = _matrix(batch.column("x"), sums.width), batch.column("weight").to_numpy()
-            for at in range(0, batch.num_rows, size):
-                answers = Answers(batch.column("counts").slice(at, size)).dense(places)
-                sums.add(total, answers, x[at : at + size], weight[at : at + size], psi, node, first)
+            sums.add(total, Answers.of(batch.column("counts")), x, weight, psi, node, first)
         at, values = sums.shipped(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(values)], names=["at", "v"])
 
@@ -190,7 +140,7 @@ def _e_step(people: DataFrame, log_p: np.ndarray, nodes: np.ndarray, gamma: np.n
     rows, width = log_p.shape[0], len(gamma)
 
     def statistics(batch: pa.RecordBatch) -> np.ndarray:
-        answers, x = Answers(batch.column("counts")), _matrix(batch.column("x"), width)
+        answers, x = Answers.of(batch.column("counts")), _matrix(batch.column("x"), width)
         prior = -0.5 * ((nodes[None, :] - (x @ gamma)[:, None]) / sigma) ** 2
         prior -= _softmax(prior)[1][:, None]
         post, norm = _softmax(answers.times(log_p) + prior)
@@ -645,4 +595,4 @@ def item_fit(
     return met.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("observed"), F.avg(share).alias("expected"))
 
 
-__all__ = ["Answers", "Calibration", "calibrate_2pl", "calibrate_grm", "item_fit", "person_layout", "score_eap"]
+__all__ = ["Calibration", "calibrate_2pl", "calibrate_grm", "item_fit", "person_layout", "score_eap"]

@@ -17,11 +17,12 @@ Three things are settled there without looking at the data again:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 from ..session import ship_by_value
 from .fixed_point import NotSettled
@@ -29,7 +30,8 @@ from .fixed_point import NotSettled
 ship_by_value(__name__)
 
 PARAMETERS = 3_000  # curvature of more parameters is not held; estimate such banks with ``method="em"``
-CELLS_AT_ONCE = 1 << 20  # numbers per node that a task holds of a group of people
+CELLS_AT_ONCE = 1 << 20  # numbers that a task holds of a group of people
+PAIRS_AT_ONCE, PAIR_COST = 1 << 22, 8  # pairs of answers held at once; work of one against a cell of a matrix product
 LEAST_SPREAD = 1e-3  # spreads below count as none: deviations of that size are of no interest
 
 
@@ -133,6 +135,80 @@ class GradedCurves:
                     and (np.diff(values[:, 1:], axis=1) > 0).all())
 
 
+# -- answers of people -----------------------------------------------------------------------
+
+
+class Answers:
+    """Answers of some people as compressed rows: places and numbers, one person after another."""
+
+    def __init__(self, at: np.ndarray, n: np.ndarray, lengths: np.ndarray):
+        self.at, self.n, self.lengths = at, n, lengths
+        self._ends = np.cumsum(lengths)
+
+    @staticmethod
+    def of(column: pa.Array) -> Answers:
+        """From lists of (place, number)."""
+        cells = column.flatten()
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return Answers(cells.field("at").to_numpy().astype(np.int64), cells.field("n").to_numpy().astype(float), lengths)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    @property
+    def person(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), self.lengths)
+
+    def part(self, people: slice) -> Answers:
+        ends = np.r_[0, self._ends]
+        cells = slice(ends[people.start], ends[people.stop])
+        return Answers(self.at[cells], self.n[cells], self.lengths[people])
+
+    def slices(self, size: int, pairs: bool = False, cells: bool = False) -> Iterator[slice]:
+        """Runs of people with at most ``size`` people, answers or pairs of answers, or of one person."""
+        ends = np.cumsum(self.lengths**2) if pairs else self._ends if cells else np.arange(1, len(self) + 1)
+        first, done = 0, 0
+        while first < len(self):
+            last = max(int(np.searchsorted(ends, done + size, "right")), first + 1)
+            yield slice(first, last)
+            first, done = last, int(ends[last - 1])
+
+    def times(self, table: np.ndarray) -> np.ndarray:
+        """People x columns: the rows of ``table`` at each person's places, multiplied by the numbers and added up."""
+        out = np.zeros((len(self), table.shape[1]))
+        for people in self.slices(CELLS_AT_ONCE // table.shape[1], cells=True):
+            part = self.part(people)
+            if len(part.at):
+                person = part.person
+                first = np.flatnonzero(np.diff(person, prepend=-1))
+                out[people][person[first]] = np.add.reduceat(table[part.at] * part.n[:, None], first)
+        return out
+
+    def spread_over(self, rows: np.ndarray, places: int) -> np.ndarray:
+        """Places x columns: each person's row added, times the number, at the person's places."""
+        out = np.zeros((places, rows.shape[1]))
+        for people in self.slices(CELLS_AT_ONCE // rows.shape[1], cells=True):
+            part = self.part(people)
+            order = np.argsort(part.at, kind="stable")
+            at = part.at[order]
+            if len(at):
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                out[at[first]] += np.add.reduceat(rows[people][part.person[order]] * part.n[order, None], first)
+        return out
+
+    def dense(self, places: int) -> np.ndarray:
+        out = np.zeros((len(self), places))
+        out[self.person, self.at] = self.n
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``at`` of all ordered pairs of answers of one person."""
+        each = self.lengths[self.person]
+        left = np.repeat(np.arange(len(self.at)), each)
+        within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        return left, (self._ends - self.lengths)[self.person[left]] + within
+
+
 # -- sums over people ------------------------------------------------------------------------
 
 
@@ -157,37 +233,76 @@ class Sums:
             at += n
         return out
 
-    def add(self, total: np.ndarray, answers: np.ndarray, x: np.ndarray, weight: np.ndarray, psi: np.ndarray, node: np.ndarray,
+    def add(self, total: np.ndarray, answers: Answers, x: np.ndarray, weight: np.ndarray, psi: np.ndarray, node: np.ndarray,
             first: tuple[np.ndarray, np.ndarray]) -> None:
-        """Add people: ``answers`` (people x places), design ``x``, how often each counts."""
+        """Add people with their answers and design ``x``; ``weight`` tells how often each counts."""
         log_p, slopes = first
-        sums, p, q = self.split(total), self.items * self.curves.per_item, self.nodes
+        sums, q, places = self.split(total), self.nodes, self.items * self.curves.categories
         # The slope of a node's log prior in the person's mean; the grid is finite, so its prior mean is taken off.
-        u = node[None, :] - (x @ psi[p:])[:, None]
+        u = node[None, :] - (x @ psi[self.items * self.curves.per_item :])[:, None]
         log_prior = -0.5 * u**2
         prior, norm = softmax(log_prior)
-        post, log_lik = softmax(answers @ log_p.reshape(-1, q) + log_prior - norm[:, None])
+        post, log_lik = softmax(answers.times(log_p.reshape(-1, q)) + log_prior - norm[:, None])
         mean = (prior * u).sum(1)
         var = (prior * u * u).sum(1) - mean**2
         u = u - mean[:, None]
         gu = (post * u).sum(1)
         huu = (post * u * u).sum(1) - gu**2 - var
-        by_item = answers.reshape(len(answers), self.items, self.curves.categories).transpose(1, 0, 2)
+        counts = answers.spread_over(post * weight[:, None], places)
+        sums["counts"] += counts
+        sums["g_items"] += np.einsum("icq,ickq->ik", counts.reshape(self.items, -1, q), slopes).ravel()
+        sums["g_effects"] += x.T @ (gu * weight)
+        sums["h_effects"] += x.T @ (x * (huu * weight)[:, None])
+        sums["value"] += log_lik @ weight
+        # The covariance of a person's scores, from pairs of answers or as matrix products: whichever is less work.
+        sparse = PAIR_COST * (answers.lengths**2).sum() < len(answers) * self.items**2
+        add, size = (self._add_pairs, PAIRS_AT_ONCE) if sparse else (self._add_matrices, CELLS_AT_ONCE // max(places, q))
+        for people in answers.slices(size, pairs=sparse):
+            add(sums, answers.part(people), x[people], weight[people], post[people], (u - gu[:, None])[people], slopes)
+
+    def _add_matrices(self, sums: dict, answers: Answers, x: np.ndarray, weight: np.ndarray, post: np.ndarray, u: np.ndarray,
+                      slopes: np.ndarray) -> None:
+        p, c = self.items * self.curves.per_item, self.curves.categories
+        by_item = answers.dense(self.items * c).reshape(len(answers), self.items, c).transpose(1, 0, 2)
         g, cross = np.zeros((len(answers), p)), np.zeros((len(answers), p))
-        for at in range(q):
+        for at in range(self.nodes):
             score = np.matmul(by_item, slopes[:, :, :, at]).transpose(1, 0, 2).reshape(-1, p)
             part = score * post[:, at, None]
             g += part
             cross += part * u[:, at, None]
             sums["h_items"] += score.T @ (part * weight[:, None])
-        gw = g * weight[:, None]
-        sums["h_items"] -= g.T @ gw
-        sums["counts"] += answers.T @ (post * weight[:, None])
-        sums["g_items"] += gw.sum(0)
-        sums["h_cross"] += ((cross - g * gu[:, None]) * weight[:, None]).T @ x
-        sums["g_effects"] += x.T @ (gu * weight)
-        sums["h_effects"] += x.T @ (x * (huu * weight)[:, None])
-        sums["value"] += log_lik @ weight
+        sums["h_items"] -= g.T @ (g * weight[:, None])
+        sums["h_cross"] += (cross * weight[:, None]).T @ x
+
+    def _add_pairs(self, sums: dict, answers: Answers, x: np.ndarray, weight: np.ndarray, post: np.ndarray, u: np.ndarray,
+                   slopes: np.ndarray) -> None:
+        n, c, k, q = self.items, self.curves.categories, self.curves.per_item, self.nodes
+        places, by_place = n * c, slopes.reshape(n * c, k, q)
+        person, item = answers.person, answers.at // c
+        g, cross = np.zeros((len(person), k)), np.zeros((len(person), k))
+        for start in range(0, len(person), size := max(CELLS_AT_ONCE // (k * q), 1)):
+            part = slice(start, start + size)
+            score = by_place[answers.at[part]] * answers.n[part, None, None]
+            g[part] = np.einsum("ekq,eq->ek", score, post[person[part]])
+            cross[part] = np.einsum("ekq,eq->ek", score, (post * u)[person[part]])
+        if self.width:
+            for j in range(self.width):
+                weighted = cross * (x[:, j] * weight)[person, None]
+                for i in range(k):
+                    sums["h_cross"][i::k, j] += np.bincount(item, weighted[:, i], minlength=n)
+        left, right = answers.pairs()
+        who, both = person[left], item[left] * n + item[right]
+        times = weight[who]
+        h = sums["h_items"].reshape(n, k, n, k)
+        for i in range(k):
+            for j in range(k):
+                h[:, i, :, j] -= np.bincount(both, times * g[left, i] * g[right, j], minlength=n * n).reshape(n, n)
+        key, times = answers.at[left] * places + answers.at[right], times * answers.n[left] * answers.n[right]
+        for at in range(q):
+            met = np.bincount(key, times * post[who, at], minlength=places * places).reshape(n, c, places)
+            d = slopes[:, :, :, at]
+            half = np.matmul(d.transpose(0, 2, 1), met).reshape(n * k, n, c)
+            sums["h_items"] += np.matmul(half.transpose(1, 0, 2), d).transpose(1, 0, 2).reshape(n * k, n * k)
 
     def shipped(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and values to send: of symmetric blocks the upper half."""

@@ -13,6 +13,11 @@ from opinara.operators import calibrate, scoring
 NODE = np.linspace(-6, 6, 41)
 
 
+def compressed(dense):
+    person, at = np.nonzero(dense)
+    return scoring.Answers(at, dense[person, at], np.bincount(person, minlength=len(dense)))
+
+
 def evidence(curves, n_items, answers, x, weight, node=NODE):
     """The sums of all people without Spark."""
     sums = scoring.Sums(n_items, curves, x.shape[1], len(node))
@@ -21,7 +26,7 @@ def evidence(curves, n_items, answers, x, weight, node=NODE):
         total = np.zeros(sums.size)
         first = curves.first(psi[: n_items * curves.per_item].reshape(n_items, -1), node)
         for s in (slice(0, len(x) // 3), slice(len(x) // 3, None)):
-            sums.add(total, answers[s], x[s], weight[s], psi, node, first)
+            sums.add(total, compressed(answers[s]), x[s], weight[s], psi, node, first)
         where, values = sums.shipped(total)
         flat = np.zeros(sums.size)
         flat[where] = values
@@ -43,8 +48,12 @@ def some_answers(rng, people, n_items, categories, missing=0.2):
     return out.reshape(people, -1)
 
 
+@pytest.mark.parametrize("pair_cost", [0, 1e9], ids=["pairs", "matrices"])
 @pytest.mark.parametrize("curves", [scoring.BinaryCurves(), scoring.GradedCurves(4)], ids=["binary", "graded"])
-def test_gradient_and_curvature(curves):
+def test_gradient_and_curvature(curves, pair_cost, monkeypatch):
+    monkeypatch.setattr(scoring, "PAIR_COST", pair_cost)
+    monkeypatch.setattr(scoring, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(scoring, "CELLS_AT_ONCE", 200)
     rng = np.random.default_rng(0)
     params = np.c_[rng.normal(size=3) * 0.3, np.sort(rng.normal(size=(3, curves.per_item - 1)) * 1.5, axis=1)]
     values, slopes, bends = curves.natural(params)
@@ -228,15 +237,15 @@ def test_wide_banks_stay_sparse():
     column = pa.ListArray.from_arrays(pa.array(np.arange(0, n * own + 1, own), pa.int32()), cells)
     table, rows = rng.normal(size=(2 * k, 41)), rng.random((n, 41))
     tracemalloc.start()
-    answers = calibrate.Answers(column)
+    answers = scoring.Answers.of(column)
     times, spread = answers.times(table), answers.spread_over(rows, 2 * k)
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert peak < 100e6
     some = slice(100, 130)
-    dense = calibrate.Answers(column.slice(100, 30)).dense(2 * k)
-    assert np.allclose(times[some], dense @ table) and dense.sum() == calibrate.Answers(column.slice(100, 30)).n.sum()
-    part = calibrate.Answers(column.slice(100, 30)).spread_over(rows[some], 2 * k)
+    dense = scoring.Answers.of(column.slice(100, 30)).dense(2 * k)
+    assert np.allclose(times[some], dense @ table) and dense.sum() == scoring.Answers.of(column.slice(100, 30)).n.sum()
+    part = scoring.Answers.of(column.slice(100, 30)).spread_over(rows[some], 2 * k)
     assert np.allclose(part, dense.T @ rows[some]) and np.isclose(spread.sum(), (times * 0 + rows * answers.n.reshape(n, own).sum(1)[:, None]).sum())
 
 
