@@ -34,6 +34,42 @@ def factor_loadings(spark: SparkSession, sf: str) -> DataFrame:
     return factor.factor_loadings(spark, fit)
 
 
+_THREE = {"a": "l_partkey", "b": "l_suppkey", "c": "l_orderkey"}
+_COMMUNALITY = """WITH x AS (SELECT (l_quantity + l_partkey % 29)::DOUBLE AS a, (l_quantity + l_suppkey % 31)::DOUBLE AS b,
+                  (l_quantity + l_orderkey % 37)::DOUBLE AS c FROM lineitem),
+s AS (SELECT COVAR_POP(a, b) AS ab, COVAR_POP(a, c) AS ac, COVAR_POP(b, c) AS bc, VAR_POP(a) AS aa, VAR_POP(b) AS bb, VAR_POP(c) AS cc FROM x),
+l AS (SELECT 'a' AS item, ab * ac / bc AS communality, aa AS total FROM s UNION ALL SELECT 'b', ab * bc / ac, bb FROM s
+      UNION ALL SELECT 'c', ac * bc / ab, cc FROM s)
+SELECT item, ROUND(SQRT(communality), 4) AS loading, ROUND(total - communality, 3) AS uniqueness FROM l"""
+
+
+@query("m18_three_item_loadings", _COMMUNALITY)
+def three_item_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    """One factor over three items, whose maximum of the likelihood has a closed form."""
+    items = [(F.col("l_quantity") + F.col(key) % mod).cast("double").alias(n) for (n, key), mod in zip(_THREE.items(), (29, 31, 37), strict=True)]
+    fit, patterns = factor.fit_model(v.table(spark, sf, "lineitem").select(*items), {"f": list(_THREE)})
+    patterns.release()
+    df = factor.factor_loadings(spark, fit)
+    return rounded(rounded(df, "loading", digits=4), "uniqueness", digits=3).select("item", "loading", "uniqueness")
+
+
+@query("m18_wide_factor_loadings")
+def wide_factor_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    """Three correlated factors over 18 items with missing answers."""
+    li = v.table(spark, sf, "lineitem")
+    shared = {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice") / 2000, "discount": F.col("l_discount") * 500}
+    items, model = [], {}
+    for factor_name, common in shared.items():
+        model[factor_name] = [f"{factor_name}_{k}" for k in range(6)]
+        for k, name in enumerate(model[factor_name]):
+            noise = F.pmod(F.xxhash64(F.lit(name), "l_orderkey", "l_linenumber"), F.lit(40))
+            given = F.pmod(F.xxhash64("l_orderkey", F.lit(k)), F.lit(50)) > 0
+            items.append(F.when(given, common + noise).cast("double").alias(name))
+    fit, patterns = factor.fit_model(li.select(*items), model)
+    patterns.release()
+    return factor.factor_loadings(spark, fit)
+
+
 _PAIRS = [(i, j) for i in _ITEMS for j in _ITEMS if i <= j]
 
 
