@@ -104,7 +104,7 @@ class GradedCurves:
         pad = lambda x, low, high: np.concatenate([low, x, high], axis=1)
         s0, s1 = pad(s, edge + 1, edge), pad(s * (1 - s), edge, edge)
         s2 = pad(s * (1 - s) * (1 - 2 * s), edge, edge)
-        return np.maximum(s0[:, :-1] - s0[:, 1:], 1e-300), s1, s2
+        return np.maximum(s0[:, :-1] - s0[:, 1:], 1e-12), s1, s2
 
     def _slopes(self, s1: np.ndarray, node: np.ndarray) -> np.ndarray:
         c = self.categories

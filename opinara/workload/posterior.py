@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -221,28 +221,35 @@ def planned_contrasts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(c.contrast_table(labelled(effects(spark, sf)), _weights()), "d", "lower", "upper")
 
 
-def _directions() -> dict:
-    own, pro = F.col("protesters") == "A", F.col("cause") == "for"
-    return {
-        "all_first": c.coded((own & pro & (F.col("participant") == "A"), 1.0), default=-1.0),
-        "cause_within_first": c.coded((own & pro, 1.0), (own & ~pro, -1.0)),
-        "cause_within_second": c.coded((~own & pro, 1.0), (~own & ~pro, -1.0)),
-    }
+_LEVELS = {f: tuple(dict.fromkeys(cell[i] for cell in v.CELLS)) for i, f in enumerate(v.DESIGN)}
+# Simple effects of every factor within the levels of every other one, and how they change between those levels.
+_SIMPLE = {f"{f}_within_{g}_{level}": (f, g, level) for f, g in permutations(v.DESIGN, 2) for level in _LEVELS[g]}
+_CHANGES = {f"{f}_by_{g}": tuple(f"{f}_within_{g}_{level}" for level in _LEVELS[g]) for f, g in permutations(v.DESIGN, 2)}
+
+
+def _simple_effects() -> dict:
+    def code(f: str, g: str, level: str):
+        here, first = F.col(g) == level, F.col(f) == _LEVELS[f][0]
+        return c.coded((here & first, 1.0), (here & ~first, -1.0))
+
+    return {name: code(*effect) for name, effect in _SIMPLE.items()}
+
+
+_SIMPLE_SQL = "\n, w AS (" + " UNION ALL ".join(
+    f"SELECT kk, '{name}' AS contrast, CASE {f} WHEN '{_LEVELS[f][0]}' THEN 1 ELSE -1 END AS w FROM lab WHERE {g} = '{level}'"
+    for name, (f, g, level) in _SIMPLE.items()) + "),\npair(contrast, one, two) AS (VALUES " + ", ".join(
+    f"('{name}', '{one}', '{two}')" for name, (one, two) in _CHANGES.items()) + ")"
 
 
-@query("m11_a12_balanced_contrasts", "WITH" + v.SQL_DRAWS + _LAB_SQL + """
-, w AS (
-  SELECT kk, 'all_first' AS contrast, CASE WHEN participant = 'A' AND protesters = 'A' AND cause = 'for' THEN 1 ELSE -1 END AS w FROM lab
-  UNION ALL SELECT kk, 'cause_within_first', CASE WHEN cause = 'for' THEN 1 ELSE -1 END FROM lab WHERE protesters = 'A'
-  UNION ALL SELECT kk, 'cause_within_second', CASE WHEN cause = 'for' THEN 1 ELSE -1 END FROM lab WHERE protesters = 'B'),
+@query("m11_a12_balanced_contrasts", "WITH" + v.SQL_DRAWS + _LAB_SQL + _SIMPLE_SQL + """,
 m AS (SELECT draw, contrast, w, AVG(z) AS z FROM effects JOIN w USING (kk) GROUP BY 1, 2, 3),
 d0 AS (SELECT draw, contrast, SUM(z * w) AS d FROM m GROUP BY 1, 2),
-d AS (SELECT * FROM d0 UNION ALL SELECT a.draw, 'cause_change', a.d - b.d FROM d0 a JOIN d0 b USING (draw) WHERE a.contrast = 'cause_within_second' AND b.contrast = 'cause_within_first'),
+d AS (SELECT * FROM d0 UNION ALL SELECT a.draw, pair.contrast, a.d - b.d FROM pair JOIN d0 a ON a.contrast = one JOIN d0 b ON b.contrast = two AND a.draw = b.draw),
 q AS (SELECT contrast, MEDIAN(d) AS d, QUANTILE_CONT(d, 0.025) AS lower, QUANTILE_CONT(d, 0.975) AS upper FROM d GROUP BY 1)
 SELECT contrast, ROUND(d, 6) + 0.0 AS d, ROUND(lower, 6) + 0.0 AS lower, ROUND(upper, 6) + 0.0 AS upper, 0.95::DOUBLE AS width,
        'd = ' || PRINTF('%.2f', d) || ', [' || PRINTF('%.2f', lower) || ', ' || PRINTF('%.2f', upper) || ']' AS d_text FROM q""")
 def balanced_contrasts(spark: SparkSession, sf: str) -> DataFrame:
-    table = c.contrast_table(labelled(effects(spark, sf)), _directions(), mode="balanced", derived={"cause_change": ("cause_within_second", "cause_within_first")})
+    table = c.contrast_table(labelled(effects(spark, sf)), _simple_effects(), mode="balanced", derived=_CHANGES)
     return rounded(table, "d", "lower", "upper")
 
 

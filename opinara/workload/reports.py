@@ -60,11 +60,11 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("report_panel_table", """
-SELECT c_custkey AS id, CAST(TRUNC(c_acctbal) AS INTEGER) AS age, NULLIF(NULLIF(c_mktsegment, 'HOUSEHOLD'), 'FURNITURE') AS student_status FROM customer""")
+SELECT c_custkey AS id, CAST(TRUNC(c_acctbal) AS INTEGER) AS age, NULLIF(NULLIF(c_mktsegment, 'HOUSEHOLD'), 'FURNITURE') AS segment FROM customer""")
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     raw = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("Id"), F.col("c_acctbal").cast("string").alias("Age"),
-                                                F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("Student status"))
-    return panel_table(raw, ["age", "socioeconomic_status"], ["HOUSEHOLD", "FURNITURE"], ["id", "age", "student_status"])
+                                                F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("Segment"))
+    return panel_table(raw, ["age", "balance_rank"], ["HOUSEHOLD", "FURNITURE"], ["id", "age", "segment"])
 
 
 def _report(spark: SparkSession, sf: str):
