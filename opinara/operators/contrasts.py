@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import fmt_estimate
+from ..session import cut_lineage
 from .quantiles import median_qi
 
 Weights = Mapping[str, Column]
@@ -66,8 +67,8 @@ def contrast_table(
 ) -> DataFrame:
     """Median and 95% interval of planned contrasts, with the text for a report."""
     rows = contrast(effects, weights, by, mode, keys=keys, derived=derived)
-    # One value per draw in every group.
-    table = median_qi(rows, ["d"], [*by, "contrast"])
+    # One value per draw in every group: far fewer rows than the effects they come from.
+    table = median_qi(cut_lineage(rows), ["d"], [*by, "contrast"])
     return table.withColumn("d_text", fmt_estimate("d", "lower", "upper"))
 
 
@@ -86,7 +87,7 @@ def marginal_table(effects: DataFrame, factors: Sequence[str], value: str,
                    keys: Sequence[str] = ("draw",)) -> DataFrame:
     """Average a coefficient over cells within factors per draw, then summarise over draws."""
     means = effects.groupBy(*keys, *factors).agg(F.avg(value).alias("b"))
-    return median_qi(means, ["b"], factors)
+    return median_qi(cut_lineage(means), ["b"], factors)
 
 
 def align_signs(df: DataFrame, key: str, signs: Mapping[object, int], value: str) -> DataFrame:

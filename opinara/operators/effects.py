@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.irt import irf, linear_predictor, monotonic
+from ..session import cut_lineage
 from .draws import KEYS, cell_moments, draw_z, latent_moments, pooled_moments, scale_by_sd
 from .quantiles import interval_width, median_qi
 from .shape import cross_tuples, spread_rows
@@ -256,7 +257,7 @@ def precision_by_run(
     effects = condition_effects(people, person_draws, cell_draws, item_draws, sign, (run, "draw"))
     metrics = tidy_metrics(effects, [run, "draw", "kk"])
     # One value per draw: the group size is the number of posterior draws of a fit.
-    return interval_width(median_qi(metrics, ["estimate"], [run, "metric", "kk"]))
+    return interval_width(median_qi(cut_lineage(metrics), ["estimate"], [run, "metric", "kk"]))
 
 
 def tidy_metrics(effects: DataFrame, keep: Sequence[str], metrics: Sequence[str] = ("z", "n", "p")) -> DataFrame:

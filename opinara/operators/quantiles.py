@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .ordering import running_total
 from .shape import join_na
 
 _ACCURACY = 10_000          # rank error of the sketch is at most n / accuracy
 _SLACK = 2.0 / _ACCURACY    # brackets are cut twice as wide
 _SMALL = 5 * _ACCURACY      # below this group size the bracket is the whole range
-_SLICES = 1_024             # slices of a bracket
 
 
 def quantiles(
@@ -23,27 +23,67 @@ def quantiles(
     names: Sequence[str],
     one_pass: bool = False,
 ) -> DataFrame:
-    """Exact interpolated quantiles per group, one column per probability.
+    """Exact interpolated quantiles per group, one column per probability; see ``quantile_columns``."""
+    return quantile_columns(df, [value], by, probs, [names], one_pass)
+
+
+def quantile_columns(
+    df: DataFrame,
+    values: Sequence[Column | str],
+    by: Sequence[str],
+    probs: Sequence[float],
+    names: Sequence[Sequence[str]],
+    one_pass: bool = False,
+) -> DataFrame:
+    """Exact interpolated quantiles of several columns per group, ``names[column][probability]``.
+
+    Null values are left out. A group without any value gives no row; a column without values in a
+    group that has others gives nulls.
 
     ``one_pass`` uses the built-in exact percentile, which keeps the distinct values of a group in
-    one task: right where the group size is known to be small, as with one value per posterior
-    draw. The default works for groups of any size, including one group that holds most rows:
+    one task: right where the group size is known to be small. The default works for groups of any
+    size, including one group that holds most rows. All columns go through it together, the number
+    of the column being part of the group:
 
     1. a mergeable sketch per group brackets every quantile, with a guaranteed rank error;
     2. one more pass counts rows per distinct value inside the brackets and only counts the rest,
        both as partial aggregates;
-    3. slices of the brackets are ranked, and the exact order statistics are read from the values of the
-       slices that hold them, so no task sees a whole group.
+    3. the counts are sorted by range over all tasks, wherever their values lie, and running totals
+       name the values that hold the wanted ranks.
+
+    ``df`` is evaluated twice. Write it first (``cut_lineage``) if that costs more than reading it.
     """
-    x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    rows = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
+    exprs = [(F.col(v) if isinstance(v, str) else v).cast("double") for v in values]
     if one_pass:
-        out = rows.groupBy(*by).agg(F.percentile("_x", F.array(*map(F.lit, probs))).alias("_q"))
-        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    return _bracketed(rows, by, probs, names)
+        cells = [e.alias(f"_x{i}") for i, e in enumerate(exprs)]
+        out = df.select(*by, *cells).filter(F.coalesce(*[f"_x{i}" for i in range(len(exprs))]).isNotNull()).groupBy(*by).agg(
+            *[F.percentile(f"_x{i}", F.array(*map(F.lit, probs))).alias(f"_q{i}") for i in range(len(exprs))])
+        return out.select(*by, *[F.col(f"_q{i}")[j].alias(n) for i, row in enumerate(names) for j, n in enumerate(row)])
+    if len(exprs) == 1:
+        rows = df.select(*by, F.lit(0).alias("_c"), exprs[0].alias("_x"))
+    else:
+        rows = df.select(*by, F.posexplode(F.array(*exprs)).alias("_c", "_x"))
+    ranked = _ranked(rows.filter(F.col("_x").isNotNull()), [*by, "_c"], probs)
+    aggs = []
+    for i, p in ((i, p) for i in range(len(exprs)) for p in range(len(probs))):
+        pos = (F.col("_n") - 1) * F.lit(float(probs[p]))
+        for rank, tag in ((F.floor(pos) + 1, "f"), (F.ceil(pos) + 1, "c")):
+            holds = (F.col("_c") == i) & F.lit(rank).between(F.col("_first"), F.col("_last"))
+            aggs.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{tag}_{i}_{p}"))
+        aggs.append(F.max(F.when(F.col("_c") == i, pos - F.floor(pos))).alias(f"_w_{i}_{p}"))
+    found = ranked.groupBy(*by).agg(*aggs)
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
+
+    def between(i: int, p: int) -> Column:
+        low, high, w = (F.col(f"_{t}_{i}_{p}") for t in "fcw")
+        found_both = F.when(low == high, low).otherwise(low + (high - low) * w)  # equal infinities stay
+        return F.when(w.isNotNull() & (low.isNull() | high.isNull()), missed).otherwise(found_both).cast("double")
 
+    return found.select(*by, *[between(i, p).alias(n) for i, row in enumerate(names) for p, n in enumerate(row)])
 
-def _bracketed(rows: DataFrame, by: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+
+def _ranked(rows: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Distinct values near the quantiles with the first and the last rank of each in its group."""
     edges = [min(max(p + s * _SLACK, 0.0), 1.0) for p in probs for s in (-1, 1)]
     sketch = rows.groupBy(*by).agg(
         F.percentile_approx("_x", [float(e) for e in edges], _ACCURACY).alias("_e"),
@@ -57,62 +97,24 @@ def _bracketed(rows: DataFrame, by: Sequence[str], probs: Sequence[float], names
     highs = [F.when(small | F.lit(edges[2 * i + 1] >= 1 - _SLACK), F.col("_max")).otherwise(F.col("_e")[2 * i + 1])
              for i in range(len(probs))]
     sketch = sketch.select(*by, "_n", F.array(*lows).alias("_lo"), F.array(*highs).alias("_hi"))
-    joined = join_na(rows, sketch, by, "inner") if by else _attach_one(rows, sketch)
+    joined = join_na(rows, sketch, by, "inner")
     # Rows outside all brackets collapse to one count per gap between brackets.
     inside = reduce(lambda a, b: a | b, (
         F.col("_x").between(F.col("_lo")[i], F.col("_hi")[i]) for i in range(len(probs))))
     gap = reduce(lambda a, b: a + b, (
         (F.col("_x") > F.col("_hi")[i]).cast("int") for i in range(len(probs))))
-    gap_value = reduce(lambda acc, i: F.when(gap == i, F.col("_hi")[_order(probs)[i - 1]]).otherwise(acc),
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
+    gap_value = reduce(lambda acc, i: F.when(gap == i, F.col("_hi")[order[i - 1]]).otherwise(acc),
                        range(1, len(probs) + 1), F.lit(float("-inf")))
-    # A bracket is cut into slices of equal width, in the order of the values.
-    at = F.lit(0)
-    for place, i in reversed(list(enumerate(_order(probs)))):
-        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
-        wide = (hi > lo) & (hi - lo < float("inf"))
-        within = F.when(wide, F.floor((F.col("_x") - lo) / (hi - lo) * (_SLICES - 1))).otherwise(F.lit(0))
-        at = F.when(F.col("_x").between(lo, hi), place * _SLICES + within).otherwise(at)
     counted = joined.groupBy(
         *by, "_n", F.when(inside, F.col("_x")).otherwise(gap_value).alias("_v"), inside.alias("_in"),
-        F.when(inside, at).otherwise(-1 - gap).cast("long").alias("_slice"),
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    # First the slices are ranked, of which a group has few; the gap after a bracket sorts behind its last value.
-    slices = counted.groupBy(*by, "_n", "_slice").agg(F.sum("_c").alias("_sc"), F.min("_v").alias("_v0"), F.max("_in").alias("_in"))
-    up = Window.partitionBy(*by).orderBy("_v0", F.desc("_in")).rowsBetween(Window.unboundedPreceding, 0)
-    slices = slices.withColumn("_upto", F.sum("_sc").over(up))
-    ranks = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
-    wanted = reduce(lambda x, y: x | y, (
-        F.lit(r).between(F.col("_upto") - F.col("_sc") + 1, F.col("_upto"))
-        for pos in ranks for r in (F.floor(pos) + 1, F.ceil(pos) + 1)))
-    # Then only the values of slices that hold a wanted rank.
-    hit = slices.filter(F.col("_in") & wanted).select(*by, "_slice", (F.col("_upto") - F.col("_sc")).alias("_before"))
-    inner = join_na(counted.filter("_in"), hit, [*by, "_slice"], "inner")
-    up = Window.partitionBy(*by, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inner.withColumn("_last", F.col("_before") + F.sum("_c").over(up)).withColumn(
-        "_first", F.col("_last") - F.col("_c") + 1)
-    aggs = []
-    for p, name in zip(probs, names, strict=True):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        for rank, tag in ((F.floor(pos) + 1, "f"), (F.ceil(pos) + 1, "c")):
-            aggs.append(F.max(F.when(F.lit(rank).between(F.col("_first"), F.col("_last")), F.col("_v")))
-                        .alias(f"_{tag}_{name}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"_w_{name}"))
-    found = ranked.groupBy(*by).agg(*aggs)
-    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
-    out = found.select(*by, *[
-        F.when(F.col(f"_w_{n}").isNotNull() & (F.col(f"_f_{n}").isNull() | F.col(f"_c_{n}").isNull()), missed).otherwise(
-            F.col(f"_f_{n}") + (F.col(f"_c_{n}") - F.col(f"_f_{n}")) * F.col(f"_w_{n}")).cast("double").alias(n) for n in names
-    ])
-    return out
-
-
-def _order(probs: Sequence[float]) -> list[int]:
-    return sorted(range(len(probs)), key=lambda i: probs[i])
-
-
-def _attach_one(rows: DataFrame, one_row: DataFrame) -> DataFrame:
-    packed = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
-    return rows.withColumns({c: packed[c] for c in one_row.columns})
+    ).agg(F.count(F.lit(1)).alias("_k"))
+    # The gap after a bracket sorts behind the last value of the bracket.
+    upto = running_total(counted, [*by, "_v", F.desc("_in")], {"_upto": "_k"})
+    before = upto.groupBy(*by).agg(F.min(F.col("_upto") - F.col("_k")).alias("_before"))
+    last = F.col("_upto") - F.col("_before")
+    return join_na(upto.filter("_in"), before, by, "inner").withColumn("_last", last).withColumn(
+        "_first", F.col("_last") - F.col("_k") + 1)
 
 
 def median_qi(
@@ -130,13 +132,7 @@ def median_qi(
     tail = (1 - width) / 2
     probs = (0.5, tail, 1 - tail)
     names = {n: [n, "lower", "upper"] if len(exprs) == 1 else [n, f"{n}_lower", f"{n}_upper"] for n in exprs}
-    if one_pass:
-        aggs = [F.percentile(e, F.array(*map(F.lit, probs))).alias(f"_q_{n}") for n, e in exprs.items()]
-        wide = df.groupBy(*by).agg(*aggs)
-        out = wide.select(*by, *[F.col(f"_q_{n}")[i].alias(t) for n in exprs for i, t in enumerate(names[n])])
-    else:
-        parts = [quantiles(df, e, by, probs, names[n]) for n, e in exprs.items()]
-        out = reduce(lambda a, b: join_na(a, b, by, "inner") if by else _attach_one(a, b), parts)
+    out = quantile_columns(df, list(exprs.values()), by, probs, list(names.values()), one_pass)
     return out.withColumn("width", F.lit(float(width)))
 
 

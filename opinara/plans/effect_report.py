@@ -12,6 +12,7 @@ from ..operators.draws import latent_moments, spread_draws
 from ..operators.effects import condition_effects, simple_slopes, std_coefs, tidy_metrics
 from ..operators.quantiles import interval_set, median_qi
 from ..operators.shape import to_long
+from ..session import cut_lineage
 
 
 class EffectReport(NamedTuple):
@@ -35,12 +36,12 @@ def effect_report(
     """Condition effects of a fitted model.
 
     ``people`` has (jj, kk), ``labels`` one row per cell. Effects hold draws x cells rows, so the
-    summaries behind them are small whatever the number of people.
+    summaries behind them are small whatever the number of people. They are written once.
     """
     items = spread_draws(draws, {"alpha": ("ii",), "beta": ("ii",)}, ["draw"])
     cells = spread_draws(draws, {"delta": ("kk",)}, ["draw"])
     theta = spread_draws(draws, {"theta": ("jj",)}, ["draw"])
-    effects = condition_effects(people, theta, cells, items, sign).join(labels.distinct(), "kk", "right")
+    effects = cut_lineage(condition_effects(people, theta, cells, items, sign).join(labels.distinct(), "kk", "right"))
     names = [c for c in labels.columns if c != "kk"]
     long = tidy_metrics(effects, ["kk", *names])
     intervals = interval_set(long, "estimate", ["kk", *names, "metric"], widths, name="estimate")
@@ -66,4 +67,4 @@ def covariate_report(
     names = [slope, *scalars]
     std = std_coefs(people.select("jj", "kk", covariate), theta, cells, {covariate: slope}, names)
     long = to_long(std, names, "(.*)", [("term", "string")], "estimate")
-    return slopes, median_qi(long.filter(F.col("estimate").isNotNull()), ["estimate"], ["term", "kk"])
+    return slopes, median_qi(cut_lineage(long.filter(F.col("estimate").isNotNull())), ["estimate"], ["term", "kk"])

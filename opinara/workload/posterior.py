@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import fmt_estimate
 from ..operators import contrasts as c, draws as d, effects as e, quantiles as q
 from ..operators.shape import seq, to_long
+from ..session import cut_lineage
 from . import views as v
 from .registry import query, r6, rounded
 
@@ -145,7 +146,7 @@ def standardised_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     std = e.std_coefs(v.panel(spark, sf).select("jj", "kk", "x"), v.person_draws(spark, sf), cells, {"x": "b_kk"}, coefs)
     both = std.join(cells.select("draw", "kk", "raw_sup"), ["draw", "kk"])
     long = to_long(both, [*coefs, "raw_sup"], "(.*)", [("predictor", "string")], "b")
-    return rounded(q.median_qi(long, ["b"], ["predictor", "kk"]), "b", "lower", "upper")
+    return rounded(q.median_qi(cut_lineage(long), ["b"], ["predictor", "kk"]), "b", "lower", "upper")
 
 
 _SHARES = "ABS(e[4]) + ABS(e[5]) + ABS(e[6]) + ABS(e[7])"
@@ -280,7 +281,7 @@ q AS (SELECT participant, MEDIAN(d) AS d, QUANTILE_CONT(d, 0.025) AS lower, QUAN
 SELECT participant, ROUND(d, 6) + 0.0 AS d, ROUND(lower, 6) + 0.0 AS lower, ROUND(upper, 6) + 0.0 AS upper, 'd = ' || PRINTF('%.2f', d) || ', [' || PRINTF('%.2f', lower) || ', ' || PRINTF('%.2f', upper) || ']' AS d_text FROM q""")
 def marginal_by_observer(spark: SparkSession, sf: str) -> DataFrame:
     diff = c.marginal_diff(labelled(effects(spark, sf)), "cause", "for", "against", by=["participant"])
-    table = q.median_qi(diff, ["d"], ["participant"])
+    table = q.median_qi(cut_lineage(diff), ["d"], ["participant"])
     return rounded(table.withColumn("d_text", fmt_estimate("d", "lower", "upper")), "d", "lower", "upper").select(
         "participant", "d", "lower", "upper", "d_text")
 

@@ -203,6 +203,24 @@ def test_large_group_quantiles_are_exact(spark):
     assert np.allclose(list(whole), np.quantile(np.concatenate([hot, small]), probs))
 
 
+def test_quantiles_of_several_columns_in_one_pass(spark):
+    """Own groups, nulls and infinities per column; a bracket over a gap is no different."""
+    rng = np.random.default_rng(8)
+    n = 120_000
+    split = np.where(np.arange(n) % 2 == 0, rng.normal(size=n), 1e9 + rng.normal(size=n))  # the median spans a gap
+    other = np.where(np.arange(n) < n // 3, np.inf, rng.integers(0, 5, n).astype(float))
+    df = frame(spark, g=np.repeat(["hot", "small"], [n - 90, 90]), a=split, b=other).withColumn(
+        "b", F.expr("CASE WHEN g = 'hot' THEN b END"))
+    probs = [0.25, 0.5, 0.9]
+    got = {r.g: r for r in quantiles.quantile_columns(df, ["a", "b"], ["g"], probs, [["a1", "a2", "a3"], ["b1", "b2", "b3"]]).collect()}
+    for g, at in (("hot", slice(0, n - 90)), ("small", slice(n - 90, n))):
+        assert np.allclose([got[g].a1, got[g].a2, got[g].a3], np.quantile(split[at], probs))
+    assert [got["hot"].b1, got["hot"].b2, got["hot"].b3] == list(np.quantile(other[: n - 90], probs, method="lower"))
+    assert [got["small"].b1, got["small"].b2, got["small"].b3] == [None] * 3
+    empty = quantiles.quantile_columns(df.filter("g = 'none'"), ["a"], ["g"], probs, [["x", "y", "z"]])
+    assert empty.count() == 0
+
+
 def test_pooled_sample_has_mean_zero_and_sd_one(spark):
     rng = np.random.default_rng(6)
     n, d = 50, 20
