@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.irt import inv_logit
 from ..functions.scalar import case_when
-from ..session import broadcast_if_small, cut_lineage, ship_by_value
+from ..session import cut_lineage, ship_by_value
 from .fixed_point import settle
 from .graded import thresholds
 from .scoring import (PARAMETERS, Answers, BinaryCurves, Estimate, GradedCurves, Group, Structure, Sums, maximise,
                       sigmoid as _sigmoid, softmax as _softmax)
-from .shape import literal_table, seq
+from .shape import literal_table, lookup, seq
 
 ship_by_value(__name__)
 
@@ -532,8 +532,8 @@ def score_eap(
     added to theta (condition effects and covariates).
     """
     cuts = thresholds(items)
-    bank = broadcast_if_small(items.select(F.col("item").alias("_item"), "alpha", *(cuts or ["beta"])))
-    rows = responses.filter(F.col(y).isNotNull()).join(bank, F.col(item) == F.col("_item"))
+    bank = items.select(F.col("item").alias("_item"), "alpha", *(cuts or ["beta"]))
+    rows = lookup(responses.filter(F.col(y).isNotNull()), bank, [F.col(item)], ["_item"], "inner")
     shift = F.col(offset) if offset else F.lit(0.0)
 
     def binary(node: float) -> Column:

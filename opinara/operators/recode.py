@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import if_else_na
-from ..session import broadcast_if_small
+from .shape import lookup
 
 
 # -- names and selection ---------------------------------------------------------------------
@@ -114,15 +114,15 @@ def recode_dict(
 ) -> DataFrame:
     """Recode free text through a (key, value) table, ignoring case and surrounding blanks.
 
-    Keys listed twice count once, so the join never multiplies rows. A dictionary of checked size
-    is broadcast. ``overrides`` are further branches, tested first.
+    Keys listed twice count once, so the join never multiplies rows. Frequent answers are spread
+    over tasks where the dictionary is too large to broadcast. ``overrides`` are further branches, tested first.
     """
     table = mapping.groupBy(F.lower(F.trim(key)).alias("_key")).agg(F.min(value).alias("_value"))
-    joined = df.join(broadcast_if_small(table), F.lower(F.trim(F.col(col))) == F.col("_key"), "left")
+    joined = lookup(df, table, [F.lower(F.trim(F.col(col)))], ["_key"])
     recoded = F.coalesce("_value", F.col(col)) if keep_unmatched else F.col("_value")
     for cond, new in reversed(overrides):
         recoded = F.when(cond, new).otherwise(recoded)
-    return joined.withColumn(out or col, recoded).drop("_key", "_value")
+    return joined.withColumn(out or col, recoded).drop("_value")
 
 
 def recode_factor(df: DataFrame, col: str, levels: Mapping, out: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import broadcast_if_small
+from .shape import lookup
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: Sequence[str], null_safe: bool = True) -> DataFrame:
@@ -84,13 +84,9 @@ def exclude_by_answer(
     wrong = rules.select(
         F.col("condition").alias("_condition"), strip(F.col("answer")).alias("_answer")
     ).distinct().withColumn("_hit", F.lit(True))
-    joined = df.join(
-        broadcast_if_small(wrong), (F.col(condition) == F.col("_condition")) & (strip(F.col(answer)) == F.col("_answer")),
-        "left",
-    )
+    joined = lookup(df, wrong, [F.col(condition), strip(F.col(answer))], ["_condition", "_answer"])
     empty = F.col(answer).isNull() | (F.col(answer) == "")
-    return joined.withColumn(out, empty | F.coalesce("_hit", F.lit(False))).drop(
-        "_condition", "_answer", "_hit")
+    return joined.withColumn(out, empty | F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def exclude_by_checks(df: DataFrame, checks: Sequence[Column], out: str = "exclude") -> DataFrame:

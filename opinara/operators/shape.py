@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalar import to_int
 
@@ -54,16 +54,19 @@ def to_wide(
     fill=None,
     prefix: str = "",
     drop_others: bool = False,
+    most: int = 1_000,
 ) -> DataFrame:
     """Long to wide.
 
     A list of names saves the job that finds them; without it (None) all names that occur become
-    columns, in order. A name missing from the list is an error when the rows are read, unless
+    columns, in order, up to ``most`` of them; more are an error, and no more than that reach the driver. A name missing from the list is an error when the rows are read, unless
     ``drop_others`` says that such rows are not wanted.
     """
     key = F.concat_ws(sep, *[F.col(c).cast("string") for c in names_from])
     if values is None:
-        values = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]  # one row per new column
+        values = sorted(r[0] for r in df.select(key).distinct().limit(most + 1).collect())
+        if len(values) > most:
+            raise ValueError(f"more than {most} new columns; list the names or raise `most`")
     texts = [sep.join(map(str, v)) if isinstance(v, tuple) else str(v) for v in values]
     known = key if drop_others else F.when(key.isin(*texts), key).otherwise(
         F.raise_error(F.concat(F.lit("name without a column: "), key)))
@@ -91,6 +94,40 @@ def natural_full_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return join_na(left, right, [c for c in left.columns if c in right.columns], "full")
 
 
+_HOT_KEYS = 64    # most frequent keys that are salted
+_SALTS = 32       # parts of a frequent key
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[Column], on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a lookup table, one row per key, to rows of which a few keys may hold nearly all.
+
+    ``keys`` are expressions over ``df``, ``on`` the key columns of the table; the other columns of the table are
+    added. Null keys match nothing. A table that the planner's own estimate lets it broadcast is joined as it is.
+    Otherwise both sides are shuffled, and a mergeable sketch of the keys finds the most frequent ones, as part of
+    the same query: their rows are dealt to several parts, each of which gets a copy of the few table rows
+    concerned. No job runs while the plan is built, and no row count decides.
+    """
+    names = {c: f"_r_{c}" for c in on}
+    right = table.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, (k == F.col(f"`{names[c]}`") for k, c in zip(keys, on, strict=True)))
+    if _is_broadcast(table):
+        return df.join(right, same, how).drop(*names.values())
+    # Text of the hash, since the sketch counts distinct items of one type.
+    top = df.select(F.xxhash64(*keys).alias("_h")).agg(F.expr(f"approx_top_k(_h, {_HOT_KEYS}, 10000)").alias("_top"))
+    hot = top.select(F.transform("_top", lambda t: t["item"]).alias("_hot")).scalar()
+    # Equal rows of different partitions differ in their part; the number of a partition survives a lost executor.
+    spread = F.xxhash64(*[f"`{c}`" for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]) + F.spark_partition_id() * 7919
+    dealt = df.withColumn("_part", F.when(F.array_contains(hot, F.xxhash64(*keys)), F.pmod(spread, F.lit(_SALTS))).otherwise(F.lit(0)).cast("int"))
+    copies = F.when(F.array_contains(hot, F.xxhash64(*[F.col(f"`{c}`") for c in names.values()])), F.lit(_SALTS - 1)).otherwise(F.lit(0))
+    right = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies)))
+    return dealt.join(right, same & (F.col("_part") == F.col("_copy")), how).drop(*names.values(), "_part", "_copy")
+
+
+def _is_broadcast(table: DataFrame) -> bool:
+    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 # -- literal grids ---------------------------------------------------------------------------
 
 

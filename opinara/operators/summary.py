@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import fmt_num, fmt_pct
+from ..functions.scalar import fmt_pct
+from .correlate import cor_matrix
 from .ordering import rank_rows, running_total
 from .quantiles import quantiles
 from .shape import join_na
@@ -41,16 +41,33 @@ def group_means(df: DataFrame, by: Sequence[str], cols: Sequence[str], na_rm: bo
     return df.groupBy(*by).agg(*[mean(c).alias(names.format(col=c)) for c in cols])
 
 
-def count_wide(df: DataFrame, by: Sequence[str], col: str, values: Sequence, prefix: str = "n_") -> DataFrame:
-    """Counts per group and value, one column per value, zero where absent."""
-    return df.groupBy(*by).agg(*[F.count_if(F.col(col) == F.lit(v)).alias(f"{prefix}{v}") for v in values])
+def _only_listed(df: DataFrame, col: str, values: Sequence, drop_others: bool) -> DataFrame:
+    """The column as ``_value``; a value that is not listed is an error when its row is read, unless not wanted."""
+    value = F.col(col)
+    other = value.isNotNull() & ~value.isin(*values)
+    text = F.concat(F.lit("value without a column: "), value.cast("string"))
+    return df.withColumn("_value", value if drop_others else F.when(other, F.raise_error(text)).otherwise(value))
 
 
-def prop_wide(df: DataFrame, by: Sequence[str], col: str, values: Sequence, prefix: str = "p_") -> DataFrame:
-    """Within-group proportions per value, one column per value; the total counts all given values."""
-    total = F.count_if(F.col(col).isin(*values))
-    return df.groupBy(*by).agg(*[
-        (F.count_if(F.col(col) == F.lit(v)) / total).alias(f"{prefix}{v}") for v in values
+def count_wide(df: DataFrame, by: Sequence[str], col: str, values: Sequence, prefix: str = "n_",
+               drop_others: bool = False) -> DataFrame:
+    """Counts per group and value, one column per value, zero where absent.
+
+    Missing values are not counted; values outside the list raise an error unless ``drop_others``.
+    """
+    return _only_listed(df, col, values, drop_others).groupBy(*by).agg(
+        *[F.count_if(F.col("_value") == F.lit(v)).alias(f"{prefix}{v}") for v in values])
+
+
+def prop_wide(df: DataFrame, by: Sequence[str], col: str, values: Sequence, prefix: str = "p_",
+              drop_others: bool = False) -> DataFrame:
+    """Within-group proportions per value, one column per value; the total counts all listed values.
+
+    Missing values are not counted; values outside the list raise an error unless ``drop_others``.
+    """
+    total = F.count_if(F.col("_value").isin(*values))
+    return _only_listed(df, col, values, drop_others).groupBy(*by).agg(*[
+        (F.count_if(F.col("_value") == F.lit(v)) / total).alias(f"{prefix}{v}") for v in values
     ])
 
 
@@ -137,21 +154,6 @@ def prob_direction(df: DataFrame, claim: Column, by: Sequence[str] = (), out: st
     return df.groupBy(*by).agg(F.avg(claim.cast("int")).alias(out))
 
 
-# -- correlations ----------------------------------------------------------------------------
-
-
-def cor_matrix(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
-    """Pairwise-complete Pearson correlations: one row per variable, null diagonal.
-
-    All pairs are computed in one pass; ``digits`` turns the numbers into text without a leading
-    zero and the diagonal into empty text.
-    """
-    flat = df.agg(*[F.corr(f"`{x}`", f"`{y}`").alias(f"r_{i}_{j}") for (i, x), (j, y) in combinations(enumerate(cols), 2)])
-
-    def cell(i: int, j: int) -> Column:
-        r = F.lit(None).cast("double") if i == j else F.col(f"r_{min(i, j)}_{max(i, j)}")
-        return r if digits is None else F.coalesce(fmt_num(r, digits, leading_zero=False), F.lit(""))
-
-    rows = [F.struct(F.lit(i + 1).alias("rank"), F.lit(x).alias("term"),
-                     *[cell(i, j).alias(y) for j, y in enumerate(cols)]) for i, x in enumerate(cols)]
-    return flat.select(F.inline(F.array(*rows)))
+__all__ = ["cohens_d", "cor_matrix", "count_wide", "demographics", "describe", "group_means", "item_rate_table", "item_rates",
+           "midpoint_shares", "model_sizes", "prob_direction", "prob_superiority", "prop_wide", "share_of_total", "spread",
+           "threshold_share"]

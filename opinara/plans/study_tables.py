@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import to_int
 from ..operators.recode import across, clean_names, null_sentinels, select_cols
-from ..operators.shape import to_long
-from ..session import broadcast_if_small
+from ..operators.shape import lookup, to_long
 from ..sources.export import codebook
 
 Step = Callable[[DataFrame], DataFrame]
@@ -69,8 +68,8 @@ def study_tables(answers: DataFrame, labels: DataFrame, spec: StudySpec) -> Stud
     kept = rows.select(spec.id, *spec.design, spec.flag, *item_cols)
     long = to_long(kept, item_cols, spec.names_re, spec.names, "response", "int", drop_na=True)
     names_re = r".*_([0-9]+)"
-    book = broadcast_if_small(codebook(labels, spec.items, names_re, placeholders=dict(spec.placeholders)))
-    return StudyTables(long.join(book, "action", "left"), select_cols(rows, *spec.wide), book)
+    book = codebook(labels, spec.items, names_re, placeholders=dict(spec.placeholders))
+    return StudyTables(lookup(long, book, [F.col("action")], ["action"]), select_cols(rows, *spec.wide), book)
 
 
 def panel_table(raw: DataFrame, integers: Sequence[str], sentinels: Sequence[str],

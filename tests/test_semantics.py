@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +192,36 @@ def test_contrast_modes(spark):
     assert rows(contrasts.contrast(df, w, mode="mean")) == [(1, "k", 5.0 / 3)]
     assert rows(contrasts.contrast(df, w, mode="balanced")) == [(1, "k", 2.0)]
     assert rows(contrasts.marginal_diff(df, "g", "b", "a")) == [(1, 2.0)]
+
+
+def test_correlations_of_many_columns(spark):
+    """Nulls pair by pair, a constant, large means, values that are not finite, no rows; 200 columns plan quickly."""
+    rng = np.random.default_rng(3)
+    n, p = 5_000, 200
+    x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, p)) + rng.normal(size=(n, p)) + 1e6
+    x[:, 7] = 0.1
+    x[rng.random((n, p)) < 0.1] = np.nan
+    frame = pd.DataFrame(x, columns=[f"c.{i}" for i in range(p)])
+    df = spark.createDataFrame(frame).repartition(5)
+    df = df.select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    got = summary.cor_matrix(df, df.columns).toPandas().sort_values("rank")
+    want = frame.corr().to_numpy()
+    np.fill_diagonal(want, np.nan)
+    want[7], want[:, 7] = np.nan, np.nan
+    assert list(got.term) == list(frame.columns)
+    np.testing.assert_allclose(got[list(frame.columns)].to_numpy(float), want, atol=1e-9)
+    odd = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, float("nan"), 3.0), (3.0, 5.0, None)], "a double, b double, c double")
+    a, b, c = summary.cor_matrix(odd, ["a", "b", "c"]).orderBy("rank").collect()
+    assert a.a is None and np.isnan(a.b) and a.c == pytest.approx(1.0) and np.isnan(b.c) and c.a == pytest.approx(1.0)
+    none = summary.cor_matrix(odd.limit(0), ["a", "b"], digits=2).orderBy("rank").collect()
+    assert [tuple(r) for r in none] == [(1, "a", "", ""), (2, "b", "", "")]
+
+
+def test_values_without_a_column_are_an_error(spark):
+    df = spark.createDataFrame([("i", 1), ("i", 4), ("i", None)], "item string, y int")
+    for fn in (summary.count_wide, summary.prop_wide):
+        with pytest.raises(Exception, match="value without a column: 4"):
+            fn(df, ["item"], "y", [1, 2]).collect()
+    assert rows(summary.count_wide(df, ["item"], "y", [1, 2], drop_others=True)) == [("i", 1, 0)]
+    with pytest.raises(ValueError, match="more than 2 new columns"):
+        shape.to_wide(spark.range(3), ["id"], "id", None, [], most=2)
