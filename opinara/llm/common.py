@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import sys
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir
@@ -81,6 +83,24 @@ def pieces(batches, rows: int = 1_000):
             yield batch.slice(start, rows)
 
 
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The table with its columns called ``_in0, _in1, …``, which no operator uses, and the new names of some.
+
+    Operators that add columns of their own to a caller's table work on this and give the names back with ``toDF``.
+    """
+    at = {c.lower(): f"_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))]), [at[n.lower()] for n in names]
+
+
+def share_value(spark: SparkSession, value) -> Callable[[], object]:
+    """Send a value to all executors once. What is returned makes the value anew, in a task.
+
+    The value travels as bytes, its classes included, so that executors need not have this package.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
 def process_cache(key: tuple, make: Callable[[], object]):
     """What ``make`` gives, kept across the tasks of a Python worker until another key is asked for.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, lower_ascii, marked_by_sieve, sieve
+from .common import Scratch, apart, lower_ascii, marked_by_sieve, sieve
 
 PREFIX_CHARS = 64
 
@@ -69,6 +69,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that are the only one of their text pass without any shuffle of the others' marks: only
     documents of repeated texts are joined, and of rows repeating id and text one is taken.
     """
+    names = docs.columns
+    docs, (id_col, text_col) = apart(docs, id_col, text_col)
     marks = duplicate_classes(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession)
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
@@ -85,4 +87,4 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = parts[0].select(*columns)
     for part in parts[1:]:
         kept = kept.unionByName(part.select(*columns))
-    return kept
+    return kept.toDF(*names)

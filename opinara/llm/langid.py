@@ -17,14 +17,14 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rows, WordTable, process_cache
+from .common import Rows, WordTable, process_cache, share_value
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 GRAMS = (5, 4, 3, 2, 1)
@@ -32,6 +32,14 @@ PIECES_KEPT = 500_000
 _FLUSH = 400_000
 
 
+def _words(text: str) -> list[str]:
+    """Runs of letters. Number signs that the pattern takes for letters (``½``, ``Ⅷ``) part words as digits do."""
+    out = []
+    for run in _LETTERS.findall(text.lower()):
+        out += [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+    return out
+
+
 def _grams(word: str, n: int) -> list[str]:
     padded = f"<{word}>" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -81,7 +89,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(_LETTERS.findall((text or "").lower()))
+            counts.setdefault(lang, Counter()).update(_words(text or ""))
             if sum(map(len, counts.values())) > _FLUSH:
                 yield rows()
     if counts:
@@ -123,45 +131,45 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return LanguageModel(langs, logs(raw[0]), logs(raw[1]), uuid.uuid4().hex)
 
 
-def _scorer(model: LanguageModel) -> tuple[WordTable, Rows]:
-    def make() -> tuple[WordTable, Rows]:
+def _scorer(load: Callable[[], LanguageModel], name: str) -> tuple[list[str], WordTable, Rows]:
+    def make() -> tuple[list[str], WordTable, Rows]:
+        model = load()
         width = len(model.languages)
         rows = Rows(width + 1, np.float32)  # the scores, and the number of words
 
         def grow(fresh: list[bytes]) -> None:
             new = np.zeros((len(fresh), width + 1), np.float32)
             for row, piece in zip(new, fresh, strict=True):
-                for word in _LETTERS.findall(piece.decode("utf-8", "replace").lower()):
+                for word in _words(piece.decode("utf-8", "replace")):
                     row[:width] += model.word_scores(word)
                     row[width] += 1
             rows.extend(new)
 
-        return WordTable(grow, rows.clear, PIECES_KEPT), rows
+        return model.languages, WordTable(grow, rows.clear, PIECES_KEPT), rows
 
-    return process_cache(("langid", model.name), make)
+    return process_cache(("langid", name), make)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, lang_pred, score). The score is the posterior share of the language, under equal priors."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    load, name = share_value(docs.sparkSession, model), model.name
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        table, found = _scorer(model)
+        languages, table, found = _scorer(load, name)
         for batch in batches:
             preds, scores = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 pieces = text.split() if text else []
                 codes = table.codes(pieces)
-                total = found.view[codes].sum(axis=0, dtype=np.float64) if pieces else np.zeros(len(model.languages) + 1)
-                if not total[-1] or not model.languages:
+                total = found.view[codes].sum(axis=0, dtype=np.float64) if pieces else np.zeros(len(languages) + 1)
+                if not total[-1] or not languages:
                     preds.append("und")
                     scores.append(0.0)
                     continue
                 shares = np.exp(total[:-1] - total[:-1].max())
                 best = int(np.argmax(shares))
-                preds.append(model.languages[best])
+                preds.append(languages[best])
                 scores.append(float(shares[best] / shares.sum()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])

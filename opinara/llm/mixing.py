@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.ordering import global_index, running_total
-from .common import Scratch
+from .common import Scratch, apart
 
 MAX_RATE = 2
 STEPS = 200  # safety bound; bisection alone halves the bracket each step
@@ -158,6 +158,8 @@ def take(docs: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: flo
     Rows that repeat id, text and source are told apart by numbering them on both sides.
     """
     scratch = Scratch(docs.sparkSession)
+    given = docs.columns
+    docs, (id_col, text_col, source_col) = apart(docs, id_col, text_col, source_col)
     mixed = mix(docs, cycle, share, id_col, text_col, source_col)
     names = {"_name": F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
              "_from": F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`").cast("string")), F.lit("t"))}
@@ -175,4 +177,4 @@ def take(docs: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: flo
     again = again.withColumn("_take", share_of.cast("long")).drop("_nth")
     taken = alone.unionByName(again).filter("_take > 0")
     times = F.explode(F.array_repeat(F.lit(1), F.col("_take").cast("int")))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], times.alias("_time")).drop("_time")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], times.alias("_time")).drop("_time").toDF(*given)

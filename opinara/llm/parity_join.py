@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rows, Scratch, WordTable, marked_by_sieve, pieces, process_cache, sieve
+from .common import Rows, Scratch, WordTable, apart, marked_by_sieve, pieces, process_cache, sieve
 from .linking import linked_components, shared_keys
 
 BLOCKS = 128
@@ -206,6 +206,8 @@ def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document, of which one row stays; rows that repeat an id with texts that do not link are different ones.
     """
     scratch = Scratch(docs.sparkSession)
+    names = docs.columns
+    docs, (id_col, text_col) = apart(docs, id_col, text_col)
     found = jaccard_components(docs, id_col, text_col, words, percent, with_text_key=True)
     found = scratch.write(found.select(F.col(f"`{id_col}`").alias("_id"), "text_key", "_root", "set_id"), "found")
     linked = found.filter("set_id is not null")
@@ -225,4 +227,4 @@ def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [F.col(f"`{c}`") for c in docs.columns]
     joined = rows.filter("_maybe").join(marks, ["_name", "text_key"], "left")
     kept = rows.filter("not _maybe").select(*columns).unionByName(joined.filter("_stay is null").select(*columns))
-    return kept.unionByName(joined.filter("_stay").dropDuplicates(["_name", "text_key"]).select(*columns))
+    return kept.unionByName(joined.filter("_stay").dropDuplicates(["_name", "text_key"]).select(*columns)).toDF(*names)

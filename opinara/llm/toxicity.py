@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rows, Scratch, WordTable, pieces, process_cache
+from .common import Rows, Scratch, WordTable, apart, pieces, process_cache, share_value
 
 # What a character other than a letter may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -300,10 +300,11 @@ def train(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "d
     # At most about max_texts short rows are sent to the executors.
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(
         F.broadcast(marks), "id").withColumn("text_key", F.xxhash64("text"))
-    shared = spark.sparkContext.broadcast(chars)
+    load_chars, chars_name = share_value(spark, chars), uuid.uuid4().hex
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = TextReader(shared.value, feature_keys, 1 + len(PREFIXES), np.int64)
+        reader = process_cache(("toxicity words", chars_name),
+                               lambda: TextReader(load_chars(), feature_keys, 1 + len(PREFIXES), np.int64))
         for batch in batches:
             keys = [np.unique(reader(t), axis=0).ravel() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -353,16 +354,21 @@ def train(docs: DataFrame, labels: DataFrame, chars: CharModel, id_col: str = "d
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """The documents with their score. All columns stay; one that clashes with ``out`` is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != out]
-    source = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
+    load, name = share_value(docs.sparkSession, model), model.name
+    given, (text_col,) = apart(docs, text_col)
+    names = [(inner, c) for inner, c in zip(given.columns, docs.columns, strict=True) if c != out]
+    others = [inner for inner, _ in names]
+    source = given.select(*others, F.col(text_col).cast("string").alias("_text"))
+    fields = [f"{c} {given.schema[c].dataType.simpleString()}" for c in others]
+
+    def make() -> tuple[ToxicityModel, TextReader]:
+        model = load()
+        return model, TextReader(model.chars, model.word_row, 2, np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        reader = process_cache(("toxicity", model.name), lambda: TextReader(model.chars, model.word_row, 2, np.float64))
+        model, reader = process_cache(("toxicity", name), make)
         for batch in pieces(batches):
             scores = [model.score(reader(t)) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(scores, pa.float64())], [*others, out])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(scores, pa.float64())], [*others, "_score"])
 
-    return source.mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
+    return source.mapInArrow(run, ", ".join([*fields, "_score double"])).toDF(*[c for _, c in names], out)
