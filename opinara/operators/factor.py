@@ -3,9 +3,9 @@
 Full-information maximum likelihood needs the data only through, per pattern of missing answers,
 the number of people, the means and the scatter of the observed answers. Spark reduces the people
 to that table when a sketch shows that its numbers fit the driver (``DRIVER_CELLS``), whatever the
-number of items, and EM runs on it. With many patterns the people stay distributed and
-every EM iteration is a Spark job that groups them by pattern inside each batch; only moments of
-the items reach the driver. Both ways give the same estimates.
+number of items, and the iterations run on it. With many patterns the people stay distributed and
+every iteration is a Spark job that groups them by pattern inside each batch; only sums of the size items x items
+or parameters x parameters reach the driver. Both ways give the same estimates.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import cut_lineage, ship_by_value
-from .fixed_point import settle
+from .fixed_point import NotSettled, settle
 
 ship_by_value(__name__)
 
 DRIVER_CELLS = 4_000_000  # numbers the driver may hold; above it, iterations run as Spark jobs
 _CHUNK = 1_024           # patterns handled at once, which bounds the memory of a task
+_CELLS = 1 << 21         # numbers held at once of the patterns' curvatures
+LEAST_UNIQUE = 1e-6      # part of an item's variance that is its own at least
 
 
 def _answers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -215,11 +217,72 @@ def _observed_moments(patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.maximum(second / n - mean**2, 1e-8)
 
 
+def _correlations(angles: np.ndarray, q: int) -> np.ndarray:
+    """Correlations from the angles of their triangular root, which reach the border of the valid range and stay smooth there."""
+    root = np.zeros((q, q), angles.dtype)
+    turns = iter(angles)
+    for j in range(q):
+        left = 1.0
+        for k in range(j):
+            turn = next(turns)
+            root[j, k], left = left * np.cos(turn), left * np.sin(turn)
+        root[j, j] = left
+    return root @ root.T
+
+
+def _likelihood(patterns: Patterns, mean: np.ndarray, load: np.ndarray, unique: np.ndarray, phi: np.ndarray, loads: np.ndarray):
+    """Log-likelihood in one pass, with its gradient and curvature in means, free loadings, uniquenesses and correlations."""
+    p, q = load.shape
+    item, factor = np.nonzero(loads)
+    one, other = np.triu_indices(q, 1)
+    cross, sigma = load @ phi, load @ phi @ load.T + np.diag(unique)
+    # Every parameter moves sigma along ``scale * (x y' + y x')``, with x and y among the columns of ``basis``.
+    basis = np.hstack([np.eye(p), cross, load])
+    x, y = np.r_[item, np.arange(p), p + q + one], np.r_[p + factor, np.arange(p), p + q + other]
+    scale = np.r_[np.ones(len(item)), np.full(p, 0.5), np.ones(len(one))]
+    k = len(x)
+
+    def statistic(n, seen, m, s):
+        inv, logdet = _observed_inverse(sigma, seen)
+        d = (m - mean) * seen
+        w = np.einsum("pij,pj->pi", inv, d)
+        quad = (inv * s).sum((1, 2)) + (d * w).sum(1)
+        value = -0.5 * (n * (seen.sum(1) * np.log(2 * np.pi) + logdet + quad)).sum()
+        spread = inv @ s @ inv + w[:, :, None] * w[:, None, :]
+        pull = 0.5 * np.einsum("p,pij->ij", n, spread - inv)
+        side, along = inv @ basis, w @ basis
+        left, right = basis.T @ side, n[:, None, None] * (basis.T @ (0.5 * inv - spread) @ basis)
+        met, bend = (n[:, None] * along), np.zeros((k, k))
+        for at in range(0, len(n), size := max(_CELLS // k**2, 1)):
+            a, b = left[at : at + size], right[at : at + size]
+            for u, v in ((x, y), (y, x)):
+                for i, j in ((x, y), (y, x)):
+                    bend += np.einsum("pab,pba->ab", a[:, v[:, None], i[None, :]], b[:, j[:, None], u[None, :]])
+        mixed = np.stack([np.einsum("pi,p->i", side[:, :, i], met[:, j]) + np.einsum("pi,p->i", side[:, :, j], met[:, i])
+                          for i, j in zip(x, y, strict=True)], axis=1)
+        return np.concatenate([[value], n @ w, pull.ravel(), np.einsum("p,pij->ij", n, inv).ravel(), mixed.ravel(), bend.ravel()])
+
+    value, g_mean, pull, weight, mixed, bend = np.split(patterns.total(statistic), np.cumsum([1, p, p * p, p * p, p * k]))
+    pull, weight, mixed, bend = pull.reshape(p, p), weight.reshape(p, p), mixed.reshape(p, k) * scale, bend.reshape(k, k) * np.outer(scale, scale)
+    pull = 0.5 * (pull + pull.T)
+    gradient = np.r_[g_mean, 2 * scale * (basis.T @ pull @ basis)[x, y]]
+    # Loadings meet each other and the correlations in products, so the gradient enters the curvature.
+    flat, own = len(item), pull @ load
+    bend[:flat, :flat] += 2 * phi[np.ix_(factor, factor)] * pull[np.ix_(item, item)]
+    meet = 2 * (own[np.ix_(item, one)] * (factor[:, None] == other) + own[np.ix_(item, other)] * (factor[:, None] == one))
+    bend[:flat, flat + p :] += meet
+    bend[flat + p :, :flat] += meet.T
+    curvature = np.block([[-weight, -mixed], [-mixed.T, bend]])
+    return float(value[0]), gradient, 0.5 * (curvature + curvature.T)
+
+
 def fit_factors(patterns: Patterns, model: Mapping[str, Sequence[str]], max_iter: int = 5_000,
                 tol: float = 1e-7) -> FactorFit:
     """Maximum-likelihood loadings; every item loads on the factors that name it.
 
-    Accelerated EM on standardised items until no parameter moves by more than ``tol``; raises otherwise.
+    Newton steps on standardised items, one pass each, until none moves a parameter by more than ``tol`` or its gain is lost
+    in rounding; raises otherwise. Uniquenesses are squares above ``LEAST_UNIQUE`` of the variance and correlations cosines, so that a
+    maximum on the border of the valid range, as weakly related items have it, is reached like any other.
     """
     items, factors = patterns.cols, list(model)
     p, q = len(items), len(factors)
@@ -227,42 +290,50 @@ def fit_factors(patterns: Patterns, model: Mapping[str, Sequence[str]], max_iter
     centre, var = _observed_moments(patterns)
     unit = np.sqrt(var)
     pairs = np.triu_indices(q, 1)
-    n_loads = int(loads.sum())
-
-    def pack(mean: np.ndarray, load: np.ndarray, unique: np.ndarray, phi: np.ndarray) -> np.ndarray:
-        return np.concatenate([(mean - centre) / unit, (load / unit[:, None])[loads], np.log(unique / var), phi[pairs]])
+    n_loads, n_pairs = int(loads.sum()), q * (q - 1) // 2
+    item = np.nonzero(loads)[0]
 
     def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        mean, flat, log_u, off = np.split(x, [p, p + n_loads, 2 * p + n_loads])
-        load, phi = np.zeros((p, q)), np.eye(q)
+        mean, flat, root, angles = np.split(x, [p, p + n_loads, 2 * p + n_loads])
+        load = np.zeros((p, q))
         load[loads] = flat
-        phi[pairs] = phi[pairs[::-1]] = off
-        return centre + mean * unit, load * unit[:, None], np.exp(log_u) * var, phi
-
-    def valid(x: np.ndarray) -> bool:
-        return bool(np.linalg.eigvalsh(unpack(x)[3]).min() > 1e-6 and np.abs(x[p + n_loads : 2 * p + n_loads]).max() < 30)
-
-    def step(x: np.ndarray) -> tuple[np.ndarray, float]:
-        mean, load, unique, phi = unpack(x)
-        sigma = load @ phi @ load.T + np.diag(unique)
-        cross = load @ phi
-        joint = np.block([[sigma, cross], [cross.T, phi]])
-        first, second, _, log_lik = _expected_moments(patterns, mean, joint)
-        cov = second - np.outer(first, first)
-        new_load, slope_mean, new_unique = np.zeros_like(load), np.zeros(p), np.zeros(p)
-        for i in range(p):
-            on = np.flatnonzero(loads[i])
-            coef = np.linalg.solve(cov[np.ix_(p + on, p + on)], cov[p + on, i])
-            new_load[i, on] = coef
-            new_unique[i] = max(cov[i, i] - coef @ cov[p + on, i], 1e-6 * var[i])
-            slope_mean[i] = first[i] - coef @ first[p + on]
-        # Factors keep mean 0 and variance 1: their moments move into intercepts and loadings.
-        scale = np.sqrt(np.diag(cov)[p:])
-        return pack(slope_mean + new_load @ first[p:], new_load * scale[None, :], new_unique,
-                    cov[p:, p:] / np.outer(scale, scale)), log_lik
-
-    start = pack(centre, loads * np.sqrt(var * 0.5)[:, None], var * 0.5, np.eye(q))
-    x, _, _ = settle(step, start, tol, max_iter, valid)
+        return centre + mean * unit, load * unit[:, None], (LEAST_UNIQUE + root**2) * var, _correlations(angles, q)
+
+    def turned(angles: np.ndarray) -> np.ndarray:
+        """Slopes of the correlations in the angles, by complex steps."""
+        steps = [_correlations(angles + 1e-30j * e, q)[pairs].imag / 1e-30 for e in np.eye(n_pairs)]
+        return np.array(steps).reshape(n_pairs, n_pairs).T
+
+    def look(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        value, gradient, curvature = _likelihood(patterns, *unpack(x), loads)
+        roots, at = np.arange(p + n_loads, 2 * p + n_loads), 2 * p + n_loads
+        slopes = np.diag(np.r_[unit, unit[item], 2 * x[roots] * var, np.zeros(n_pairs)])
+        slopes[at:, at:] = turned(x[at:])
+        bend = slopes.T @ curvature @ slopes
+        bend[roots, roots] += 2 * gradient[roots] * var
+        for j, e in enumerate(np.eye(n_pairs)):
+            bend[at:, at + j] += (turned(x[at:] + 1e-5 * e) - turned(x[at:] - 1e-5 * e)).T @ gradient[at:] / 2e-5
+        return value, slopes.T @ gradient, 0.5 * (bend + bend.T)
+
+    x = np.concatenate([np.zeros(p), np.full(n_loads, np.sqrt(0.5)), np.full(p, np.sqrt(0.5)), np.full(n_pairs, np.pi / 2)])
+    (value, gradient, bend), passes, reach = look(x), 1, 0.5
+    while True:
+        values, vectors = np.linalg.eigh(-bend)
+        step = vectors @ ((vectors.T @ gradient) / np.maximum(np.abs(values), 1e-12 * np.abs(values).max()))
+        gain, far = 0.5 * gradient @ step, np.abs(step).max()
+        if far <= tol or gain <= 1e-15 * abs(value):
+            if values[0] > -1e-6 * values[-1]:
+                break
+            step, far = vectors[:, 0], 1.0  # a saddle: leave it where the likelihood bends upwards
+        step = step * min(1.0, reach / far)
+        while True:
+            if passes >= max_iter:
+                raise NotSettled(f"loadings still move by {far:.2g} after {passes} passes")
+            trial, passes = look(x + step), passes + 1
+            if trial[0] >= value - 1e-13 * abs(value):
+                break
+            step, reach = step / 4, np.abs(step).max() / 4
+        x, (value, gradient, bend), reach = x + step, trial, min(2 * reach, 0.5)
     mean, load, unique, phi = unpack(x)
     sign = np.where(load.sum(0) < 0, -1.0, 1.0)
     load, phi = load * sign, phi * np.outer(sign, sign)

@@ -103,6 +103,44 @@ def test_six_factors_with_36_items(spark):
     assert factor.factor_scores(df, model, fit).count() == 4000
 
 
+def unrelated(spark, seed, n=4_000):
+    rng = np.random.default_rng(seed)
+    x = (rng.random((n, 7)) < 0.4).astype(float)
+    x[rng.random(x.shape) < 0.57] = np.nan
+    return frame(spark, **{f"s{i}": x[:, i] for i in range(7)})
+
+
+@pytest.mark.parametrize("parts", [[7], [3, 7]])
+def test_hardly_related_items_settle_on_the_border(spark, parts):
+    """The likeliest loading takes nearly all of an item's variance: a maximum that plain EM only creeps up to."""
+    model = {f"f{end}": [f"s{i}" for i in range(start, end)] for start, end in zip([0, *parts], parts, strict=False)}
+    border = 0
+    for seed in range(3):
+        patterns = factor.Patterns(unrelated(spark, seed), [f"s{i}" for i in range(7)])
+        fit = factor.fit_factors(patterns, model, max_iter=1_000)
+        mean, var = factor._observed_moments(patterns)
+        border += (fit.uniquenesses / var < 1e-5).any()
+        assert fit.log_lik > factor._log_lik(patterns, mean, np.diag(var)) and (fit.uniquenesses > 0).all()
+    assert border
+
+
+def test_slopes_of_the_factor_likelihood_are_its_differences(people):
+    df, *_ = people
+    patterns, loads = factor.Patterns(df, MODEL["g"]), np.array([[1, 0]] * 2 + [[1, 1]] + [[0, 1]] * 3, bool)
+
+    def look(t):
+        load, phi = np.zeros((6, 2)), np.eye(2)
+        load[loads], phi[0, 1], phi[1, 0] = t[6:13], t[19], t[19]
+        return factor._likelihood(patterns, t[:6], load, t[13:19], phi, loads)
+
+    at = np.r_[np.full(6, 2.9), np.linspace(0.3, 0.9, 7), np.linspace(0.3, 0.6, 6), 0.3]
+    _, gradient, curvature = look(at)
+    for i, e in enumerate(1e-5 * np.eye(len(at))):
+        (up, up_slope, _), (down, down_slope, _) = look(at + e), look(at - e)
+        assert abs((up - down) / 2e-5 - gradient[i]) < 1e-5 * np.abs(gradient).max()
+        assert np.abs((up_slope - down_slope) / 2e-5 - curvature[i]).max() < 1e-5 * np.abs(curvature).max()
+
+
 def responses(spark, seed=3, n=3000, n_items=8):
     rng = np.random.default_rng(seed)
     a, b = np.exp(rng.normal(size=n_items) * 0.3), rng.normal(size=n_items)
