@@ -32,6 +32,7 @@ ship_by_value(__name__)
 PARAMETERS = 3_000  # curvature of more parameters is not held; estimate such banks with ``method="em"``
 CELLS_AT_ONCE = 1 << 20  # numbers that a task holds of a group of people
 PAIRS_AT_ONCE, PAIR_COST = 1 << 22, 8  # pairs of answers held at once; work of one against a cell of a matrix product
+REACH = 4.0  # a pass ends its steps when the logarithm of a discrimination has moved farther
 LEAST_SPREAD = 1e-3  # spreads below count as none: deviations of that size are of no interest
 
 
@@ -440,22 +441,20 @@ class Structure:
         away = phi - self.prior_mean(scale)
         return 0.5 * away @ self.precision(spreads, scale) @ away
 
-    def best_scale(self, phi: np.ndarray, spreads: Sequence[float], scale: float) -> float:
-        """The log spread of the latent outcome that the priors like best."""
-        fixed = np.concatenate([phi[g.at] / s**2 for g, s in zip(self.groups, spreads, strict=True) if not g.stretches])
-        weight = sum(len(g.at) / s**2 for g, s in zip(self.groups, spreads, strict=True) if not g.stretches)
-        pull = sum(phi[g.at] @ g.matrix() @ phi[g.at] / s**2 for g, s in zip(self.groups, spreads, strict=True) if g.stretches)
-        for _ in range(100):
-            step = (fixed.sum() - weight * scale - np.exp(2 * scale) * pull) / (weight + 2 * np.exp(2 * scale) * pull)
-            scale += float(np.clip(step, -1, 1))
-            if abs(step) < 1e-13:
-                break
-        return scale
+    @property
+    def unstretched(self) -> np.ndarray:
+        """One for parameters that move against the scale of the latent outcome, zero for others."""
+        out = np.zeros(self.parameters)
+        for group in self.groups:
+            out[group.at] = not group.stretches
+        return out
 
 
 def simplex_programme(lhs: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     """Minimise ``x' lhs x / 2 - rhs' x`` over shares: at or above zero, summing to one."""
     n = len(rhs)
+    tangent = np.eye(n)[:, 1:] - np.eye(n)[:, :1]
+    _choleskied(tangent.T @ lhs @ tangent)  # without a single minimum there is nothing to find: the picture needs damping
     on = np.ones(n, bool)
     x = np.full(n, 1 / n)
     for _ in range(50 * n):
@@ -538,6 +537,10 @@ def _choleskied(matrix: np.ndarray) -> np.ndarray:
     return matrix
 
 
+def _bordered(matrix: np.ndarray, side: np.ndarray, corner: float) -> np.ndarray:
+    return np.block([[matrix, side[:, None]], [side[None, :], np.array([[corner]])]])
+
+
 class Picture:
     """The quadratic picture of the likelihood at a point, maximised with priors, spreads, scale and shares."""
 
@@ -558,21 +561,31 @@ class Picture:
         psi, _ = self.s.to_coefficients(at.phi, at.z)
         return float(self._pull @ psi - 0.5 * psi @ self._bend @ psi - self.s.penalty(at.phi, at.spreads, at.scale))
 
-    def _parameters(self, at: Place) -> np.ndarray:
-        """Newton steps for the parameters, given all else."""
-        prior, mean, value = self.s.precision(at.spreads, at.scale), self.s.prior_mean(at.scale), self._value(at)
+    def _parameters(self, at: Place, start: Place) -> Place:
+        """Newton steps for the parameters and the scale, given all else, as long as they stay near the start of the pass."""
+        n, stretch, fixed, value = self.s.parameters, self.s.stretch, self.s.unstretched, self._value(at)
         for _ in range(200):
+            if self._beyond(at, start):
+                break
+            prior = self.s.precision(at.spreads, at.scale)
+            away = at.phi - self.s.prior_mean(at.scale)
             _, slopes, pull = self._local(at)
-            gradient = slopes.T @ pull - prior @ (at.phi - mean)
+            gradient = slopes.T @ pull - prior @ away
             plain = slopes.T @ self._bend @ slopes + prior
+            full = plain - self.s.bend(at.phi, pull)
+            if stretch:
+                grown = at.phi * (1 - fixed)
+                gradient = np.r_[gradient, fixed @ prior @ away - grown @ prior @ grown]
+                full = _bordered(full, 2 * prior @ grown - prior @ fixed, fixed @ prior @ fixed + 2 * grown @ prior @ grown)
+                plain = _bordered(plain, prior @ grown - prior @ fixed, fixed @ prior @ fixed + grown @ prior @ grown)
             try:
-                lhs = _choleskied(plain - self.s.bend(at.phi, pull))
+                lhs = _choleskied(full)
             except np.linalg.LinAlgError:
                 lhs = _choleskied(plain)
             step = np.linalg.solve(lhs, gradient)
-            step /= max(1.0, np.abs(step[: self.s.items]).max(initial=0.0) / 2)
+            step /= max(1.0, np.abs(step[: self.s.items]).max(initial=0.0) / 2, np.abs(step[n:]).max(initial=0.0))
             for _ in range(40):
-                new = at._replace(phi=at.phi + step)
+                new = at._replace(phi=at.phi + step[:n], scale=at.scale + float(step[n:].sum()))
                 new_value = self._value(new)
                 if new_value >= value - 1e-13 * abs(value):
                     break
@@ -580,7 +593,11 @@ class Picture:
             at, value = new, new_value
             if np.abs(step).max(initial=0.0) < 1e-10:
                 break
-        return at.phi
+        return at
+
+    def _beyond(self, at: Place, start: Place) -> bool:
+        """Whether discriminations have moved so far that the picture tells nothing: its slope dies away there, without a maximum."""
+        return np.abs(at.phi - start.phi)[: self.s.items : self.s.curves.per_item].max(initial=0.0) > REACH
 
     def _spreads(self, at: Place) -> list[float]:
         free = [i for i, g in enumerate(self.s.groups) if g.free]
@@ -622,19 +639,19 @@ class Picture:
         Spreads move only if the mode is ``near``, in units of the log-likelihood, and at most by a factor e: farther
         away the picture does not tell deviations from distance. Without ``near`` they stay.
         """
-        at = start._replace(phi=self._parameters(start))
+        at = self._parameters(start, start)
         close = near is not None and self._value(at) - self._value(start) <= near
         for _ in range(sweeps):
+            if self._beyond(at, start):
+                break
             before = at
             if close:
                 limits = [(s / np.e, s * np.e) for s in start.spreads]
                 at = at._replace(spreads=[min(max(s, lo), hi) for s, (lo, hi) in zip(self._spreads(at), limits, strict=True)])
-            if self.s.stretch:
-                at = at._replace(scale=self.s.best_scale(at.phi, at.spreads, at.scale))
-            at = at._replace(phi=self._parameters(at))
+            at = self._parameters(at, start)
             if self.s.steps:
                 at = at._replace(z=self._shares(at))
-                at = at._replace(phi=self._parameters(at))
+                at = self._parameters(at, start)
             if max(np.abs(at.phi - before.phi).max(initial=0.0), abs(at.scale - before.scale)) < 1e-8:
                 break
         return at
@@ -723,10 +740,7 @@ def covariance(structure: Structure, at: Place, gradient: np.ndarray, curvature:
     info[np.ix_(likelihood, likelihood)] = jacobian.T @ -curvature @ jacobian
     prior = s.precision(at.spreads, at.scale)
     info[:n, :n] += prior - s.bend(at.phi, gradient)
-    fixed = np.zeros(n)
-    for group in s.groups:
-        if not group.stretches:
-            fixed[group.at] = 1
+    fixed = s.unstretched
     if s.stretch:
         grown = at.phi * (1 - fixed)
         info[:n, n] = info[n, :n] = 2 * prior @ grown - prior @ fixed

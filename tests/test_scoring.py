@@ -255,3 +255,24 @@ def test_too_many_parameters_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError, match="use method='em'"):
         calibrate.calibrate_2pl(df, "id", "item", "y")
     assert calibrate.calibrate_2pl(df, "id", "item", "y", method="em", tol=1e-4).items.count() == 5
+
+
+def test_shares_without_a_single_best_place_call_for_damping():
+    """A picture that bends upwards along the shares has no maximum inside: the pass is damped instead of given up."""
+    lhs = np.diag([1.0, -2.0, 1.0, -3.0])
+    with pytest.raises(np.linalg.LinAlgError):
+        scoring.simplex_programme(lhs, np.array([0.3, 0.1, -0.2, 0.4]))
+
+
+def test_discriminations_without_a_maximum_do_not_hold_up_a_pass(monkeypatch):
+    """The picture puts all discriminations below zero, which they cannot reach: the scale and they would fall together for ever."""
+    k, looks, local = 7, [], scoring.Picture._local
+    s = scoring.Structure(scoring.BinaryCurves(), 2 * k, 1, stretch=True)
+    s.groups = [scoring.Group("a", np.arange(0, 2 * k, 2), 1.0, stretches=False), scoring.Group("b", np.arange(1, 2 * k, 2), 5.0, centred=True),
+                scoring.Group("means", np.array([2 * k]), 3.0)]
+    psi, gradient = np.r_[np.tile([1.0, 0.0], k), 0.0], np.r_[np.tile([-1.5e6, 1e5], k), 1e5]
+    picture = scoring.Picture(s, psi, gradient, -1e6 * np.eye(len(psi)), 0.0, 5.0)
+    monkeypatch.setattr(scoring.Picture, "_local", lambda self, at: looks.append(1) or local(self, at))
+    start = scoring.Place(np.zeros(s.parameters), np.zeros(0), [g.spread for g in s.groups], 0.0)
+    at = picture.best(start)
+    assert len(looks) < 1_000 and np.isfinite(at.phi).all() and (at.phi[: 2 * k : 2] < -2).all()
