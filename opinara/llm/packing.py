@@ -79,31 +79,32 @@ def pack_block(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
 def cuts(tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document: full windows, then the rest in equal parts."""
     full, rest = divmod(tokens, capacity)
-    parts = [capacity] * full
+    out = [(i * capacity, capacity) for i in range(full)]
     if rest:
         count = -(-rest // min(REST_LIMIT, capacity))
-        parts += [rest // count + (i < rest % count) for i in range(count)]
-    starts = np.cumsum(parts) - parts
-    return list(zip(starts.tolist(), parts, strict=True))
+        start = full * capacity
+        for i in range(count):
+            length = rest // count + (i < rest % count)
+            out.append((start, length))
+            start += length
+    return out
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int,
                    with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path)
+    encode, end = encoder(path), int(end_id).to_bytes(4, "little")
     for batch in parts(batches, TEXTS_AT_ONCE):
         ids_in = batch.column("id").to_pylist()
         encoded = encode(batch.column("text").cast(pa.binary()).to_pylist())
-        cols: list[list] = [[], [], [], [], []]
-        tokens = []
+        rows, tokens = [], []
         for doc_id, ids in zip(ids_in, encoded, strict=True):
-            ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-            for start, length in cuts(len(ids), capacity):
-                piece = ids[start : start + length]
-                for col, value in zip(cols, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
-                    col.append(value)
+            held, count = ids.astype("<u4", copy=False).tobytes() + end, len(ids) + 1
+            for start, length in cuts(count, capacity):
+                piece = held[4 * start : 4 * (start + length)]
+                rows.append((doc_id, start, length, zlib.crc32(piece), count))
                 if with_ids:
-                    tokens.append(piece.astype(np.int64))
-        arrays = [pa.array(c, pa.int64()) for c in cols]
+                    tokens.append(np.frombuffer(piece, "<u4").astype(np.int64))
+        arrays = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         if with_ids:
             arrays.append(pa.array(tokens, pa.list_(pa.int64())))

@@ -84,8 +84,7 @@ class PieceEncoder:
         codes = self._table.codes(found)
         counts = self._count.view[codes]
         ends = np.cumsum(counts)
-        within = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
-        ids = self._ids.view[np.repeat(self._start.view[codes], counts) + within]
+        ids = self._ids.view[np.repeat(self._start.view[codes] - (ends - counts), counts) + np.arange(ends[-1])]
         return np.split(ids, np.r_[0, ends][last])[:-1]
 
 
