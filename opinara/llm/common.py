@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import pickle
 import sys
@@ -9,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -110,6 +113,10 @@ def process_cache(key: tuple, make: Callable[[], object]):
     if key not in store:
         store.clear()
         gc.collect()
+        # What the last table took goes back to the system, or it would stay with the worker.
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
         store[key] = make()
     return store[key]
 

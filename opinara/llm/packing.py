@@ -22,8 +22,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, pieces as parts
-from .tokens import TEXTS_AT_ONCE, encoder
+from .common import Scratch
+from .tokens import encoder, text_batches
 
 BLOCK_PIECES = 1_500  # pieces split together in one task
 REST_LIMIT = 1_024  # longest piece that is not a full window: large rests would leave windows uneven
@@ -93,7 +93,7 @@ def cuts(tokens: int, capacity: int) -> list[tuple[int, int]]:
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int,
                    with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(path), int(end_id).to_bytes(4, "little")
-    for batch in parts(batches, TEXTS_AT_ONCE):
+    for batch in text_batches(batches):
         ids_in = batch.column("id").to_pylist()
         encoded = encode(batch.column("text").cast(pa.binary()).to_pylist())
         rows, tokens = [], []

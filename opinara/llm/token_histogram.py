@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ordering import running_total
-from .common import Scratch, pieces
-from .tokens import TEXTS_AT_ONCE, encoder
+from .common import Scratch
+from .tokens import encoder, text_batches
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,7 +26,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in pieces(batches, TEXTS_AT_ONCE):
+        for batch in text_batches(batches):
             lengths = [len(ids) for ids in encode(batch.column("text").cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lengths, pa.int64())], ["doc_id", "n_tokens"])
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,29 @@ def test_piece_encoder_gives_the_ids_of_the_tokenizer():
     assert [len(ids) for ids in encode([None, b"", b" "])] == [0, 0, 0]
 
 
+def test_piece_encoder_remembers_a_bounded_number_of_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "KEPT", 300)
+    rng = random.Random(3)
+    tokenizer = Tokenizer.from_file(PATH)
+    encode = tokens.PieceEncoder(tokenizer, True, True)
+    texts = [" ".join("".join(rng.choices("abcéÀZ.'1", k=rng.randrange(1, 7))) for _ in range(50)) for _ in range(200)] + TEXTS
+    for at in range(0, len(texts), 5):
+        some = texts[at : at + 5]
+        for text, ids in zip(some, encode([t.encode() if t else t for t in some]), strict=True):
+            assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+        assert len(encode._new) + len(encode._old) <= 2 * (300 + 3 * 5 * 50)
+
+
+def test_text_batches_are_bounded_in_rows_and_bytes():
+    texts = ["x" * n for n in (10, 0, 90, 500, 1, 1, 1, 1, 1, 99)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    got = [b.column("text").to_pylist() for b in tokens.text_batches([batch, batch.slice(0, 0)], rows=4, size=100)]
+    assert [t for part in got for t in part] == texts
+    assert all(len(part) <= 4 and sum(len(t or "") for t in part[:-1]) <= 100 for part in got)
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = public.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
