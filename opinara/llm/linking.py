@@ -80,11 +80,12 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
 
     hubs = left.groupBy("key").agg(F.max_by(me, F.struct("_pop", F.xxhash64("item"))).alias("my"))
     hubs = scratch.write(hubs, "hubs-0")
-    pairs = left.select("key", me.alias("mx")).join(hubs, "key").select("mx", "my")
-    pairs = pairs.unionByName(few.join(few.select("key", F.col("mx").alias("my")), "key").select("mx", "my").filter(
-        "mx.item < my.item"))
-    left = left.join(hubs.select("key", F.col("my.item").alias("_hub")), "key").filter("item <> _hub").drop("_hub")
-    left = left.join(features.select("item", "sketch"), "item")
+    # Every row meets the one hub of its key, once: the rows made are those of ``left`` without the hubs.
+    met = scratch.write(left.join(hubs, "key").filter("item <> my.item"), "met-0")
+    scratch.release("left-0")
+    pairs = met.select(me.alias("mx"), "my").unionByName(
+        few.join(few.select("key", F.col("mx").alias("my")), "key").select("mx", "my").filter("mx.item < my.item"))
+    left = met.drop("my").join(features.select("item", "sketch"), "item")
     tried, turn, most = None, 0, min(16, HUBS)
     while True:
         turn += 1
@@ -103,12 +104,15 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
         roots = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
         roots = scratch.write(roots.select("item", F.coalesce("to", "root").alias("root")), f"roots-{turn}")
 
-        left = left.drop("root").join(roots, "item")
+        left = scratch.write(left.drop("root").join(roots, "item"), f"rooted-{turn}")
         counts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_m"))
         largest = counts.groupBy("key").agg(F.max_by("root", F.struct("_m", "root")).alias("_top"),
                                             F.count(F.lit(1)).alias("_roots")).filter("_roots > 1")
         left = scratch.write(left.join(scratch.write(largest.select("key", "_top"), f"largest-{turn}"), "key"),
                              f"left-{turn}")
+        scratch.release(f"rooted-{turn}")
+        if turn > 1:
+            scratch.release(f"left-{turn - 1}")
         if left.isEmpty():
             return roots
         nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("_pop"), "item"))

@@ -226,3 +226,20 @@ def test_hubs_of_a_round_are_bounded(spark, monkeypatch):
             x, y = set(sets[a]), set(sets[b])
             assert (root[a] == root[b]) == (100 * len(x & y) >= 75 * len(x | y)), (a, b)
     assert largest and max(largest) <= 8
+
+
+def test_rows_meet_the_hub_of_their_key_once(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(60):
+        some = list(words)
+        some[rng.randrange(100)] = f"x{rng.random()}"
+        texts.append(" ".join(some))
+    reads, write = [], linking.Scratch.write
+    monkeypatch.setattr(linking.Scratch, "write", lambda self, df, name: (
+        reads.append((name, any("/hubs-0/" in f for f in df.inputFiles()))), write(self, df, name))[1])
+    got = parity_join.jaccard_components(frame(spark, list(enumerate(texts)))).collect()
+    want = linked(list(enumerate(texts)))
+    assert {r.doc_id: r.component_id for r in got} == {i: low for i, (_, low) in want.items()}
+    assert [name for name, read in reads if read] == ["met-0"]
