@@ -6,8 +6,8 @@ each iteration, a sum over all people, runs in Spark tasks; only sums reach the
 errors; its sums have the size parameters x parameters. ``method="em"`` is for wide banks: its sums have
 the size items x nodes (and design x design), it needs more passes and gives no standard errors.
 
-People are stored once as one row each with their answers as a short list, so that an iteration
-is a narrow pass plus one small sum. People with the same answers and design count once, with a weight.
+People are stored once with their answers as short lists, in blocks that tasks read without
+conversion, so that an iteration is a narrow pass plus one small sum. People with the same answers and design count once, with a weight.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from .shape import literal_table, lookup, seq
 ship_by_value(__name__)
 
 Batches = Iterator[pa.RecordBatch]
+NUMBERS_AT_ONCE = 1 << 18  # answers and design values of people that are kept and added up together
 
 
 class Calibration(NamedTuple):
@@ -50,17 +51,19 @@ class Calibration(NamedTuple):
 # -- layout ----------------------------------------------------------------------------------
 
 
-def _levels(df: DataFrame, *cols: str) -> list[list]:
-    """Values of questionnaire dimensions (items, cells), whose size does not grow with people."""
-    found = df.agg(*[F.collect_set(c) for c in cols]).first()
-    return [sorted(values) for values in found]
+def answer_cells(responses: DataFrame, person: str, item: str, y: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (person, item, y, number of answers) with the person-level columns ``keep``."""
+    return responses.groupBy(person, item, y).agg(
+        F.count(F.lit(1)).cast("float").alias("_n"), *[F.first(c).alias(c) for c in keep])
 
 
 def _known_levels(df: DataFrame, given: Sequence[tuple]) -> list[list]:
-    """Levels per column: as given, else found in one pass; empty for a column that is not used."""
+    """Levels of questionnaire dimensions (items, cells), whose size does not grow with people: as given, else found in one pass;
+    empty for a column that is not used."""
     unknown = [c for c, levels in given if c is not None and levels is None]
-    found = dict(zip(unknown, _levels(df, *unknown), strict=True)) if unknown else {}
-    return [[] if c is None else list(found[c] if levels is None else levels) for c, levels in given]
+    found = df.agg(*[F.collect_set(c) for c in unknown]).first() if unknown else []
+    known = {c: sorted(levels) for c, levels in zip(unknown, found, strict=True)}
+    return [[] if c is None else list(known[c] if levels is None else levels) for c, levels in given]
 
 
 def person_layout(
@@ -70,17 +73,19 @@ def person_layout(
     """One row per person: ``counts``, a sorted list of (place, number), and person-level columns.
 
     A place is an item and category of the questionnaire. Repeated answers add up first, in a
-    partial aggregation by person and place, so the list never exceeds the questionnaire, however
+    partial aggregation by person, item and answer, so the list never exceeds the questionnaire, however
     many rows a person has.
     """
+    return _lists(answer_cells(responses, person, item, y, keep), person, item, y, items, categories, keep)
+
+
+def _lists(cells: DataFrame, person: str, item: str, y: str, items: Sequence, categories: Sequence[int], keep: Sequence[str] = ()) -> DataFrame:
     # The item list is held by the driver, one row per questionnaire item: safe to broadcast.
-    bank = literal_table(responses.sparkSession, ["_item", "_i"], [(v, i) for i, v in enumerate(items)])
-    rows = responses.filter(F.col(y).isin(*categories)).join(F.broadcast(bank), F.col(item) == F.col("_item"))
+    bank = literal_table(cells.sparkSession, ["_item", "_i"], [(v, i) for i, v in enumerate(items)])
+    rows = cells.filter(F.col(y).isin(*categories)).join(F.broadcast(bank), F.col(item) == F.col("_item"))
     place = F.col("_i") * len(categories) + (F.col(y) - min(categories)).cast("int")
-    cells = rows.groupBy(person, place.alias("_at")).agg(
-        F.count(F.lit(1)).cast("float").alias("_n"), *[F.first(c).alias(c) for c in keep])
-    return cells.groupBy(person).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_n").alias("n")))).alias("counts"),
+    return rows.groupBy(person).agg(
+        F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col("_n").alias("n")))).alias("counts"),
         *[F.first(c).alias(c) for c in keep])
 
 
@@ -93,6 +98,39 @@ def _distinct_people(people: DataFrame) -> DataFrame:
     return cut_lineage(people.repartition(parts, "counts", "x").groupBy("counts", "x").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
+def _packed(people: DataFrame) -> DataFrame:
+    """Blocks of people as one binary value each, so that a pass need not turn rows into Arrow batches again."""
+    def pack(batches: Batches) -> Batches:
+        for block in _larger(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+                writer.write_batch(block)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block"])
+
+    return people.select("counts", "x", "weight").mapInArrow(pack, "block binary").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _unpacked(batches: Batches) -> Batches:
+    for batch in batches:
+        for block in batch.column(0):
+            yield from pa.ipc.open_stream(block.as_buffer())
+
+
+def _larger(batches: Batches) -> Batches:
+    """Batches put together as long as they hold no more than ``NUMBERS_AT_ONCE`` numbers."""
+    held: list[pa.RecordBatch] = []
+    numbers = 0
+    for batch in batches:
+        size = len(batch.column("counts").flatten()) + len(batch.column("x").flatten())
+        if held and numbers + size > NUMBERS_AT_ONCE:
+            yield pa.concat_batches(held)
+            held, numbers = [], 0
+        held.append(batch)
+        numbers += size
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     if not width:
         return np.zeros((len(column), 0))
@@ -103,14 +141,14 @@ def _sum_over_people(people: DataFrame, statistics) -> np.ndarray:
     """Sum a vector-valued statistic over all people; every task sends one partial vector."""
     def partial(batches: Batches) -> Batches:
         total = None
-        for batch in batches:
+        for batch in _unpacked(batches):
             part = statistics(batch)
             total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "v"])
 
-    parts = people.select("counts", "x", "weight").mapInArrow(partial, "at int, v double")
+    parts = people.mapInArrow(partial, "at int, v double")
     rows = parts.groupBy("at").agg(F.sum("v").alias("v")).collect()
     return np.array([v for _, v in sorted(map(tuple, rows))])
 
@@ -122,13 +160,13 @@ def _evidence(people: DataFrame, sums: Sums, node: np.ndarray, psi: np.ndarray)
     def partial(batches: Batches) -> Batches:
         total = np.zeros(sums.size)
         first = sums.curves.first(psi[:p].reshape(sums.items, -1), node)
-        for batch in batches:
+        for batch in _unpacked(batches):
             x, weight = _matrix(batch.column("x"), sums.width), batch.column("weight").to_numpy()
             sums.add(total, Answers.of(batch.column("counts")), x, weight, psi, node, first)
         at, values = sums.shipped(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(values)], names=["at", "v"])
 
-    parts = people.select("counts", "x", "weight").mapInArrow(partial, "at long, v double")
+    parts = people.mapInArrow(partial, "at long, v double")
     table = parts.groupBy("at").agg(F.sum("v").alias("v")).toArrow()
     flat = np.zeros(sums.size)
     flat[table.column("at").to_numpy()] = table.column("v").to_numpy()
@@ -263,7 +301,9 @@ def calibrate_2pl(
         raise ValueError("the spread of theta and those of the effects are not determined together")
     person_cols = [*([cell] if cell else []), *covariates, *([ordinal] if ordinal else [])]
     used = responses.dropna(subset=[person, item, y, *person_cols])
-    item_ids, cells, grades = _known_levels(used, [(item, items_are), (cell, cells_are), (ordinal, None)])
+    # A column that is person-level twice over is kept once.
+    answers = answer_cells(used, person, item, y, list(dict.fromkeys(person_cols)))
+    item_ids, cells, grades = _known_levels(answers, [(item, items_are), (cell, cells_are), (ordinal, None)])
     by_cell = bool(cells) and (slopes_by_cell or slope_groups is not None)
     if slope_groups is not None and (missing := [c for c in cells if c not in slope_groups]):
         raise ValueError(f"cells without a group of slopes: {missing}")
@@ -289,8 +329,8 @@ def calibrate_2pl(
             above = F.col(ordinal) >= F.lit(x)
             design[f"{c}:{x}"] = (above if c is None else above & (F.col(cell) == F.lit(c))).cast("double")
     vector = F.array(*[c.cast("double") for c in design.values()]) if design else F.array().cast("array<double>")
-    layout = person_layout(used, person, item, y, item_ids, (0, 1), person_cols)
-    people = _distinct_people(layout.select("counts", vector.alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
+    layout = _lists(answers, person, item, y, item_ids, (0, 1), person_cols)
+    people = _packed(_distinct_people(layout.select("counts", vector.alias("x"))))
     node = np.linspace(-reach, reach, nodes)
     spark, kind = responses.sparkSession, dict(used.dtypes)[item]
     try:
@@ -457,10 +497,10 @@ def calibrate_grm(
     Priors: ``log alpha ~ N(0, prior_log_alpha)``, thresholds ``~ N(0, prior_cut)`` in order.
     """
     used = ratings.dropna(subset=[person, item, y])
-    item_ids, = _known_levels(used, [(item, items_are)])
-    layout = person_layout(used, person, item, y, item_ids, range(1, categories + 1))
-    people = _distinct_people(layout.select("counts", F.array().cast("array<double>").alias("x"))).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    answers = answer_cells(used, person, item, y)
+    item_ids, = _known_levels(answers, [(item, items_are)])
+    layout = _lists(answers, person, item, y, item_ids, range(1, categories + 1))
+    people = _packed(_distinct_people(layout.select("counts", F.array().cast("array<double>").alias("x"))))
     node = np.linspace(-reach, reach, nodes)
     k, cuts_at = len(item_ids), np.log(np.arange(1, categories) / np.arange(categories - 1, 0, -1))
     start = np.tile(np.r_[0.0, cuts_at], (k, 1))

@@ -31,7 +31,8 @@ ship_by_value(__name__)
 
 PARAMETERS = 3_000  # curvature of more parameters is not held; estimate such banks with ``method="em"``
 CELLS_AT_ONCE = 1 << 20  # numbers that a task holds of a group of people
-PAIRS_AT_ONCE, PAIR_COST = 1 << 22, 8  # pairs of answers held at once; work of one against a cell of a matrix product
+ANSWER_COST = 40  # work of one answer's row against a cell of a matrix product
+PAIRS_AT_ONCE, PAIR_COST = 1 << 20, 4  # pairs of answers held at once; work of one against a cell of a matrix product
 REACH = 4.0  # a pass ends its steps when the logarithm of a discrimination has moved farther
 LEAST_SPREAD = 1e-3  # spreads below count as none: deviations of that size are of no interest
 
@@ -177,12 +178,17 @@ class Answers:
     def times(self, table: np.ndarray) -> np.ndarray:
         """People x columns: the rows of ``table`` at each person's places, multiplied by the numbers and added up."""
         out = np.zeros((len(self), table.shape[1]))
-        for people in self.slices(CELLS_AT_ONCE // table.shape[1], cells=True):
-            part = self.part(people)
-            if len(part.at):
-                person = part.person
-                first = np.flatnonzero(np.diff(person, prepend=-1))
-                out[people][person[first]] = np.add.reduceat(table[part.at] * part.n[:, None], first)
+        if len(self) * len(table) <= ANSWER_COST * len(self.at):
+            for people in self.slices(max(CELLS_AT_ONCE // len(table), 1)):
+                out[people] = self.part(people).dense(len(table)) @ table
+            return out
+        starts, order = self._ends - self.lengths, np.argsort(-self.lengths, kind="stable")
+        having = np.searchsorted(np.sort(-self.lengths), -np.arange(1, self.lengths.max(initial=0) + 1), "right")
+        for nth, people in enumerate(having):  # the nth answer of all people with that many
+            for start in range(0, people, size := max(CELLS_AT_ONCE // table.shape[1], 1)):
+                who = order[start : min(start + size, people)]
+                at = starts[who] + nth
+                out[who] += table[self.at[at]] * self.n[at, None]
         return out
 
     def spread_over(self, rows: np.ndarray, places: int) -> np.ndarray:
@@ -203,11 +209,10 @@ class Answers:
         return out
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``at`` of all ordered pairs of answers of one person."""
-        each = self.lengths[self.person]
-        left = np.repeat(np.arange(len(self.at)), each)
-        within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        return left, (self._ends - self.lengths)[self.person[left]] + within
+        """Places in ``at`` of all pairs of different answers of one person, the earlier one left."""
+        after = np.repeat(self._ends, self.lengths) - np.arange(len(self.at)) - 1
+        left = np.repeat(np.arange(len(self.at)), after)
+        return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
 
 
 # -- sums over people ------------------------------------------------------------------------
@@ -238,72 +243,112 @@ class Sums:
             first: tuple[np.ndarray, np.ndarray]) -> None:
         """Add people with their answers and design ``x``; ``weight`` tells how often each counts."""
         log_p, slopes = first
-        sums, q, places = self.split(total), self.nodes, self.items * self.curves.categories
-        # The slope of a node's log prior in the person's mean; the grid is finite, so its prior mean is taken off.
-        u = node[None, :] - (x @ psi[self.items * self.curves.per_item :])[:, None]
-        log_prior = -0.5 * u**2
-        prior, norm = softmax(log_prior)
-        post, log_lik = softmax(answers.times(log_p.reshape(-1, q)) + log_prior - norm[:, None])
-        mean = (prior * u).sum(1)
-        var = (prior * u * u).sum(1) - mean**2
-        u = u - mean[:, None]
-        gu = (post * u).sum(1)
-        huu = (post * u * u).sum(1) - gu**2 - var
-        counts = answers.spread_over(post * weight[:, None], places)
-        sums["counts"] += counts
-        sums["g_items"] += np.einsum("icq,ickq->ik", counts.reshape(self.items, -1, q), slopes).ravel()
-        sums["g_effects"] += x.T @ (gu * weight)
-        sums["h_effects"] += x.T @ (x * (huu * weight)[:, None])
-        sums["value"] += log_lik @ weight
+        sums, q = self.split(total), self.nodes
+        mean = x @ psi[self.items * self.curves.per_item :] if self.width else np.zeros(1)
+        log_prior = -0.5 * (node[None, :] - mean[:, None]) ** 2
+        log_post = answers.times(log_p.reshape(-1, q)) + log_prior
+        # The grid is finite, so its prior mean and variance are taken off.
+        powers = np.stack([np.ones(q), node, node**2], axis=1)
+        high, top = log_prior.max(axis=1, keepdims=True), log_post.max(axis=1, keepdims=True)
+        prior, post = np.exp(log_prior - high), np.exp(log_post - top)
+        before, after = prior @ powers, post @ powers
+        post /= after[:, :1]
+        sums["value"] += (top[:, 0] - high[:, 0] + np.log(after[:, 0] / before[:, 0])) @ weight
+        at, prior_at = after[:, 1] / after[:, 0], before[:, 1] / before[:, 0]
+        if self.width:
+            var, prior_var = after[:, 2] / after[:, 0] - at**2, before[:, 2] / before[:, 0] - prior_at**2
+            sums["g_effects"] += x.T @ ((at - prior_at) * weight)
+            sums["h_effects"] += x.T @ (x * ((var - prior_var) * weight)[:, None])
         # The covariance of a person's scores, from pairs of answers or as matrix products: whichever is less work.
+        places = self.items * self.curves.categories
         sparse = PAIR_COST * (answers.lengths**2).sum() < len(answers) * self.items**2
-        add, size = (self._add_pairs, PAIRS_AT_ONCE) if sparse else (self._add_matrices, CELLS_AT_ONCE // max(places, q))
+        add, size = (self._add_pairs, PAIRS_AT_ONCE) if sparse else (self._add_matrices, CELLS_AT_ONCE // max(places * self.curves.per_item, q))
         for people in answers.slices(size, pairs=sparse):
-            add(sums, answers.part(people), x[people], weight[people], post[people], (u - gu[:, None])[people], slopes)
-
-    def _add_matrices(self, sums: dict, answers: Answers, x: np.ndarray, weight: np.ndarray, post: np.ndarray, u: np.ndarray,
-                      slopes: np.ndarray) -> None:
-        p, c = self.items * self.curves.per_item, self.curves.categories
-        by_item = answers.dense(self.items * c).reshape(len(answers), self.items, c).transpose(1, 0, 2)
-        g, cross = np.zeros((len(answers), p)), np.zeros((len(answers), p))
-        for at in range(self.nodes):
-            score = np.matmul(by_item, slopes[:, :, :, at]).transpose(1, 0, 2).reshape(-1, p)
-            part = score * post[:, at, None]
-            g += part
-            cross += part * u[:, at, None]
-            sums["h_items"] += score.T @ (part * weight[:, None])
-        sums["h_items"] -= g.T @ (g * weight[:, None])
-        sums["h_cross"] += (cross * weight[:, None]).T @ x
+            add(sums, answers.part(people), x[people], weight[people], post[people], at[people], node, slopes)
 
-    def _add_pairs(self, sums: dict, answers: Answers, x: np.ndarray, weight: np.ndarray, post: np.ndarray, u: np.ndarray,
-                   slopes: np.ndarray) -> None:
+    def _add_counts(self, sums: dict, counts: np.ndarray, slopes: np.ndarray) -> None:
+        sums["counts"] += counts
+        sums["g_items"] += np.einsum("icq,ickq->ik", counts.reshape(self.items, -1, self.nodes), slopes).ravel()
+
+    def _add_matrices(self, sums: dict, answers: Answers, x: np.ndarray, weight: np.ndarray, post: np.ndarray, at: np.ndarray,
+                      node: np.ndarray, slopes: np.ndarray) -> None:
+        n, c, k, q = self.items, self.curves.categories, self.curves.per_item, self.nodes
+        by_place, h = slopes.reshape(n * c, k, q), sums["h_items"].reshape(n, k, n, k)
+        numbers = answers.dense(n * c)
+        weighted = numbers * weight[:, None]
+        self._add_counts(sums, weighted.T @ post, slopes)
+
+        def scores(rows: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(rows), n, k))
+            for category in range(c):
+                out += (rows @ slopes[:, category].reshape(-1, q).T).reshape(-1, n, k) * numbers[:, category::c, None]
+            return out.reshape(-1, n * k)
+
+        g = scores(post)
+        sums["h_items"] -= g.T @ (g * weight[:, None])
+        if self.width:
+            cross = scores(post * node) - g * at[:, None]
+            sums["h_cross"] += (cross * weight[:, None]).T @ x
+        for place in range(n * c):  # with all places from there on
+            who = np.flatnonzero(numbers[:, place])
+            if not len(who):
+                continue
+            met = np.zeros((n * c, q))
+            met[place:] = (weighted[who, place:] * numbers[who, place, None]).T @ post[who]
+            found = np.matmul(by_place[place] * met[:, None], by_place.transpose(0, 2, 1))
+            i = place // c
+            h[i] += found.reshape(n, c, k, k).sum(1).transpose(1, 0, 2)
+            found[place] = 0.0
+            h[:, :, i] += found.reshape(n, c, k, k).sum(1).transpose(0, 2, 1)
+
+    def _add_pairs(self, sums: dict, answers: Answers, x: np.ndarray, weight: np.ndarray, post: np.ndarray, at: np.ndarray,
+                   node: np.ndarray, slopes: np.ndarray) -> None:
         n, c, k, q = self.items, self.curves.categories, self.curves.per_item, self.nodes
-        places, by_place = n * c, slopes.reshape(n * c, k, q)
-        person, item = answers.person, answers.at // c
+        places, by_place, h = n * c, slopes.reshape(n * c, k, q), sums["h_items"].reshape(n, k, n, k)
+        person, counts = answers.person, np.zeros((places, q))
         g, cross = np.zeros((len(person), k)), np.zeros((len(person), k))
-        for start in range(0, len(person), size := max(CELLS_AT_ONCE // (k * q), 1)):
-            part = slice(start, start + size)
-            score = by_place[answers.at[part]] * answers.n[part, None, None]
-            g[part] = np.einsum("ekq,eq->ek", score, post[person[part]])
-            cross[part] = np.einsum("ekq,eq->ek", score, (post * u)[person[part]])
+        # Answers of one place have one score, so that theirs are matrix products.
+        order = np.argsort(answers.at, kind="stable")
+        bounds = np.searchsorted(answers.at[order], np.arange(places + 1))
+        for place in np.flatnonzero(np.diff(bounds)):
+            i, score = place // c, by_place[place]
+            for start in range(bounds[place], bounds[place + 1], size := max(CELLS_AT_ONCE // q, 1)):
+                rows = order[start : min(start + size, bounds[place + 1])]
+                who, times = person[rows], answers.n[rows]
+                held = post[who]
+                counts[place] += (weight[who] * times) @ held
+                mine = g[rows] = (held @ score.T) * times[:, None]
+                h[i, :, i] += (score * ((weight[who] * times**2) @ held)) @ score.T - mine.T @ (mine * weight[who, None])
+                if self.width:
+                    cross[rows] = ((held * node) @ score.T) * times[:, None] - mine * at[who, None]
+        self._add_counts(sums, counts, slopes)
         if self.width:
+            item = answers.at // c
             for j in range(self.width):
                 weighted = cross * (x[:, j] * weight)[person, None]
                 for i in range(k):
                     sums["h_cross"][i::k, j] += np.bincount(item, weighted[:, i], minlength=n)
+        # Pairs of different answers stand for both orders.
         left, right = answers.pairs()
-        who, both = person[left], item[left] * n + item[right]
-        times = weight[who]
-        h = sums["h_items"].reshape(n, k, n, k)
+        if not len(left):
+            return
+        who, both = person[left], answers.at[left] // c * n + answers.at[right] // c
+        scores, weighted = np.ascontiguousarray(g.T), np.ascontiguousarray((g * weight[person, None]).T)
+        scores, weighted = scores[:, right], weighted[:, left]
         for i in range(k):
             for j in range(k):
-                h[:, i, :, j] -= np.bincount(both, times * g[left, i] * g[right, j], minlength=n * n).reshape(n, n)
-        key, times = answers.at[left] * places + answers.at[right], times * answers.n[left] * answers.n[right]
-        for at in range(q):
-            met = np.bincount(key, times * post[who, at], minlength=places * places).reshape(n, c, places)
-            d = slopes[:, :, :, at]
+                met = np.bincount(both, weighted[i] * scores[j], minlength=n * n).reshape(n, n)
+                h[:, i, :, j] -= met
+                h[:, j, :, i] -= met.T
+        key, times = answers.at[left] * places + answers.at[right], answers.n[left] * answers.n[right]
+        by_node = np.ascontiguousarray((post * weight[:, None]).T)
+        for nth in range(q):
+            met = np.bincount(key, times * by_node[nth][who], minlength=places * places).reshape(n, c, places)
+            d = slopes[:, :, :, nth]
             half = np.matmul(d.transpose(0, 2, 1), met).reshape(n * k, n, c)
-            sums["h_items"] += np.matmul(half.transpose(1, 0, 2), d).transpose(1, 0, 2).reshape(n * k, n * k)
+            found = np.matmul(half.transpose(1, 0, 2), d).transpose(1, 0, 2).reshape(n * k, n * k)
+            sums["h_items"] += found
+            sums["h_items"] += found.T
 
     def shipped(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and values to send: of symmetric blocks the upper half."""

@@ -289,3 +289,14 @@ def test_carried_value_must_be_constant(spark):
     items = spark.createDataFrame([(1, 1.0, 0.0)], "draw int, alpha double, beta double")
     with pytest.raises(Exception, match="z differs"):
         effects.predict_counts(rows, items, ["kk"]).collect()
+
+
+@pytest.mark.parametrize("method", ["scoring", "em"])
+def test_passes_read_blocks_of_people(spark, method, monkeypatch):
+    """No pass turns a row per person into Arrow again, also where every person has a design of their own."""
+    df, *_ = responses(spark, n=400, n_items=3)
+    seen, name = [], {"scoring": "_evidence", "em": "_e_step"}[method]
+    real = getattr(calibrate, name)
+    monkeypatch.setattr(calibrate, name, lambda people, *rest: (seen.append(people), real(people, *rest))[1])
+    fit = calibrate.calibrate_2pl(df, "id", "item", "y", covariates=["x"], tol=1e-3, method=method)
+    assert fit.converged and seen[0].columns == ["block"]

@@ -276,3 +276,20 @@ def test_discriminations_without_a_maximum_do_not_hold_up_a_pass(monkeypatch):
     start = scoring.Place(np.zeros(s.parameters), np.zeros(0), [g.spread for g in s.groups], 0.0)
     at = picture.best(start)
     assert len(looks) < 1_000 and np.isfinite(at.phi).all() and (at.phi[: 2 * k : 2] < -2).all()
+
+
+def test_pairs_of_answers_are_looked_at_once():
+    """A pair of different answers stands for both orders; answers of one place are added up without pairs."""
+    answers = scoring.Answers(np.array([0, 3, 5, 1, 2, 4]), np.ones(6), np.array([3, 0, 1, 2]))
+    left, right = answers.pairs()
+    assert list(zip(left.tolist(), right.tolist(), strict=True)) == [(0, 1), (0, 2), (1, 2), (4, 5)]
+
+
+@pytest.mark.parametrize("answer_cost", [0, 1e9], ids=["answers", "matrices"])
+def test_rows_at_the_places_of_people(answer_cost, monkeypatch):
+    monkeypatch.setattr(scoring, "ANSWER_COST", answer_cost)
+    monkeypatch.setattr(scoring, "CELLS_AT_ONCE", 30)
+    rng = np.random.default_rng(4)
+    dense, table = rng.integers(0, 3, (40, 6)).astype(float), rng.normal(size=(6, 5))
+    dense[[0, 7, 39]] = 0
+    assert np.allclose(compressed(dense).times(table), dense @ table)
