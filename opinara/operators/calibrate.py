@@ -615,24 +615,31 @@ def item_fit(
 
     The expectation is over each person's posterior on the grid of the latent outcome, whose prior is N(offset, 1). At a maximum of the
     likelihood both shares agree for every item, whatever the data; a gap tells of priors at work, or of parameters from other data.
-    Two joins on the person and generated code only.
+    People with the same answers and offset count once, with a weight; generated code only.
     """
     bank = items.select(F.col("item").alias("_item"), "alpha", "beta")
     shift = F.col(offset) if offset else F.lit(0.0)
-    rows = responses.filter(F.col(y).isNotNull()).join(bank, F.col(item) == F.col("_item")).select(
-        F.col(person).alias("_person"), F.col(item).alias("item"), F.col(y).cast("double").alias("_y"), "alpha", "beta", shift.alias("_shift"))
+    given = responses.filter(F.col(y).isNotNull() & F.col(person).isNotNull()).select(
+        F.col(person).alias("_person"), F.col(item).alias("item"), F.col(y).cast("double").alias("_y"), shift.alias("_shift"))
+    cells = answer_cells(given.join(bank.select("_item"), F.col("item") == F.col("_item"), "left_semi"), "_person", "item", "_y", ["_shift"])
+    lists = cells.groupBy("_person").agg(F.sort_array(F.collect_list(F.struct("item", "_y", "_n"))).alias("counts"), F.max("_shift").alias("_shift"))
+    kinds = lists.groupBy("counts", "_shift").agg(F.count(F.lit(1)).alias("_weight"))
+    kinds = cut_lineage(kinds.withColumn("_kind", F.monotonically_increasing_id()))
+    rows = kinds.select("_kind", "_shift", "_weight", F.inline("counts")).join(bank, F.col("item") == F.col("_item")).drop("_item")
     rows = cut_lineage(rows)
     z = [F.col("alpha") * (F.lit(float(q)) + sign * F.col("beta")) for q in nodes]
     signed = [F.when(F.col("_y") == 1, -v).otherwise(v) for v in z]
-    log_lik = [-(F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))) for v in signed]
-    sums = rows.groupBy("_person").agg(F.max("_shift").alias("_shift"), *[F.sum(v).alias(f"_l{i}") for i, v in enumerate(log_lik)])
+    log_lik = [-F.col("_n") * (F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))) for v in signed]
+    sums = rows.groupBy("_kind").agg(F.max("_shift").alias("_shift"), *[F.sum(v).alias(f"_l{i}") for i, v in enumerate(log_lik)])
     post = [F.col(f"_l{i}") - 0.5 * (F.lit(float(q)) - F.col("_shift")) ** 2 for i, q in enumerate(nodes)]
     top = F.greatest(*post)
-    weights = cut_lineage(sums.select("_person", *[F.exp(p - top).alias(f"_w{i}") for i, p in enumerate(post)]))
-    met = rows.join(weights, "_person")
+    weights = cut_lineage(sums.select("_kind", *[F.exp(p - top).alias(f"_w{i}") for i, p in enumerate(post)]))
+    met = rows.join(weights, "_kind")
     total = sum((F.col(f"_w{i}") for i in range(1, len(nodes))), F.col("_w0"))
     share = sum((F.col(f"_w{i}") * inv_logit(v) for i, v in enumerate(z)), F.lit(0.0)) / total
-    return met.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("observed"), F.avg(share).alias("expected"))
+    times = F.col("_weight") * F.col("_n").cast("double")
+    return met.groupBy("item").agg(F.sum(times).cast("long").alias("n"), (F.sum(times * F.col("_y")) / F.sum(times)).alias("observed"),
+                                   (F.sum(times * share) / F.sum(times)).alias("expected"))
 
 
 __all__ = ["Calibration", "calibrate_2pl", "calibrate_grm", "item_fit", "person_layout", "score_eap"]

@@ -300,3 +300,18 @@ def test_passes_read_blocks_of_people(spark, method, monkeypatch):
     monkeypatch.setattr(calibrate, name, lambda people, *rest: (seen.append(people), real(people, *rest))[1])
     fit = calibrate.calibrate_2pl(df, "id", "item", "y", covariates=["x"], tol=1e-3, method=method)
     assert fit.converged and seen[0].columns == ["block"]
+
+
+def test_item_fit_pools_people(spark, monkeypatch):
+    """People with the same answers and offset are one row of what item_fit writes; repeated answers count as often."""
+    df, *_ = responses(spark, n=1500, n_items=4)
+    fit = calibrate.calibrate_2pl(df, "id", "item", "y", prior_beta=1e4)
+    written, real = [], calibrate.cut_lineage
+    monkeypatch.setattr(calibrate, "cut_lineage", lambda rows: (written.append(real(rows)), written[-1])[1])
+    once = {r.item: r for r in calibrate.item_fit(df, fit.items, "id", "item", "y").collect()}
+    assert max(rows.count() for rows in written) <= 4 * 16
+    for item, n, share in df.groupBy("item").agg(F.count("y"), F.avg("y")).collect():
+        assert once[item].n == n and once[item].observed == pytest.approx(share)
+    first = df.filter("id = 0")
+    again = {r.item: r for r in calibrate.item_fit(df.unionByName(first), fit.items, "id", "item", "y").collect()}
+    assert all(again[i].n == once[i].n + 1 for i in once)
