@@ -107,9 +107,8 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
         left = scratch.write(left.drop("root").join(roots, "item"), f"rooted-{turn}")
         counts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_m"))
         largest = counts.groupBy("key").agg(F.max_by("root", F.struct("_m", "root")).alias("_top"),
-                                            F.count(F.lit(1)).alias("_roots")).filter("_roots > 1")
-        left = scratch.write(left.join(scratch.write(largest.select("key", "_top"), f"largest-{turn}"), "key"),
-                             f"left-{turn}")
+                                            (F.sum("_m") - F.max("_m")).alias("_strays")).filter("_strays > 0")
+        left = scratch.write(left.join(scratch.write(largest, f"largest-{turn}"), "key"), f"left-{turn}")
         scratch.release(f"rooted-{turn}")
         if turn > 1:
             scratch.release(f"left-{turn - 1}")
@@ -124,8 +123,9 @@ def linked_components(members: DataFrame, features: DataFrame, percent: int, scr
         fit = F.filter("_hubs", lambda h: (h["root"] != F.col("root")) & fits_pair(
             F.col("size"), F.col("common"), h["my"]["size"], h["my"]["common"]) & near_enough(F.col("sketch"), h["sketch"]))
         pairs = met.select(me.alias("mx"), F.explode(fit).alias("_h")).select("mx", F.col("_h.my").alias("my"))
-        left = met.filter(~F.array_contains(F.transform("_hubs", lambda h: h["my"]["item"]), F.col("item"))).drop(
-            "_hubs", "_top")
+        # A key whose strays were all hubs is finished. In others, items that have been a hub have met all and leave.
+        left = left.filter(F.col("_strays") > most).join(hubs, "key").filter(
+            ~F.array_contains(F.transform("_hubs", lambda h: h["my"]["item"]), F.col("item"))).drop("_hubs", "_top", "_strays")
         most = min(4 * most, HUBS)
 
 

@@ -243,3 +243,30 @@ def test_rows_meet_the_hub_of_their_key_once(spark, monkeypatch):
     want = linked(list(enumerate(texts)))
     assert {r.doc_id: r.component_id for r in got} == {i: low for i, (_, low) in want.items()}
     assert [name for name, read in reads if read] == ["met-0"]
+
+
+def test_a_key_whose_strays_were_all_hubs_is_finished(spark, monkeypatch):
+    """A key of a family of 30 near copies and four texts of their own: once the four have met all, no row of it goes on."""
+    import numpy as np
+
+    from opinara.llm.common import Scratch
+
+    shared = list(range(100_000, 100_060))
+    sets = {i: shared + list(range(70)) + [1_000 + i // 2] for i in range(30)}
+    sets |= {30 + i: shared + [2_000 + 100 * (i // 2) + k for k in range(70)] + [3_000 + i] for i in range(4)}
+    features = [(i, parity_join.parity_bits(np.array(w, np.uint64)).view(np.int64).tolist(), w) for i, w in sets.items()]
+    rows, write = {}, Scratch.write
+
+    def spy(self, df, name):
+        out = write(self, df, name)
+        rows[name] = out.count() if name.startswith("rooted-") else None
+        return out
+
+    monkeypatch.setattr(Scratch, "write", spy)
+    got = linking.linked_components(
+        spark.createDataFrame([(1, i, len(w)) for i, w in sets.items()], "key long, item long, size long"),
+        spark.createDataFrame(features, "item long, sketch array<long>, whole array<long>"), 75, Scratch(spark)).collect()
+    root = {r.item: r.root for r in got}
+    assert {frozenset(i for i in root if root[i] == r) for r in root.values()} == {
+        frozenset(range(30)), frozenset({30, 31}), frozenset({32, 33})}
+    assert rows["rooted-1"] > 30 and rows["rooted-2"] == 0
