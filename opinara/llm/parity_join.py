@@ -63,17 +63,28 @@ class Shingler:
         digest = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in fresh)
         self._hashes.extend(np.frombuffer(digest, np.uint64))
 
+    def word_hashes(self, found: list[bytes]) -> np.ndarray:
+        """The hash of every word, in order; words are given in lower case."""
+        codes = self._table.codes(found)
+        return self._hashes.view[codes]
+
+    def of_words(self, h: np.ndarray) -> np.ndarray:
+        """The shingle that begins at each word of a sequence of at least as many words, repeats included."""
+        total = np.zeros(len(h) - self._k + 1, np.uint64)
+        for j in range(self._k):
+            total += h[j : len(h) - self._k + 1 + j] * self._factors[j]
+        return mix(total + np.uint64(self._k))
+
+    def of_hashes(self, h: np.ndarray) -> np.ndarray:
+        """The sorted distinct shingles of a sequence of words; a shorter one is one shingle of all its words."""
+        if len(h) >= self._k:
+            return np.unique(self.of_words(h))
+        total = (h * self._factors[: len(h)]).sum(dtype=np.uint64)
+        return mix(np.array([total], np.uint64) + np.uint64(len(h)))
+
     def __call__(self, text: bytes | None) -> np.ndarray:
         found = text.lower().split() if text else []
-        if not found:
-            return np.empty(0, np.uint64)
-        codes = self._table.codes(found)
-        h = self._hashes.view[codes]
-        k = min(self._k, len(h))
-        total = np.zeros(len(h) - k + 1, np.uint64)
-        for j in range(k):
-            total += h[j : len(h) - k + 1 + j] * self._factors[j]
-        return np.unique(mix(total + np.uint64(k)))
+        return self.of_hashes(self.word_hashes(found)) if found else np.empty(0, np.uint64)
 
 
 def bands(size: int, share: float) -> list[tuple[int, int]]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -169,6 +170,69 @@ def test_repeated_paragraphs(spark):
     assert 1 - (1 - 0.75**width) ** bands >= 0.999999
 
 
+def test_repeated_runs_match_all_windows(spark):
+    """Every window of 50 words that stands in two places lies in a row, wherever lines break."""
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"v{rng.randrange(9000)}" for _ in range(n)]
+
+    def lay(w):  # lines of 7 to 70 words, other white space in between
+        out = []
+        while w:
+            n = rng.randrange(7, 70)
+            out.append(rng.choice((" ", "\t", "  ")).join(w[:n]))
+            w = w[n:]
+        return "\n".join(out)
+
+    base = words(400)
+    docs = [(0, lay(base)), (1, lay(base)), (2, " ".join(w.upper() for w in base)), (3, " ".join(["oh"] * 120)), (4, None), (5, " é ")]
+    for i in range(10, 60):
+        at, n = rng.randrange(300), rng.choice((49, 50, 51, 55, 70, 98))
+        piece = base[at : at + n]
+        if i % 5 == 0:
+            piece[n // 2] = "changed"
+        docs.append((i, lay(words(rng.randrange(90)) + ["É" * 3] + piece + words(rng.randrange(90)))))
+    docs += [(None, " ".join(base[20:90])), docs[12], (70, lay(words(20) + base[:60] + words(9) + base[:60]))]
+
+    places = {}
+    for k, (i, t) in enumerate(docs):
+        w = lower(t).split()
+        for s in range(len(w) - 49):
+            places.setdefault(tuple(w[s : s + 50]), []).append((k, s))
+    got = paragraph_dedup.repeated_paragraphs(frame(spark, docs), min_words=50).collect()
+    texts = {}
+    for i, t in docs:
+        texts.setdefault(i, t)
+    lines = {(r.doc_id, r.start, r.start + r.length) for r in got if not r.run}
+    want = []
+    for k, (i, t) in enumerate(docs):
+        marks = sorted((s, p) for p in places.values() if len(p) > 1 for q, s in p if q == k)
+        spans = []
+        for s, p in marks:
+            if spans and s < spans[-1][1]:
+                spans[-1][1] = s + 50
+            else:
+                spans.append([s, s + 50, []])
+            spans[-1][2].append(p)
+        spot = [m.span() for m in re.finditer(r"[^\x09-\x0d\x20]+", t or "")]
+        for a, b, held in spans:
+            start, end = spot[a][0], spot[b - 1][1]
+            if not any(j == i and x <= start and end <= y for j, x, y in lines):
+                ids = [docs[q][0] for p in held for q, _ in p]
+                want.append((i, t[:start].count("\n"), start, end - start, None if None in ids else min(ids), max(map(len, held))))
+    assert len(want) > 30
+    have = [(r.doc_id, r.paragraph, r.start, r.length, r.component_id, r.occurrences) for r in got if r.run]
+    assert sorted(have, key=str) == sorted(want, key=str)
+    # Without the runs and lines that are not kept, every window is left somewhere.
+    drop = [(r.doc_id, r.start, r.start + r.length) for r in got if r.run and not r.kept]
+    for p in places.values():
+        spot = [[m.span() for m in re.finditer(r"[^\x09-\x0d\x20]+", docs[q][1])][s : s + 50] for q, s in p] if len(p) > 1 else []
+        assert not spot or not all(any(j == docs[q][0] and x <= w[0][0] and w[-1][1] <= y for j, x, y in drop)
+                                   for (q, _), w in zip(p, spot, strict=True))
+    assert any(r.run and not r.kept for r in got)
+
+
 def test_links_between_items_of_large_and_small_keys(spark):
     """40 items share a passage and its key; each has a near copy that shares only a key of their own."""
     import numpy as np
