@@ -25,8 +25,8 @@ from ..functions.scalar import case_when
 from ..session import cut_lineage, ship_by_value
 from .fixed_point import settle
 from .graded import thresholds
-from .scoring import (PARAMETERS, Answers, BinaryCurves, Estimate, GradedCurves, Group, Structure, Sums, maximise,
-                      sigmoid as _sigmoid, softmax as _softmax)
+from .scoring import (LEAST_SPREAD, PARAMETERS, Answers, BinaryCurves, Estimate, FollowingSums, GradedCurves, Group, Structure, Sums,
+                      maximise, sigmoid as _sigmoid, softmax as _softmax)
 from .shape import literal_table, lookup, seq
 
 ship_by_value(__name__)
@@ -155,11 +155,9 @@ def _sum_over_people(people: DataFrame, statistics) -> np.ndarray:
 
 def _evidence(people: DataFrame, sums: Sums, node: np.ndarray, psi: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood of all people, its gradient and its curvature."""
-    p = sums.items * sums.curves.per_item
-
     def partial(batches: Batches) -> Batches:
         total = np.zeros(sums.size)
-        first = sums.curves.first(psi[:p].reshape(sums.items, -1), node)
+        first = sums.first(psi, node)
         for batch in _unpacked(batches):
             x, weight = _matrix(batch.column("x"), sums.width), batch.column("weight").to_numpy()
             sums.add(total, Answers.of(batch.column("counts")), x, weight, psi, node, first)
@@ -289,6 +287,8 @@ def calibrate_2pl(
     ``hierarchical`` estimates the spreads of cell effects and of slope deviations instead of taking
     ``prior_effect``: two-level shrinkage, with half-Cauchy(5) priors on the spreads (``sd_...``).
 
+    ``estimate_sigma`` estimates ``sigma`` (``sigma_theta``). Without spread left among people of equal design it is zero, without standard error.
+
     ``items_are`` and ``cells_are`` list the items and cells of the study; without them one pass
     over the responses finds them. ``method="em"`` knows items, cell effects and linear slopes, and gives no
     standard errors; ``method="scoring"`` raises beyond ``scoring.PARAMETERS`` parameters.
@@ -342,10 +342,11 @@ def calibrate_2pl(
             return Calibration(items, spark.createDataFrame(terms, "term string, estimate double, se double"), log_lik, done)
         k, levels = len(item_ids), len(grades) - 1 if ordinal else 0
         curves = BinaryCurves()
-        s = Structure(curves, 2 * k, len(plain), max(levels, 0), len(step_cells), by_cell and levels > 0, estimate_sigma)
+        s = Structure(curves, 2 * k, len(plain), max(levels, 0), len(step_cells), by_cell and levels > 0, spread=estimate_sigma)
         if s.parameters > PARAMETERS:
             raise ValueError(f"{s.parameters} parameters are too many for method='scoring'; use method='em'")
         place = {t: 2 * k + i for i, t in enumerate(plain)}
+        s.cells = np.array([place[t] for t in families.get("delta", [])], int)
         start_spread = (lambda prior: 1.0) if hierarchical else (lambda prior: prior)
         s.groups = [Group("sd_log_alpha", np.arange(0, 2 * k, 2), prior_log_alpha, stretches=False),
                     Group("sd_beta", np.arange(1, 2 * k, 2), prior_beta, centred=True)]
@@ -357,17 +358,21 @@ def calibrate_2pl(
             if s.deviations:
                 s.groups.append(Group(f"sd_b_{ordinal}", s.slope_at + 1 + np.arange(len(step_cells)), start_spread(prior_effect), hierarchical))
         s.groups.append(Group("means", np.array(loose, int), prior_effect))
-        sums = Sums(k, curves, len(design), nodes)
-        fit = maximise(lambda psi: _evidence(people, sums, node, psi), s, np.zeros(s.parameters), tol, max_iter,
+        sums = (FollowingSums if estimate_sigma else Sums)(k, curves, len(design), nodes)
+        start = np.zeros(s.parameters)
+        start[s.parameters - s.spread :] = 1.0
+        fit = maximise(lambda psi: _evidence(people, sums, node, psi), s, start, tol, max_iter,
                        lambda psi: curves.valid(psi[: 2 * k].reshape(k, 2)))
     finally:
         people.unpersist()
-    sigma, errors = float(np.exp(fit.at.scale)), _errors(fit.cov)
-    alpha, values = np.exp(fit.at.phi[0 : 2 * k : 2]) / sigma, fit.at.phi * sigma
+    sigma, errors = float(abs(fit.at.phi[-1])) if estimate_sigma else 1.0, _errors(fit.cov)
+    if sigma < LEAST_SPREAD:  # on the border
+        sigma = 0.0
+    alpha, values = np.exp(fit.at.phi[0 : 2 * k : 2]), fit.at.phi
     items = _item_table(spark, item_ids, kind, alpha, {"beta": sign * values[1 : 2 * k : 2]},
                         {"alpha": alpha * errors[0 : 2 * k : 2], "beta": errors[1 : 2 * k : 2]})
     terms = [(t, values[i], errors[i]) for t, i in place.items()]
-    terms.append(("sigma_theta", sigma, sigma * errors[s.parameters] if estimate_sigma else None))
+    terms.append(("sigma_theta", sigma, errors[s.parameters - 1] if estimate_sigma and sigma else None))
     if levels > 0:
         terms += _monotonic_terms(fit, s, ordinal, grades, step_cells)
     if hierarchical:
@@ -379,7 +384,7 @@ def calibrate_2pl(
 
 def _monotonic_terms(fit: Estimate, s: Structure, name: str, grades: Sequence, step_cells: Sequence) -> list[tuple]:
     """Mean step, steps, shares and deviations of a monotonic effect; a share on the border has no standard error."""
-    errors, values, at = _errors(fit.cov), fit.at.phi * np.exp(fit.at.scale), s.slope_at
+    errors, values, at = _errors(fit.cov), fit.at.phi, s.slope_at
     b, shares = values[at], s.parameters + 1 + np.arange(s.steps)
     terms = [(f"b_{name}", b, errors[at])]
     for x, z, share in zip(grades[1:], fit.at.z, shares, strict=True):

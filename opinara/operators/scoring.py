@@ -33,6 +33,8 @@ PARAMETERS = 3_000  # curvature of more parameters is not held; estimate such ba
 CELLS_AT_ONCE = 1 << 20  # numbers that a task holds of a group of people
 ANSWER_COST = 40  # work of one answer's row against a cell of a matrix product
 PAIRS_AT_ONCE, PAIR_COST = 1 << 20, 4  # pairs of answers held at once; work of one against a cell of a matrix product
+FOLLOWED_AT_ONCE = 1 << 17  # answers x nodes held at once, where every person has a grid
+SMALLEST = 600.0  # exp of minus that is held as a number; smaller ones as logarithms
 REACH = 4.0  # a pass ends its steps when the logarithm of a discrimination has moved farther
 LEAST_SPREAD = 1e-3  # spreads below count as none: deviations of that size are of no interest
 
@@ -140,6 +142,11 @@ class GradedCurves:
 # -- answers of people -----------------------------------------------------------------------
 
 
+def _one_in(odds: np.ndarray) -> np.ndarray:
+    out = odds + 1
+    return np.reciprocal(out, out=out)
+
+
 class Answers:
     """Answers of some people as compressed rows: places and numbers, one person after another."""
 
@@ -231,6 +238,10 @@ class Sums:
                        "g_effects": (width,), "h_effects": (width, width), "value": (1,)}
         self.size = sum(int(np.prod(s)) for s in self.shapes.values())
 
+    def first(self, psi: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Curves on the grid that all people share."""
+        return self.curves.first(psi[: self.items * self.curves.per_item].reshape(self.items, -1), node)
+
     def split(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
         for name, shape in self.shapes.items():
@@ -372,6 +383,117 @@ class Sums:
         return float(s["value"][0]), np.concatenate([s["g_items"], s["g_effects"]]), 0.5 * (h + h.T)
 
 
+class FollowingSums(Sums):
+    """The same for binary items with the latent spread as one more coefficient, the last.
+
+    The latent outcome of a person is normal around ``x @ effects`` with that SD, and every person has the grid in units of the
+    spread around the own mean: effects may lie any number of spreads apart, and a spread of zero is a value like others. The
+    likelihood is the same for a spread and its negative, so that it is smooth at zero.
+    """
+
+    def __init__(self, items: int, curves: BinaryCurves, width: int, nodes: int):
+        super().__init__(items, curves, width + 1, nodes)
+        del self.shapes["counts"]
+        self.size = sum(int(np.prod(s)) for s in self.shapes.values())
+        self.width = width
+
+    def first(self, psi: np.ndarray, node: np.ndarray) -> None:
+        """Nothing: no two people need share a grid."""
+
+    def add(self, total: np.ndarray, answers: Answers, x: np.ndarray, weight: np.ndarray, psi: np.ndarray, node: np.ndarray,
+            first: None = None) -> None:
+        sums, starts = self.split(total), np.cumsum(answers.lengths) - answers.lengths
+        mean = x @ psi[self.items * 2 : -1] if self.width else np.zeros(len(answers))
+        # People with equally many answers make full arrays.
+        order = np.argsort(answers.lengths, kind="stable")
+        lengths, bounds = np.unique(answers.lengths[order], return_index=True)
+        room = np.empty(3 * max(FOLLOWED_AT_ONCE, lengths.max(initial=0) * self.nodes))
+        for length, lo, hi in zip(lengths.tolist(), bounds, [*bounds[1:], len(order)], strict=True):
+            size = max(FOLLOWED_AT_ONCE // (max(length, 1) * self.nodes), 1)
+            for start in range(lo, hi if length else lo, size):
+                who = order[start : min(start + size, hi)]
+                rows = starts[who, None] + np.arange(length)
+                self._add_people(sums, answers.at[rows], answers.n[rows], x[who], weight[who], mean[who], psi, node, room)
+
+    def _add_people(self, sums: dict, at: np.ndarray, n: np.ndarray, x: np.ndarray, weight: np.ndarray, mean: np.ndarray, psi: np.ndarray,
+                    node: np.ndarray, room: np.ndarray) -> None:
+        """People x answers: places and numbers.
+
+        Coefficients move an answer's argument ``z = a (mean + spread * node) + d`` by a constant and by a multiple of the node. In these
+        two the curvature of a person is found, for all pairs of answers, and then carried over to the coefficients.
+        """
+        k, spread, length = self.items, psi[-1], at.shape[1]
+        item, sign, values = at // 2, np.where(at % 2 == 1, 1.0, -1.0), psi[: 2 * k].reshape(k, 2)
+        a, centre = values[item, 0], mean[:, None]
+        prior = np.exp(-0.5 * node**2)
+        prior /= prior.sum()
+        # An answer has the probability p = 1 / (1 + exp(-z)), where z changes its sign for wrong ones.
+        start = sign * (a * centre + values[item, 1])
+        by_place = np.outer(np.stack([-values[:, 0], values[:, 0]], axis=1).ravel() * spread, node)
+        if length * (np.abs(start).max() + np.abs(by_place).max() + 1) < SMALLEST and (n == 1).all():
+            odds = np.exp(-by_place)[at]
+            odds *= np.exp(-start)[:, :, None]
+            p = _one_in(odds)
+            post, top = p.prod(axis=1), 0.0  # no logarithms needed
+        else:
+            z = start[:, :, None] + by_place[at]
+            odds = np.exp(-np.maximum(z, -SMALLEST))
+            p = _one_in(odds)
+            log_post = ((np.log(p) + np.minimum(z + SMALLEST, 0)) * n[:, :, None]).sum(axis=1)  # beyond, the logarithm is linear
+            top = log_post.max(axis=1)
+            post = np.exp(log_post - top[:, None])
+        post *= prior
+        norm = post.sum(axis=1)
+        post /= norm[:, None]
+        sums["value"] += (top + np.log(norm)) @ weight
+        # Scores by the constant and by the node: their posterior means, and their covariance with the mean curvature taken in.
+        powers = np.empty((len(at), 3, len(node)))
+        powers[:, 0] = post
+        np.multiply(post, node, out=powers[:, 1])
+        np.multiply(post, node**2, out=powers[:, 2])
+        odds *= p
+        p *= odds  # p (1 - p), the curvature with its sign turned
+        own = np.matmul(p, powers.transpose(0, 2, 1)) * n[:, :, None]
+        odds *= (sign * n)[:, :, None]  # now the slopes
+        g = np.matmul(powers[:, :2], odds.transpose(0, 2, 1))  # people, kind, answer
+        each, held = np.arange(length), room[: 3 * odds.size].reshape(len(at), 3, length, -1)
+        np.multiply(odds[:, None], powers[:, :, None], out=held)
+        met = np.matmul(held.reshape(len(at), 3 * length, -1), odds.transpose(0, 2, 1)).reshape(len(at), 3, length, length)
+        met[:, :, each, each] -= own.transpose(0, 2, 1)
+        m = met[:, [[0, 1], [1, 2]]]  # people, kind, kind, answer, answer
+        m -= g[:, :, None, :, None] * g[:, None, :, None, :]
+        m *= weight[:, None, None, None, None]
+        g *= weight[:, None, None]
+        # To items: a moves the argument by mean + spread * node, d by one.
+        by_item = lambda v: np.bincount(item.ravel(), v.ravel(), minlength=k)
+        rows = (centre[:, None, :, None] * m[:, 0] + spread * m[:, 1], m[:, 0])  # a value of an answer: people, kind, answer, answer
+        sums["g_items"][0::2] += by_item(centre * g[:, 0] + spread * g[:, 1])
+        sums["g_items"][1::2] += by_item(g[:, 0])
+        h, both = sums["h_items"].reshape(k, 2, k, 2), (item[:, :, None] * k + item[:, None]).ravel()
+        for i, row in enumerate(rows):
+            for j, met in enumerate((centre[:, :, None] * row[:, 0] + spread * row[:, 1], row[:, 0])):
+                h[:, i, :, j] += np.bincount(both, met.ravel(), minlength=k * k).reshape(k, k)
+        # To effects, which move the arguments of all answers by a, and the spread, which moves them by a * node.
+        pulled = np.matmul(m.reshape(len(at), 4 * length, length), a[:, :, None]).reshape(len(at), 2, 2, length)
+        person = np.arange(len(at))[:, None] * k + item
+        for i, row in enumerate((centre[:, :, None] * pulled[:, 0] + spread * pulled[:, 1] + g, pulled[:, 0])):
+            dense = np.bincount(person.ravel(), row[:, 0].ravel(), minlength=len(at) * k).reshape(-1, k)
+            sums["h_cross"][i::2, :-1] += dense.T @ x
+            sums["h_cross"][i::2, -1] += by_item(row[:, 1])
+        total, curved = np.einsum("pv,piv->ip", a, g), np.einsum("pv,pijv->ijp", a, pulled)
+        sums["g_effects"][:-1] += x.T @ total[0]
+        sums["g_effects"][-1] += total[1].sum()
+        sums["h_effects"][:-1, :-1] += x.T @ (x * curved[0, 0][:, None])
+        sums["h_effects"][:-1, -1] += x.T @ curved[0, 1]
+        sums["h_effects"][-1, -1] += curved[1, 1].sum()
+
+    def evidence(self, flat: np.ndarray, psi: np.ndarray, node: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        s = self.split(flat)
+        mirrored = lambda h: np.triu(h) + np.triu(h, 1).T
+        h = np.block([[mirrored(s["h_items"]), s["h_cross"]], [s["h_cross"].T, mirrored(s["h_effects"])]])
+        return float(s["value"][0]), np.concatenate([s["g_items"], s["g_effects"]]), h
+
+
 # -- priors and structure --------------------------------------------------------------------
 
 
@@ -408,6 +530,12 @@ class Structure:
     With ``stretch`` the latent outcome has a spread of its own. The likelihood does not know it: it only knows items and effects in units of that
     spread, which the parameters are. The spread enters through the priors, which hold for items and effects in
     their own units, so its logarithm (``scale`` below) is found there.
+
+    With ``spread`` it is a parameter and coefficient itself, the last one, and all others are in their own units. Two ways leave the likelihood as
+    it is, but are bent and would leave a quadratic picture: all items (``BinaryCurves``) move against the effects of all ``cells``, and
+    discriminations grow while effects and spread shrink by the same factor. The coefficients are therefore those with a mean effect of the cells
+    of zero, and the picture of a pass is looked at with coefficients in the unit of that pass: their mean logarithm
+    of the discriminations is brought back to ``unit``.
     """
 
     curves: object
@@ -417,7 +545,9 @@ class Structure:
     step_cells: int = 1  # cells with steps of their own
     deviations: bool = False
     stretch: bool = False
+    spread: bool = False
     groups: list[Group] = field(default_factory=list)
+    cells: np.ndarray = field(default_factory=lambda: np.zeros(0, int))  # places of effects one of which everybody has
 
     @property
     def slope_at(self) -> int:
@@ -425,48 +555,94 @@ class Structure:
 
     @property
     def parameters(self) -> int:
-        return self.slope_at + (1 + self.deviations * self.step_cells if self.steps else 0)
+        return self.slope_at + (1 + self.deviations * self.step_cells if self.steps else 0) + self.spread
 
     @property
     def coefficients(self) -> int:
-        return self.slope_at + self.steps * self.step_cells
+        return self.slope_at + self.steps * self.step_cells + self.spread
 
-    def to_coefficients(self, phi: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def powers(self) -> np.ndarray:
+        """How coefficients change with the unit of the latent outcome: discriminations against effects and spread."""
+        out = np.ones(self.coefficients)
+        out[: self.items] = 0
+        out[: self.items : self.curves.per_item] = -1
+        return out
+
+    def unit(self, psi: np.ndarray) -> float | None:
+        """Mean logarithm of the discriminations; of no interest unless the spread is a coefficient."""
+        return float(np.log(psi[: self.items : self.curves.per_item]).mean()) if self.spread else None
+
+    def _factors(self, phi: np.ndarray, unit: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """Factors that bring coefficients back to the unit, and the slopes of its logarithm."""
+        slopes = np.zeros(self.parameters)
+        if unit is None:
+            return np.ones(self.coefficients), slopes
+        log_a = phi[: self.items : self.curves.per_item]
+        slopes[: self.items : self.curves.per_item] = 1 / len(log_a)
+        return np.exp(self.powers * (log_a.mean() - unit)), slopes
+
+    def _shift(self) -> tuple[np.ndarray, np.ndarray]:
+        """What items and cells move by, and the mean effect of the cells, both as vectors over the parameters."""
+        by, mean = np.zeros(self.parameters), np.zeros(self.parameters)
+        if self.spread and len(self.cells):
+            by[1 : self.items : 2], by[self.cells], mean[self.cells] = 1, -1, 1 / len(self.cells)
+        return by, mean
+
+    def to_coefficients(self, phi: np.ndarray, z: np.ndarray, unit: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Coefficients, and their slopes in the parameters, for given shares."""
+        by, mean = self._shift()
+        phi = phi + by * (mean @ phi)
         head, k = self.slope_at, self.curves.per_item
         slopes = np.zeros((self.coefficients, self.parameters))
         slopes[np.arange(head), np.arange(head)] = 1
         if self.steps:
-            slopes[head:, head] = np.tile(self.steps * z, self.step_cells)
+            slopes[head : head + self.steps * self.step_cells, head] = np.tile(self.steps * z, self.step_cells)
             for c in range(self.step_cells if self.deviations else 0):
                 slopes[head + c * self.steps : head + (c + 1) * self.steps, head + 1 + c] = self.steps * z
+        if self.spread:
+            slopes[-1, -1] = 1
         out = slopes @ phi  # linear but for the items
         values, blocks, _ = self.curves.natural(phi[: self.items].reshape(-1, k))
         out[: self.items] = values.ravel()
         for i, block in enumerate(blocks):
             slopes[i * k : (i + 1) * k, i * k : (i + 1) * k] = block
+        slopes += np.outer(slopes @ by, mean)
+        if unit is not None:
+            factors, turn = self._factors(phi, unit)
+            out *= factors
+            slopes = slopes * factors[:, None] + np.outer(self.powers * out, turn)
         return out, slopes
 
-    def bend(self, phi: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    def bend(self, phi: np.ndarray, pull: np.ndarray, z: np.ndarray | None = None, unit: float | None = None) -> np.ndarray:
         """Curvature, in the parameters, of the sum of ``pull`` times the coefficients."""
+        if unit is not None:
+            values, slopes = self.to_coefficients(phi, z)
+            factors, turn = self._factors(phi, unit)
+            pull = pull * factors
+            cross = np.outer(slopes.T @ (self.powers * pull), turn)
+            return self.bend(phi, pull) + cross + cross.T + (pull @ (self.powers**2 * values)) * np.outer(turn, turn)
+        by, mean = self._shift()
+        phi = phi + by * (mean @ phi)
         k, out = self.curves.per_item, np.zeros((self.parameters, self.parameters))
         _, _, bends = self.curves.natural(phi[: self.items].reshape(-1, k))
         own = np.einsum("im,imkl->ikl", pull[: self.items].reshape(-1, k), bends)
         for i, block in enumerate(own):
             out[i * k : (i + 1) * k, i * k : (i + 1) * k] = block
-        return out
+        out += np.outer(mean, by @ out)
+        return out + np.outer(out @ by, mean)
 
     def slopes(self, phi: np.ndarray) -> np.ndarray:
         """Slope of the monotonic effect in every cell."""
         common = np.full(self.step_cells, phi[self.slope_at])
         return common + phi[self.slope_at + 1 : self.slope_at + 1 + self.step_cells] if self.deviations else common
 
-    def to_steps(self, phi: np.ndarray) -> np.ndarray:
+    def to_steps(self, phi: np.ndarray, unit: float | None = None) -> np.ndarray:
         """Coefficients as a linear function of the shares, for given slopes."""
         out = np.zeros((self.coefficients, self.steps))
         for c, b in enumerate(self.slopes(phi) if self.steps else ()):
             out[self.slope_at + c * self.steps + np.arange(self.steps), np.arange(self.steps)] = self.steps * b
-        return out
+        return out * self._factors(phi, unit)[0][:, None]
 
     def precision(self, spreads: Sequence[float], scale: float = 0.0, fixed_only: bool = False) -> np.ndarray:
         out = np.zeros((self.parameters, self.parameters))
@@ -592,6 +768,7 @@ class Picture:
     def __init__(self, structure: Structure, psi: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, damping: float,
                  spread_prior: float):
         self.s, self._prior_scale = structure, spread_prior
+        self._unit = structure.unit(psi)
         bend = -curvature
         if damping:
             bend = bend + damping * np.diag(np.maximum(np.abs(np.diag(bend)), 1.0))
@@ -599,11 +776,11 @@ class Picture:
 
     def _local(self, at: Place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Value and pull of the picture at a place, with its slopes in the parameters."""
-        psi, slopes = self.s.to_coefficients(at.phi, at.z)
+        psi, slopes = self.s.to_coefficients(at.phi, at.z, self._unit)
         return psi, slopes, self._pull - self._bend @ psi
 
     def _value(self, at: Place) -> float:
-        psi, _ = self.s.to_coefficients(at.phi, at.z)
+        psi, _ = self.s.to_coefficients(at.phi, at.z, self._unit)
         return float(self._pull @ psi - 0.5 * psi @ self._bend @ psi - self.s.penalty(at.phi, at.spreads, at.scale))
 
     def _parameters(self, at: Place, start: Place) -> Place:
@@ -617,7 +794,7 @@ class Picture:
             _, slopes, pull = self._local(at)
             gradient = slopes.T @ pull - prior @ away
             plain = slopes.T @ self._bend @ slopes + prior
-            full = plain - self.s.bend(at.phi, pull)
+            full = plain - self.s.bend(at.phi, pull, at.z, self._unit)
             if stretch:
                 grown = at.phi * (1 - fixed)
                 gradient = np.r_[gradient, fixed @ prior @ away - grown @ prior @ grown]
@@ -650,7 +827,7 @@ class Picture:
             return at.spreads
         _, slopes, pull = self._local(at)
         fixed = self.s.precision(at.spreads, fixed_only=True)
-        data = slopes.T @ self._bend @ slopes - self.s.bend(at.phi, pull)
+        data = slopes.T @ self._bend @ slopes - self.s.bend(at.phi, pull, at.z, self._unit)
         lhs, rhs = data + fixed, slopes.T @ pull + data @ at.phi
         own = np.concatenate([self.s.groups[i].at for i in free])
         rest = np.setdiff1d(np.arange(len(rhs)), own)
@@ -667,9 +844,9 @@ class Picture:
 
     def _shares(self, at: Place) -> np.ndarray:
         """Shares, with all other coefficients but the slopes free to follow."""
-        s, others = self.s, np.arange(self.s.slope_at)
+        s, others = self.s, np.r_[np.arange(self.s.slope_at), np.arange(self.s.parameters - self.s.spread, self.s.parameters)]
         psi, slopes, pull = self._local(at)
-        a, b = slopes[:, others], s.to_steps(at.phi)
+        a, b = slopes[:, others], s.to_steps(at.phi, self._unit)
         prior = s.precision(at.spreads, at.scale)[np.ix_(others, others)]
         gradient = a.T @ pull - prior @ (at.phi - s.prior_mean(at.scale))[others]
         cross = np.linalg.solve(_choleskied(a.T @ self._bend @ a + prior), np.c_[a.T @ self._bend @ b, gradient])
@@ -794,7 +971,7 @@ def covariance(structure: Structure, at: Place, gradient: np.ndarray, curvature:
         info[n, n] = 1.0
     # Slopes and shares multiply each other, so the gradient enters the curvature.
     if free:
-        pull = s.steps * gradient[s.slope_at :].reshape(s.step_cells, s.steps) @ tangent
+        pull = s.steps * gradient[s.slope_at : s.slope_at + s.steps * s.step_cells].reshape(s.step_cells, s.steps) @ tangent
         rows = np.vstack([pull.sum(0), *([pull] if s.deviations else [])])
         info[s.slope_at : s.slope_at + len(rows), n + 1 :] -= rows
         info[n + 1 :, s.slope_at : s.slope_at + len(rows)] -= rows.T

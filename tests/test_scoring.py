@@ -293,3 +293,75 @@ def test_rows_at_the_places_of_people(answer_cost, monkeypatch):
     dense, table = rng.integers(0, 3, (40, 6)).astype(float), rng.normal(size=(6, 5))
     dense[[0, 7, 39]] = 0
     assert np.allclose(compressed(dense).times(table), dense @ table)
+
+
+@pytest.mark.parametrize("steep", [1.0, 8.0], ids=["products", "logarithms"])
+@pytest.mark.parametrize("spread", [0.7, 0.0])
+def test_slopes_with_a_grid_that_follows_people(spread, steep, monkeypatch):
+    monkeypatch.setattr(scoring, "SMALLEST", 40.0)
+    monkeypatch.setattr(scoring, "FOLLOWED_AT_ONCE", 500)
+    rng, curves = np.random.default_rng(0), scoring.BinaryCurves()
+    answers, x, weight = some_answers(rng, 50, 3, 2), rng.normal(size=(50, 2)), rng.integers(1, 4, 50).astype(float)
+    answers[7] = 0
+    sums = scoring.FollowingSums(3, curves, 2, len(NODE))
+
+    def at(psi):
+        total, flat = np.zeros(sums.size), np.zeros(sums.size)
+        sums.add(total, compressed(answers), x, weight, psi, NODE)
+        where, flat_values = sums.shipped(total)
+        flat[where] = flat_values
+        return sums.evidence(flat, psi, NODE)
+
+    psi = np.r_[1.2 * steep, -0.3, 0.8 * steep, 0.4, 0.6 * steep, 0.1, 0.3, -0.4, spread]
+    value, gradient, curvature = at(psi)
+    assert np.allclose(differences(lambda p: at(p)[0], psi), gradient, atol=1e-6)
+    assert np.allclose(differences(lambda p: at(p)[1], psi), curvature, atol=1e-5)
+    if spread and steep == 1:  # the grid of all people, in units of the spread, gives the same as long as nobody comes near its ends
+        units = np.r_[psi[:6] * np.tile([spread, 1], 3), psi[6:8] / spread]
+        assert evidence(curves, 3, answers, x, weight, np.linspace(-12, 12, 161))(units)[0] == pytest.approx(value, abs=1e-6)
+    elif not spread:
+        assert gradient[-1] == pytest.approx(0, abs=1e-9) and at(psi + 1e-3 * (np.arange(9) == 8))[0] == pytest.approx(at(psi - 1e-3 * (np.arange(9) == 8))[0])
+
+
+def test_coefficients_in_the_unit_of_a_pass():
+    rng, z, unit = np.random.default_rng(1), np.array([0.5, 0.3, 0.2]), 0.3
+    s = scoring.Structure(scoring.BinaryCurves(), 8, 3, 3, 2, True, spread=True, cells=8 + np.arange(3))
+    phi, pull = rng.normal(size=s.parameters) * 0.5, rng.normal(size=s.coefficients)
+    psi, _ = s.to_coefficients(phi, z, unit)
+    assert s.unit(psi) == pytest.approx(unit) and psi[8:11].mean() == pytest.approx(0, abs=1e-12) and s.parameters == 15 and s.coefficients == 18
+    for u in (unit, None):
+        slopes = s.to_coefficients(phi, z, u)[1]
+        assert np.allclose(differences(lambda p, u=u: s.to_coefficients(p, z, u)[0], phi).T, slopes, atol=1e-8)
+        assert np.allclose(differences(lambda p, u=u: s.to_coefficients(p, z, u)[1].T @ pull, phi), s.bend(phi, pull, z, u), atol=1e-8)
+    assert np.allclose(psi - s.to_steps(phi, unit) @ z, np.where(np.isin(np.arange(18), np.arange(11, 17)), 0, psi))
+    # Neither the unit nor the origin of the latent outcome changes what a pass sees.
+    other = phi.copy()
+    other[0:8:2] -= 0.7
+    other[1:8:2], other[8:] = (other[1:8:2] - 0.4) * np.exp(0.7), other[8:] * np.exp(0.7)
+    other[8:11] += 0.4 * np.exp(0.7)
+    assert np.allclose(s.to_coefficients(other, z, unit)[0], psi)
+
+
+@pytest.mark.parametrize("theta", [0.0, 0.5])
+def test_effects_settle_whatever_the_latent_spread(spark, theta):
+    """Effects many latent spreads apart: shares by cell are the fitted ones, and a latent spread of nothing is a result."""
+    rng = np.random.default_rng(11)
+    n, k, delta, slope = 12_000, 7, np.array([-0.9, 0.1, 0.8]), 0.5
+    cell, x, a, b = rng.integers(0, 3, n), rng.normal(size=n), np.exp(rng.normal(size=k) * 0.2), rng.normal(size=k) * 0.5
+    eta = theta * rng.normal(size=n) + delta[cell] + slope * x
+    y = (rng.random((n, k)) < 1 / (1 + np.exp(-a * (eta[:, None] + b)))).astype(int)
+    fit = calibrate.calibrate_2pl(long_table(spark, y, kk=cell, x=x), "id", "item", "y", cell="kk", covariates=["x"], estimate_sigma=True, max_iter=40)
+    terms, errors = ({r.term: r[i] for r in fit.effects.collect()} for i in (1, 2))
+    items = fit.items.orderBy("item").toPandas()
+    unit = np.exp(np.log(items.alpha / a).mean())  # the likelihood leaves it open
+    assert fit.iterations <= 20
+    assert np.abs(items.alpha / unit - a).max() < 0.1
+    assert terms["b_x"] * unit == pytest.approx(slope, abs=0.03)
+    for c in (1, 2):
+        assert (terms[f"delta[{c}]"] - terms["delta[0]"]) * unit == pytest.approx(delta[c] - delta[0], abs=0.06)
+    if theta:
+        assert terms["sigma_theta"] * unit == pytest.approx(theta, abs=0.05) and 0.005 < errors["sigma_theta"] < 1
+    else:
+        assert terms["sigma_theta"] * unit < 0.15
+    assert (terms["sigma_theta"] == 0) == (errors["sigma_theta"] is None)
+    assert all(0 < errors[t] < 3 for t in ("delta[0]", "b_x"))
