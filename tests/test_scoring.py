@@ -365,3 +365,34 @@ def test_effects_settle_whatever_the_latent_spread(spark, theta):
         assert terms["sigma_theta"] * unit < 0.15
     assert (terms["sigma_theta"] == 0) == (errors["sigma_theta"] is None)
     assert all(0 < errors[t] < 3 for t in ("delta[0]", "b_x"))
+
+
+def test_a_spread_as_coefficient_agrees_with_parameters_in_its_units():
+    """Estimates and standard errors, with a monotonic effect that differs by cell; the grid of all people is wide enough to hold them."""
+    answers, x, _ = monotonic_people(np.random.default_rng(2))
+    k, cells, levels, curves, wide = 6, 3, 3, scoring.BinaryCurves(), np.linspace(-9, 9, 91)
+    fits = []
+    for follow in (False, True):
+        s = scoring.Structure(curves, 2 * k, cells, levels, cells, True, stretch=not follow, spread=follow, cells=2 * k + np.arange(cells))
+        s.groups = [scoring.Group("a", np.arange(0, 2 * k, 2), 0.7, stretches=False), scoring.Group("b", np.arange(1, 2 * k, 2), 2.0, centred=True),
+                    scoring.Group("d", 2 * k + np.arange(cells), 1.5), scoring.Group("s", s.slope_at + 1 + np.arange(cells), 0.8),
+                    scoring.Group("m", np.array([s.slope_at]), 1.0)]
+        sums = scoring.FollowingSums(k, curves, x.shape[1], 41)
+
+        def following(psi, sums=sums):
+            total, flat = np.zeros(sums.size), np.zeros(sums.size)
+            sums.add(total, compressed(answers), x, np.ones(len(x)), psi, NODE)
+            where, values = sums.shipped(total)
+            flat[where] = values
+            return sums.evidence(flat, psi, NODE)
+
+        at, start = evidence(curves, k, answers, x, np.ones(len(x)), wide), np.zeros(s.parameters)
+        start[s.parameters - follow :] = 1
+        fits.append(scoring.maximise(following if follow else at, s, start, 1e-8, 60, lambda p: (p[: 2 * k : 2] > 0).all()))
+    units, own = fits
+    n, spread = len(units.at.phi), np.exp(units.at.scale)
+    phi = np.where(np.isin(np.arange(n), np.arange(0, 2 * k, 2)), units.at.phi - units.at.scale, units.at.phi * spread)
+    assert np.allclose(own.at.phi, np.r_[phi, spread], atol=1e-5) and np.allclose(own.at.z, units.at.z, atol=1e-5) and own.passes <= 20
+    errors = [np.sqrt(np.diag(f.cov)) for f in fits]
+    assert np.allclose(errors[1][:n], errors[0][:n], rtol=1e-4) and errors[1][n] == pytest.approx(spread * errors[0][n], rel=1e-4)
+    assert np.allclose(errors[1][n + 2 :], errors[0][n + 1 :], rtol=1e-4)
